@@ -4,7 +4,7 @@ Batches are cut by bytes, not rows; texts over a limit are cut where every token
 between a non-blank and an ASCII letter or digit, and the counts of the parts are added.
 
 A byte-level .json whose ids rise with the merge ranks is run by the rank-file engine on the same vocabulary,
-several times faster (the distinct chunks of a batch at once, their lengths kept in a bounded table), and by the tokenizers library for texts with special strings or with characters whose Unicode class
+several times faster, and by the tokenizers library for texts with special strings or with characters whose Unicode class
 differs between versions; other .json files always by that library; .model files by sentencepiece, whole,
 since its pieces depend on neighbours. Null or empty text counts 0; repeats count alike; an empty table gives an
 empty result.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,12 @@ from loomtext.llm import vocabulary
 from loomtext.llm.common import by_bytes
 
 
-#: Chunks of text between white space, with the blank before them: pieces never reach over their ends.
-_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-#: Entries of a worker's table of chunk lengths, and the longest chunk kept there.
-TABLE, LONGEST = 600_000, 64
-
 
 class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.pieces = self.ranks = self.library = None
         self.specials: list[str] = []
-        self.table: dict[str, int] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -70,23 +64,7 @@ class Counter:
             got = self.ranks.encode_ordinary(text)
         else:
             got = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(got, dtype=np.uint32)
-
-    def _batch_lengths(self, texts: list[str]) -> list[int]:
-        """Lengths of a batch's distinct chunks go through the engine at once; a text's length is the sum over its chunks."""
-        if len(self.table) > TABLE:
-            self.table = {}
-        chunks = [_CHUNKS(t) for t in texts]
-        table = self.table
-        for c in chunks:
-            new = [x for x in set(c) if x not in table]
-            table.update(zip(new, map(len, self.ranks.encode_ordinary_batch(new, num_threads=1)), strict=True))
-        out = [sum(map(table.__getitem__, c)) for c in chunks]
-        for c in chunks:
-            for x in c:
-                if len(x) > LONGEST:
-                    table.pop(x, None)
-        return out
+        return np.frombuffer(array("I", got), dtype=np.uint32)
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
@@ -103,7 +81,7 @@ class Counter:
             elif t:
                 rest.append(i)
         if parts:
-            np.add.at(out, owner, self._batch_lengths(parts))
+            np.add.at(out, owner, [len(x) for x in map(self.ranks.encode_ordinary, parts)])
         if rest:
             out[rest] = [len(e.ids) for e in self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
         return out
