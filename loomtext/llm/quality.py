@@ -101,7 +101,7 @@ def fit(rows: list[tuple[str | None, int | None, int]], factors: int = 8, epochs
     found = []
     for b in blocks:
         doc, bucket, *_ = learning.word_counts(texts[b], "space")
-        found += np.split(bucket, np.searchsorted(doc, np.arange(1, len(texts[b]))))
+        found += np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, len(texts[b]))))
     keep = learning.active_buckets(found, least)
     n = int(keep.max()) + 1 + N_STATS if len(keep) else N_STATS
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
@@ -115,11 +115,11 @@ def fit(rows: list[tuple[str | None, int | None, int]], factors: int = 8, epochs
     stats = np.concatenate(stats)
     m.mean, m.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
     m.v[:] = rng.normal(0, 0.05, m.v.shape)
-    parts = [m.inputs(texts[b], n_chars[b]) for b in blocks]
     sparse = []
-    for (doc, feature, value), b in zip(parts, blocks, strict=True):
+    for b in blocks:
+        doc, feature, value = m.inputs(texts[b], n_chars[b])
         cut = np.searchsorted(doc, np.arange(1, len(texts[b])))
-        sparse += list(zip(np.split(feature, cut), np.split(value, cut), strict=True))
+        sparse += list(zip(np.split(feature.astype(np.int32), cut), np.split(value.astype(np.float32), cut), strict=True))
     gw, gv, g0 = np.full(n, 1e-4), np.full(m.v.shape, 1e-4), 1e-4
     for _ in range(epochs):
         order = rng.permutation(len(y))

@@ -24,7 +24,7 @@ from loomtext.llm import learning
 from loomtext.llm.common import by_bytes
 
 #: At most so many labelled rows are fitted on, whatever the size of the input.
-SAMPLE = 20_000
+SAMPLE = 12_000
 GRADES = 3
 #: Beginnings of words, in bytes, that are features beside the words: inflected forms share them.
 PREFIXES = (4, 5, 6)
@@ -44,9 +44,8 @@ class OrdinalModel:
         return learning.sigmoid(z[:, None] - self.cuts[None, :])
 
 
-def _contrast(doc, word, toxic, n_features) -> np.ndarray:
+def _contrast(present: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """For each feature the z-value of the difference between the shares of toxic and of clean rows that have it."""
-    present = [np.bincount(word[toxic[doc] == k], minlength=n_features) for k in (0, 1)]
     rows = [max(1, int((toxic == k).sum())) for k in (0, 1)]
     p, q = (present[1] + 0.5) / (rows[1] + 1), (present[0] + 0.5) / (rows[0] + 1)
     both = (present[0] + present[1] + 1) / (sum(rows) + 2)
@@ -73,23 +72,20 @@ def fit(rows: list[tuple[str | None, int]], least: int = 8, steps: int = 300, l1
     nothing = OrdinalModel(np.full(1 << learning.BITS, -1, dtype=np.int32), np.zeros(1), cut)
     if not len(toxic) or toxic.min() == toxic.max():
         return nothing
-    parts = [learning.word_counts(texts[i : i + 512], "alnum", prefixes=PREFIXES)[:4] for i in range(0, len(rows), 512)]
-    df = np.bincount(np.concatenate([p[1] for p in parts]), minlength=1 << learning.BITS)
-    table = np.where(df >= least, np.cumsum(df >= least) - 1, -1)
-    doc, word, count = [], [], []
-    for i, p in enumerate(parts):
-        on = table[p[1]] >= 0
-        doc.append(p[0][on] + 512 * i), word.append(table[p[1][on]]), count.append(p[2][on])
-    doc, word, count = map(np.concatenate, (doc, word, count))
-    old = np.flatnonzero(df >= least)
-    z = _contrast(doc, word, toxic, len(old))
-    telling = z >= screen
-    grade = _grades(np.bincount(doc, (1 + np.log(count)) * telling[word], minlength=len(toxic)), toxic)
-    use = z >= screen
+    blocks = range(0, len(rows), 256)
+    present = np.zeros((2, 1 << learning.BITS))
+    for i in blocks:
+        doc, bucket, *_ = learning.word_counts(texts[i : i + 256], "alnum", prefixes=PREFIXES)
+        for k in (0, 1):
+            present[k] += np.bincount(bucket[toxic[i + doc] == k], minlength=present.shape[1])
+    use = (_contrast(present, toxic) >= screen) & (present.sum(axis=0) >= least)
     if not use.any():
         return nothing
-    old, slot, on = old[use], np.cumsum(use) - 1, use[word]
-    doc, word, x, n = doc[on], slot[word[on]], 1 + np.log(count[on]), int(use.sum())
+    keep = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32)
+    parts = [(i, *learning.word_counts(texts[i : i + 256], "alnum", keep, PREFIXES)[:3]) for i in blocks]
+    doc, word = np.concatenate([i + p for i, p, _, _ in parts]), np.concatenate([p for _, _, p, _ in parts])
+    x, n = 1 + np.log(np.concatenate([p for _, _, _, p in parts])), int(use.sum())
+    grade = _grades(np.bincount(doc, x, minlength=len(toxic)), toxic)
     over = (grade[:, None] >= np.arange(1, GRADES + 1)[None, :]).astype(float)
     theta, m1, m2 = np.concatenate([np.zeros(n), cut]), np.zeros(n + GRADES), np.zeros(n + GRADES)
     for t in range(1, steps + 1):
@@ -107,11 +103,8 @@ def fit(rows: list[tuple[str | None, int]], least: int = 8, steps: int = 300, l1
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(toxic[order])
     best = int(np.argmax(2 * hit / (np.arange(1, len(p) + 1) + toxic.sum())))
-    limit = float((p[order[best]] + p[order[min(best + 1, len(p) - 1)]]) / 2)
-    kept = np.flatnonzero(w)
-    keep = nothing.keep.copy()
-    keep[old[kept]] = np.arange(len(kept), dtype=np.int32)
-    return OrdinalModel(keep, np.append(w[kept], 0.0), cut, limit)
+    limit = float(0.75 * p[order[best]] + 0.25 * p[order[min(best + 1, len(p) - 1)]])  # nearer to the toxic side
+    return OrdinalModel(keep, np.append(w, 0.0), cut, limit)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
