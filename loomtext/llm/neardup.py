@@ -3,13 +3,13 @@
 Vectors with equal labels are compared. Each is scaled to length 1 and projected on PROJECTIONS random directions;
 within a tile every projection is sorted, and two vectors collide in it if one lies in the other's window of
 half-width w. Two vectors at the threshold's distance r differ in a projection like a normal variable of
-deviation r, so they collide with probability p = P(|N| <= w / r), independently; pairs are verified if
-they collide at least `count` times, the largest count that Binomial(PROJECTIONS, p) reaches with the target
-recall. Verification is the cosine in double precision.
+deviation r, so they collide with probability p = P(|N| <= w / r), independently. After each STEP projections a pair goes on
+if it has collided at least as often as Binomial(projections so far, p) does with the target recall; those that pass the last
+count are verified by the cosine in double precision. Wide windows prune best here: the pairs sought then collide nearly always.
 
 Equal vectors form a class; classes of a label are dealt to tiles of bounded size by a hash, each pair of tiles is one
 task, and a task returns per class its number of links and one spanning link, never pairs. The work in a task is a few integer
-operations per pair and projection, and pairs that can't reach the count any more leave early.
+operations per pair for the first STEP projections; few pairs go further.
 
 Edge cases: a null id, label or vector, an empty or zero vector, or one with null or non-finite components links with
 nothing (n_links 0, itself its component); vectors of different lengths don't link; repeated vec_id rows are one vector, the smallest by
@@ -28,13 +28,13 @@ from loomtext.llm.common import connected_components, materialize
 
 THRESHOLD, RECALL, PROJECTIONS, SEED = 0.93, 0.99999, 48, 11
 #: Half-width of a window, in units of the distance at the threshold.
-WINDOW = 2.0
+WINDOW = 3.0
 #: Vectors in a tile; a task holds two tiles.
 TILE = 2048
-_STEP = 8
+_STEP = 16
 
 
-def least_collisions(projections: int = PROJECTIONS, window: float = WINDOW, recall: float = RECALL) -> int:
+def least_collisions(projections: int, window: float = WINDOW, recall: float = RECALL) -> int:
     """The largest count that a pair at the threshold reaches with probability `recall`."""
     p = math.erf(window / math.sqrt(2))
     tail = 0.0
@@ -60,7 +60,7 @@ def _ranks(h: np.ndarray, w: float):
 def _tile_links(threshold: float, recall: float):
     radius = math.sqrt(2 - 2 * threshold)
     width = WINDOW * radius
-    need = least_collisions(recall=recall)
+    need = {m: least_collisions(m, recall=recall) for m in range(_STEP, PROJECTIONS + 1, _STEP)}
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("cls").to_numpy()
@@ -68,7 +68,7 @@ def _tile_links(threshold: float, recall: float):
         ids, table = ids[order], table.take(pa.array(order))
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         tile, mult = table.column("tile").to_numpy(), table.column("mult").to_numpy()
-        raw = np.array(table.column("vec").to_pylist(), dtype=np.float64)
+        raw = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # squares of large or small components stay finite
         x = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
         h = x @ directions(x.shape[1])
@@ -85,20 +85,23 @@ def _tile_links(threshold: float, recall: float):
         low = np.stack([np.searchsorted(line[:, j], h[one, j] - width, "left") for j in range(h.shape[1])], axis=1)
         span = np.stack([np.searchsorted(line[:, j], h[one, j] + width, "right") for j in range(h.shape[1])], axis=1) - low
         low, span, flat = low.astype(np.uint16), span.astype(np.uint16), np.ascontiguousarray(rank.T)
-        for k in range(0, len(one), 256):
-            block = slice(k, min(k + 256, len(one)))
-            count = np.zeros((block.stop - k, len(two)), dtype=np.uint8)
+        for k in range(0, len(one), 128):
+            block, left = slice(k, min(k + 128, len(one))), k if a == b else 0
+            shape = (block.stop - k, len(two) - left)
+            count, gap, inside = np.zeros(shape, dtype=np.uint8), np.empty(shape, dtype=np.uint16), np.empty(shape, dtype=bool)
             for j in range(_STEP):
-                count += (flat[j][None, :] - low[block, j][:, None]) < span[block, j][:, None]
-            p, q = np.nonzero(count >= max(0, need - (PROJECTIONS - _STEP)))
+                np.subtract(flat[j, left:][None, :], low[block, j][:, None], out=gap)
+                np.less(gap, span[block, j][:, None], out=inside)
+                np.add(count, inside.view(np.uint8), out=count)
+            p, q = np.nonzero(count >= need[_STEP])
+            c, q = count[p, q].astype(np.int16), q + left
             if a == b:
                 on = two[q] > one[k + p]
-                p, q = p[on], q[on]
-            c = count[p, q].astype(np.int16)
+                p, q, c = p[on], q[on], c[on]
             for s in range(_STEP, PROJECTIONS, _STEP):
                 for j in range(s, s + _STEP):
                     c += (flat[j][q] - low[k + p, j]) < span[k + p, j]
-                on = c >= need - (PROJECTIONS - s - _STEP)
+                on = c >= need[s + _STEP]
                 p, q, c = p[on], q[on], c[on]
             if not len(p):
                 continue
