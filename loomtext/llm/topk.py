@@ -28,34 +28,34 @@ from loomtext.llm.common import materialize
 K, SCALE = 5, 256.0
 #: Rows in a block of queries and of candidates.
 QUERIES, CANDIDATES = 2048, 4096
-_STEP = 512
+_STEP = 128
 
 
 def _integers(column: pa.ChunkedArray) -> np.ndarray:
     """Rows x longest vector; 64-bit integers, or Python's where those don't suffice."""
-    rows = column.to_pylist()
-    dim = max(1, *map(len, rows))
-    x = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        x[i, : len(r)] = r
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.diff(rows.offsets.to_numpy())
+    x = np.zeros((len(rows), max(1, n.max(initial=0))))
+    x[np.arange(x.shape[1])[None, :] < n[:, None]] = rows.flatten().to_numpy()
     x = np.floor(x)
     return x.astype(np.int64) if np.abs(x).max(initial=0) < 2.0**62 else np.array([[int(v) for v in r] for r in x.tolist()], dtype=object)
 
 
 def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Scores, candidates x queries, term by term over the postings of the block."""
+    """Scores, queries x candidates, term by term over the postings of the block."""
     terms = min(queries.shape[1], block.shape[1])
     most = int(np.abs(queries).max(initial=0)) * int(np.abs(block).max(initial=0)) * max(1, terms)
     kind = np.int32 if most < 2**31 else np.int64 if most < 2**63 else object
     queries, block = queries.astype(kind), block.astype(kind)
-    scores = np.zeros((len(block), len(queries)), dtype=kind)
+    scores = np.zeros((len(queries), len(block)), dtype=kind)
+    part = np.empty_like(scores)
     for t in range(terms):
         having, postings = np.flatnonzero(queries[:, t]), np.flatnonzero(block[:, t])
-        part = np.multiply.outer(block[postings, t], queries[having, t])
-        if len(having) == len(queries) and len(postings) == len(block):
+        if 4 * len(having) * len(postings) > scores.size:  # mostly full: zero weights add nothing
+            np.multiply.outer(queries[:, t], block[:, t], out=part)
             scores += part
         elif len(having) and len(postings):
-            scores[np.ix_(postings, having)] += part
+            scores[np.ix_(having, postings)] += np.multiply.outer(queries[having, t], block[postings, t])
     return scores if kind is not object else np.clip(scores, -(2**63), 2**63 - 1)
 
 
@@ -64,24 +64,26 @@ def _best(k: int):
         is_query = np.array(table.column("is_query").to_pylist(), dtype=bool)
         ids, vec = table.column("vec_id").to_numpy(), table.column("vec")
         qi, ci = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        ci = ci[np.argsort(ids[ci], kind="stable")]  # the smaller position is the smaller id
+        ci = ci[np.argsort(ids[ci], kind="stable")]  # a later candidate has a larger id, so it must score more to displace
         if not len(qi) or not len(ci):
             return pa.table({"query_id": ids[:0], "vec_id": ids[:0], "score": ids[:0]})
         q, c = _integers(vec.take(pa.array(qi))), _integers(vec.take(pa.array(ci)))
         best: list = [[] for _ in qi]
+        least = [None] * len(qi)
         for at in range(0, len(ci), _STEP):
-            scores = accumulate(q, c[at : at + _STEP]).T
-            own = ids[ci[at : at + _STEP]]
-            n = min(k + 1, len(own))
-            if n < len(own):
-                floor = -np.partition(-scores, n - 1, axis=1)[:, n - 1] if scores.dtype != object else np.sort(scores, axis=1)[:, -n]
+            scores, own = accumulate(q, c[at : at + _STEP]), ids[ci[at : at + _STEP]]
+            if at == 0 and len(own) > k + 1 and scores.dtype != object:
+                floor = np.partition(scores, len(own) - k - 1, axis=1)[:, len(own) - k - 1]
             else:
-                floor = scores.min(axis=1)
+                low = scores.min(axis=1)
+                floor = np.array([x if y is None else y + 1 for x, y in zip(low.tolist(), least, strict=True)])
             rows, cols = np.nonzero(scores >= floor[:, None])
             for r, j in zip(rows.tolist(), cols.tolist(), strict=True):
                 if own[j] != ids[qi[r]]:
                     best[r].append((-int(scores[r, j]), int(own[j])))
-            best = [sorted(b)[:k] for b in best]
+            for r in np.unique(rows).tolist():
+                best[r] = sorted(best[r])[:k]
+                least[r] = -best[r][-1][0] if len(best[r]) == k else None
         out = [(int(ids[qi[r]]), v, -s) for r, b in enumerate(best) for s, v in b]
         return pa.table({n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
