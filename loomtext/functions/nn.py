@@ -17,13 +17,18 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, even if f names it often or inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def weights(w: list[list[float]]) -> Column:
     return F.array(*(F.array(*map(F.lit, row)) for row in w))
 
 
 def linear(x: Column, w: list[list[float]]) -> Column:
     """x W^T, no bias; w: output rows."""
-    return F.transform(weights(w), lambda row: dot(row, x))
+    return let(x, lambda v: F.transform(weights(w), lambda row: dot(row, v)))
 
 
 def embedding(ids: DataFrame, table: DataFrame, on: str) -> DataFrame:
@@ -32,14 +37,14 @@ def embedding(ids: DataFrame, table: DataFrame, on: str) -> DataFrame:
 
 
 def rmsnorm(x: Column, w: list[float], eps: float = 1e-5) -> Column:
-    scale = F.sqrt(dot(x, x) / F.size(x) + F.lit(eps))
-    return F.zip_with(F.transform(x, lambda v: v / scale), F.array(*map(F.lit, w)), lambda a, b: a * b)
+    scale = lambda y: F.sqrt(dot(y, y) / F.size(y) + F.lit(eps))
+    return let(x, lambda y: let(scale(y), lambda s: F.zip_with(y, F.array(*map(F.lit, w)), lambda a, b: a / s * b)))
 
 
 def softmax(x: Column) -> Column:
     """Over the array, shifted by its maximum."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / total(e))
+    e = lambda y: let(F.array_max(y), lambda m: F.transform(y, lambda v: F.exp(v - m)))
+    return let(x, lambda y: let(e(y), lambda z: let(total(z), lambda t: F.transform(z, lambda v: v / t))))
 
 
 def softmax_over(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -65,7 +70,7 @@ def feed_forward_size(d_model: int) -> int:
 
 def swiglu(x: Column, w1, w2, w3) -> Column:
     """W2 (SiLU(W1 x) * W3 x)."""
-    return linear(F.zip_with(silu(linear(x, w1)), linear(x, w3), lambda a, b: a * b), w2)
+    return let(x, lambda y: linear(F.zip_with(silu(linear(y, w1)), linear(y, w3), lambda a, b: a * b), w2))
 
 
 def rope(x: Column, position: Column, d: int, theta: float = 10_000.0, longest: int | None = None) -> Column:
@@ -75,12 +80,11 @@ def rope(x: Column, position: Column, d: int, theta: float = 10_000.0, longest:
         raise ValueError("d must be even")
     if longest is not None:
         position = F.when((position >= 0) & (position < longest), position).otherwise(F.raise_error(F.lit("position out of range")).cast("int"))
-    out = []
-    for k in range(0, d, 2):
-        angle = position * F.lit(theta ** (-k / d))
-        a, b = F.get(x, F.lit(k)), F.get(x, F.lit(k + 1))
-        out += [a * F.cos(angle) - b * F.sin(angle), a * F.sin(angle) + b * F.cos(angle)]
-    return F.array(*out)
+    rate = F.array(*(F.lit(theta ** (-2 * k / d)) for k in range(d // 2)))
+    angle = lambda p, i: p * F.get(rate, F.floor(i / 2).cast("int"))
+    other = lambda y, i: F.when(i % 2 == 0, -F.get(y, i + 1)).otherwise(F.get(y, i - 1))
+    turn = lambda y, p: F.transform(y, lambda v, i: v * F.cos(angle(p, i)) + other(y, i) * F.sin(angle(p, i)))
+    return let(x, lambda y: let(position, lambda p: turn(y, p)))
 
 
 def attention(q: DataFrame, k: DataFrame, keep: Column, d: int) -> DataFrame:

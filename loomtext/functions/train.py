@@ -28,8 +28,8 @@ def get_batch(stream: DataFrame, batch_size: int, length: int, seed: int = 0) ->
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """logsumexp(x) - x[t] of one row; the loss is its mean. target counts from 0."""
-    top = F.array_max(logits)
-    return F.log(nn.total(F.transform(logits, lambda v: F.exp(v - top)))) + top - F.get(logits, target)
+    loss = lambda x, top: F.log(nn.total(F.transform(x, lambda v: F.exp(v - top)))) + top - F.get(x, target)
+    return nn.let(logits, lambda x: nn.let(F.array_max(x), lambda top: loss(x, top)))
 
 
 def clip_gradients(grads: DataFrame, most: float, eps: float = 1e-6) -> DataFrame:
