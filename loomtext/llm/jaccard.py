@@ -7,8 +7,8 @@
    threshold is met in some tree with the target recall: 1 - (1 - s**depth)**trees >= recall.
 3. Classes under one trie node are linked to the node's smallest; connected components of these links hold all pairs
    that meet in any tree. A component too large for one task is dealt to tiles, and every pair of tiles is a task.
-4. A task compares labels again, so only pairs that meet in a tree are candidates, and verifies each by the exact
-   Jaccard similarity of the two shingle sets. It returns, per class, how many documents it is linked with and a spanning
+4. A task compares labels again, with prefixes shortened further, so only pairs that meet in a tree are candidates, and
+   verifies each by the exact Jaccard similarity of the two shingle sets. It returns, per class, how many documents it is linked with and a spanning
    link, never a list of pairs; so a large group of near copies gives rows in proportion to its classes.
 5. Connected components of the spanning links are the groups.
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from loomtext.llm import hashing
 from loomtext.llm.common import by_bytes, connected_components, materialize
 
-NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
+NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Inside a component prefixes are shortened further, to this recall: few labels are left to compare.
+RECALL_INSIDE = 1 - 1e-7
 TREES, LEVELS = 24, 8
 #: Shingles in a tile; a task holds two tiles.
 TILE = 400_000
@@ -175,7 +177,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     full = full.mapInArrow(_sets, "cls long, k1 long, k2 long, mult long, labels array<long>, own long, tile int, tiles long, shingles binary")
     pairs = full.drop("k1", "k2").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
     pairs = pairs.select("own", F.least("tile", "x").alias("a"), F.greatest("tile", "x").alias("b"), "cls", "mult", "tile", "labels", "shingles")
-    found = pairs.groupBy("own", "a", "b").applyInArrow(_verify(d, threshold), "cls long, root long, links long")
+    found = pairs.groupBy("own", "a", "b").applyInArrow(_verify(min(d, depth(threshold, RECALL_INSIDE)), threshold), "cls long, root long, links long")
     found, _ = materialize(found, "links")
 
     comps = connected_components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
