@@ -2,8 +2,9 @@
 
 1. Each text becomes the set of hashes of its shingles of five words (lower-cased, between white space; a text of one
    to four words has one shingle). Texts with one set form a class; its representative is the smallest id.
-2. Each class has one label per tree: LEVELS bytes of independent MinHashes, read as a path in a prefix trie; sorted
-   labels are the trie. Matches start at whole labels and are shortened level by level until a pair at the
+2. Each class has one label per tree: LEVELS independent MinHashes of BITS bits, read as a path in a prefix trie; sorted
+   labels are the trie. The prefix in use has 50 bits, so unrelated texts meet by chance in about one of 10**15 comparisons
+   and components don't run together as the corpus grows. Matches start at whole labels and are shortened level by level until a pair at the
    threshold is met in some tree with the target recall: 1 - (1 - s**depth)**trees >= recall.
 3. Classes under one trie node are linked to the node's smallest; connected components of these links hold all pairs
    that meet in any tree. A component too large for one task is dealt to tiles, and every pair of tiles is a task.
@@ -35,7 +36,7 @@ from loomtext.llm.common import by_bytes, connected_components, materialize
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Inside a component prefixes are shortened further, to this recall: few labels are left to compare.
 RECALL_INSIDE = 1 - 1e-7
-TREES, LEVELS = 24, 8
+TREES, LEVELS, BITS = 24, 6, 10
 #: Shingles in a tile; a task holds two tiles.
 TILE = 400_000
 
@@ -51,7 +52,7 @@ def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TRE
 
 
 def labels_of(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Trie labels, texts x TREES, as signed 64-bit integers; the first level is the highest byte. Texts without
+    """Trie labels, texts x TREES, as signed 64-bit integers; the first level is the highest. Texts without
     shingles have 0."""
     some = np.flatnonzero(np.diff(at))
     out = np.zeros((len(at) - 1, TREES), dtype=np.uint64)
@@ -61,7 +62,7 @@ def labels_of(g: np.ndarray, at: np.ndarray) -> np.ndarray:
             label = np.zeros(len(some), dtype=np.uint64)
             for k in range(LEVELS):
                 low = np.minimum.reduceat(g * _FACTORS[t * LEVELS + k] >> np.uint64(32), starts)
-                label = label << np.uint64(8) | hashing.mix(low) & np.uint64(0xFF)
+                label = label << np.uint64(BITS) | hashing.mix(low) & np.uint64((1 << BITS) - 1)
             out[some, t] = label
     return out.view(np.int64)
 
@@ -95,7 +96,7 @@ def _sets(batches):
 
 
 def _verify(d: int, threshold: float):
-    shift = np.uint64(64 - 8 * d)
+    shift = np.uint64(BITS * (LEVELS - d))
 
     def run(table: pa.Table) -> pa.Table:
         """One task: all classes of tiles a and b. Links within a == b, else between the two."""
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     reps, _ = materialize(reps, "classes")
 
     nodes = reps.select("cls", F.posexplode("labels").alias("tree", "label"))
-    nodes = nodes.select("cls", "tree", F.shiftrightunsigned("label", 64 - 8 * d).alias("prefix"))
+    nodes = nodes.select("cls", "tree", F.shiftrightunsigned("label", BITS * (LEVELS - d)).alias("prefix"))
     crowded = nodes.groupBy("tree", "prefix").agg(F.min("cls").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
     star = nodes.join(crowded, ["tree", "prefix"]).where("cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v")).distinct()
     groups = connected_components(star).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
