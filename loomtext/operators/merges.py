@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+
+import numpy as np
 
 
 def in_order(merges: list[tuple[bytes, bytes]]) -> bool:
@@ -36,51 +37,73 @@ class _Larger(tuple):
         return tuple.__gt__(self, other)
 
 
+def _first_pairs(words: list[bytes], weight: list[int]) -> tuple[dict, dict]:
+    """For each adjacent pair of bytes its weighted count and the indices of the words that hold it."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    if not len(at):
+        return {}, {}
+    code = data[at].astype(np.int64) << 8 | data[at + 1]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[at[order]]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    total = np.add.reduceat(np.array(weight, dtype=np.int64)[owner], starts).tolist()
+    pairs = [(c >> 8, c & 255) for c in code[starts].tolist()]
+    return dict(zip(pairs, total, strict=True)), {p: set(x.tolist()) for p, x in zip(pairs, np.split(owner, starts[1:]), strict=True)}
+
+
 def train(counts: dict[bytes, int], n: int) -> list[tuple[bytes, bytes]]:
     """Up to n merges: always the most frequent pair, of equal ones the greatest in byte order.
 
-    Only words that hold the pair are rewritten; their pairs are taken off and counted anew, so runs such as "abab" are exact.
+    Only words that may hold the pair are read again, and only pairs beside a merge are counted anew: each boundary between two
+    symbols is compared before and after, so runs such as "abab" are exact. Heap entries are checked when they come up.
     """
-    words = [[w[i : i + 1] for i in range(len(w))] for w in counts]
     weight = list(counts.values())
-    total: dict[tuple, int] = defaultdict(int)
-    where: dict[tuple, set] = defaultdict(set)
-    for k, w in enumerate(words):
-        for p in zip(w, w[1:]):  # noqa: B905
-            total[p] += weight[k]
-            where[p].add(k)
-    heap = [(-c, _Larger(p)) for p, c in total.items()]
+    words = [list(w) for w in counts]  # symbol numbers; equal bytes have one number
+    names = [bytes([i]) for i in range(256)]
+    number = {s: i for i, s in enumerate(names)}
+    total, where = _first_pairs(list(counts), weight)
+    heap = [(-c, _Larger((names[p[0]], names[p[1]])), p) for p, c in total.items()]
     heapq.heapify(heap)
     out: list[tuple[bytes, bytes]] = []
     while heap and len(out) < n:
-        c, top = heapq.heappop(heap)
-        pair = tuple(top)
-        if total.get(pair, 0) != -c or c == 0:
+        c, top, pair = heapq.heappop(heap)
+        now = total.get(pair, 0)
+        if now <= 0:
+            continue
+        if now != -c:
+            if now < -c:  # it has shrunk since; growth was pushed when it happened
+                heapq.heappush(heap, (-now, top, pair))
             continue
-        out.append(pair)
-        touched = set()
+        out.append(tuple(top))
+        a, b = pair
+        both = top[0] + top[1]
+        if both not in number:
+            number[both] = len(names)
+            names.append(both)
+        merged, grown = number[both], set()
         for k in where.pop(pair):
-            old, new, i = words[k], [], 0
+            old, new, f, i, last = words[k], [], weight[k], 0, -1
             while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == pair:
-                    new.append(old[i] + old[i + 1])
-                    i += 2
-                else:
-                    new.append(old[i])
+                s = old[i]
+                hit = s == a and i + 1 < len(old) and old[i + 1] == b
+                x = merged if hit else s
+                if new and (last != new[-1] or hit):
+                    total[last, s] -= f
+                    p = new[-1], x
+                    total[p] = total.get(p, 0) + f
+                    where.setdefault(p, set()).add(k)
+                    grown.add(p)
+                if hit:
+                    total[pair] -= f
                     i += 1
-            before, after = list(zip(old, old[1:])), list(zip(new, new[1:]))  # noqa: B905
-            for p in before:
-                total[p] -= weight[k]
-            for p in after:
-                total[p] += weight[k]
-                where[p].add(k)
-            for p in set(before) - set(after):
-                where[p].discard(k)
-            touched.update(before, after)
+                new.append(x)
+                last = old[i]
+                i += 1
             words[k] = new
-        for p in touched:
+        for p in grown:
             if total[p] > 0:
-                heapq.heappush(heap, (-total[p], _Larger(p)))
-            else:
-                del total[p]
+                heapq.heappush(heap, (-total[p], _Larger((names[p[0]], names[p[1]])), p))
     return out

@@ -1,7 +1,6 @@
 """BPE training as DataFrame operations: counts, pairs, top pair, merge, vocabulary."""
 from __future__ import annotations
 
-import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
-from loomtext.sources.files import shared_folder
+from loomtext.sources.files import scratch
 
 
 def pretoken_counts(docs: DataFrame, specials: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -52,6 +51,12 @@ def base_vocabulary(spark: SparkSession, specials: list[str] | None = None) -> D
     return base.unionByName(spark.createDataFrame([(256 + i, s.encode()) for i, s in enumerate(specials)], "token_id int, token binary"))
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    folder = scratch(rows.sparkSession, "counts")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_words: int = 20_000_000) -> list[tuple[bytes, bytes]]:
     """Up to n merges of counted pre-tokens.
 
@@ -59,15 +64,13 @@ def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_words:
     iterative: words stay distributed; each merge is a job over them, with the rewritten words stored every 16 merges.
     """
     if strategy == "local":
+        counts = _stored(counts)  # counted once, then read twice
         k = counts.count()
-        if k > most_words:
-            warnings.warn(f"{k} distinct words: training stays distributed", stacklevel=2)
-        else:
-            got = {}
-            for r in counts.toLocalIterator(prefetchPartitions=True):
-                got[r[0].encode()] = r[1]
-            return M.train(got, n)
-    folder = f"{shared_folder(counts.sparkSession)}/train-{uuid.uuid4().hex}"
+        if k <= most_words:
+            got = counts.toArrow()
+            return M.train(dict(zip((w.encode() for w in got.column(0).to_pylist()), got.column(1).to_pylist(), strict=True)), n)
+        warnings.warn(f"{k} distinct words: training stays distributed", stacklevel=2)
+    folder = scratch(counts.sparkSession, "train")
     at, out = words(counts), []
     for i in range(n):
         if i % 16 == 0:

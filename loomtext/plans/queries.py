@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return files.read_table(spark, f"{d}/{name}.parquet")
 
 
 def book() -> tokenizer.Tokenizer:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One whose scan has fewer tasks than there are cores is dealt out over the cores: a small file is often a
+    single row group, which one task would read and work on alone. Larger tables are left as they are, so no large table is shuffled."""
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_documents(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>") -> DataFrame:
     """(document) rows of a text corpus, cut at the delimiter by Spark's splittable reader."""
     return spark.read.text(path, lineSep=delimiter).select(F.col("value").alias("document"))
