@@ -22,12 +22,16 @@ def pretokenize(text: Column) -> Column:
 
 
 def split_special(text: Column, specials: list[str] | None = None) -> Column:
-    """Array of segments, special tokens as segments of their own, longest first; empty segments are dropped."""
+    """Array of segments, special tokens as segments of their own, longest first; empty segments are dropped.
+
+    The pieces between the special tokens and the tokens themselves come from the same matches, so they interleave; no
+    character is set aside as a separator.
+    """
     if not specials:
         return F.filter(F.array(text), lambda s: s != "")
     found = "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))
-    marked = F.regexp_replace(text, F.lit(f"({found})"), F.lit(f"{_SEP}$1{_SEP}"))
-    return F.filter(F.split(marked, re.escape(_SEP)), lambda s: s != "")
+    pieces, tokens = F.split(text, found, -1), F.regexp_extract_all(text, F.lit(f"({found})"), F.lit(1))
+    return F.filter(F.flatten(F.zip_with(pieces, tokens, lambda p, t: F.array(p, t))), lambda s: s != "")
 
 
 def symbols(word: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
-from loomtext.sources.files import scratch
+from loomtext.sources.files import read_corpus, scratch
 
 
 def pretoken_counts(docs: DataFrame, specials: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -94,3 +94,8 @@ def train_bpe(docs: DataFrame, vocab_size: int, specials: list[str] | None = Non
         warnings.warn("vocab_size is below the 256 bytes and the special tokens", stacklevel=2)
     found = train_merges(pretoken_counts(docs, specials, text), max(0, n), strategy)
     return dict(enumerate(vocab + [a + b for a, b in found])), found
+
+
+def train_bpe_file(spark: SparkSession, path: str, vocab_size: int, specials: list[str] | None = None, strategy: str = "local"):
+    """train_bpe on text files, read in splits that end at a special token."""
+    return train_bpe(read_corpus(spark, path, specials), vocab_size, specials, strategy)

@@ -41,6 +41,19 @@ def read_documents(spark: SparkSession, path: str, delimiter: str = "<|endoftext
     return spark.read.text(path, lineSep=delimiter).select(F.col("value").alias("document"))
 
 
+def read_corpus(spark: SparkSession, path: str, specials: list[str] | None = None) -> DataFrame:
+    """(text) rows of a text corpus whose pre-tokens are those of the whole file.
+
+    The reader splits the file at a special token that is in no other one, where no pre-token reaches across, so a large file is
+    read by many tasks. Without special tokens there is no such place: each file is one row.
+    """
+    specials = specials or []
+    free = [s for s in specials if not any(s != o and s in o for o in specials)]
+    if not free:
+        return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    return spark.read.text(path, lineSep=free[0]).select(F.col("value").alias("text"))
+
+
 def read_bytes_as_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; bytes that aren't UTF-8 are dropped."""
 
