@@ -22,8 +22,16 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def weights(w: list[list[float]]) -> Column:
-    return F.array(*(F.array(*map(F.lit, row)) for row in w))
+def weights(w) -> Column:
+    """A list of numbers, or of lists of them, as one constant: parsed at once, not built from a column per number."""
+
+    def sql(x) -> str:
+        if isinstance(x, (list, tuple, np.ndarray)):
+            return "array(" + ", ".join(map(sql, x)) + ")"
+        x = float(x)
+        return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+
+    return F.expr(sql(w))
 
 
 def linear(x: Column, w: list[list[float]]) -> Column:
@@ -38,7 +46,7 @@ def embedding(ids: DataFrame, table: DataFrame, on: str) -> DataFrame:
 
 def rmsnorm(x: Column, w: list[float], eps: float = 1e-5) -> Column:
     scale = lambda y: F.sqrt(dot(y, y) / F.size(y) + F.lit(eps))
-    return let(x, lambda y: let(scale(y), lambda s: F.zip_with(y, F.array(*map(F.lit, w)), lambda a, b: a / s * b)))
+    return let(x, lambda y: let(scale(y), lambda s: F.zip_with(y, weights(w), lambda a, b: a / s * b)))
 
 
 def softmax(x: Column) -> Column:
@@ -80,7 +88,7 @@ def rope(x: Column, position: Column, d: int, theta: float = 10_000.0, longest:
         raise ValueError("d must be even")
     if longest is not None:
         position = F.when((position >= 0) & (position < longest), position).otherwise(F.raise_error(F.lit("position out of range")).cast("int"))
-    rate = F.array(*(F.lit(theta ** (-2 * k / d)) for k in range(d // 2)))
+    rate = weights([theta ** (-2 * k / d) for k in range(d // 2)])
     angle = lambda p, i: p * F.get(rate, F.floor(i / 2).cast("int"))
     other = lambda y, i: F.when(i % 2 == 0, -F.get(y, i + 1)).otherwise(F.get(y, i - 1))
     turn = lambda y, p: F.transform(y, lambda v, i: v * F.cos(angle(p, i)) + other(y, i) * F.sin(angle(p, i)))

@@ -180,6 +180,12 @@ def test_vector_functions(spark):
     assert nn.feed_forward_size(64) == 192 and nn.feed_forward_size(8) == 64
 
 
+def test_weights_are_exact(spark):
+    w = [[0.1, -1e-300, 1 / 3], [5e-324, -0.0, 1.7976931348623157e308], [math.inf, -math.inf, 12345678901234567890]]
+    assert spark.range(1).select(nn.weights(w)).first()[0] == [[float(v) for v in row] for row in w]
+    assert math.isnan(spark.range(1).select(nn.weights([math.nan])).first()[0][0])
+
+
 def test_block_matches_dense(spark):
     d, h, n = 8, 2, 5
     rng = np.random.default_rng(0)
