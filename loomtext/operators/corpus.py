@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.sources.files import scratch
 
 
 def split_documents(corpus: DataFrame, text: str = "text", delimiter: str = T.END, key: str = "corpus_id") -> DataFrame:
@@ -30,14 +31,22 @@ def longest_token(vocab: DataFrame) -> DataFrame:
     return vocab.select("token_id", F.hex("token").alias("token"), F.octet_length("token").alias("n_bytes")).orderBy(F.desc("n_bytes"), "token_id").limit(1)
 
 
-def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", blocks: int = 64) -> DataFrame:
-    """sizes with `start`, the position of a document's first token in the stream ordered by key.
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    folder = scratch(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
-    Two levels: sums of contiguous key blocks first, then running sums inside them, so no task takes all rows.
+
+def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", blocks: int | None = None) -> DataFrame:
+    """sizes with `start`, the position of a document's first token in the stream ordered by key (null first).
+
+    Two levels: sizes are stored, so whatever computes them runs once, then range-partitioned by key into `blocks` (by default
+    spark.sql.shuffle.partitions), which follow the keys' distribution, and stored again, so that all reads see the same blocks.
+    The blocks' totals, one row each, are summed up and joined to running sums inside the blocks: no task takes all rows.
     """
-    ends = sizes.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    block = F.floor((F.col(key) - F.col("lo")) * F.lit(blocks) / (F.col("hi") - F.col("lo") + 1)).cast("int")
-    dealt = sizes.crossJoin(F.broadcast(ends)).withColumn("_block", block).drop("lo", "hi")  # one row of bounds
+    spark = sizes.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _stored(_stored(sizes, "sizes").repartitionByRange(blocks, key).withColumn("_block", F.spark_partition_id()), "blocks")
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     heads = dealt.groupBy("_block").agg(F.sum(n).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"))
     inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -158,9 +158,12 @@ def test_files(spark, tmp_path):
 def test_offsets_and_ratio(spark):
     s = spark.createDataFrame([(i * 3, i % 4) for i in range(50)], "doc_id long, n_tokens long")
     total = 0
-    for r in corpus.stream_offsets(s, blocks=7).orderBy("doc_id").collect():
+    rows = corpus.stream_offsets(s.union(spark.createDataFrame([(None, 5), (10**15, 2)], s.schema)), blocks=7).orderBy("doc_id").collect()
+    assert len(rows) == 52 and rows[0].doc_id is None
+    for r in rows:
         assert r.start == total
         total += r.n_tokens
+    assert corpus.stream_offsets(s.limit(0)).count() == 0
     empty = spark.createDataFrame([], "n_bytes long, n_tokens long")
     assert corpus.compression_ratio(empty).first().ratio == 0.0
 
