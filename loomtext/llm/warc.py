@@ -7,7 +7,8 @@ type, so a rerun gives the same records.
 Response rows: record_id, target_uri, date, http_headers (status line and header lines), payload (text). Result rows:
 the columns of RECORD. Edge cases: a null or empty payload gives an empty conversion block and its digest; null headers
 are no headers; a null target stays null, links are then kept as written; malformed HTML is read as far as it goes: an
-unclosed script or comment runs to the end of the text, a "<" without an end is text; long payloads are one block; repeated rows give
+unclosed script, style or comment runs to the end of the text, as in HTML; of a head only the title, scripts, styles, closed
+templates and closed noscripts are left out, whether it is closed or not; an unclosed template or noscript keeps its text; a "<" without an end is text; long payloads are one block; repeated rows give
 repeated records; an empty table gives none; extra columns named in `keep` are carried.
 """
 from __future__ import annotations
@@ -29,7 +30,10 @@ from loomtext.llm.common import by_bytes
 
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, source_headers string, length long, block string"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<noscript(?=[\s/>])(?:(?!<noscript[\s/>]|</head[\s/>]|<body[\s/>]).)*?</noscript\s*>", re.S | re.I)
+_TEMPLATE = re.compile(r"<template(?=[\s/>])(?:(?!<template[\s/>]).)*?</template\s*>", re.S | re.I)
+_HEAD = re.compile(r"<head(?=[\s/>]).*?(?=</head[\s/>]|<body[\s/>]|<svg[\s/>]|\Z)", re.S | re.I)
+_HEAD_TITLE = re.compile(r"<title(?=[\s/>])(?:(?!<title[\s/>]).)*?</title\s*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|main|aside|form|blockquote|pre|title|body|html|figure|option)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -44,7 +48,11 @@ def digest(data: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """Text between tags: blocks on lines of their own, blanks run together, entities resolved once."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
+    text, found = _DROP.sub(" ", page), 1
+    while found:  # innermost templates first
+        text, found = _TEMPLATE.subn(" ", text)
+    text = _HEAD.sub(lambda m: _HEAD_TITLE.sub(" ", m[0]), text, count=1)
+    text = _TAG.sub("", _BREAK.sub("\n", text))
     return "\n".join(x for line in html.unescape(text).split("\n") if (x := " ".join(line.split())))
 
 

@@ -139,6 +139,23 @@ def test_warc(spark, tmp_path):
     assert warc.derivatives(resp.limit(0)).count() == 0
 
 
+def test_warc_unclosed_elements_keep_their_text():
+    for page, want in [
+        ("<!DOCTYPE html><html><head><title>T</title><body><p>whole body</p></body></html>", "whole body"),
+        ("<head><meta charset=utf-8><title>T</title><p>no body tag", "no body tag"),
+        ("<head><title>T</title><svg><title>icon</title></svg>x</head>", "icon\nx"),
+        ("<head><title>T</title><style>p{}</style></head><body>b", "b"),
+        ("<head><noscript><link></head><body>b<noscript>n</noscript>c", "b c"),
+        ("a<noscript>b<p>c", "ab\nc"),
+        ("a<template>b<template>n</template>c", "ab c"),
+        ("a<template>b<template>n</template>c</template>d", "a d"),
+        ("a<style-guide>b</style-guide><head-line>c</head-line>", "abc"),
+        ("a<!-->b<script>1</script x>c", "a b c"),
+        ("a<script>b", "a"),
+    ]:
+        assert warc.plain_text(page) == want, page
+
+
 # 3
 def shingle_set(t):
     w = [x for x in "".join(c if c not in "\t\n\v\f\r" else " " for c in (t or "").lower()).split(" ") if x]
