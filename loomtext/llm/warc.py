@@ -1,11 +1,19 @@
 """WARC derivatives: a metadata and a plain-text conversion record for every response record.
 
-Both refer to the response by WARC-Refers-To, keep its target, date and HTTP headers, and carry the digest of the source's
+Both refer to the response by WARC-Refers-To, keep its target, date, HTTP and WARC headers, and carry the digest of the source's
 payload beside the digest of their own block. Record ids are derived from the source's id and the
 type, so a rerun gives the same records.
 
-Response rows: record_id, target_uri, date, http_headers (status line and header lines), payload (text). Result rows:
-the columns of RECORD. Edge cases: a null or empty payload gives an empty conversion block and its digest; null headers
+Response rows: record_id, target_uri, date, http_headers (status line and header lines), payload (text), and, if the source
+is a WARC file, body (the payload's bytes) and warc_headers (its header lines, digests included). Where body isn't null it is
+hashed and decoded: the digest is that of the bytes without the transfer coding, before the content coding is undone; the text
+follows Content-Encoding (gzip, deflate, br, zstd) and the charset of byte order mark, Content-Type, meta or XML declaration, else
+UTF-8 or windows-1252. Where it is null, payload is the text and its UTF-8 form is hashed.
+
+A body that isn't text (its media type, or zero bytes where none is given) or can't be decoded has a metadata record and no
+conversion. Text that isn't markup (text/plain, JSON) is its own conversion.
+
+Result rows: the columns of RECORD. Edge cases: a null or empty payload gives an empty conversion block and its digest; null headers
 are no headers; a null target stays null, links are then kept as written; malformed HTML is read as far as it goes: an
 unclosed script, style or comment runs to the end of the text, as in HTML; of a head only the title, scripts, styles, closed
 templates and closed noscripts are left out, whether it is closed or not; an unclosed template or noscript keeps its text; a "<" without an end is text; long payloads are one block; repeated rows give
@@ -19,6 +27,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -28,7 +37,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import by_bytes
 
-RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, source_headers string, length long, block string"
+RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, source_headers string, source_warc_headers string, length long, block string"
 
 _DROP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<noscript(?=[\s/>])(?:(?!<noscript[\s/>]|</head[\s/>]|<body[\s/>]).)*?</noscript\s*>", re.S | re.I)
 _TEMPLATE = re.compile(r"<template(?=[\s/>])(?:(?!<template[\s/>]).)*?</template\s*>", re.S | re.I)
@@ -38,6 +47,14 @@ _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_META = re.compile(rb"<meta[^>]*?\bcharset\s*=\s*[\"']?\s*([\w:.-]+)", re.I)
+_XML = re.compile(rb"\A\s*<\?xml[^>]*?\bencoding\s*=\s*[\"']([\w:.-]+)", re.I)
+_CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
+_MARKUP = re.compile(r"(?:text|application)/(?:html|xml)|[\w.-]+/[\w.+-]+\+xml")
+_TEXTUAL = re.compile(r"text/.+|application/(?:json|javascript|ecmascript|x-javascript|x-ndjson|warc-fields)|[\w.-]+/[\w.+-]+\+json")
+#: Labels as browsers read them, and codecs that no page means.
+_LABELS = dict.fromkeys(("iso-8859-1", "iso8859-1", "iso_8859-1", "latin1", "latin-1", "l1", "ascii", "us-ascii"), "cp1252") | dict.fromkeys(("gb2312", "gbk", "x-gbk"), "gb18030") | dict.fromkeys(("shift_jis", "shift-jis", "sjis", "x-sjis", "windows-31j"), "cp932") | dict.fromkeys(("euc-kr", "ks_c_5601-1987"), "cp949") | {"big5": "big5hkscs", "iso-8859-9": "cp1254", "tis-620": "cp874", "windows-874": "cp874", "utf-16": "utf-16-le"}
+_NO_CHARSET = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "unicode-escape", "raw-unicode-escape", "utf-7", "utf7", "utf_7"}
 _CHARSET = re.compile(r"<meta[^>]*\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -56,7 +73,122 @@ def plain_text(page: str) -> str:
     return "\n".join(x for line in html.unescape(text).split("\n") if (x := " ".join(line.split())))
 
 
-def fields(page: str, target: str | None, headers: str | None, source: str) -> str:
+def header(headers: str | None, name: str) -> str:
+    """The value of a header, of repeated ones joined by commas; empty if there is none."""
+    lines = (x.partition(":") for x in (headers or "").split("\n"))
+    return ", ".join(v.strip() for k, _, v in lines if k.strip().lower() == name)
+
+
+def media_type(http: str | None, own: str | None = None) -> str:
+    """The media type of a payload, in lower case: the record's own where the block isn't HTTP; empty if none is given."""
+    got = header(http, "content-type")
+    if not got and http is None:
+        got = header(own, "content-type")
+    got = re.split("[;,]", got)[0].strip().lower()
+    return got if "/" in got else ""
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked message; data itself if it isn't one, as when a crawler stored it decoded."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0 and re.fullmatch(rb"[0-9a-fA-F]{1,15}", line := data[at:end].split(b";")[0].strip()):
+        size = int(line, 16)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 4 + size
+        if not size or at >= len(data):  # the last chunk, or a truncated one
+            return b"".join(out)
+        if data[at - 2 : at] != b"\r\n":
+            break
+    return data
+
+
+def _inflated(data: bytes, coding: str) -> bytes | None:
+    """The body without one content coding, as far as it goes; as it is if a crawler removed the coding; None if it can't be read."""
+    if coding in ("", "identity", "none", "utf-8") or not data:
+        return data
+    if coding in ("gzip", "x-gzip", "deflate"):
+        out, rest = [], data
+        while rest:
+            zipped = rest[:2] == b"\x1f\x8b"
+            if coding != "deflate" and not zipped:
+                break
+            for bits in (31,) if zipped else (15, -15):
+                z, got, tail = zlib.decompressobj(bits), bytearray(), b""
+                try:
+                    for i in range(0, len(rest), 1 << 12):
+                        got += z.decompress(rest[i : i + (1 << 12)])
+                        if z.eof:
+                            tail = z.unused_data + rest[i + (1 << 12) :]
+                            break
+                    break
+                except zlib.error:
+                    if bits < 0:  # without a header any bytes may begin like a stream
+                        got.clear()
+                    elif got:
+                        break
+            if got or z.eof:
+                out.append(bytes(got))
+            rest = tail if zipped else b""
+        if out:
+            return b"".join(out)
+    elif coding in ("br", "zstd"):
+        out, stream = [], pa.CompressedInputStream(pa.BufferReader(data), "brotli" if coding == "br" else "zstd")
+        try:
+            while part := stream.read(1 << 16):
+                out.append(part)
+        except OSError:
+            pass
+        if out:
+            return b"".join(out)
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return None
+    return None if b"\0" in data else data
+
+
+def text_of(body: bytes, http: str | None, own: str | None = None) -> str | None:
+    """The body's text; None if it isn't text or can't be decoded."""
+    media = media_type(http, own)
+    if media and not _MARKUP.fullmatch(media) and not _TEXTUAL.fullmatch(media):
+        return None
+    for coding in reversed(header(http, "content-encoding").lower().split(",")):
+        if (body := _inflated(body, coding.strip())) is None:
+            return None
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    m = re.search(r"charset\s*=\s*[\"']?\s*([\w:.-]+)", header(http if http is not None else own, "content-type"), re.I)
+    names = [m[1].lower()] if m else []
+    if not media or _MARKUP.fullmatch(media):
+        for pattern in (_XML, _META):
+            if m := pattern.search(body[:1024] if pattern is _XML else body[:4096]):
+                name = m[1].decode().lower()
+                names.append("utf-8" if name.startswith("utf-16") else name)  # it was read as ASCII
+    for name in names:
+        if name not in _NO_CHARSET:
+            try:
+                return body.decode(_LABELS.get(name, name), "replace")
+            except (LookupError, ValueError):
+                pass
+    if not media and b"\0" in body:
+        return None
+    try:
+        return body.decode()
+    except UnicodeDecodeError:
+        return body.decode("cp1252", "replace")
+
+
+def conversion(text: str, media: str) -> str:
+    """Plain text of a payload: without tags if it is markup (or of no known type), else itself."""
+    if media and not _MARKUP.fullmatch(media):
+        return text
+    if media.endswith("xml") and media != "application/xhtml+xml":
+        text = _CDATA.sub(lambda m: html.escape(m[1]), text)
+    return plain_text(text)
+
+
+def fields(page: str, target: str | None, headers: str | None, source: str, own: str | None = None) -> str:
     """The block of the metadata record: lines of application/warc-fields."""
     out = []
     for name, pattern in (("title", _TITLE), ("language", _LANG), ("charset", _CHARSET)):
@@ -66,6 +198,7 @@ def fields(page: str, target: str | None, headers: str | None, source: str) -> s
     if lines and ":" not in lines[0].split(" ")[0]:
         out.append(f"http-status: {lines.pop(0)}")
     out += [f"http-header: {x}" for x in lines]
+    out += [f"warc-header: {x}" for x in (own or "").split("\n") if x.strip()]
     out.append(f"source-payload-digest: {source}")
     for m in _HREF.finditer(page):
         link = html.unescape(m[1] or m[2] or m[3] or "").strip()
@@ -80,15 +213,24 @@ def _derive(keep: list[str]):
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches):
-        for b in by_bytes(batches, "payload"):
+        for b in by_bytes(batches, "_body"):
             rows, at = [], []
-            for i, r in enumerate(b.select(["record_id", "target_uri", "date", "http_headers", "payload"]).to_pylist()):
-                page = r["payload"] or ""
-                source = digest(page.encode())
-                for kind, media, block in (("metadata", "application/warc-fields", fields(page, r["target_uri"], r["http_headers"], source)), ("conversion", "text/plain; charset=UTF-8", plain_text(page))):
+            for i, r in enumerate(b.select(["record_id", "target_uri", "date", "http_headers", "_own", "_raw", "_body"]).to_pylist()):
+                body, http, warc = r["_body"] or b"", r["http_headers"], r["_own"]
+                if r["_raw"]:
+                    body = _unchunked(body) if "chunked" in header(http, "transfer-encoding").lower() else body
+                    page = text_of(body, http, warc)
+                else:
+                    page = body.decode("utf-8", "replace")
+                source, media = digest(body), media_type(http, warc)
+                markup = page if page and (not media or _MARKUP.fullmatch(media)) else ""
+                blocks = [("metadata", "application/warc-fields", fields(markup, r["target_uri"], http, source, warc))]
+                if page is not None:
+                    blocks.append(("conversion", "text/plain; charset=UTF-8", conversion(page, media)))
+                for kind, form, block in blocks:
                     raw = block.encode()
                     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['record_id']}#{kind}")
-                    rows.append((kind, f"<urn:uuid:{own}>", r["record_id"], r["target_uri"], r["date"], media, digest(raw), source, r["http_headers"], len(raw), block))
+                    rows.append((kind, f"<urn:uuid:{own}>", r["record_id"], r["target_uri"], r["date"], form, digest(raw), source, http, warc, len(raw), block))
                     at.append(i)
             kept = b.select(keep).take(pa.array(at, pa.int64()))
             kinds = [pa.int64() if n == "length" else pa.string() for n in names]
@@ -98,12 +240,15 @@ def _derive(keep: list[str]):
 
 
 def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Two records per response, with the columns `keep` (none of which may have a record column's name) before them."""
+    """The records of each response, with the columns `keep` (none of which may have a record column's name) before them."""
     names = {x.split()[0] for x in RECORD.split(", ")}
     if names & set(keep):
         raise ValueError(f"columns clash with a record's: {sorted(names & set(keep))}")
-    own = ["record_id", "target_uri", "date", "http_headers", "payload"]
-    rows = responses.select(*keep, *(c for c in own))
+    have = set(responses.columns)
+    text = F.col("payload").cast("binary") if "payload" in have else F.lit(None).cast("binary")
+    body = F.col("body") if "body" in have else F.lit(None).cast("binary")
+    warc = F.col("warc_headers") if "warc_headers" in have else F.lit(None).cast("string")
+    rows = responses.select(*keep, "record_id", "target_uri", "date", "http_headers", warc.alias("_own"), body.isNotNull().alias("_raw"), F.coalesce(body, text).alias("_body"))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(_derive(list(keep)), ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), RECORD]))
 
@@ -123,8 +268,16 @@ def serialize(record: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + raw + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record; a truncated last record ends the file."""
+def _lines(data: bytes) -> str:
+    """Header lines as text: UTF-8, or Latin-1 where they aren't."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def records(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(header lines, block) of each record; a truncated last record ends the file."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -132,27 +285,41 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.find(b"\r\n\r\n", start)
         if end < 0:
             return
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head.get("content-length", "0") or 0)
+        lines = _lines(data[start:end]).partition("\r\n")[2]
+        size = int(header(lines, "content-length").split(",")[-1] or 0)
         if len(data) < end + 4 + size:
             return
-        yield head, data[end + 4 : end + 4 + size]
+        yield lines, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
 
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record; a truncated last record ends the file."""
+    for lines, block in records(data):
+        yield {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.split("\r\n"))}, block
+
+
+def _response(lines: str, block: bytes) -> tuple:
+    """A response row. A block that isn't HTTP is all body; payload is the text of the body, null if it has none."""
+    if header(lines, "content-type").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+        m = re.search(rb"\r?\n\r?\n", block)
+        http, body = (_lines(block[: m.start()]), block[m.end() :]) if m else (_lines(block), b"")
+    else:
+        http, body = None, block
+    plain = _unchunked(body) if "chunked" in header(http, "transfer-encoding").lower() else body
+    ids = (header(lines, k) or None for k in ("warc-record-id", "warc-target-uri", "warc-date"))
+    return (*ids, http, text_of(plain, http, lines), lines, body)
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response rows of the WARC files (gzip or not) at `path`, any store Spark reads; a file is one row of work."""
+    kinds = {"record_id": "string", "target_uri": "string", "date": "string", "http_headers": "string", "payload": "string", "warc_headers": "string", "body": "binary"}
 
     def run(batches):
         for b in batches:
             for data in b.column("content").to_pylist():
-                rows = []
-                for head, block in parse(data):
-                    if head.get("warc-type") == "response":
-                        top, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), top.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(5)], names=["record_id", "target_uri", "date", "http_headers", "payload"])
+                rows = [_response(lines, block) for lines, block in records(data) if header(lines, "warc-type").lower() == "response"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.binary() if k == "binary" else pa.string()) for j, k in enumerate(kinds.values())], names=list(kinds))
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, target_uri string, date string, http_headers string, payload string")
+    return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))

@@ -156,6 +156,49 @@ def test_warc_unclosed_elements_keep_their_text():
         assert warc.plain_text(page) == want, page
 
 
+def test_warc_files_keep_bytes_headers_and_digests(spark, tmp_path):
+    import gzip
+    import zlib
+
+    import pyarrow as pa
+
+    latin, page = "<p>caf\u00e9".encode("latin-1"), "<p>gr\u00fc\u00df".encode()
+    chunked = b"3\r\n<p>\r\n2;x=y\r\nhi\r\n0\r\n\r\n"
+    br = pa.compress(page, "brotli", asbytes=True)
+    html = "Content-Type: text/html"
+    cases = {  # name: HTTP headers, body as stored, digested bytes, text
+        "latin": (html + "; charset=ISO-8859-1", latin, latin, "caf\u00e9"),
+        "meta": (html, b"<meta charset=windows-1251>\xcf", b"<meta charset=windows-1251>\xcf", "\u041f"),
+        "none": (html, latin, latin, "caf\u00e9"),
+        "gzip": (html + "\r\nContent-Encoding: gzip", *[gzip.compress(page[:4]) + gzip.compress(page[4:])] * 2, "gr\u00fc\u00df"),
+        "deflate": (html + "\r\nContent-Encoding: deflate", *[zlib.compress(page)[2:-4]] * 2, "gr\u00fc\u00df"),
+        "br": (html + "\r\nContent-Encoding: br", br, br, "gr\u00fc\u00df"),
+        "removed": (html + "\r\nContent-Encoding: gzip", page, page, "gr\u00fc\u00df"),
+        "chunked": (html + "\r\nTransfer-Encoding: chunked", chunked, b"<p>hi", "hi"),
+        "plain": ("Content-Type: text/plain", b"a <b and c> d\r\n", b"a <b and c> d\r\n", "a <b and c> d\r\n"),
+        "xml": ("Content-Type: application/rss+xml", b"<d><![CDATA[x < y]]></d>", b"<d><![CDATA[x < y]]></d>", "x < y"),
+        "png": ("Content-Type: image/png", b"\x89PNG\0\xff", b"\x89PNG\0\xff", None),
+        "untyped": ("Server: x", b"\x89PNG\0\xff", b"\x89PNG\0\xff", None),
+        "lost": (html + "\r\nContent-Encoding: br", b"\xff\xfe\xfd", b"\xff\xfe\xfd", None),
+    }
+    raw, own = b"", {}
+    for name, (head, body, digested, _) in cases.items():
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body
+        own[name] = f"WARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nWARC-Payload-Digest: {warc.digest(digested)}\r\nWARC-Block-Digest: {warc.digest(block)}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}"
+        raw += b"WARC/1.1\r\n" + own[name].encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    dns = "WARC-Type: response\r\nWARC-Record-ID: <dns>\r\nContent-Type: text/dns\r\nContent-Length: 5"
+    raw += f"WARC/1.1\r\n{dns}\r\n\r\na. <b\r\n\r\n".encode()
+    cases["dns"], own["dns"] = ("", b"a. <b", b"a. <b", "a. <b"), dns
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(raw))
+    resp = warc.read_responses(spark, str(tmp_path / "x.warc.gz"))
+    assert {r.record_id[1:-1]: (r.warc_headers, bytes(r.body)) for r in resp.collect()} == {n: (own[n], c[1]) for n, c in cases.items()}
+    got = warc.derivatives(resp).collect()
+    assert all(r.source_digest == warc.digest(cases[r.refers_to[1:-1]][2]) and r.source_warc_headers == own[r.refers_to[1:-1]] for r in got)
+    assert {r.refers_to[1:-1]: r.block for r in got if r.warc_type == "conversion"} == {n: c[3] for n, c in cases.items() if c[3] is not None}
+    meta = {r.refers_to[1:-1]: r.block for r in got if r.warc_type == "metadata"}
+    assert set(meta) == set(cases) and all(f"warc-header: {x}\r\n" in meta[n] for n in cases for x in own[n].split("\r\n"))
+
+
 # 3
 def shingle_set(t):
     w = [x for x in "".join(c if c not in "\t\n\v\f\r" else " " for c in (t or "").lower()).split(" ") if x]
