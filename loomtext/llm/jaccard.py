@@ -83,7 +83,9 @@ def _signatures(batches):
         n = np.array([len(s) for s, _, _ in keys], dtype=np.int64)
         lab = labels_of(g, at)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, lab.size + 1, TREES, dtype=np.int32)), pa.array(lab.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(n), lists], names=["doc_id", "k1", "k2", "n", "labels"])
+        b = b.drop_columns(["text"])
+        own = [pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(n), lists]
+        yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "k1", "k2", "n", "labels"])
 
 
 def _sets(batches):
@@ -143,20 +145,12 @@ def _verify(d: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
-    """doc_id, class_id, n_links, component_id, kept, for pairs with Jaccard similarity >= threshold."""
+def _links(got: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, recall: float, tile: int) -> DataFrame:
+    """(cls, root, links) of linked classes. got: (rep, k1, k2, n, labels) of the texts (rep, text); classes: (cls, rep,
+    k1, k2, mult), where cls is a class's own number and rep, with the set key, finds its text."""
     d = depth(threshold, recall)
-    kind = dict(docs.dtypes)["doc_id"]
-    nulls = docs.where(F.col("doc_id").isNull()).select("doc_id")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = texts.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n long, labels array<long>")
-    got, _ = materialize(got, "sets")
-    docs1 = got.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n")).alias("k")).select("doc_id", "k.k1", "k.k2", "k.n")
-    keyed = docs1.where("n > 0")
     # labels follow from the set key; they are fetched for the representative alone
-    classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.count("*").alias("mult"))
-    lab = got.where("n > 0").select(F.col("doc_id").alias("cls"), "k1", "k2", "n", "labels")
-    reps = classes.join(lab, ["cls", "k1", "k2"]).groupBy("cls", "k1", "k2", "mult", "n").agg(F.first("labels").alias("labels"))
+    reps = classes.join(got.where("n > 0"), ["rep", "k1", "k2"]).groupBy("cls", "rep", "k1", "k2", "mult", "n").agg(F.first("labels").alias("labels"))
     reps, _ = materialize(reps, "classes")
 
     nodes = reps.select("cls", F.posexplode("labels").alias("tree", "label"))
@@ -173,13 +167,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = members.join(weight, "grp")
     rows = rows.withColumn("own", F.when(F.col("tiles") > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(bundles))))
     rows = rows.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("cls"), F.col("tiles"))).otherwise(0).cast("int"))
-    text = texts.withColumnRenamed("doc_id", "cls")
-    full = rows.select("cls", "k1", "k2", "mult", "labels", "own", "tile", "tiles").join(text, "cls")
+    full = rows.select("cls", "rep", "k1", "k2", "mult", "labels", "own", "tile", "tiles").join(texts, "rep").drop("rep")
     full = full.mapInArrow(_sets, "cls long, k1 long, k2 long, mult long, labels array<long>, own long, tile int, tiles long, shingles binary")
     pairs = full.drop("k1", "k2").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
     pairs = pairs.select("own", F.least("tile", "x").alias("a"), F.greatest("tile", "x").alias("b"), "cls", "mult", "tile", "labels", "shingles")
     found = pairs.groupBy("own", "a", "b").applyInArrow(_verify(min(d, depth(threshold, RECALL_INSIDE)), threshold), "cls long, root long, links long")
     found, _ = materialize(found, "links")
+    return found
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """doc_id, class_id, n_links, component_id, kept, for pairs with Jaccard similarity >= threshold."""
+    kind = dict(docs.dtypes)["doc_id"]
+    nulls = docs.where(F.col("doc_id").isNull()).select("doc_id")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
+    got = texts.mapInArrow(_signatures, "rep long, k1 long, k2 long, n long, labels array<long>")
+    got, _ = materialize(got, "sets")
+    docs1 = got.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("k1", "k2", "n")).alias("k")).select("doc_id", "k.k1", "k.k2", "k.n")
+    keyed = docs1.where("n > 0")
+    classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.count("*").alias("mult"))
+    found = _links(got, classes.withColumn("rep", F.col("cls")), texts, threshold, recall, tile)
 
     comps = connected_components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -193,12 +200,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one per group: that with the smallest doc_id; of rows that repeat it, one.
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """The rows of docs that stay, one per group of rows with similar texts: that with the smallest doc_id, if it has any.
 
-    Rows without an id stay. docs is read more than once, so it should be a stored table.
+    Rows are compared by their own texts, whether they share a doc_id or have none. Of rows without words, which
+    resemble nothing, those that repeat both doc_id and text are one; without an id all stay. docs is read more than
+    once, so it should be a stored table.
     """
-    keep = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    got = docs.join(keep, docs.doc_id == keep._id).drop("_id")
-    got = got.withColumn("_row", F.struct(*docs.columns)).groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return got.unionByName(docs.where(F.col("doc_id").isNull()))
+    i, h = F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit("")))
+    keys = [i.alias("_id"), h.alias("_hash"), F.coalesce(i, F.xxhash64("text")).alias("rep")]
+    texts = docs.select(keys[2], "text")
+    got = docs.select(*keys, "text").mapInArrow(_signatures, "_id long, _hash string, rep long, k1 long, k2 long, n long, labels array<long>")
+    got, _ = materialize(got, "sets")
+    row = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash", "rep")
+    classes = got.where("n > 0").groupBy("k1", "k2").agg(F.min("rep").alias("rep"), F.min(row).alias("row"), F.count("*").alias("mult"))
+    classes, _ = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "numbered")
+    found = _links(got.drop("_id", "_hash"), classes.drop("row"), texts, threshold, recall, tile)
+    comps = connected_components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cls")
+    keep = classes.join(comps, "cls", "left").groupBy(F.coalesce("component", "cls")).agg(F.min("row").alias("row")).select("row._id", "row._hash", "row.rep")
+    blank = got.where("n = 0").select("_id", "_hash", "rep").distinct()
+    keep = keep.union(blank.where("_id is not null")).withColumnRenamed("_id", "_kept")
+    # a row's own columns are compared by value, so copies of one row meet in one task as one row each
+    once = docs.select(*keys, F.struct(*docs.columns).alias("_row")).groupBy("_id", "_hash", "rep").agg(F.min("_row").alias("_row"))
+    out = once.join(keep, ["rep", "_hash"]).where(F.col("_id").eqNullSafe(F.col("_kept"))).select("_row.*")
+    none = docs.where(F.col("doc_id").isNull()).withColumn("_hash", h).join(blank.where("_id is null").select("_hash"), "_hash", "left_semi")
+    return out.unionByName(none.select(*docs.columns))

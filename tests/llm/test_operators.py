@@ -246,6 +246,16 @@ def test_jaccard_groups_and_rest(spark, docs):
     assert (jaccard.depth(), jaccard.depth(recall=0.999), jaccard.depth(recall=jaccard.RECALL_INSIDE)) == (5, 6, 3)
 
 
+def test_deduplicate_compares_rows(spark, tmp_path):
+    a, b, c, d = (words(60, 200 + i) for i in range(4))
+    near = " ".join([*a.split()[:-1], "changed"])
+    data = [(1, a, "x"), (2, b, "x"), (2, c, "x"), (2, near, "x"), (2, c, "x"), (3, b, "x"), (None, d, "x"), (None, d, "y"), (None, near, "x"), (None, None, "x"), (None, None, "x"), (4, "", "x"), (4, "", "x"), (4, a, "x")]
+    spark.createDataFrame(data, "doc_id int, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = jaccard.deduplicate(spark.read.parquet(str(tmp_path / "d")))
+    want = [(1, a, "x"), (2, b, "x"), (2, c, "x"), (None, d, "x"), (None, None, "x"), (None, None, "x"), (4, "", "x")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 # 4, 9
 def test_bpe_and_counts_match_the_library(spark, docs):
     from tokenizers import Tokenizer
