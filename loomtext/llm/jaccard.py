@@ -4,8 +4,9 @@
    to four words has one shingle). Texts with one set form a class; its representative is the smallest id.
 2. Each class has one label per tree: LEVELS independent MinHashes of BITS bits, read as a path in a prefix trie; sorted
    labels are the trie. The prefix in use has 50 bits, so unrelated texts meet by chance in about one of 10**15 comparisons
-   and components don't run together as the corpus grows. Matches start at whole labels and are shortened level by level until a pair at the
-   threshold is met in some tree with the target recall: 1 - (1 - s**depth)**trees >= recall.
+   and components don't run together as the corpus grows. The depth of matches is a constant, the longest at which a pair at the
+   threshold meets in some tree with the target recall, 1 - (1 - s**depth)**trees >= recall: banding by prefix, no descent that
+   adapts to what was found. The defaults use five levels of six; a recall of 0.999 uses the sixth.
 3. Classes under one trie node are linked to the node's smallest; connected components of these links hold all pairs
    that meet in any tree. A component too large for one task is dealt to tiles, and every pair of tiles is a task.
 4. A task compares labels again, with prefixes shortened further, so only pairs that meet in a tree are candidates, and
