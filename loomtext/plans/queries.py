@@ -17,7 +17,7 @@ MERGES = [(a.encode(), b.encode()) for a, b in PAIRS]
 SPECIALS = [T.END, T.END * 2]
 VOCAB = dict(enumerate([bytes([i]) for i in range(256)] + [s.encode() for s in SPECIALS] + [a + b for a, b in MERGES]))
 HEXES = [(a.hex().upper(), b.hex().upper()) for a, b in MERGES]
-ROUNDS, TOP = 4, 10
+ROUNDS, TOP, VOCAB_SIZE = 4, 10, 500
 assert merges.in_order(MERGES)
 
 REGISTRY: dict[str, tuple] = {}
@@ -165,6 +165,13 @@ def bpe_vocab_k(spark, d):
     return spark.createDataFrame([(i, t.hex().upper()) for i, t in vocab.items()], "token_id int, token string")
 
 
+@query()
+def bpe_vocab_500(spark, d):
+    """A vocabulary of the size the reference's test trains, 243 merges: more rounds than SQL can be unrolled to."""
+    vocab, _ = training.train_bpe(read(spark, d, "documents"), VOCAB_SIZE, [T.END])
+    return spark.createDataFrame([(i, t.hex().upper()) for i, t in vocab.items()], "token_id int, token string")
+
+
 @query(f"SELECT replace(word, '<20><74>', '<2074>') AS word, n FROM {_SQL_WORDS}")
 def merge_step(spark, d):
     return training.merge(training.words(training.pretoken_counts(read(spark, d, "documents"))), "20", "74")

@@ -70,6 +70,20 @@ def test_incremental_training_is_an_exact_recount(seed):
     assert merges.train(counts, 40) == literal_train(counts, 40)
 
 
+def test_training_to_a_vocabulary_of_500(spark, tmp_path):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(60)) for _ in range(8)]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = {}
+    for w in (w for t in texts for w in regex.findall(T.PATTERN, t)):
+        counts[w.encode()] = counts.get(w.encode(), 0) + 1
+    want = literal_train(counts, 243)
+    got = {x.token_id: bytes.fromhex(x.token) for x in Q.REGISTRY["bpe_vocab_500"][0](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([bytes([i]) for i in range(256)] + [T.END.encode()] + [a + b for a, b in want])) and len(got) == 500
+    rows = spark.createDataFrame([(w.decode(), n) for w, n in counts.items()], "pretoken string, n long").coalesce(1)
+    assert training.train_merges(rows, 243, "iterative") == want
+
+
 def test_training_strategies_agree(spark):
     docs = spark.createDataFrame([("abababab abab xy",), ("the cat ate the hat",), (None,)], "text string")
     counts = training.pretoken_counts(docs)
