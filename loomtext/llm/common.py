@@ -1,48 +1,51 @@
 """Shared plumbing: durable intermediate tables, connected components, Arrow batching."""
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.sources.files import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, else one set here.
 
-    A temporary folder is used only on a local master; on a cluster without the setting the
-    warehouse folder, which is shared by definition, takes its place.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            got = tempfile.mkdtemp(prefix="loomtext-")
-        else:
-            got = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomtext"
-        spark.sparkContext.setCheckpointDir(got)
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines see, removed when the application ends."""
+    return scratch(spark, f"loomtext-{name}")
 
 
-def _fs(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
-    fs, jpath = _fs(spark, path)
-    fs.deleteOnExit(jpath)
-    return path
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one struct: beside it, any name can be used for a column of one's own."""
+    return F.struct(*map(column, df.columns))
+
+
+def has_map(kind) -> bool:
+    """Whether values of this type hold maps, which can't be ordered."""
+    return kind.typeName() == "map" or any(has_map(f.dataType) for f in getattr(kind, "fields", ())) or (kind.typeName() == "array" and has_map(kind.elementType))
+
+
+def smallest(df: DataFrame, row: str = "row") -> Column:
+    """Of rows in a struct column the least, by their JSON form where a map forbids comparing them."""
+    return F.min_by(row, F.to_json(row)) if has_map(df.schema[row].dataType) else F.min(row)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, jpath = _fs(spark, path)
-    fs.delete(jpath, True)
+def integer_ids(df: DataFrame, name: str) -> None:
+    """Raise TypeError at the call, not inside a task, if ids aren't whole numbers."""
+    if dict(df.dtypes)[name] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} must be a column of whole numbers, not {dict(df.dtypes)[name]}")
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -63,7 +66,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Alternating large-star and small-star rounds. Each round is two hash aggregations and
     two joins, so no node's neighbours are gathered in one task: a hub's minimum is
-    pre-aggregated map-side, its edges go through a join that adaptive execution can split.
+    pre-aggregated map-side, and the minima are a table of their own, so a join with them is a broadcast where
+    that table is small and else a sort-merge join of two plain exchanges, whose hot partitions adaptive execution splits.
     Self-loops, null ends and repeated edges are ignored; no edges give an empty table.
     """
     spark = edges.sparkSession
@@ -74,16 +78,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     seen = _fingerprint(e)
     while seen[0]:
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low, p0 = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         big, p1 = materialize(big, "cc")
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        low, p2 = materialize(big.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        e, p2 = materialize(small, "cc")
-        remove(spark, path)
-        remove(spark, p1)
-        path, now = p2, _fingerprint(e)
+        e, p3 = materialize(small, "cc")
+        remove(spark, path, p0, p1, p2)
+        path, now = p3, _fingerprint(e)
         if now == seen:
             break
         seen = now

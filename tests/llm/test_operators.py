@@ -405,3 +405,53 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, d)
     want = sorted((r.doc_id, len(bpe.codec(PATH).encode(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in docs.collect())
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in out.collect()) == want
+
+
+def test_words_are_hashed_alike_in_pieces(monkeypatch):
+    r = random.Random(11)
+    texts = ["".join(r.choices("ab é\n", k=r.randint(0, 300))) for _ in range(40)] + [None, "x" * 5000, " ".join(["y" * 700] * 5), ""]
+    want = {kind: hashing.words(texts, kind, prefixes=(4, 6)) for kind in ("space", "alnum")}
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    for kind, (h, at, size, cut) in want.items():
+        h2, at2, size2, cut2 = hashing.words(texts, kind, prefixes=(4, 6))
+        assert (h == h2).all() and (at == at2).all() and (size == size2).all()
+        assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(cut, cut2, strict=True))
+
+
+def test_prefixes_are_shortened_text_by_text():
+    free = np.ones((1, jaccard.TREES, 3), dtype=int)
+    crowded = free.copy()
+    crowded[0, :6, 1:] = 5000  # from the second level on, six trees are crowded
+    a, b = jaccard.shorten(np.concatenate([free, crowded]))
+    miss = lambda d: np.prod(1 - jaccard.THRESHOLD ** d.astype(float))
+    assert 1 - miss(a) >= jaccard.RECALL and 1 - miss(b) >= jaccard.RECALL
+    assert sorted(a) == [5] * 21 + [6] * 3 and (b[:6] == 6).all() and set(b[6:]) == {4, 5}
+    assert (jaccard.shorten(free, recall=0.999) == 6).all() and (jaccard.shorten(free, recall=1 - 1e-15) == 4).all()
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_forest_nodes_reach_across_tasks(spark, parts):
+    """Sizes, leads and depths against a plain count of prefixes, wherever the sorted labels are cut."""
+    rng = np.random.default_rng(3)
+    low, n = jaccard.shortest(), 300
+    top = rng.integers(0, 6, (n, jaccard.TREES))  # few nodes, some with most of the classes
+    top[:200, :8] = 3
+    lab = top.astype(np.int64)
+    for k in range(1, jaccard.LEVELS):
+        lab = lab << jaccard.BITS | (rng.integers(0, 2, lab.shape) if k > 3 else 0)
+    ids = rng.permutation(n) * 7
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, lab, strict=True)], "cls long, labels array<long>")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = {(r.cls, r.tree): r for r in jaccard.forest(df).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    size = np.empty((n, jaccard.TREES, jaccard.LEVELS - low + 1), dtype=int)
+    lead = size.copy()
+    for k, d in enumerate(range(jaccard.LEVELS, low - 1, -1)):
+        p = lab >> jaccard.BITS * (jaccard.LEVELS - d)
+        for t in range(jaccard.TREES):
+            same = p[:, t][:, None] == p[:, t][None, :]
+            size[:, t, k], lead[:, t, k] = same.sum(axis=1), np.where(same, ids[None, :], 10**9).min(axis=1)
+    depth = jaccard.shorten(size)
+    want = {(int(ids[i]), t): (lead[i, t].tolist(), int(depth[i, t])) for i in range(n) for t in range(jaccard.TREES) if size[i, t, -1] > 1}
+    assert {k: (list(r.leads), r.depth) for k, r in got.items()} == want
+    assert len({tuple(x) for x in depth}) > 1
