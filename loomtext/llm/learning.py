@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import hashing
+from loomtext.llm.common import materialize, remove
 
 #: Words fall in 2**BITS buckets, taken from the high bits of their hash.
 BITS = 20
@@ -16,22 +17,44 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
-    """Up to `bound` labelled documents outside the held-out fold, in hash order of the id.
+#: Texts of a sample have so many bytes together at most: what the driver holds, whatever their number and lengths.
+SAMPLE_BYTES = 64 << 20
 
-    The picked ids number at most `bound`, so broadcasting them is safe at any size. Labels other
-    than 0 and 1, null ids and contradicting repeats are left out.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, most: int = SAMPLE_BYTES) -> list[tuple]:
+    """(doc_id, text, n_chars, label) of up to `bound` labelled documents outside the held-out fold, with texts of up to `most` bytes
+    together, in hash order of the id; the first text that passes the bound ends the sample.
+
+    Labels other than 0 and 1, null ids and contradicting repeats are left out. Rows that repeat an id are one, that of the smallest text.
+    The picked ids number at most `bound`, so broadcasting them is safe at any size; their rows are stored, then sized, then collected.
     """
+    spark, by = docs.sparkSession, (F.xxhash64("id"), "id")
     pick = (
         labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.min(target).alias("label"), F.max(target).alias("_other"))
-        .where("label = _other")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .select(F.col("doc_id").alias("id"), F.col(target).alias("y"))
+        .groupBy("id")
+        .agg(F.min("y").alias("label"), F.max("y").alias("other"))
+        .where("label = other")
+        .orderBy(*by)
         .limit(bound)
-        .select(F.col("doc_id").alias("_id"), "label")
+        .select("id", "label")
     )
-    return docs.join(F.broadcast(pick), docs.doc_id == pick._id).drop("_id")
+    n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("text", n.alias("n")).alias("row")).join(F.broadcast(pick), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("row").alias("row"))
+    rows, path = materialize(rows.select("id", "row.text", "row.n", "label", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("size")), "sample")
+    total, used = 0, []
+    for r in rows.orderBy(*by).select("id", "size").collect():
+        total += r.size
+        if total > most:
+            break
+        used.append(r.id)
+    got = rows.select("id", "text", "n", "label")
+    if len(used) < rows.count():
+        got = got.join(F.broadcast(spark.createDataFrame([(i,) for i in used], rows.select("id").schema)), "id")
+    got = sorted((tuple(r) for r in got.collect()), key=lambda r: r[0])
+    remove(spark, path)
+    return got
 
 
 def word_counts(texts: list[str | None], kind: str, keep: np.ndarray | None = None, prefixes: tuple[int, ...] = ()):

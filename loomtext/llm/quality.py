@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import learning
 from loomtext.llm.common import by_bytes
 
-#: At most so many labelled rows are fitted on, whatever the size of the input.
+#: At most so many labelled rows are fitted on, whatever the size of the input; learning.SAMPLE_BYTES bounds their texts.
 SAMPLE = 12_000
 THRESHOLD = 0.3
 
@@ -145,11 +145,8 @@ def fit(rows: list[tuple[str | None, int | None, int]], factors: int = 8, epochs
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
-    """Fit on at most `sample` labelled rows outside the held-out fold; the same rows give the same model."""
-    size = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    rows = learning.labelled_sample(docs, labels, "quality", sample).select("doc_id", "text", size.cast("long").alias("n"), "label").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([(r[1], r[2], r[3]) for r in rows])
+    """Fit on at most `sample` labelled rows outside the held-out fold, of at most learning.SAMPLE_BYTES; the same rows give the same model."""
+    return fit([r[1:] for r in learning.labelled_sample(docs, labels, "quality", sample)])
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
