@@ -3,9 +3,10 @@
 P(grade >= k) = sigmoid(w.x - b_k), with one weight vector w for all thresholds b_1 <= b_2 <= b_3. The
 expected severity is the sum of the three probabilities, from 0 to 3.
 
-The labels say toxic or not. Grades within the toxic rows come from the fit itself: a first pass finds the
-words whose rate differs most between toxic and clean rows, and the toxic rows are graded 1 to 3 by thirds
-of how many such words they have. Grade 0 is exactly label 0, so P(grade >= 1) is P(toxic).
+The labels say toxic or not. Grades within the toxic rows are cross-fitted: each half of the sample finds the words whose rate
+differs most between its toxic and its clean rows, and the toxic rows of the other half are graded 1 to 3 by thirds of how many of
+those words they have. So no row is graded by words that it helped to find, and thresholds 2 and 3 are learned from how much evidence
+rows hold that others have shown. Grade 0 is exactly label 0, so P(grade >= 1) is P(toxic).
 
 Features: 1 + log(count) of each word (a run of letters, digits and non-ASCII characters, lower-cased) and of
 its first 4, 5 and 6 bytes, in 2**20 buckets; weights are kept sparse by an L1 penalty and not negative, so a long clean text doesn't gather a score from many small
@@ -52,11 +53,13 @@ def _contrast(present: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return (p - q) / np.sqrt(both * (1 - both) * (1 / rows[0] + 1 / rows[1]))
 
 
-def _grades(evidence, toxic) -> np.ndarray:
-    """0 for clean rows; toxic rows by thirds of their tell-tale words."""
+def _grades(evidence, toxic, half) -> np.ndarray:
+    """0 for clean rows; toxic rows by thirds of the evidence among the toxic rows of their half."""
     grade = np.zeros(len(toxic), dtype=int)
-    cuts = np.quantile(evidence[toxic == 1], np.arange(1, GRADES) / GRADES)
-    grade[toxic == 1] = 1 + np.searchsorted(cuts, evidence[toxic == 1], "left")
+    for k in (0, 1):
+        on = (toxic == 1) & (half == k)
+        if on.any():
+            grade[on] = 1 + np.searchsorted(np.quantile(evidence[on], np.arange(1, GRADES) / GRADES), evidence[on], "left")
     return grade
 
 
@@ -72,12 +75,14 @@ def fit(rows: list[tuple[str | None, int]], least: int = 8, steps: int = 300, l1
     nothing = OrdinalModel(np.full(1 << learning.BITS, -1, dtype=np.int32), np.zeros(1), cut)
     if not len(toxic) or toxic.min() == toxic.max():
         return nothing
-    blocks = range(0, len(rows), 256)
-    present = np.zeros((2, 1 << learning.BITS))
+    blocks, half = range(0, len(rows), 256), np.arange(len(rows)) % 2
+    halves = np.zeros((2, 2, 1 << learning.BITS))
     for i in blocks:
         doc, bucket, *_ = learning.word_counts(texts[i : i + 256], "alnum", prefixes=PREFIXES)
-        for k in (0, 1):
-            present[k] += np.bincount(bucket[toxic[i + doc] == k], minlength=present.shape[1])
+        for h in (0, 1):
+            for k in (0, 1):
+                halves[h, k] += np.bincount(bucket[(toxic[i + doc] == k) & (half[i + doc] == h)], minlength=halves.shape[2])
+    present = halves.sum(axis=0)
     use = (_contrast(present, toxic) >= screen) & (present.sum(axis=0) >= least)
     if not use.any():
         return nothing
@@ -85,7 +90,8 @@ def fit(rows: list[tuple[str | None, int]], least: int = 8, steps: int = 300, l1
     parts = [(i, *learning.word_counts(texts[i : i + 256], "alnum", keep, PREFIXES)[:3]) for i in blocks]
     doc, word = np.concatenate([i + p for i, p, _, _ in parts]), np.concatenate([p for _, _, p, _ in parts])
     x, n = 1 + np.log(np.concatenate([p for _, _, _, p in parts])), int(use.sum())
-    grade = _grades(np.bincount(doc, x, minlength=len(toxic)), toxic)
+    telling = np.stack([_contrast(halves[h], toxic[half == h]) >= screen / np.sqrt(2) for h in (0, 1)])[:, use]
+    grade = _grades(np.bincount(doc, x * telling[1 - half[doc], word], minlength=len(toxic)), toxic, half)
     over = (grade[:, None] >= np.arange(1, GRADES + 1)[None, :]).astype(float)
     theta, m1, m2 = np.concatenate([np.zeros(n), cut]), np.zeros(n + GRADES), np.zeros(n + GRADES)
     for t in range(1, steps + 1):
@@ -108,10 +114,8 @@ def fit(rows: list[tuple[str | None, int]], least: int = 8, steps: int = 300, l1
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most `sample` labelled rows outside the held-out fold; the same rows give the same model."""
-    rows = learning.labelled_sample(docs, labels, "toxic", sample).select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([(r[1], r[2]) for r in rows])
+    """Fit on at most `sample` labelled rows outside the held-out fold, of at most learning.SAMPLE_BYTES; the same rows give the same model."""
+    return fit([(r[1], r[3]) for r in learning.labelled_sample(docs, labels, "toxic", sample)])
 
 
 def score(docs: DataFrame, model: OrdinalModel, threshold: float | None = None) -> DataFrame:
