@@ -15,14 +15,15 @@ partition) counts gives each partition its start.
 
 Edge cases: null or empty text has size 0, weight in no target, and is emitted as its rate says; a source without
 words has target 0 and rate 0; null sources form one source, the last; repeated rows are rows of their own;
-reruns agree, ties of (size, id) being rows that can be exchanged; an empty table gives an empty result.
+reruns agree, ties of (size, id) being rows that can be exchanged; an empty table gives an empty result; other columns, of any
+name and type, go with their rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize
+from loomtext.llm.common import materialize, whole_row
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2.0, 20_240_601
@@ -59,43 +60,40 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def allot(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, text: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Every row of docs with _size, _source_size, _target and _copies; keep_columns: with all own columns too."""
-    own = docs.columns if keep_columns else ["doc_id", "source"]
-    rows = docs.withColumn("_size", word_count(text)).select(*own, "_size").withColumn("_key", F.coalesce("source", F.lit("")))
-    rows = rows.withColumn("_null", F.col("source").isNull()).withColumn("_tie", F.monotonically_increasing_id())
-    order = ["_null", "_key", "_size", "doc_id", "_tie"]
+    """row, size, source_size, target, copies for every row of docs; row: a struct of doc_id alone, or with keep_columns of all own columns,
+    so none can clash with those made here."""
+    row = whole_row(docs) if keep_columns else F.struct("doc_id")
+    rows = docs.select(row.alias("row"), word_count(text).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key"))
+    rows = rows.withColumn("id", F.col("row.doc_id")).withColumn("tie", F.monotonically_increasing_id())
+    order = ["no_source", "key", "size", "id", "tie"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_block", F.spark_partition_id()).drop("_tie")
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("block", F.spark_partition_id()).drop("id", "tie")
     rows, _ = materialize(rows, "mix")
-    blocks = rows.groupBy("_null", "_key", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.sum("_size").alias("_words"))
+    blocks = rows.groupBy("no_source", "key", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("size").alias("words"))
     blocks, _ = materialize(blocks, "mix-blocks")  # sources + partitions rows at most
-    before = Window.partitionBy("_null", "_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = blocks.groupBy("_null", "_key").agg(F.sum("_words").alias("source_size"))
-    sizes = sizes.select(F.when(~F.col("_null"), F.col("_key")).alias("source"), "source_size")
-    t = targets(sizes, weights, share, most).select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    plan = blocks.join(t, ["_null", "_key"]).select("_null", "_key", "_block", "_first", "_before", "_source_size", "_target")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    rank = F.col("_at") - F.col("_first") + F.col("_before")
+    before = Window.partitionBy("no_source", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sizes = blocks.groupBy("no_source", "key").agg(F.sum("words").alias("source_size"))
+    sizes = sizes.select(F.when(~F.col("no_source"), F.col("key")).alias("source"), "source_size")
+    t = targets(sizes, weights, share, most).select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "target")
+    plan = blocks.join(t, ["no_source", "key"]).select("no_source", "key", "block", "first", "before", "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rank = F.col("at") - F.col("first") + F.col("before")
     u = F.lit(offset(seed))
     copies = (F.floor((rank + 1) * rate + u) - F.floor(rank * rate + u)).cast("long")
-    got = rows.join(plan, ["_null", "_key", "_block"]).withColumn("_copies", copies)
-    return got.select(*own, "_size", "_source_size", "_target", "_copies")
+    return rows.join(plan, ["no_source", "key", "block"]).select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes from the row, repeats counted)."""
-    return allot(docs, **options).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    return allot(docs, **options).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: rows of docs, each as often as it is emitted, in docs' columns."""
-    got = allot(docs, keep_columns=True, **options).where("_copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mixed documents: rows of docs, each as often as it is emitted, in docs' columns, whatever their names."""
+    got = allot(docs, keep_columns=True, **options).where("copies > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The same result in DuckDB SQL, for the default weights, share, cap and seed.
