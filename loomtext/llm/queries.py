@@ -23,8 +23,7 @@ def op1_quality_fm(spark, sf_dir):
 
 
 def op2_warc_derivatives(spark, sf_dir):
-    """The records without their blocks, which the digests and lengths stand for."""
-    return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")), keep=("page_id",)).drop("block")
+    return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
 def op3_jaccard_forest(spark, sf_dir):

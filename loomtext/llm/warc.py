@@ -16,8 +16,8 @@ conversion. Text that isn't markup (text/plain, JSON) is its own conversion.
 Result rows: the columns of RECORD. Edge cases: a null or empty payload gives an empty conversion block and its digest; null headers
 are no headers; a null target stays null, links are then kept as written; malformed HTML is read as far as it goes: an
 unclosed script, style or comment runs to the end of the text, as in HTML; of a head only the title, scripts, styles, closed
-templates and closed noscripts are left out, whether it is closed or not; an unclosed template or noscript keeps its text; a "<" without an end is text; long payloads are one block; repeated rows give
-repeated records; an empty table gives none; extra columns named in `keep` are carried.
+templates and closed noscripts are left out, whether it is closed or not; an unclosed template or noscript keeps its text; a "<" without an end is
+text; long payloads are one block, read in time linear in their length; repeated rows give repeated records; an empty table gives none; extra columns named in `keep` are carried.
 """
 from __future__ import annotations
 
@@ -29,9 +29,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +41,15 @@ from loomtext.llm.common import by_bytes
 
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, source_headers string, source_warc_headers string, length long, block string"
 
-_DROP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<noscript(?=[\s/>])(?:(?!<noscript[\s/>]|</head[\s/>]|<body[\s/>]).)*?</noscript\s*>", re.S | re.I)
-_TEMPLATE = re.compile(r"<template(?=[\s/>])(?:(?!<template[\s/>]).)*?</template\s*>", re.S | re.I)
-_HEAD = re.compile(r"<head(?=[\s/>]).*?(?=</head[\s/>]|<body[\s/>]|<svg[\s/>]|\Z)", re.S | re.I)
-_HEAD_TITLE = re.compile(r"<title(?=[\s/>])(?:(?!<title[\s/>]).)*?</title\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|main|aside|form|blockquote|pre|title|body|html|figure|option)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
+#: Elements that begin and end lines of their own.
+_BLOCKS = frozenset("p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr table thead tbody article section header footer nav main aside form blockquote pre title body html figure option".split())
+#: A tag: slash, name, attributes. A quote counts only after "=", so an apostrophe elsewhere hides nothing. Possessive: never read twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_COMMENT_END = re.compile(r"--!?>")
+_END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in ("script", "style", "title")}
+_CHARSET_VALUE = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _META = re.compile(rb"<meta[^>]*?\bcharset\s*=\s*[\"']?\s*([\w:.-]+)", re.I)
 _XML = re.compile(rb"\A\s*<\?xml[^>]*?\bencoding\s*=\s*[\"']([\w:.-]+)", re.I)
 _CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
@@ -55,22 +58,121 @@ _TEXTUAL = re.compile(r"text/.+|application/(?:json|javascript|ecmascript|x-java
 #: Labels as browsers read them, and codecs that no page means.
 _LABELS = dict.fromkeys(("iso-8859-1", "iso8859-1", "iso_8859-1", "latin1", "latin-1", "l1", "ascii", "us-ascii"), "cp1252") | dict.fromkeys(("gb2312", "gbk", "x-gbk"), "gb18030") | dict.fromkeys(("shift_jis", "shift-jis", "sjis", "x-sjis", "windows-31j"), "cp932") | dict.fromkeys(("euc-kr", "ks_c_5601-1987"), "cp949") | {"big5": "big5hkscs", "iso-8859-9": "cp1254", "tis-620": "cp874", "windows-874": "cp874", "utf-16": "utf-16-le"}
 _NO_CHARSET = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "unicode-escape", "raw-unicode-escape", "utf-7", "utf7", "utf_7"}
-_CHARSET = re.compile(r"<meta[^>]*\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+@dataclass
+class Page:
+    """What a page holds: its text, the first title, the language, the charset it declares and its links, as written."""
+
+    text: str = ""
+    title: str | None = None
+    language: str | None = None
+    charset: str | None = None
+    links: list[str] = field(default_factory=list)
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(next((g for g in m.groups()[1:] if g is not None), "")))
+    return out
+
+
+def scan(page: str) -> Page:
+    """One pass over the markup, in time linear in its length: every search goes on where the last one ended, and a search that has
+    found nothing isn't repeated."""
+    out, parts = Page(), []
+    at, last, tag, in_head = 0, page.rfind(">"), _TAG, False
+    noscript, templates = None, []  # where they began: in parts, and in links
+    open_ended: set[str] = set()
+
+    def end_of(name: str, start: int):
+        if name in open_ended:
+            return None
+        m = _END_TAG[name].search(page, start)
+        if not m:
+            open_ended.add(name)
+        return m
+
+    while (start := page.find("<", at)) >= 0 and start < last:
+        if start > at:
+            parts.append(page[at:start])
+        second = page[start + 1]
+        if page.startswith("<!--", start):
+            if page.startswith((">", "->"), start + 4):
+                at = page.index(">", start + 4) + 1
+            else:
+                m = _COMMENT_END.search(page, start + 4)
+                at = m.end() if m else len(page)
+            parts.append(" ")
+            continue
+        if second in "/!?" and not re.match("/[a-zA-Z]", page[start + 1 : start + 3]):
+            at = page.index(">", start) + 1
+            continue
+        m = tag.match(page, start)
+        if not m and "a" <= second.lower() <= "z" or second == "/" and not m:
+            tag = _PLAIN_TAG  # a quote stays open to the end: from here on no quote counts
+            m = tag.match(page, start)
+        if not m:
+            parts.append("<")
+            at = start + 1
+            continue
+        close, name, at = m[1], m[2].lower(), m.end()
+        if not close and name in ("script", "style"):
+            end = end_of(name, at)
+            at = end.end() if end else len(page)
+            parts.append(" ")
+            continue
+        if name in ("svg", "body") or close and name == "head":
+            in_head, noscript = False, None if name != "svg" else noscript
+        if name == "head" and not close:
+            in_head = True
+        elif name == "title" and not close:
+            if (out.title is None or in_head) and (end := end_of("title", at)):
+                if out.title is None:
+                    out.title = " ".join(html.unescape(page[at : end.start()]).split())
+                if in_head:
+                    parts.append(" ")
+                    at = end.end()
+                    continue
+        elif name == "noscript":
+            if close and noscript is not None:
+                del parts[noscript:]
+                parts.append(" ")
+            noscript = None if close else len(parts)
+        elif name == "template":
+            if not close:
+                templates.append((len(parts), len(out.links)))
+            elif templates:
+                begun, links = templates.pop()
+                del parts[begun:], out.links[links:]
+                parts.append(" ")
+                noscript = noscript if noscript is not None and noscript < begun else None
+        elif not close and name in ("a", "meta", "html"):
+            own = _attributes(m[3])
+            if name == "a" and "href" in own:
+                out.links.append(own["href"].strip())
+            elif name == "meta" and out.charset is None:
+                found = own.get("charset") or (_CHARSET_VALUE.search(own.get("content", "")) or ["", ""])[1]
+                out.charset = found.strip() or None
+            elif name == "html" and out.language is None:
+                out.language = own.get("lang")
+        if name in _BLOCKS:
+            parts.append("\n")
+    parts.append(page[at:])
+    lines = html.unescape("".join(parts)).split("\n")
+    out.text = "\n".join(x for line in lines if (x := " ".join(line.split())))
+    return out
+
+
 def plain_text(page: str) -> str:
     """Text between tags: blocks on lines of their own, blanks run together, entities resolved once."""
-    text, found = _DROP.sub(" ", page), 1
-    while found:  # innermost templates first
-        text, found = _TEMPLATE.subn(" ", text)
-    text = _HEAD.sub(lambda m: _HEAD_TITLE.sub(" ", m[0]), text, count=1)
-    text = _TAG.sub("", _BREAK.sub("\n", text))
-    return "\n".join(x for line in html.unescape(text).split("\n") if (x := " ".join(line.split())))
+    return scan(page).text
 
 
 def header(headers: str | None, name: str) -> str:
@@ -179,29 +281,25 @@ def text_of(body: bytes, http: str | None, own: str | None = None) -> str | None
         return body.decode("cp1252", "replace")
 
 
-def conversion(text: str, media: str) -> str:
+def conversion(text: str, media: str, page: Page) -> str:
     """Plain text of a payload: without tags if it is markup (or of no known type), else itself."""
     if media and not _MARKUP.fullmatch(media):
         return text
     if media.endswith("xml") and media != "application/xhtml+xml":
-        text = _CDATA.sub(lambda m: html.escape(m[1]), text)
-    return plain_text(text)
+        return plain_text(_CDATA.sub(lambda m: html.escape(m[1]), text))
+    return page.text
 
 
-def fields(page: str, target: str | None, headers: str | None, source: str, own: str | None = None) -> str:
+def fields(page: Page, target: str | None, headers: str | None, source: str, own: str | None = None) -> str:
     """The block of the metadata record: lines of application/warc-fields."""
-    out = []
-    for name, pattern in (("title", _TITLE), ("language", _LANG), ("charset", _CHARSET)):
-        if m := pattern.search(page):
-            out.append(f"{name}: {' '.join(html.unescape(m[1]).split())}")
+    out = [f"{name}: {value}" for name, value in (("title", page.title), ("language", page.language), ("charset", page.charset)) if value is not None]
     lines = [x for x in (headers or "").splitlines() if x.strip()]
     if lines and ":" not in lines[0].split(" ")[0]:
         out.append(f"http-status: {lines.pop(0)}")
     out += [f"http-header: {x}" for x in lines]
     out += [f"warc-header: {x}" for x in (own or "").split("\n") if x.strip()]
     out.append(f"source-payload-digest: {source}")
-    for m in _HREF.finditer(page):
-        link = html.unescape(m[1] or m[2] or m[3] or "").strip()
+    for link in page.links:
         try:
             out.append(f"outlink: {urljoin(target, link) if target else link}")
         except ValueError:
@@ -223,10 +321,10 @@ def _derive(keep: list[str]):
                 else:
                     page = body.decode("utf-8", "replace")
                 source, media = digest(body), media_type(http, warc)
-                markup = page if page and (not media or _MARKUP.fullmatch(media)) else ""
-                blocks = [("metadata", "application/warc-fields", fields(markup, r["target_uri"], http, source, warc))]
+                found = scan(page) if page and (not media or _MARKUP.fullmatch(media)) else Page()
+                blocks = [("metadata", "application/warc-fields", fields(found, r["target_uri"], http, source, warc))]
                 if page is not None:
-                    blocks.append(("conversion", "text/plain; charset=UTF-8", conversion(page, media)))
+                    blocks.append(("conversion", "text/plain; charset=UTF-8", conversion(page, media, found)))
                 for kind, form, block in blocks:
                     raw = block.encode()
                     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['record_id']}#{kind}")
@@ -262,12 +360,43 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
 
 
 def serialize(record: dict) -> bytes:
-    """One record in WARC/1.1 form."""
+    """One record in WARC/1.1 form. The source's digest and header lines are fields of their own, so nothing of a row is lost."""
     raw = (record["block"] or "").encode()
-    head = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Target-URI", record.get("target_uri")), ("WARC-Date", record.get("date")), ("WARC-Block-Digest", digest(raw)), ("Content-Type", record.get("content_type")), ("Content-Length", str(len(raw)))]
+    head = [("WARC-Type", record["warc_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record.get("refers_to")), ("WARC-Target-URI", record.get("target_uri")), ("WARC-Date", record.get("date")), ("WARC-Block-Digest", digest(raw)), ("X-Source-Payload-Digest", record.get("source_digest"))]
+    for name, lines in (("X-Source-HTTP-Header", record.get("source_headers")), ("X-Source-WARC-Header", record.get("source_warc_headers"))):
+        head += [(name, x.strip()) for x in (lines or "").split("\n") if x.strip()]
+    head += [("Content-Type", record.get("content_type")), ("Content-Length", str(len(raw)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + raw + b"\r\n\r\n"
 
 
+def write_warc(records: DataFrame, folder: str) -> DataFrame:
+    """Write the records as WARC files below `folder` (a URI all executors reach) when the result is computed: one file a task, each record a gzip
+    member of its own, after a warcinfo record. Result: file, records, bytes. A file gets its name when it is complete, so a
+    repeated task leaves the same files; a task without records writes none."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        task, (store, root) = TaskContext.get(), fs.FileSystem.from_uri(folder)
+        name, out, count, size = f"part-{task.partitionId():06d}.warc.gz", None, 0, 0
+        for b in batches:
+            for r in b.to_pylist():
+                if out is None:
+                    out = store.open_output_stream(f"{root}/_{name}.{task.taskAttemptId()}", compression=None)
+                    info = {"warc_type": "warcinfo", "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "date": r["date"], "content_type": "application/warc-fields", "block": "format: WARC File Format 1.1\r\n"}
+                    size += out.write(gzip.compress(serialize(info), mtime=0))
+                size += out.write(gzip.compress(serialize(r), mtime=0))
+                count += 1
+        if out is not None:
+            out.close()
+            store.move(f"{root}/_{name}.{task.taskAttemptId()}", f"{root}/{name}")
+            yield pa.record_batch({"file": pa.array([name]), "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    at = records.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(records.sparkSession._jsc.hadoopConfiguration()).mkdirs(at)
+    return records.select([x.split()[0] for x in RECORD.split(", ")]).mapInArrow(run, "file string, records long, bytes long")
+
+
 def _lines(data: bytes) -> str:
     """Header lines as text: UTF-8, or Latin-1 where they aren't."""
     try:
@@ -276,27 +405,67 @@ def _lines(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-def records(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(header lines, block) of each record; a truncated last record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        lines = _lines(data[start:end]).partition("\r\n")[2]
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks of a file, gzip members undone if it has any; a truncated or broken member ends it."""
+    z = None
+    for k, data in enumerate(chunks):
+        if not k and data[:2] == b"\x1f\x8b":
+            z = zlib.decompressobj(31)
+        if z is None:
+            yield data
+            continue
+        while data:
+            try:
+                yield z.decompress(data, 1 << 22)
+            except zlib.error:
+                return
+            if z.eof:
+                data, z = z.unused_data, zlib.decompressobj(31)
+            else:
+                data = z.unconsumed_tail
+
+
+def records(data: bytes | Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
+    """(header lines, block) of each record, one at a time; a truncated last record ends the file."""
+    chunks = _inflate(iter([data]) if isinstance(data, bytes) else data)
+    held = bytearray()
+
+    def fill() -> bool:
+        for more in chunks:
+            if more:
+                held.extend(more)
+                return True
+        return False
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not fill():
+                return
+        del held[:start]
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not fill():
+                return
+        lines = _lines(bytes(held[:end])).partition("\r\n")[2]
         size = int(header(lines, "content-length").split(",")[-1] or 0)
-        if len(data) < end + 4 + size:
-            return
-        yield lines, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        while len(held) < end + 4 + size:
+            if not fill():
+                return
+        yield lines, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record; a truncated last record ends the file."""
+def parse(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, repeated ones joined by line feeds, block) of each record; a truncated last record ends the file."""
     for lines, block in records(data):
-        yield {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.split("\r\n"))}, block
+        out: dict[str, str] = {}
+        for x in lines.split("\r\n"):
+            k, _, v = x.partition(":")
+            k = k.strip().lower()
+            out[k] = f"{out[k]}\n{v.strip()}" if k in out else v.strip()
+        yield out, block
 
 
 def _response(lines: str, block: bytes) -> tuple:
@@ -311,15 +480,55 @@ def _response(lines: str, block: bytes) -> tuple:
     return (*ids, http, text_of(plain, http, lines), lines, body)
 
 
+#: Bytes of bodies in one Arrow batch of read responses.
+BATCH = 16 << 20
+
+
+def _opened(path: str) -> Iterator[bytes]:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(_uri(path))
+    with store.open_input_stream(at, compression=None) as f:
+        while data := f.read(1 << 20):
+            yield data
+
+
+def _uri(path: str) -> str:
+    """As pyarrow's file systems name it."""
+    scheme, _, rest = path.partition(":")
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else f"s3:{rest}" if scheme in ("s3a", "s3n") else path
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response rows of the WARC files (gzip or not) at `path`, any store Spark reads; a file is one row of work."""
+    """Response rows of the WARC files (gzip or not) at `path`.
+
+    Files are streamed record by record, so their size doesn't matter; a task holds one record and one batch. A store that only Spark reaches
+    is read by Spark instead, a file of at most 2 GB as one value.
+    """
     kinds = {"record_id": "string", "target_uri": "string", "date": "string", "http_headers": "string", "payload": "string", "warc_headers": "string", "body": "binary"}
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    try:
+        from pyarrow import fs
+
+        streams = first is None or bool(fs.FileSystem.from_uri(_uri(first[0])))
+    except (OSError, ValueError, pa.ArrowException):
+        streams = False
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.binary() if k == "binary" else pa.string()) for j, k in enumerate(kinds.values())], names=list(kinds))
 
     def run(batches):
         for b in batches:
-            for data in b.column("content").to_pylist():
-                rows = [_response(lines, block) for lines, block in records(data) if header(lines, "warc-type").lower() == "response"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.binary() if k == "binary" else pa.string()) for j, k in enumerate(kinds.values())], names=list(kinds))
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+            for x in b.column(0).to_pylist():
+                rows, size = [], 0
+                for lines, block in records(_opened(x) if streams else x):
+                    if header(lines, "warc-type").lower() == "response":
+                        rows.append(_response(lines, block))
+                        size += len(block)
+                    if size >= BATCH:
+                        yield batch(rows)
+                        rows, size = [], 0
+                yield batch(rows)
+
+    return files.select("path" if streams else "content").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))

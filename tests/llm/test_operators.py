@@ -455,3 +455,116 @@ def test_forest_nodes_reach_across_tasks(spark, parts):
     want = {(int(ids[i]), t): (lead[i, t].tolist(), int(depth[i, t])) for i in range(n) for t in range(jaccard.TREES) if size[i, t, -1] > 1}
     assert {k: (list(r.leads), r.depth) for k, r in got.items()} == want
     assert len({tuple(x) for x in depth}) > 1
+
+
+class Reader(__import__("html.parser").parser.HTMLParser):
+    """Another program for pages whose elements are all closed: text, title, language and links."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.skip, self.title, self.lang, self.links, self.head, self.in_title = "", 0, None, None, [], False, False
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        self.head |= tag == "head"
+        if tag in ("script", "style"):
+            self.skip += 1
+        if tag == "title" and self.title is None:
+            self.title, self.in_title = "", True
+        if tag == "html" and self.lang is None:
+            self.lang = attrs.get("lang")
+        if tag == "a" and attrs.get("href") is not None:
+            self.links.append(attrs["href"].strip())
+        if tag in warc._BLOCKS and not (tag == "title" and self.head):
+            self.text += "\n"
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip -= 1
+            self.text += " "
+        if tag == "head":
+            self.head = False
+        if tag == "title":
+            self.in_title = False
+            self.text += " "
+        elif tag in warc._BLOCKS:
+            self.text += "\n"
+
+    def handle_comment(self, data):
+        self.text += " "
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title = " ".join((self.title + data).split())
+        if not self.skip and not (self.in_title and self.head):
+            self.text += data
+
+
+def random_page(r):
+    def inner(depth):
+        out = []
+        for _ in range(r.randint(1, 4)):
+            k = r.randint(0, 9) if depth else 0
+            if k < 3:
+                out.append(r.choice(["text ", "a &amp; b", "é &lt;p&gt;", "1 > 0 ", "\n  x\t", "it's "]))
+            elif k < 6:
+                tag = r.choice(["p", "div", "b", "LI", "h2", "custom-tag", "section"])
+                out.append(f"<{tag} class=\"x>y\" title='q'>{inner(depth - 1)}</{tag}>")
+            elif k == 6:
+                out.append(f"<a {r.choice(['', 'id=h '])}href={r.choice([chr(34) + 'u>v' + chr(34), chr(39) + '/p?a=1&amp;b=2' + chr(39), 'bare'])}>l</a>")
+            elif k == 7:
+                out.append(r.choice(["<!-- <p>no</p> -->", "<!---->", "<script>if (a < b) '</p>'</script>", "<style>p > b {}</style>"]))
+            else:
+                out.append(r.choice(["<br>", "<br/>", "<img alt='a > b'>", "<hr class=x>"]))
+        return "".join(out)
+
+    return f"<!DOCTYPE html><html lang=\"en\"><head><meta charset=utf-8><title>T {r.randint(0, 9)} &amp; t</title></head><body>{inner(4)}</body></html>"
+
+
+def test_pages_read_like_another_parser():
+    r = random.Random(21)
+    for _ in range(300):
+        page = random_page(r)
+        p = Reader()
+        p.feed(page)
+        p.close()
+        got = warc.scan(page)
+        lines = "\n".join(x for line in p.text.split("\n") if (x := " ".join(line.split())))
+        assert (got.text, got.title, got.language, got.links, got.charset) == (lines, p.title, p.lang, p.links, "utf-8"), page
+
+
+@pytest.mark.parametrize("page", ["<a " * 700_000, "<a x=\"" * 300_001 + ">\"", "<!--" * 500_000, "<noscript><template>" * 100_000, "<title>" * 300_000 + ">", "<script" * 300_000 + ">", "<p " + "a" * 2_000_000 + ">", "<meta content='" * 150_000 + ">", "</" * 1_000_000 + "a>"])
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    warc.scan(page)
+    assert time.process_time() - began < 5
+
+
+def test_warc_streams_and_sink(spark, tmp_path, monkeypatch):
+    import gzip
+
+    raw = b""
+    for i in range(40):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n" + b"WARC/1.1\r\n\r\n" * 3 + f"body {i} ".encode() * r_len(i)
+        raw += f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nWARC-Target-URI: http://e/{i}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    pieces = [raw[i : i + 777] for i in range(0, len(raw), 777)]
+    assert list(warc.records(raw)) == list(warc.records(iter(pieces))) == list(warc.records(gzip.compress(raw[:5000]) + gzip.compress(raw[5000:])))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(raw)
+    (tmp_path / "in" / "b.warc.gz").write_bytes(gzip.compress(raw))
+    monkeypatch.setattr(warc, "BATCH", 1000)
+    resp = warc.read_responses(spark, str(tmp_path / "in"))
+    assert resp.count() == 80
+    made = warc.derivatives(resp)
+    files = warc.write_warc(made, f"file://{tmp_path}/out").collect()
+    assert sum(f.records for f in files) == 160 and all((tmp_path / "out" / f.file).stat().st_size == f.bytes for f in files) and len(list((tmp_path / "out").glob("*.gz"))) == len(files)
+    back = [x for f in files for x in warc.parse((tmp_path / "out" / f.file).read_bytes())]
+    assert sum(h["warc-type"] == "warcinfo" for h, _ in back) == len(files)
+    want = sorted((r.record_id, r.refers_to, r.source_digest, r.source_headers, r.source_warc_headers.replace("\r\n", "\n"), r.block.encode()) for r in made.collect())
+    assert sorted((h["warc-record-id"], h["warc-refers-to"], h["x-source-payload-digest"], h["x-source-http-header"].replace("\n", "\r\n"), h["x-source-warc-header"], b) for h, b in back if h["warc-type"] != "warcinfo") == want
+
+
+def r_len(i):
+    return 1 + i * 37 % 50
