@@ -1,30 +1,34 @@
 """Training-order materialisation of token sequences.
 
-Texts are encoded, each followed by the end token, and packed into sequences of `length` tokens per input partition; the
-last sequence of a partition is filled up with end tokens. Sequences are numbered partition by partition, and a keyed
-Feistel network permutes the numbers: it works on the smallest even number of bits that holds them, and a
-value outside [0, n) is walked along its cycle until it falls inside. So every sequence has one global slot, computed
-without a table or a sort of random numbers.
+Texts are encoded once, each followed by the end token, and stand in a stream in the order of a hash of doc_id and text, so the
+stream doesn't depend on files, splits or partitions. It is cut into sequences of `length` tokens; the last one is filled up with end
+tokens. A keyed Feistel network permutes the sequences' numbers: it works on the smallest even number of bits that holds them, and a value outside
+[0, n) is walked along its cycle until it falls inside. So every sequence has one global slot, computed without a table
+or a sort of random numbers.
+
+Rows are dealt to blocks of the hash's range, where they are sorted, and each block's tokens are counted: one small row per block,
+whose sums give each block its place in the stream. Counting and cutting read the same shuffled rows, so nothing is encoded twice. A
+block cuts its part of the stream into records; one that reaches across blocks comes in pieces, which are put together when its shard is
+written.
 
 Shards hold `shard` consecutive slots each, records of length * width bytes: slot s is at byte (s % shard) * stride of
 shard s // shard. Range partitions of the slots write them in order, so a reader goes on from any slot by
-arithmetic. A shard is written under a temporary name and renamed, so a repeated task leaves the same file.
-
-Counting comes first: a pass that returns only each partition's number of sequences. Both passes read the same stored table, whose
-partitions are stable; the texts are encoded twice, since storing the ids between the passes would take more disk than that saves.
+arithmetic. A shard is written under a temporary name and renamed, so a repeated task leaves the same file; `finish` removes what
+failed attempts left and writes the manifest that a reader starts from. The folder is the caller's and stays.
 
-Edge cases: null and empty texts are one end token; very long texts fill several sequences; repeated rows are packed again; an empty
-table writes no shard; null ids are carried as null; extra columns are ignored.
+Edge cases: null and empty texts are one end token; very long texts fill several sequences; repeated rows (equal id and text) stand in
+the stream one after another, and all in one block; an empty table writes no shard; null ids are carried as null; ids may be of any
+type; extra columns are ignored.
 """
 from __future__ import annotations
 
 import hashlib
-import math
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import hashing, token_counts, vocabulary
@@ -32,6 +36,8 @@ from loomtext.llm.common import by_bytes, scratch_path
 
 LENGTH, SHARD, KEY = 1024, 16_384, 0x5EED
 _ROUNDS = 6
+#: Tokens that a task holds at once while it cuts records, in sequences.
+_HELD = 512
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -52,87 +58,123 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out
 
 
-def _count(path: str, length: int):
+def _encode(path: str, end: int, kind: str):
+    """Rows with a text -> rows with its number of tokens and their packed, compressed ids, the end token included."""
+
     def run(batches):
-        c, total = token_counts.counter(path), 0
+        c, codec = token_counts.counter(path), pa.Codec("zstd", 1)
         for b in by_bytes(batches, "text"):
-            total += int(c.lengths(b.column("text").to_pylist()).sum()) + b.num_rows
-        yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([-(-total // length)], pa.int64())})
+            ids = [np.append(c.ids(t), np.uint32(end)).astype(kind) for t in b.column("text").to_pylist()]
+            packed = [codec.compress(x, asbytes=True) for x in ids]
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["block", "place", "doc_id", "n", "ids"])
 
     return run
 
 
-def _pack(path: str, length: int, first: dict[int, int], n: int, key: int, shard: int, end: int):
+def _count(batches):
+    """(block, n): tokens by block."""
+    total: dict[int, int] = {}
+    for b in batches:
+        block, n = b.column("block").to_numpy(), b.column("n").to_numpy()
+        for k in np.unique(block).tolist():
+            total[k] = total.get(k, 0) + int(n[block == k].sum())
+    yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+
+def _cut(length: int, shard: int, parts: int, key: int, kind: str):
+    """Sorted rows of blocks, each with its start and the stream's length -> records, or pieces of them: (part, slot, at, piece, doc_ids).
+    part: the one of `parts` ranges of shards that the slot is in."""
+    width = np.dtype(kind).itemsize
+
     def run(batches):
-        c, index = token_counts.counter(path), first[TaskContext.get().partitionId()]
-        held, ids, size = [], [], 0
-
-        def emit(data: np.ndarray, owners: list):
-            nonlocal index
-            rows = len(data) // length
-            slots = permute(np.arange(index, index + rows), n, key)
-            index += rows
-            texts = data.reshape(rows, length)
-            return pa.record_batch([pa.array(slots), pa.array(slots // shard), pa.array([t.tobytes() for t in texts], pa.binary()), pa.array(owners, pa.list_(pa.int64()))], names=["slot", "shard", "record", "doc_ids"])
-
-        def cut(last: bool):
-            """Full sequences of what is held, with the ids of the documents in each."""
-            nonlocal held, ids, size
-            data = np.concatenate(held)
-            if last and len(data) % length:
-                data = np.append(data, np.full(-len(data) % length, end, dtype=data.dtype))
-            rows = len(data) // length
-            ends = np.cumsum([len(h) for h in held])
-            lo = np.searchsorted(ends, np.arange(rows) * length, "right")
-            hi = np.searchsorted(ends, np.arange(1, rows + 1) * length, "left")
-            out = emit(data[: rows * length], [ids[a : b + 1] for a, b in zip(lo, hi, strict=True)])
-            over = len(data) - rows * length
-            held, ids, size = ([data[-over:]], ids[-1 - (int((ends > rows * length).sum()) - 1) :], over) if over else ([], [], 0)
-            if over and len(ids) > 1:  # several documents lie in the rest
-                cuts = (ends[ends > rows * length] - rows * length)[:-1]
-                held = np.split(held[0], cuts)
-            return out
+        codec, block, at, total = pa.Codec("zstd", 1), None, 0, 0  # at: the stream's position of the first token held
+        held, owners, size, ids_type = [], [], 0, None
+
+        def out(last: bool):
+            nonlocal held, owners, size, at
+            data, ends = np.concatenate(held), at + np.cumsum([len(h) for h in held])
+            first, stop = at // length, at + len(data) if last else (at + len(data)) // length * length
+            cuts = np.unique(np.concatenate([[at], np.arange((first + 1) * length, stop, length), [stop]]))
+            sequence, begins, finishes = cuts[:-1] // length, cuts[:-1], cuts[1:]
+            lo, hi = np.searchsorted(ends, begins, "right"), np.searchsorted(ends, finishes, "left") + 1
+            sequences = -(-total // length)
+            slots = permute(sequence, sequences, key)
+            part = slots // shard * parts // -(-sequences // shard)
+            pieces = [data[a - at : b - at].tobytes() for a, b in zip(begins, finishes, strict=True)]
+            batch = pa.record_batch([pa.array(part.astype(np.int32)), pa.array(slots), pa.array(begins % length), pa.array(pieces, pa.binary()), pa.array([owners[a:b] for a, b in zip(lo, hi, strict=True)], pa.list_(ids_type))], names=["part", "slot", "at", "piece", "doc_ids"])
+            rest = data[stop - at :]
+            done = int(np.searchsorted(ends, stop, "right"))  # documents that end before the rest
+            lengths = np.diff(np.concatenate([[stop], ends[done:]]))
+            held, owners = np.split(rest, np.cumsum(lengths)[:-1]) if len(rest) else [], owners[done:] if len(rest) else []
+            size, at = len(rest), stop
+            return batch
 
-        for b in by_bytes(batches, "text"):
-            for t, d in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
-                held.append(np.append(c.ids(t), np.uint32(end)).astype("<u2" if end < 1 << 16 else "<u4"))
-                ids.append(d)
-                size += len(held[-1])
-                if size >= 512 * length:
-                    yield cut(False)
+        for b in batches:
+            ids_type = b.schema.field("doc_id").type
+            for k, start, whole, n, packed, doc in zip(*(b.column(c).to_pylist() for c in ("block", "start", "total", "n", "ids", "doc_id")), strict=True):
+                if k != block:
+                    if size:
+                        yield out(True)
+                    block, at, total, held, owners, size = k, start, whole, [], [], 0
+                held.append(np.frombuffer(codec.decompress(packed, n * width, asbytes=True), dtype=kind))
+                owners.append(doc)
+                size += n
+                if size >= _HELD * length:
+                    yield out(False)
         if size:
-            yield cut(True)
+            yield out(True)
 
     return run
 
 
-def _write(folder: str, stride: int, shard: int):
+def _write(folder: str, length: int, shard: int, end: int, kind: str):
+    """Pieces sorted by (slot, at) -> shards, and a row per record."""
+    stride = length * np.dtype(kind).itemsize
+    filler = np.full(length, end, dtype=kind).tobytes()
+
     def run(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        at, out, name = None, None, None
+        task, at, out, name = TaskContext.get().taskAttemptId(), None, None, None
+        slot, held, ids, done, ids_type = None, [], [], [], pa.int64()
 
         def close():
             out.close()
             store.move(f"{root}/_{name}.{task}", f"{root}/{name}")
 
-        task = TaskContext.get().taskAttemptId()
+        def put():
+            nonlocal at, out, name
+            r = b"".join(held)
+            r += filler[len(r) :]
+            if slot // shard != at:
+                if out is not None:
+                    close()
+                at, name = slot // shard, f"shard-{slot // shard:08d}.bin"
+                out = store.open_output_stream(f"{root}/_{name}.{task}")
+            out.write(r)
+            done.append((slot, at, slot % shard * stride, hashlib.sha256(r).hexdigest(), ids))
+
+        def rows():
+            cols = list(zip(*done, strict=True))
+            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(ids_type))], names=["slot", "shard", "byte_offset", "record_sha256", "doc_ids"])
+
         for b in batches:
-            slots, records = b.column("slot").to_pylist(), b.column("record").to_pylist()
-            places, digests = [], []
-            for s, r in zip(slots, records, strict=True):
-                if s // shard != at:
-                    if out is not None:
-                        close()
-                    at, name = s // shard, f"shard-{s // shard:08d}.bin"
-                    out = store.open_output_stream(f"{root}/_{name}.{task}")
-                out.write(r)
-                places.append((s % shard) * stride)
-                digests.append(hashlib.sha256(r).hexdigest())
-            yield pa.record_batch([b.column("slot"), b.column("shard"), pa.array(places, pa.int64()), pa.array(digests), b.column("doc_ids")], names=["slot", "shard", "byte_offset", "record_sha256", "doc_ids"])
-        if out is not None:
+            ids_type = b.schema.field("doc_ids").type.value_type
+            for s, piece, docs in zip(*(b.column(c).to_pylist() for c in ("slot", "piece", "doc_ids")), strict=True):
+                if s != slot:
+                    if slot is not None:
+                        put()
+                    slot, held, ids = s, [], []
+                held.append(piece)
+                ids = ids + docs
+            if done:
+                yield rows()
+                done = []
+        if slot is not None:
+            put()
             close()
+            yield rows()
 
     return run
 
@@ -140,27 +182,47 @@ def _write(folder: str, stride: int, shard: int):
 def materialize_order(docs: DataFrame, path: str, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, end: int | None = None) -> DataFrame:
     """Write the shards below `folder` (a URI all executors reach) when the result is computed.
 
-    Result, one row per sequence: slot, shard, byte_offset, record_sha256, doc_ids (of the documents in it). docs must
-    be a stored table. end: the end token, by default the vocabulary's special token, the one with the smallest id.
+    Result, one row per sequence: slot, shard, byte_offset, record_sha256, doc_ids (of the documents in it). end: the end
+    token, by default the vocabulary's special token, the one with the smallest id.
     """
     spark = docs.sparkSession
     v = vocabulary.load(path)
     end = min(v.specials.values()) if end is None else end
     if len(v.tokens) > 1 << 16 > end:
         raise ValueError("a vocabulary of over 65,536 tokens needs an end token beyond them")
-    texts = docs.select("doc_id", "text")
-    counts = texts.mapInArrow(_count(path, length), "part int, n long").collect()  # one row per input partition
-    first, n = {}, 0
-    for part, k in sorted(counts):
-        first[part], n = n, n + k
-    stride = length * (2 if end < 1 << 16 else 4)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(fs)
-    shards = max(1, math.ceil(n / shard))
-    parts = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = texts.mapInArrow(_pack(path, length, first, n, key, shard, end), "slot long, shard long, record binary, doc_ids array<long>")
-    rows = rows.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
-    return rows.mapInArrow(_write(folder, stride, shard), "slot long, shard long, byte_offset long, record_sha256 string, doc_ids array<long>")
+    kind = "<u2" if end < 1 << 16 else "<u4"
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    block = F.floor((F.shiftright("place", 32) + (1 << 31)) * parts / (1 << 32)).cast("int")
+    texts = docs.select(place.alias("place"), "doc_id", "text").select(block.alias("block"), "place", "doc_id", "text")
+    encoded = texts.mapInArrow(_encode(path, end, kind), f"block int, place long, doc_id {id_type}, n long, ids binary")
+    dealt = encoded.repartitionById(parts, "block")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = dealt.mapInArrow(_count, "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))  # a row a block
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    # a left join, since an inner one would filter below the exchange, which then couldn't be shared with the count
+    rows = dealt.join(F.broadcast(blocks), "block", "left").sortWithinPartitions("place", "doc_id", "n", "ids")
+    rows = rows.mapInArrow(_cut(length, shard, parts, key, kind), f"part int, slot long, at long, piece binary, doc_ids array<{id_type}>")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("slot", "at").drop("part")
+    return rows.mapInArrow(_write(folder, length, shard, end, kind), f"slot long, shard long, byte_offset long, record_sha256 string, doc_ids array<{id_type}>")
+
+
+def finish(spark: SparkSession, folder: str, result: DataFrame, length: int = LENGTH, shard: int = SHARD, width: int = 2) -> dict:
+    """After `result` (the stored rows of materialize_order) is complete: remove the unfinished files of failed attempts and write manifest.json, with what
+    read_from needs. Returns it."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    for f in store.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith("_shard-"):
+            store.delete_file(f.path)
+    manifest = {"sequences": result.count(), "length": length, "shard": shard, "width": width}
+    with store.open_output_stream(f"{root}/manifest.json") as out:
+        out.write(json.dumps(manifest).encode())
+    return manifest
 
 
 def read_from(folder: str, slot: int, n: int, count: int, length: int = LENGTH, shard: int = SHARD, width: int = 2) -> np.ndarray:
@@ -179,6 +241,6 @@ def read_from(folder: str, slot: int, n: int, count: int, length: int = LENGTH,
 
 
 def scratch_folder(spark) -> str:
-    """A new folder in the shared directory, as a URI."""
+    """A new folder in the shared directory, as a URI, removed when the application ends: for results that only the rows are wanted of."""
     path = scratch_path(spark, "training-order")
     return path if "://" in path or path.startswith("file:") else "file://" + path
