@@ -9,11 +9,12 @@ count are verified by the cosine in double precision. Wide windows prune best he
 
 Equal vectors form a class; classes of a label are dealt to tiles of bounded size by a hash, each pair of tiles is one
 task, and a task returns per class its number of links and one spanning link, never pairs. The work in a task is a few integer
-operations per pair for the first STEP projections; few pairs go further.
+operations per pair for the first STEP projections; few pairs go further. Every pair of a label is counted once: windows that keep all
+pairs at the threshold hold most random pairs too (README), so no order of the vectors lets a tile pair be skipped.
 
 Edge cases: a null id, label or vector, an empty or zero vector, or one with null or non-finite components links with
 nothing (n_links 0, itself its component); vectors of different lengths don't link; repeated vec_id rows are one vector, the smallest by
-content; an empty table gives an empty result; other columns are ignored.
+content; ids that aren't whole numbers raise TypeError at the call; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import connected_components, materialize
+from loomtext.llm.common import connected_components, integer_ids, materialize
 
 THRESHOLD, RECALL, PROJECTIONS, SEED = 0.93, 0.99999, 48, 11
 #: Half-width of a window, in units of the distance at the threshold.
 WINDOW = 3.0
-#: Vectors in a tile; a task holds two tiles.
-TILE = 2048
+#: Vectors in a tile; a task holds two tiles. Every vector of a label with t tiles is copied t times, so tiles are as large as a
+#: task's time allows (a few seconds), not as small as its memory would.
+TILE = 16_384
 _STEP = 16
 
 
@@ -110,7 +112,10 @@ def _tile_links(threshold: float, recall: float):
             i, j = i[near], j[near]
             np.add.at(links, i, mult[j])
             np.add.at(links, j, mult[i])
-            for u, v in zip(i.tolist(), j.tolist(), strict=True):
+            while (up := parent[parent] != parent).any():  # all roots at once: pairs within a group are done without a loop over them
+                parent[up] = parent[parent[up]]
+            u, v = parent[i], parent[j]
+            for u, v in np.unique(np.stack([u, v], axis=1)[u != v], axis=0).tolist():
                 u, v = root(u), root(v)
                 parent[max(u, v)] = min(u, v)
         on = np.flatnonzero(links)
@@ -121,6 +126,7 @@ def _tile_links(threshold: float, recall: float):
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for pairs of equal labels with cosine >= threshold."""
+    integer_ids(embeddings, "vec_id")
     kind = dict(embeddings.dtypes)["vec_id"]
     vec = F.col("embedding").cast("array<double>")
     good = F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)

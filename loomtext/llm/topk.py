@@ -11,34 +11,40 @@ grow as their product, whatever the plan.
 
 Edge cases: vectors that are null or hold null or non-finite components, and null ids, take no part; empty vectors score 0;
 vectors of different lengths are as if padded with 0; rows that repeat a vec_id are one vector, the smallest by content; ties go to the
-smaller vec_id; fewer than k candidates give them all; an empty table gives an empty result. Scores beyond 64 bits
-are clamped.
+smaller vec_id; fewer than k candidates give them all; an empty table gives an empty result. Finite components of any size take part
+exactly; scores beyond 64 bits are clamped after that. Ids that aren't whole numbers raise TypeError at the call.
 """
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize
+from loomtext.llm.common import integer_ids, materialize
 
 K, SCALE = 5, 256.0
-#: Rows in a block of queries and of candidates.
-QUERIES, CANDIDATES = 2048, 4096
+#: Rows in a block of queries and of candidates. Each side is copied once per block of the other, so blocks are large; scores
+#: are made for _STEP candidates at a time.
+QUERIES, CANDIDATES = 32_768, 16_384
 _STEP = 128
 
 
-def _integers(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows x longest vector; 64-bit integers, or Python's where those don't suffice."""
+def _integers(column: pa.ChunkedArray, scale: float) -> np.ndarray:
+    """Rows x longest vector of floor(scale * x); 64-bit integers, or Python's where those don't suffice."""
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = np.diff(rows.offsets.to_numpy())
     x = np.zeros((len(rows), max(1, n.max(initial=0))))
     x[np.arange(x.shape[1])[None, :] < n[:, None]] = rows.flatten().to_numpy()
-    x = np.floor(x)
-    return x.astype(np.int64) if np.abs(x).max(initial=0) < 2.0**62 else np.array([[int(v) for v in r] for r in x.tolist()], dtype=object)
+    with np.errstate(over="ignore"):
+        y = np.floor(x * scale)
+    if np.abs(y).max(initial=0) < 2.0**62:
+        return y.astype(np.int64)
+    exact = lambda v, w: int(w) if np.isfinite(w) else math.floor(Fraction(v) * Fraction(scale))
+    return np.array([[exact(*p) for p in zip(*r, strict=True)] for r in zip(x.tolist(), y.tolist(), strict=True)], dtype=object)
 
 
 def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -59,7 +65,7 @@ def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     return scores if kind is not object else np.clip(scores, -(2**63), 2**63 - 1)
 
 
-def _best(k: int):
+def _best(k: int, scale: float):
     def run(table: pa.Table) -> pa.Table:
         is_query = np.array(table.column("is_query").to_pylist(), dtype=bool)
         ids, vec = table.column("vec_id").to_numpy(), table.column("vec")
@@ -67,7 +73,7 @@ def _best(k: int):
         ci = ci[np.argsort(ids[ci], kind="stable")]  # a later candidate has a larger id, so it must score more to displace
         if not len(qi) or not len(ci):
             return pa.table({"query_id": ids[:0], "vec_id": ids[:0], "score": ids[:0]})
-        q, c = _integers(vec.take(pa.array(qi))), _integers(vec.take(pa.array(ci)))
+        q, c = _integers(vec.take(pa.array(qi)), scale), _integers(vec.take(pa.array(ci)), scale)
         best: list = [[] for _ in qi]
         least = [None] * len(qi)
         for at in range(0, len(ci), _STEP):
@@ -92,9 +98,10 @@ def _best(k: int):
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, queries: int = QUERIES, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query picks, the k best of all other rows."""
+    integer_ids(vectors, "vec_id")
     x = F.col("embedding").cast("array<double>")
     good = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v * scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = rows.where(F.col("vec").isNotNull() & good).groupBy("vec_id").agg(F.min(F.struct("vec", "is_query")).alias("r"))
     rows, _ = materialize(rows.select("vec_id", "r.vec", "r.is_query"), "vectors")
     n, m = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
@@ -103,7 +110,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     block = lambda b, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(b)).cast("int")
     left = rows.where("is_query").select("vec_id", "vec", F.lit(True).alias("is_query"), block(qb, 1).alias("q"), every(cb).alias("c"))
     right = rows.select("vec_id", "vec", F.lit(False).alias("is_query"), every(qb).alias("q"), block(cb, 2).alias("c"))
-    part = left.unionByName(right).groupBy("q", "c").applyInArrow(_best(k), "query_id long, vec_id long, score long")
+    part = left.unionByName(right).groupBy("q", "c").applyInArrow(_best(k, scale), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

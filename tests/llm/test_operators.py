@@ -299,23 +299,67 @@ def test_feistel_is_a_bijection(n):
         assert (s != training_order.permute(np.arange(n), n, key=9)).any() and abs(np.corrcoef(s, np.arange(n))[0, 1]) < 0.2
 
 
-def test_training_order(spark, docs, tmp_path):
+def plain_slot(i, n, key=training_order.KEY):
+    """The permutation in Python's integers."""
+    def mixed(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD % 2**64
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 % 2**64
+        return h ^ h >> 33
+
+    half = max(1, ((max(2, n) - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = i >> half, i & (1 << half) - 1
+        for r in range(6):
+            left, right = right, left ^ mixed((right + mixed((r + 1) * (2 * key + 1) % 2**64)) % 2**64) & (1 << half) - 1
+        i = left << half | right
+        if i < n:
+            return i
+
+
+@pytest.mark.parametrize("files,parts", [(2, 4), (3, 1), (7, 5)])
+def test_training_order(spark, tmp_path, files, parts):
+    """Each slot's record against another program, whatever the files and partitions."""
+    length, shard = 64, 50
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows(), SCHEMA).repartition(files).write.parquet(path)
+    docs = spark.read.parquet(path)
     folder = f"file://{tmp_path}/shards"
-    got = sorted(training_order.materialize_order(docs, PATH, folder, length=64, shard=50).collect())
-    n = len(got)
-    assert [r.slot for r in got] == list(range(n)) and all(r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * 128 for r in got)
-    data = training_order.read_from(folder, 0, n, n, 64, 50)
-    assert [hashlib.sha256(x.tobytes()).hexdigest() for x in data] == [r.record_sha256 for r in got]
-    assert (training_order.read_from(folder, 45, n, 10, 64, 50) == data[45:55]).all()
-    c = bpe.codec(PATH)
-    total = sum(len(c.encode(r[1])) + 1 for r in rows())
-    assert total <= data.size < total + 64 * docs.rdd.getNumPartitions()
-    have = np.bincount(data.ravel(), minlength=50257)
-    want = np.bincount(np.concatenate([c.encode(r[1]) for r in rows()]).astype(int), minlength=50257)
-    assert (have[:50256] == want[:50256]).all()
-    owners = {d for r in got for d in r.doc_ids}
-    assert owners == {r[0] for r in rows()}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    df = training_order.materialize_order(docs, PATH, folder, length=length, shard=shard)
+    got = sorted(df.collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    from tokenizers import Tokenizer
+
+    t, stream, owner = Tokenizer.from_file(PATH), [], []
+    for r in docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).orderBy("h").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [50256]
+        stream += ids
+        owner += [r.doc_id] * len(ids)
+    n = -(-len(stream) // length)
+    assert len(got) == n and [r.slot for r in got] == list(range(n)) and all(r.shard == r.slot // shard and r.byte_offset == r.slot % shard * 2 * length for r in got)
+    data = training_order.read_from(folder, 0, n, n, length, shard)
+    for i in range(n):
+        s = plain_slot(i, n)
+        part = stream[i * length : (i + 1) * length]
+        assert data[s].tolist() == part + [50256] * (length - len(part)) and set(got[s].doc_ids) == set(owner[i * length : (i + 1) * length])
+        assert got[s].record_sha256 == hashlib.sha256(data[s].tobytes()).hexdigest()
+    assert (training_order.read_from(folder, 45, n, 10, length, shard) == data[45:55]).all()
+    (tmp_path / "shards" / "_shard-00000000.bin.99").write_bytes(b"left by a failed attempt")
+    assert training_order.finish(spark, folder, spark.createDataFrame(got, df.schema), length, shard) == {"sequences": n, "length": length, "shard": shard, "width": 2}
+    assert sorted(x.name for x in (tmp_path / "shards").iterdir() if not x.name.startswith(".")) == ["manifest.json"] + [f"shard-{k:08d}.bin" for k in range(-(-n // shard))]
+
+
+def test_training_order_edges(spark, docs, tmp_path, monkeypatch):
     assert training_order.materialize_order(empty(spark), PATH, f"file://{tmp_path}/none").count() == 0
+    one = docs.where("doc_id = 3").selectExpr("'a' doc_id", "text")
+    assert [r.doc_ids for r in training_order.materialize_order(one, PATH, f"file://{tmp_path}/one", length=64).collect()] == [["a"]]
+    a = training_order.materialize_order(docs, PATH, f"file://{tmp_path}/a", length=8)
+    monkeypatch.setattr(training_order, "_HELD", 2)
+    b = training_order.materialize_order(docs, PATH, f"file://{tmp_path}/b", length=8)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert "ReusedExchange" in b._jdf.queryExecution().executedPlan().toString()  # the texts are encoded once
 
 
 # 7
@@ -385,6 +429,10 @@ def test_topk(spark):
         got = topk.search(df, F.col("vec_id") % 50 == 0, **blocks).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
+    wide = spark.createDataFrame([(0, [1e306, 1.0]), (1, [1e306, 0.0]), (2, [-1e306, 5.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(wide, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 512 * 256), (2, -(2**63))]
+    with pytest.raises(TypeError):
+        topk.search(wide.withColumn("vec_id", F.lit("x")), F.lit(True))
     big = np.array([[3, 0], [2**40, 1]], dtype=np.int64)
     assert topk.accumulate(big, big).tolist() == [[9, 3 * 2**40], [3 * 2**40, 2**63 - 1]]
 
