@@ -57,6 +57,10 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of an edge list in a task, when it is written; so short lists aren't dealt out over many small files.
+_EDGES = 10_000
+
+
 def _fingerprint(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -77,14 +81,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e, path = materialize(e, "cc")
     seen = _fingerprint(e)
     while seen[0]:
+        tasks = max(8, seen[0] // _EDGES)  # no list of a round is longer than the one it began with
         both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low, p0 = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        low, p0 = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "cc")
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        big, p1 = materialize(big, "cc")
-        low, p2 = materialize(big.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        big, p1 = materialize(big.coalesce(tasks), "cc")
+        low, p2 = materialize(big.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "cc")
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        e, p3 = materialize(small, "cc")
+        e, p3 = materialize(small.coalesce(tasks), "cc")
         remove(spark, path, p0, p1, p2)
         path, now = p3, _fingerprint(e)
         if now == seen:

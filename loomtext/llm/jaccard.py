@@ -43,8 +43,8 @@ RECALL_INSIDE = 1 - 1e-7
 TREES, LEVELS, BITS = 24, 6, 10
 #: Up to so many classes under a node cost nothing when prefixes are shortened.
 CROWD = 64
-#: Shingles in a tile; a task holds two tiles.
-TILE = 1_500_000
+#: Shingles and classes in a tile; a task holds two tiles.
+TILE, CLASSES = 1_500_000, 3_000
 
 _FACTORS = hashing.mix(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -324,10 +324,10 @@ def _links(got: DataFrame, classes: DataFrame, texts: DataFrame, threshold: floa
     star = _stars(forest(reps, threshold, recall), shortest(threshold, recall))
     groups = connected_components(star).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     members, _ = materialize(reps.join(groups, "cls"), "members")
-    weight = members.groupBy("grp").agg(F.sum(F.col("n") + 64).alias("w"))
-    total = weight.agg(F.sum("w")).first()[0] or 0
+    weight = members.groupBy("grp").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
+    total = weight.agg(F.sum(F.col("w") + 64 * F.col("c"))).first()[0] or 0
     bundles = max(1, math.ceil(4 * total / tile))  # small groups share tasks of a quarter of a tile
-    weight = weight.withColumn("tiles", F.ceil(F.col("w") / tile)).drop("w")
+    weight = weight.select("grp", F.ceil(F.greatest(F.col("w") / tile, F.col("c") / CLASSES)).alias("tiles"))
     rows = members.join(weight, "grp")
     rows = rows.withColumn("own", F.when(F.col("tiles") > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(bundles))))
     rows = rows.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("cls"), F.col("tiles"))).otherwise(0).cast("int"))
