@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,10 +56,19 @@ def softmax(x: Column) -> Column:
 
 
 def softmax_over(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """rows with `value` replaced by its softmax over rows that share the columns `by`: any axis of a tensor in long form."""
-    w = Window.partitionBy(*by)
-    e = rows.withColumn(value, F.exp(F.col(value) - F.max(value).over(w)))
-    return e.withColumn(value, F.col(value) / F.sum(value).over(w))
+    """rows with `value` replaced by its softmax over rows that share the columns `by`: any axis of a tensor in long form.
+
+    The maxima and the sums are aggregates, summed up map-side, and joined back: no group's rows need lie in one task. Null keys
+    form a group.
+    """
+
+    def beside(rows: DataFrame, found: DataFrame) -> DataFrame:
+        found = found.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *found.columns[len(by) :])
+        on = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+        return rows.join(found, on).drop(*(f"_by{i}" for i in range(len(by))))
+
+    e = beside(rows, rows.groupBy(*by).agg(F.max(value).alias("_top"))).withColumn(value, F.exp(F.col(value) - F.col("_top"))).drop("_top")
+    return beside(e, e.groupBy(*by).agg(F.sum(value).alias("_sum"))).withColumn(value, F.col(value) / F.col("_sum")).drop("_sum")
 
 
 def sigmoid(v: Column) -> Column:
@@ -95,23 +104,46 @@ def rope(x: Column, position: Column, d: int, theta: float = 10_000.0, longest:
     return let(x, lambda y: let(position, lambda p: turn(y, p)))
 
 
-def attention(q: DataFrame, k: DataFrame, keep: Column, d: int) -> DataFrame:
+#: Keys in a block: what a query meets at once.
+KEYS = 128
+_LEAST = -1.7976931348623157e308
+
+
+def attention(q: DataFrame, k: DataFrame, keep, d: int, before: bool = False, keys: int = KEYS) -> DataFrame:
     """softmax(q k^T / sqrt(d)) v by a join on `b` (batch or batch and head).
 
-    q: (b, q_pos, q); k: (b, k_pos, k, v). keep: which pairs stay; others get the least double, so a row without any is uniform.
-    Result: (b, q_pos, o). Sums are pre-aggregated over the keys by hash, then put together in order of the dimension.
+    q: (b, q_pos, q); k: (b, k_pos, k, v), positions from 0. keep(q_pos, k_pos): which pairs stay; others get the least double, so a row without
+    any is uniform. before: no query needs keys after its own position, which holds for a causal mask if each query is a key too; the join then
+    leaves out blocks that lie behind it. Result: (b, q_pos, o).
+
+    Keys are put into blocks, arrays of `keys` positions, and a query meets a block as a whole: it takes the largest score, the sum of the
+    exponentials and their sum of values, and a query's blocks are put together at the end by their largest score. So vectors are never
+    taken apart, a pair of query and block is one row of bounded size, and long sequences spread over many tasks.
     """
-    least = -1.7976931348623157e308
-    s = q.join(k, "b").withColumn("s", F.when(keep, dot(F.col("q"), F.col("k")) / math.sqrt(d)).otherwise(F.lit(least)))
-    w = Window.partitionBy("b", "q_pos")
-    s = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
-    s = s.withColumn("p", F.col("e") / F.sum("e").over(w)).select("b", "q_pos", "p", F.posexplode("v").alias("j", "v"))
-    o = s.groupBy("b", "q_pos", "j").agg(F.sum(F.col("p") * F.col("v")).alias("o"))
-    return o.groupBy("b", "q_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "o"))), lambda r: r["o"]).alias("o"))
+    block = k.groupBy("b", F.floor(F.col("k_pos") / keys).alias("block")).agg(F.array_sort(F.collect_list(F.struct("k_pos", "k", "v"))).alias("keys"))
+    block = block.withColumnRenamed("b", "_b")
+    on = F.col("b").eqNullSafe(F.col("_b"))
+    met = q.join(block, on & (F.col("block") * keys <= F.col("q_pos")) if before else on).drop("_b")
+    score = lambda x: F.when(keep(F.col("q_pos"), x["k_pos"]), dot(F.col("q"), x["k"]) / math.sqrt(d)).otherwise(F.lit(_LEAST))
+    met = met.select("b", "q_pos", "block", "keys", F.transform("keys", score).alias("s"))
+    met = met.select("b", "q_pos", "block", "keys", "s", F.array_max("s").alias("top"))
+    met = met.select("b", "q_pos", "block", "keys", "top", F.transform("s", lambda v: F.exp(v - F.col("top"))).alias("e"))
+    part = met.select("b", "q_pos", F.struct("block", "top", total(F.col("e")).alias("sum"), _weighted(F.col("e"), F.transform("keys", lambda x: x["v"])).alias("o")).alias("part"))
+    parts = part.groupBy("b", "q_pos").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # a query's blocks, a vector each
+    parts = parts.select("b", "q_pos", "parts", F.array_max(F.transform("parts", lambda p: p["top"])).alias("top"))
+    parts = parts.select("b", "q_pos", "parts", F.transform("parts", lambda p: F.exp(p["top"] - F.col("top"))).alias("w"))
+    parts = parts.select("b", "q_pos", _weighted(F.col("w"), F.transform("parts", lambda p: p["o"])).alias("o"), dot(F.col("w"), F.transform("parts", lambda p: p["sum"])).alias("sum"))
+    return parts.select("b", "q_pos", F.transform("o", lambda v: v / F.col("sum")).alias("o"))
+
+
+def _weighted(w: Column, vectors: Column) -> Column:
+    """The sum of vectors, each times its weight."""
+    zero = F.transform(F.element_at(vectors, 1), lambda v: F.lit(0.0))
+    return F.aggregate(F.arrays_zip(w.alias("w"), vectors.alias("x")), zero, lambda acc, t: F.zip_with(acc, t["x"], lambda a, v: a + t["w"] * v))
 
 
-def causal() -> Column:
-    return F.col("k_pos") <= F.col("q_pos")
+def causal(q_pos: Column, k_pos: Column) -> Column:
+    return k_pos <= q_pos
 
 
 def self_attention(rows: DataFrame, heads: int, d: int, wq, wk, wv, wo, rope_theta: float | None = None, longest: int | None = None) -> DataFrame:
@@ -123,7 +155,7 @@ def self_attention(rows: DataFrame, heads: int, d: int, wq, wk, wv, wo, rope_the
     turn = (lambda c: rope(c, F.col("pos"), h, rope_theta, longest)) if rope_theta else (lambda c: c)
     split = split.select(F.struct("b", "h").alias("b"), "pos", part("q").alias("q"), part("k").alias("k"), part("v").alias("v"))
     split = split.select("b", "pos", turn(F.col("q")).alias("q"), turn(F.col("k")).alias("k"), "v")
-    o = attention(split.select("b", F.col("pos").alias("q_pos"), "q"), split.select("b", F.col("pos").alias("k_pos"), "k", "v"), causal(), h)
+    o = attention(split.select("b", F.col("pos").alias("q_pos"), "q"), split.select("b", F.col("pos").alias("k_pos"), "k", "v"), causal, h, before=True)
     joined = o.groupBy(F.col("b.b").alias("b"), F.col("q_pos").alias("pos")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("b.h").alias("h"), "o"))), lambda r: r["o"])).alias("o"))
     return joined.select("b", "pos", linear(F.col("o"), wo).alias("y"))
 
@@ -140,9 +172,62 @@ def transformer_block(rows: DataFrame, heads: int, d: int, p: dict, rope_theta:
     return x.select("b", "pos", add(F.col("x"), swiglu(rmsnorm(F.col("x"), p["ln2"]), p["w1"], p["w2"], p["w3"])).alias("x"))
 
 
+#: Names of a layer's weights, and other names they go by.
+LAYER = ("ln1.weight", "ln2.weight", "attn.q_proj.weight", "attn.k_proj.weight", "attn.v_proj.weight", "attn.output_proj.weight", "ffn.w1.weight", "ffn.w2.weight", "ffn.w3.weight")
+RENAMED = {"attn.o_proj.weight": "attn.output_proj.weight", "transformer_blocks.": "layers."}
+
+
+def _renamed(name: str) -> str:
+    for old, new in RENAMED.items():
+        if name.startswith(old) and old.endswith(".") or name.endswith(old) and not old.endswith("."):
+            name = name.replace(old, new)
+    return name
+
+
+def block_state(state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights of one block by the parameter names of transformer_block. Strict: names missing, unknown or given twice, and sizes that don't
+    fit together, raise ValueError."""
+    got = _strict(state, LAYER)
+    d = got["ln1.weight"].shape[-1]
+    ff = got["ffn.w1.weight"].shape[0]
+    want = dict.fromkeys(LAYER, (d, d)) | {"ln1.weight": (d,), "ln2.weight": (d,), "ffn.w1.weight": (ff, d), "ffn.w2.weight": (d, ff), "ffn.w3.weight": (ff, d)}
+    _fit(got, want)
+    short = {"attn.q_proj": "wq", "attn.k_proj": "wk", "attn.v_proj": "wv", "attn.output_proj": "wo"}
+    return {short.get(n.removesuffix(".weight"), n.removesuffix(".weight").removeprefix("ffn.")): got[n] for n in LAYER}
+
+
+def lm_state(state: dict[str, np.ndarray], layers: int) -> dict[str, np.ndarray]:
+    """The state of a language model under its usual names; layers may be called transformer_blocks, and output_proj o_proj. Strict, as block_state."""
+    top = ("token_embeddings.weight", "ln_final.weight", "lm_head.weight")
+    got = _strict(state, [*top, *(f"layers.{i}.{n}" for i in range(layers) for n in LAYER)])
+    v, d = got["token_embeddings.weight"].shape
+    _fit(got, {"ln_final.weight": (d,), "lm_head.weight": (v, d)})
+    for i in range(layers):
+        block_state({n: got[f"layers.{i}.{n}"] for n in LAYER})
+        _fit(got, {f"layers.{i}.ln1.weight": (d,)})
+    return got
+
+
+def _strict(state: dict, names) -> dict[str, np.ndarray]:
+    got: dict[str, np.ndarray] = {}
+    for name, w in state.items():
+        if (new := _renamed(name)) in got:
+            raise ValueError(f"{new} is given twice")
+        got[new] = np.asarray(w, dtype=float)
+    if wrong := [f"missing {n}" for n in names if n not in got] + [f"unknown {n}" for n in got if n not in set(names)]:
+        raise ValueError("; ".join(wrong))
+    return got
+
+
+def _fit(got: dict, want: dict) -> None:
+    if wrong := [f"{n} is {got[n].shape}, not {shape}" for n, shape in want.items() if got[n].shape != shape]:
+        raise ValueError("; ".join(wrong))
+
+
 def lm_logits(tokens: DataFrame, state: dict[str, np.ndarray], layers: int, heads: int, theta: float = 10_000.0) -> DataFrame:
     """Transformer LM over rows (b, ids): (b, logits), logits flattened over positions. Whole sequences are computed in
-    Arrow batches, since one is a dense tensor program; state names follow the usual layout."""
+    Arrow batches, since one is a dense tensor program. The state is checked first (lm_state)."""
+    state = lm_state(state, layers)
     shared = tokens.sparkSession.sparkContext.broadcast(state)  # the model's size, not the data's
 
     def run(batches):

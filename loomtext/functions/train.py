@@ -20,9 +20,13 @@ def windows(stream: DataFrame, starts: DataFrame, length: int) -> DataFrame:
 
 
 def get_batch(stream: DataFrame, batch_size: int, length: int, seed: int = 0) -> DataFrame:
-    """Uniform starts in [0, n - length), by a seeded hash of the sample number; the same seed gives the same batch."""
+    """Uniform starts in [0, n - length), by a seeded digest of the sample number; the same seed gives the same batch. A stream of `length`
+    tokens or fewer has no window and raises ValueError."""
     n = stream.count()
-    starts = stream.sparkSession.range(batch_size).select(F.col("id").alias("sample_id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n - length)).alias("start"))
+    if n <= length:
+        raise ValueError(f"a stream of {n} tokens has no window of {length} and its successor")
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    starts = stream.sparkSession.range(batch_size).select(F.col("id").alias("sample_id"), (number % (n - length)).alias("start"))
     return windows(stream, starts, length)
 
 

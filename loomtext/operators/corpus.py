@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.sources.files import scratch
+from loomtext.operators.tokenizer import Tokenizer
+from loomtext.sources import files
 
 
 def split_documents(corpus: DataFrame, text: str = "text", delimiter: str = T.END, key: str = "corpus_id") -> DataFrame:
@@ -21,7 +22,9 @@ def sample_documents(docs: DataFrame, n: int, seed: int = 42, key: str = "doc_id
 
 
 def compression_ratio(sizes: DataFrame, *by: str) -> DataFrame:
-    """Pooled bytes per token of (n_bytes, n_tokens) rows; 0 without tokens."""
+    """Pooled bytes per token of (n_bytes, n_tokens) rows; 0 without tokens. Rows with null n_tokens, of texts that can't be tokenized, are
+    left out."""
+    sizes = sizes.where("n_tokens is not null")
     ratio = F.coalesce(F.try_divide(F.sum("n_bytes"), F.sum("n_tokens")), F.lit(0.0))
     return sizes.groupBy(*by).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"), F.round(ratio, 6).alias("ratio"))
 
@@ -31,12 +34,6 @@ def longest_token(vocab: DataFrame) -> DataFrame:
     return vocab.select("token_id", F.hex("token").alias("token"), F.octet_length("token").alias("n_bytes")).orderBy(F.desc("n_bytes"), "token_id").limit(1)
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
-    folder = scratch(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
 def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", blocks: int | None = None) -> DataFrame:
     """sizes with `start`, the position of a document's first token in the stream ordered by key (null first).
 
@@ -46,14 +43,30 @@ def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", b
     """
     spark = sizes.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _stored(_stored(sizes, "sizes").repartitionByRange(blocks, key).withColumn("_block", F.spark_partition_id()), "blocks")
+    dealt = files.stored(files.stored(sizes, "sizes").repartitionByRange(blocks, key).withColumn("_block", F.spark_partition_id()), "blocks")
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     heads = dealt.groupBy("_block").agg(F.sum(n).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"))
-    inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ties = F.xxhash64(*(c for c in sizes.columns if c != key))  # rows equal in all columns can be exchanged
+    inside = Window.partitionBy("_block").orderBy(key, ties).rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
     return dealt.join(F.broadcast(heads), "_block").withColumn("start", F.col("_head") + F.col("_in")).drop("_block", "_head", "_in")
 
 
+def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", most: int = 1 << 16, unknown: str = "raise") -> int:
+    """Encode all texts and write their tokens below `path` as one stream (pos, token_id), in order of the key. Returns the number of tokens.
+
+    Texts are encoded once; the order and the places come from their numbers of tokens alone. Arrays, not single tokens, are dealt to the
+    writers, by their place, so each file holds a run of the stream. An id of `most` or more raises.
+    """
+    ids = tokenizer.encode(docs, key, text, unknown).where(F.size("ids") > 0)
+    rows = stream_offsets(ids.withColumn("n_tokens", F.size("ids").cast("long")), key)
+    bad = F.raise_error(F.lit("token id out of range")).cast("int")
+    rows = rows.repartitionByRange("start").sortWithinPartitions("start").select("start", F.posexplode("ids").alias("i", "token_id"))
+    rows = rows.select((F.col("start") + F.col("i")).alias("pos"), F.when((F.col("token_id") >= 0) & (F.col("token_id") < most), F.col("token_id")).otherwise(bad).alias("token_id"))
+    rows.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path).count()
+
+
 def chunk_boundaries(corpus: Column, chunks: int, delimiter: str = T.END) -> Column:
     """Sorted distinct character offsets that cut a text into up to `chunks` parts, each cut at the first delimiter not
     before a uniform guess, or at the end."""

@@ -18,14 +18,30 @@ def in_order(merges: list[tuple[bytes, bytes]]) -> bool:
 
 
 def encode_word(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    """Merge the leftmost of the lowest-ranked neighbours until none has a rank."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get((parts[k], parts[k + 1]), 1 << 60), k) for k in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
+    """Merge the leftmost of the lowest-ranked neighbours until none has a rank.
+
+    A heap holds the ranks of neighbours over a linked list of symbols, so a word of n bytes takes about n log n steps. Entries
+    whose symbols have changed since are skipped.
+    """
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank, i) for i in range(n - 1) if (rank := ranks.get((parts[i], parts[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= n or ranks.get((parts[i], parts[j])) != rank:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (rank := ranks.get((parts[i], parts[k]))) is not None:
+                heapq.heappush(heap, (rank, i))
+        if (h := before[i]) >= 0 and (rank := ranks.get((parts[h], parts[i]))) is not None:
+            heapq.heappush(heap, (rank, h))
+    return [p for p in parts if p is not None]
 
 
 class _Larger(tuple):
@@ -37,73 +53,85 @@ class _Larger(tuple):
         return tuple.__gt__(self, other)
 
 
-def _first_pairs(words: list[bytes], weight: list[int]) -> tuple[dict, dict]:
-    """For each adjacent pair of bytes its weighted count and the indices of the words that hold it."""
-    size = np.array([len(w) for w in words], dtype=np.int64)
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(words)), size)
-    at = np.flatnonzero(owner[1:] == owner[:-1])
-    if not len(at):
-        return {}, {}
-    code = data[at].astype(np.int64) << 8 | data[at + 1]
+def _grouped(code: np.ndarray, *values: np.ndarray):
+    """Distinct codes, where each begins, and the values, all in order of the codes."""
     order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[at[order]]
-    starts = np.flatnonzero(np.diff(code, prepend=-1))
-    total = np.add.reduceat(np.array(weight, dtype=np.int64)[owner], starts).tolist()
-    pairs = [(c >> 8, c & 255) for c in code[starts].tolist()]
-    return dict(zip(pairs, total, strict=True)), {p: set(x.tolist()) for p, x in zip(pairs, np.split(owner, starts[1:]), strict=True)}
+    code = code[order]
+    starts = np.flatnonzero(np.diff(code, prepend=code[:1] - 1))
+    return code[starts].tolist(), starts, [v[order] for v in values]
 
 
 def train(counts: dict[bytes, int], n: int) -> list[tuple[bytes, bytes]]:
     """Up to n merges: always the most frequent pair, of equal ones the greatest in byte order.
 
-    Only words that may hold the pair are read again, and only pairs beside a merge are counted anew: each boundary between two
-    symbols is compared before and after, so runs such as "abab" are exact. Heap entries are checked when they come up.
+    All words lie in one array of symbols, linked to the next and the previous one; each pair has the positions where it has been seen, of
+    which those that still hold it are merged at once. Only the links beside a merge are counted anew, each before and after it, so runs such
+    as "abab" are exact; of "aaa" the left two are merged. Heap entries are checked when they come up. It takes about 40 bytes of
+    memory for each byte of the distinct words.
     """
-    weight = list(counts.values())
-    words = [list(w) for w in counts]  # symbol numbers; equal bytes have one number
-    names = [bytes([i]) for i in range(256)]
+    size = np.fromiter(map(len, counts), dtype=np.int64, count=len(counts))
+    data = np.frombuffer(b"".join(counts), dtype=np.uint8)
+    end = len(data)  # stands for "none"
+    kind = np.int32 if end < 2**31 - 1 else np.int64
+    symbol = np.append(data.astype(np.int32), -1)
+    after, before = np.append(np.arange(1, end + 1, dtype=kind), end), np.append(np.arange(-1, end - 1, dtype=kind), end)
+    edge = np.cumsum(size)
+    after[edge[size > 0] - 1] = end
+    before[(edge - size)[size > 0]] = end
+    weight = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), size)
+    names = [bytes([i]) for i in range(256)]  # of symbols; equal bytes have one number
     number = {s: i for i, s in enumerate(names)}
-    total, where = _first_pairs(list(counts), weight)
-    heap = [(-c, _Larger((names[p[0]], names[p[1]])), p) for p, c in total.items()]
+    total: dict[int, int] = {}
+    where: dict[int, list[np.ndarray]] = {}
+
+    def pairs(at: np.ndarray) -> np.ndarray:
+        return symbol[at].astype(np.int64) << 32 | symbol[after[at]]
+
+    def add(at: np.ndarray) -> list[int]:
+        if not len(at):
+            return []
+        found, starts, (at, w) = _grouped(pairs(at), at, weight[at])
+        for code, c, p in zip(found, np.add.reduceat(w, starts).tolist(), np.split(at, starts[1:]), strict=True):
+            total[code] = total.get(code, 0) + c
+            where.setdefault(code, []).append(p)
+        return found
+
+    def key(code: int) -> _Larger:
+        return _Larger((names[code >> 32], names[code & 0xFFFFFFFF]))
+
+    heap = [(-total[code], key(code), code) for code in add(np.flatnonzero(after[:end] < end).astype(kind))]
     heapq.heapify(heap)
     out: list[tuple[bytes, bytes]] = []
     while heap and len(out) < n:
-        c, top, pair = heapq.heappop(heap)
-        now = total.get(pair, 0)
-        if now <= 0:
-            continue
-        if now != -c:
-            if now < -c:  # it has shrunk since; growth was pushed when it happened
-                heapq.heappush(heap, (-now, top, pair))
+        c, top, code = heapq.heappop(heap)
+        now = total.get(code, 0)
+        if now != -c or now <= 0:
+            if 0 < now < -c:  # it has shrunk since; growth was pushed when it happened
+                heapq.heappush(heap, (-now, top, code))
             continue
         out.append(tuple(top))
-        a, b = pair
         both = top[0] + top[1]
         if both not in number:
             number[both] = len(names)
             names.append(both)
-        merged, grown = number[both], set()
-        for k in where.pop(pair):
-            old, new, f, i, last = words[k], [], weight[k], 0, -1
-            while i < len(old):
-                s = old[i]
-                hit = s == a and i + 1 < len(old) and old[i + 1] == b
-                x = merged if hit else s
-                if new and (last != new[-1] or hit):
-                    total[last, s] -= f
-                    p = new[-1], x
-                    total[p] = total.get(p, 0) + f
-                    where.setdefault(p, set()).add(k)
-                    grown.add(p)
-                if hit:
-                    total[pair] -= f
-                    i += 1
-                new.append(x)
-                last = old[i]
-                i += 1
-            words[k] = new
-        for p in grown:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], _Larger((names[p[0]], names[p[1]])), p))
+        a, b = code >> 32, code & 0xFFFFFFFF
+        left = np.unique(np.concatenate(where.pop(code)))
+        left = left[(symbol[left] == a) & (symbol[after[left]] == b)]
+        if a == b:  # every second one of a run
+            i = np.arange(len(left))
+            begins = np.concatenate([[True], left[1:] != after[left[:-1]]])
+            left = left[(i - np.maximum.accumulate(np.where(begins, i, 0))) % 2 == 0]
+        right = after[left]
+        beyond = after[right]
+        old = np.concatenate([before[left], left, right[beyond < end]])
+        old = np.unique(old[old < end])
+        found, starts, (w,) = _grouped(pairs(old), weight[old])
+        for x, gone in zip(found, np.add.reduceat(w, starts).tolist(), strict=True):
+            total[x] -= gone
+        symbol[left], symbol[right], after[left] = number[both], -2, beyond
+        before[beyond[beyond < end]] = left[beyond < end]
+        new = np.concatenate([before[left], left[beyond < end]])
+        for x in add(np.unique(new[new < end])):
+            if total[x] > 0:
+                heapq.heappush(heap, (-total[x], key(x), x))
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
 from loomtext.sources import files
+from loomtext.sources.arrow import by_bytes
 
 #: Up to so many merges run as one SQL expression over distinct pre-tokens; more run in Arrow batches.
 EXPRESSION_MERGES = 512
@@ -30,7 +31,8 @@ class Tokenizer:
 
     @classmethod
     def from_files(cls, vocab_path: str, merges_path: str, special_tokens: list[str] | None = None) -> Tokenizer:
-        return cls(files.read_vocab(vocab_path), files.read_merges(merges_path), special_tokens)
+        """Of a vocabulary file of either form (files.read_vocab); the merge list is read in the same form."""
+        return cls(files.read_vocab(vocab_path), files.read_merges(merges_path, files.is_byte_level(vocab_path)), special_tokens)
 
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         """(token_id, token)."""
@@ -45,49 +47,68 @@ class Tokenizer:
         ranks = distinct.sparkSession.sparkContext.broadcast(self.ranks)  # bounded by the vocabulary
 
         def run(batches):
-            for b in batches:
+            for b in by_bytes(batches, 0):
                 got = ["".join(f"<{s.hex().upper()}>" for s in M.encode_word(w.encode(), ranks.value)) for w in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["pretoken", "word"])
 
         return distinct.mapInArrow(run, "pretoken string, word string")
 
-    def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, ids): Arrow batches, each worker keeping the ids of pre-tokens it has met. No shuffle.
+    def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise") -> DataFrame:
+        """(key, ids): Arrow batches, bounded in bytes, each worker keeping the ids of pre-tokens it has met. No shuffle.
 
-        An unknown symbol raises KeyError; null text gives null, empty text no ids.
+        A text with a symbol that the vocabulary lacks raises, or with unknown="null" gives null. Null text gives null, empty text no ids.
         """
-        me = docs.sparkSession.sparkContext.broadcast((self.ids, self.ranks, self.specials))
+        me = docs.sparkSession.sparkContext.broadcast((self.ids, self.ranks, self.specials))  # bounded by the vocabulary
+        skip = _skips(unknown)
 
         def run(batches):
             ids, ranks, specials = me.value
             encode = text_encoder(ids, ranks, specials)
-            for b in batches:
-                got = [None if t is None else encode(t) for t in b.column(1).to_pylist()]
+
+            def one(t):
+                try:
+                    return None if t is None else encode(t)
+                except UnknownSymbol:
+                    if skip:
+                        return None
+                    raise
+
+            for b in by_bytes(batches, 1):
+                got = [one(t) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=[key, "ids"])
 
         return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>")
 
-    def encode_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, pos, token_id) for every token, by joins only: pre-tokens, each distinct one merged once, then looked up."""
+    def encode_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", frequent: int = 2_000) -> DataFrame:
+        """(key, seg, tok, part, token_id, token) for every token, by joins only: pre-tokens, each distinct one merged once, then looked up.
+
+        A few pre-tokens make up much of any text, and a join on them would send each to one task. So the `frequent` most counted ones, a fixed
+        number, are broadcast, and only the rest is shuffled. A symbol that the vocabulary lacks raises, or with unknown="null" has a null id.
+        """
         seg = docs.select(key, F.posexplode(T.split_special(F.col(text), self.specials)).alias("seg", "s"))
         special = F.col("s").isin(*self.specials) if self.specials else F.lit(False)
         tok = seg.select(key, "seg", special.alias("special"), F.posexplode(F.when(special, F.array("s")).otherwise(T.pretokenize(F.col("s")))).alias("tok", "pretoken"))
-        found = self.words(tok.where("not special")).select("pretoken", T.symbol_list(F.col("word")).alias("parts"))
-        joined = tok.join(found, "pretoken", "left").withColumn("parts", F.when(F.col("special"), F.array(F.hex(F.encode("pretoken", "UTF-8")))).otherwise(F.col("parts")))
-        parts = joined.select(key, "seg", "tok", F.posexplode("parts").alias("part", "token"))
+        counts = tok.where("not special").groupBy("pretoken").agg(F.count("*").alias("n"))
+        found = self.words(counts.select("pretoken")).join(counts, "pretoken").select("pretoken", "n", T.symbol_list(F.col("word")).alias("parts"))
+        found = files.stored(found, "words")
+        top = found.orderBy(F.desc("n"), "pretoken").limit(frequent).select("pretoken", F.col("parts").alias("near"))
+        bytes_of = F.array(F.hex(F.encode("pretoken", "UTF-8")))
+        near = tok.join(F.broadcast(top), "pretoken", "left").withColumn("near", F.when(F.col("special"), bytes_of).otherwise(F.col("near")))
+        far = near.where("near is null").drop("near").join(found.select("pretoken", F.col("parts").alias("near")), "pretoken", "left")
+        joined = near.where("near is not null").unionByName(far)
+        parts = joined.select(key, "seg", "tok", F.posexplode("near").alias("part", "token"))
         ids = self.vocabulary(docs.sparkSession).select("token_id", F.hex("token").alias("token"))
-        return parts.join(F.broadcast(ids), "token", "left").select(key, "seg", "tok", "part", "token_id", "token")
+        token_id = F.col("token_id") if _skips(unknown) else F.coalesce("token_id", F.raise_error(F.concat(F.lit("symbol not in the vocabulary: "), F.col("token"))).cast("int"))
+        return parts.join(F.broadcast(ids), "token", "left").select(key, "seg", "tok", "part", token_id.alias("token_id"), "token")
 
     def decode(self, df: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-        """(key, text): bytes of all ids joined, then read as UTF-8 with replacement. Unknown ids raise."""
-        table = F.create_map(*(x for i, t in sorted(self.vocab.items()) for x in (F.lit(i), F.lit(t.hex().upper())))) if len(self.vocab) <= EXPRESSION_MERGES else None
-        if table is not None:
-            return df.select(key, T.text_of_hex(F.concat_ws("", F.transform(ids, lambda i: F.element_at(table, i)))).alias("text"))
-        vocab = df.sparkSession.sparkContext.broadcast(self.vocab)
+        """(key, text): bytes of all ids joined, then read as UTF-8 with replacement. Null ids give null; an id that the vocabulary lacks, or a
+        null one among others, raises ValueError."""
+        vocab = df.sparkSession.sparkContext.broadcast(self.vocab)  # bounded by the vocabulary
 
         def run(batches: Iterator[pa.RecordBatch]):
             for b in batches:
-                got = [None if x is None else b"".join(map(vocab.value.__getitem__, x)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+                got = [None if x is None else _joined(vocab.value, x) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=[key, "text"])
 
         return df.select(key, ids).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, text string")
@@ -102,7 +123,25 @@ class Tokenizer:
             yield from encode(t)
 
     def decode_ids(self, ids: list[int]) -> str:
-        return b"".join(self.vocab[i] for i in ids).decode("utf-8", "replace")
+        """An id that the vocabulary lacks raises ValueError."""
+        return _joined(self.vocab, ids)
+
+
+class UnknownSymbol(KeyError):
+    """A symbol that the vocabulary lacks."""
+
+
+def _skips(unknown: str) -> bool:
+    if unknown not in ("raise", "null"):
+        raise ValueError("unknown must be raise or null")
+    return unknown == "null"
+
+
+def _joined(vocab: dict[int, bytes], ids: list[int]) -> str:
+    try:
+        return b"".join(map(vocab.__getitem__, ids)).decode("utf-8", "replace")
+    except KeyError as e:
+        raise ValueError(f"token id not in the vocabulary: {e.args[0]}") from None
 
 
 def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = 500_000):
@@ -124,7 +163,10 @@ def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
             for p in pattern.findall(part):
                 got = known.get(p)
                 if got is None:
-                    got = [ids[x] for x in M.encode_word(p.encode(), ranks)]
+                    try:
+                        got = [ids[x] for x in M.encode_word(p.encode(), ranks)]
+                    except KeyError as e:
+                        raise UnknownSymbol(*e.args) from None
                     if len(known) >= most:
                         known.clear()
                     known[p] = got

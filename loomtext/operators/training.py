@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
-from loomtext.sources.files import read_corpus, scratch
+from loomtext.sources import files
 
 
 def pretoken_counts(docs: DataFrame, specials: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -51,36 +51,62 @@ def base_vocabulary(spark: SparkSession, specials: list[str] | None = None) -> D
     return base.unionByName(spark.createDataFrame([(256 + i, s.encode()) for i, s in enumerate(specials)], "token_id int, token binary"))
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    folder = scratch(rows.sparkSession, "counts")
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+#: Bytes of distinct words that the driver trains on; it takes some 40 times as much memory for them.
+MOST_BYTES = 64 << 20
+#: Pairs looked at for the merges of one distributed job, and jobs between two times that the words are stored.
+LOOK, STORE = 256, 8
 
 
-def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_words: int = 20_000_000) -> list[tuple[bytes, bytes]]:
+def independent(pairs: list[tuple[str, str, int]], known: set[str], complete: bool) -> list[tuple[str, str]]:
+    """Of the most frequent pairs (left, right, count), in order, the first ones that are the next merges for sure.
+
+    A pair is, if it shares no symbol with the merges before it, which then leave its count alone, and if no pair that shares one, now or
+    once they are made, can come up to its count. A merge whose symbol exists already ends the list, as it may raise other pairs. complete:
+    whether the pairs are all there are.
+    """
+    out: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for i, (a, b, c) in enumerate(pairs):
+        if used & {a, b}:
+            break
+        if out:
+            ties = [p for p in pairs[i + 1 :] if p[2] == c]
+            if any(used & {x, y} for x, y, _ in ties) or not complete and pairs[-1][2] == c:
+                break
+        out.append((a, b))
+        used |= {a, b}
+        if a + b in known:
+            break
+        known.add(a + b)
+    return out
+
+
+def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_bytes: int = MOST_BYTES) -> list[tuple[bytes, bytes]]:
     """Up to n merges of counted pre-tokens.
 
-    local: the distinct words, up to `most_words`, are trained on by the driver after Spark has counted them.
-    iterative: words stay distributed; each merge is a job over them, with the rewritten words stored every 16 merges.
+    local: distinct words of up to `most_bytes` bytes are trained on by the driver after Spark has counted them; more stay distributed.
+    iterative: words stay distributed; each job counts the pairs and makes all merges that are sure to be next, and the rewritten words are
+    stored now and then.
     """
     if strategy == "local":
-        counts = _stored(counts)  # counted once, then read twice
-        k = counts.count()
-        if k <= most_words:
+        counts = files.stored(counts, "counts")  # counted once, then read twice
+        size = counts.agg(F.sum(F.octet_length("pretoken"))).first()[0] or 0
+        if size <= most_bytes:
             got = counts.toArrow()
             return M.train(dict(zip((w.encode() for w in got.column(0).to_pylist()), got.column(1).to_pylist(), strict=True)), n)
-        warnings.warn(f"{k} distinct words: training stays distributed", stacklevel=2)
-    folder = scratch(counts.sparkSession, "train")
-    at, out = words(counts), []
-    for i in range(n):
-        if i % 16 == 0:
-            at.write.parquet(f"{folder}/{i}")
-            at = counts.sparkSession.read.schema(at.schema).parquet(f"{folder}/{i}")
-        top = top_pairs(pair_counts(at)).first()
-        if top is None:
+        warnings.warn(f"{size} bytes of distinct words: training stays distributed", stacklevel=2)
+    at, out, known, jobs = files.stored(words(counts), "train"), [], set(), 0
+    while len(out) < n:
+        top = [tuple(r) for r in top_pairs(pair_counts(at), LOOK).collect()]
+        merges = independent(top, known, len(top) < LOOK)[: n - len(out)]
+        if not merges:
             break
-        out.append((bytes.fromhex(top.l), bytes.fromhex(top.r)))
-        at = merge(at, top.l, top.r)
+        for a, b in merges:
+            at = merge(at, a, b)
+            out.append((bytes.fromhex(a), bytes.fromhex(b)))
+        jobs += 1
+        if jobs % STORE == 0:
+            at = files.stored(at, "train")
     return out
 
 
@@ -98,4 +124,26 @@ def train_bpe(docs: DataFrame, vocab_size: int, specials: list[str] | None = Non
 
 def train_bpe_file(spark: SparkSession, path: str, vocab_size: int, specials: list[str] | None = None, strategy: str = "local"):
     """train_bpe on text files, read in splits that end at a special token."""
-    return train_bpe(read_corpus(spark, path, specials), vocab_size, specials, strategy)
+    return train_bpe(files.read_corpus(spark, path, specials), vocab_size, specials, strategy)
+
+
+def main(args: list[str] | None = None) -> None:
+    """python -m loomtext.operators.training CORPUS SIZE FOLDER: trains on text files, saves the tokenizer as Parquet and prints the seconds."""
+    import argparse
+    import time
+
+    p = argparse.ArgumentParser(description="Train a byte-level BPE tokenizer on text files.")
+    p.add_argument("corpus", help="a file, folder or pattern that Spark reads")
+    p.add_argument("size", type=int, help="entries of the vocabulary")
+    p.add_argument("folder", help="where the tokenizer is saved")
+    p.add_argument("--special", action="append", default=None, help="a special token; may be repeated (default: %(default)s)")
+    p.add_argument("--strategy", choices=("local", "iterative"), default="local")
+    a = p.parse_args(args)
+    spark, began = SparkSession.builder.getOrCreate(), time.perf_counter()
+    vocab, merges = train_bpe_file(spark, a.corpus, a.size, a.special or [T.END], a.strategy)
+    files.save_tokenizer(spark, a.folder, vocab, merges)
+    print(f"{len(vocab)} entries, {len(merges)} merges, {time.perf_counter() - began:.1f} s")
+
+
+if __name__ == "__main__":
+    main()

@@ -165,11 +165,21 @@ def bpe_vocab_k(spark, d):
     return spark.createDataFrame([(i, t.hex().upper()) for i, t in vocab.items()], "token_id int, token string")
 
 
+def _trained(spark, d, size: int, strategy: str = "local"):
+    vocab, _ = training.train_bpe(read(spark, d, "documents"), size, [T.END], strategy)
+    return spark.createDataFrame([(i, t.hex().upper()) for i, t in vocab.items()], "token_id int, token string")
+
+
 @query()
 def bpe_vocab_500(spark, d):
-    """A vocabulary of the size the reference's test trains, 243 merges: more rounds than SQL can be unrolled to."""
-    vocab, _ = training.train_bpe(read(spark, d, "documents"), VOCAB_SIZE, [T.END])
-    return spark.createDataFrame([(i, t.hex().upper()) for i, t in vocab.items()], "token_id int, token string")
+    """243 merges: more rounds than SQL can be unrolled to."""
+    return _trained(spark, d, VOCAB_SIZE)
+
+
+@query()
+def bpe_vocab_10000(spark, d):
+    """A vocabulary of production size."""
+    return _trained(spark, d, 10_000)
 
 
 @query(f"SELECT replace(word, '<20><74>', '<2074>') AS word, n FROM {_SQL_WORDS}")
@@ -198,25 +208,38 @@ def sql_encoded(table: str, key: str, text: str = "text") -> str:
 _IDS = "array_to_string(list(token_id ORDER BY pos), ',')"
 
 
-@query(f"SELECT doc_id, count(*) AS n_tokens, md5({_IDS}) AS digest FROM ({sql_encoded('documents', 'doc_id')}) GROUP BY doc_id")
+def sql_digests(table: str, key: str) -> str:
+    """Every row of table, those without tokens with the digest of the empty list."""
+    return f"""SELECT {key}, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(digest, md5('')) AS digest FROM {table}
+  LEFT JOIN (SELECT {key}, count(*) AS n_tokens, md5({_IDS}) AS digest FROM ({sql_encoded(table, key)}) GROUP BY {key}) USING ({key})"""
+
+
+def digests(got: DataFrame, key: str) -> DataFrame:
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    return got.select(key, F.size(ids).cast("long").alias("n_tokens"), F.md5(F.array_join(ids, ",")).alias("digest"))
+
+
+@query(sql_digests("documents", "doc_id"))
 def encode_docs(spark, d):
-    got = book().encode(read(spark, d, "documents"))
-    return got.where(F.size("ids") > 0).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+    return digests(book().encode(read(spark, d, "documents")), "doc_id")
 
 
-@query(f"SELECT doc_id, count(*) AS n_tokens, md5({_IDS}) AS digest FROM ({sql_encoded('documents', 'doc_id')}) GROUP BY doc_id")
+@query(sql_digests("documents", "doc_id"))
 def encode_docs_relational(spark, d):
-    got = book().encode_relational(read(spark, d, "documents"))
+    docs = read(spark, d, "documents")
+    got = book().encode_relational(docs)
     row = F.array_sort(F.collect_list(F.struct("seg", "tok", "part", "token_id")))
-    got = got.groupBy("doc_id").agg(row.alias("t"))
-    return got.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("t", lambda r: r["token_id"].cast("string")), ",")).alias("digest"))
+    got = got.groupBy("doc_id").agg(F.transform(row, lambda r: r["token_id"]).alias("ids"))
+    return digests(docs.select("doc_id").join(got, "doc_id", "left"), "doc_id")
+
 
+_LINES = "(SELECT conv_id * 1000000 + turn AS line_id, text FROM conversations)"
 
-@query(f"SELECT line_id, count(*) AS n_tokens, md5({_IDS}) AS digest FROM ({sql_encoded('(SELECT conv_id * 1000000 + turn AS line_id, text FROM conversations)', 'line_id')}) GROUP BY line_id")
+
+@query(sql_digests(_LINES, "line_id"))
 def encode_lines(spark, d):
     lines = read(spark, d, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("line_id"), "text")
-    got = book().encode(lines, "line_id").where(F.size("ids") > 0)
-    return got.select("line_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+    return digests(book().encode(lines, "line_id"), "line_id")
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -310,6 +333,24 @@ def token_stream(spark, d):
     return corpus.stream_offsets(_sizes(spark, d).select("doc_id", "n_tokens"))
 
 
+@query(f"""SELECT pos // 4096 AS block, count(*) AS n_tokens, md5({_IDS}) AS digest FROM (SELECT (row_number() OVER (ORDER BY doc_id, pos) - 1)::BIGINT AS pos, token_id
+  FROM ({sql_encoded('documents', 'doc_id')})) GROUP BY 1""")
+def encode_dataset(spark, d):
+    """The stream as written, by blocks of 4,096 positions."""
+    path = files.scratch(spark, "stream")
+    corpus.encode_dataset(read(spark, d, "documents"), book(), path)
+    rows = spark.read.parquet(path).groupBy(F.floor(F.col("pos") / 4096).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
+    return rows.select("block", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("t", lambda r: r["token_id"].cast("string")), ",")).alias("digest"))
+
+
+@query(f"SELECT {_RATIO} FROM ({_SQL_SIZES}) JOIN documents USING (doc_id) WHERE octet_length(encode(text)) = length(text)")
+def compression_of_tokenizable(spark, d):
+    """Against a vocabulary without the bytes from 128 on: documents that need one are left out."""
+    docs, small = read(spark, d, "documents"), tokenizer.Tokenizer(dict(_ASCII), MERGES)
+    ids = small.encode(docs, unknown="null").select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_tokens"))
+    return corpus.compression_ratio(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).join(ids, "doc_id"))
+
+
 # ---- vectors -------------------------------------------------------------------------------------------------------
 D, OUT, HEADS, GROUP = 64, 8, 4, 16
 
@@ -360,7 +401,8 @@ vector_query("silu", lambda: nn.silu(F.col("x")), _SILU.format("x"))
 vector_query("softmax", lambda: nn.softmax(F.col("x")), "list_transform(x, lambda v: exp(v - list_max(x)) / list_sum(list_transform(x, lambda q: exp(q - list_max(x)))))")
 vector_query("rmsnorm", lambda: nn.rmsnorm(F.col("x"), LN), _NORM.format(_LN_SQL))
 vector_query("linear", lambda: nn.linear(F.col("x"), W1), sql_linear("x", W1))
-vector_query("swiglu", lambda: nn.swiglu(F.col("x"), W1, W2, W3), sql_linear(f"list_transform(list_zip({_SILU.format(sql_linear('x', W1))}, {sql_linear('x', W3)}), lambda p: p[1] * p[2])", W2))
+_SWIGLU = sql_linear(f"list_transform(list_zip({_SILU.format(sql_linear('x', W1))}, {sql_linear('x', W3)}), lambda p: p[1] * p[2])", W2)
+vector_query("swiglu", lambda: nn.swiglu(F.col("x"), W1, W2, W3), _SWIGLU)
 
 
 def sql_rope(x: str, pos: str, n: int) -> str:
@@ -378,10 +420,11 @@ def softmax_axis0(spark, d):
     return nn.softmax_over(rows, "v", "label", "j").select("label", "vec_id", F.col("j").cast("long").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(sql_flat(f"SELECT doc_id, x AS y FROM documents JOIN {_V} ON vec_id = doc_id * 7 % 500", "doc_id"))
+@query(sql_flat(f"SELECT doc_id, x AS y FROM documents JOIN {_V} ON vec_id = doc_id * 7 % (SELECT count(*) FROM embeddings)", "doc_id"))
 def embedding_lookup(spark, d):
-    ids = read(spark, d, "documents").select("doc_id", (F.col("doc_id") * 7 % 500).alias("vec_id"))
-    return flat(nn.embedding(ids, vectors(spark, d), "vec_id"), "doc_id", y="x")
+    table = vectors(spark, d)
+    ids = read(spark, d, "documents").select("doc_id", (F.col("doc_id") * 7 % table.count()).alias("vec_id"))
+    return flat(nn.embedding(ids, table, "vec_id"), "doc_id", y="x")
 
 
 def sql_attention(rows: str, keep: str, d: int) -> str:
@@ -406,35 +449,43 @@ def _attend(spark, d, keep):
 
 @query(sql_flat(sql_attention(_QKV, "c.pos <= a.pos", D), "b, pos"))
 def attention(spark, d):
-    return flat(_attend(spark, d, nn.causal()).withColumnRenamed("q_pos", "pos"), "b", "pos", y="o")
+    return flat(_attend(spark, d, nn.causal).withColumnRenamed("q_pos", "pos"), "b", "pos", y="o")
 
 
 @query(sql_flat(sql_attention(_QKV, "a.pos <> 3 AND (a.pos + c.pos) % 3 <> 0", D), "b, pos"))
 def attention_masked(spark, d):
     """Row 3 of each group masks all keys: its weights are uniform."""
-    keep = (F.col("q_pos") != 3) & ((F.col("q_pos") + F.col("k_pos")) % 3 != 0)
+    keep = lambda q_pos, k_pos: (q_pos != 3) & ((q_pos + k_pos) % 3 != 0)
     return flat(_attend(spark, d, keep).withColumnRenamed("q_pos", "pos"), "b", "pos", y="o")
 
 
-def sql_heads(turn: bool) -> str:
+def sql_heads(turn: bool, source: str = _V) -> str:
+    """WITH part and rows (b, pos, y)."""
     h = D // HEADS
     r = (lambda c: sql_rope(c, "pos", h)) if turn else (lambda c: c)
-    rows = f"(SELECT b, pos, {r('q')} AS q, {r('k')} AS k, v FROM (SELECT b * {HEADS} + hd AS b, pos, q[hd * {h} + 1:hd * {h} + {h}] AS q, k[hd * {h} + 1:hd * {h} + {h}] AS k, v[hd * {h} + 1:hd * {h} + {h}] AS v FROM (SELECT vec_id // {GROUP} AS b, vec_id % {GROUP} AS pos, {sql_linear('x', WQ)} AS q, {sql_linear('x', WK)} AS k, {sql_linear('x', WV)} AS v FROM {_V}), range({HEADS}) AS hh(hd)))"
+    rows = f"(SELECT b, pos, {r('q')} AS q, {r('k')} AS k, v FROM (SELECT b * {HEADS} + hd AS b, pos, q[hd * {h} + 1:hd * {h} + {h}] AS q, k[hd * {h} + 1:hd * {h} + {h}] AS k, v[hd * {h} + 1:hd * {h} + {h}] AS v FROM (SELECT vec_id // {GROUP} AS b, vec_id % {GROUP} AS pos, {sql_linear('x', WQ)} AS q, {sql_linear('x', WK)} AS k, {sql_linear('x', WV)} AS v FROM {source}), range({HEADS}) AS hh(hd)))"
     joined = f"SELECT b // {HEADS} AS b, pos, flatten(list(y ORDER BY b)) AS o FROM ({sql_attention('r', 'c.pos <= a.pos', h)}) GROUP BY 1, 2"
-    return f"WITH r AS MATERIALIZED {rows} " + sql_flat(f"SELECT b, pos, {sql_linear('o', WO)} AS y FROM ({joined})", "b, pos")
+    return f"WITH r AS MATERIALIZED {rows}, y AS MATERIALIZED (SELECT b, pos, {sql_linear('o', WO)} AS y FROM ({joined})) "
+
 
+def sql_block() -> str:
+    norm, add = _NORM.format(_LN_SQL), "list_transform(list_zip({0}, {1}), lambda p: p[1] + p[2])"
+    after = f"(SELECT b, pos, {add.format('x', 'y')} AS x FROM y JOIN (SELECT vec_id // {GROUP} AS b, vec_id % {GROUP} AS pos, x FROM {_V}) USING (b, pos))"
+    normed = f"(SELECT b, pos, x AS x0, {norm} AS x FROM {after})"
+    return sql_heads(True, f"(SELECT vec_id, {norm} AS x FROM {_V})") + sql_flat(f"SELECT b, pos, {add.format('x0', _SWIGLU)} AS y FROM {normed}", "b, pos")
 
-@query(sql_heads(False))
+
+@query(sql_heads(False) + sql_flat("SELECT * FROM y", "b, pos"))
 def mha(spark, d):
     return flat(nn.self_attention(_grouped(spark, d), HEADS, D, WQ, WK, WV, WO), "b", "pos")
 
 
-@query(sql_heads(True))
+@query(sql_heads(True) + sql_flat("SELECT * FROM y", "b, pos"))
 def mha_rope(spark, d):
     return flat(nn.self_attention(_grouped(spark, d), HEADS, D, WQ, WK, WV, WO, 10_000.0, GROUP), "b", "pos")
 
 
-@query()
+@query(sql_block())
 def transformer_block(spark, d):
     p = {"ln1": LN, "ln2": LN, "wq": WQ, "wk": WK, "wv": WV, "wo": WO, "w1": W1, "w2": W2, "w3": W3}
     return flat(nn.transformer_block(_grouped(spark, d), HEADS, D, p, 10_000.0, GROUP), "b", "pos", y="x")
@@ -451,28 +502,45 @@ def tiny_state(vocab: int = len(VOCAB), d: int = 16, ff: int = 24, layers: int =
 
 @query()
 def lm_logits(spark, d):
-    """For each benchmark item the sum and the largest of the last position's logits."""
+    """For every position of every benchmark item all logits, rounded."""
     ids = book().encode(read(spark, d, "benchmark"), "item_id").where(F.size("ids") > 0).withColumnRenamed("item_id", "b")
-    out = nn.lm_logits(ids, tiny_state(), 2, 2).select("b", F.slice("logits", -len(VOCAB), len(VOCAB)).alias("y"))
-    return out.select("b", F.round(nn.total(F.col("y")), 6).alias("total"), F.round(F.array_max("y"), 6).alias("top"))
+    out = nn.lm_logits(ids, tiny_state(), 2, 2)
+    out = out.select("b", "logits", F.posexplode(F.sequence(F.lit(0), (F.size("logits") / len(VOCAB)).cast("int") - 1)).alias("pos", "at"))
+    return out.select("b", "pos", F.transform(F.slice("logits", F.col("at") * len(VOCAB) + 1, len(VOCAB)), lambda v: F.round(v, 6)).alias("logits"))
 
 
 # ---- training side -------------------------------------------------------------------------------------------------
-@query("""WITH s AS (SELECT event_id - (SELECT min(event_id) FROM events) AS pos, user_id AS token_id FROM events), w AS (SELECT range::BIGINT AS sample_id, range * 50 AS start FROM range((SELECT (count(*) - 8) // 50 FROM events)))
-  SELECT sample_id, start, array_to_string(list(token_id ORDER BY pos) FILTER (pos < start + 8), ',') AS x, array_to_string(list(token_id ORDER BY pos) FILTER (pos > start), ',') AS y FROM w JOIN s ON pos BETWEEN start AND start + 8 GROUP BY sample_id, start""")
-def batch_windows(spark, d):
+_STREAM = "s AS (SELECT event_id - (SELECT min(event_id) FROM events) AS pos, user_id AS token_id FROM events)"
+
+
+def sql_windows(starts: str, length: int, show) -> str:
+    """Windows of the stream s at (sample_id, start) rows."""
+    x = show(f"list(token_id ORDER BY pos) FILTER (pos < start + {length})")
+    y = show("list(token_id ORDER BY pos) FILTER (pos > start)")
+    return f"WITH {_STREAM}, w AS ({starts}) SELECT sample_id, start, {x} AS x, {y} AS y FROM w JOIN s ON pos BETWEEN start AND start + {length} GROUP BY sample_id, start"
+
+
+def _stream(spark, d):
     e = read(spark, d, "events")
     low, n = e.agg(F.min("event_id"), F.count("*")).first()
-    stream = e.select((F.col("event_id") - low).alias("pos"), F.col("user_id").alias("token_id"))
-    starts = spark.range((n - 8) // 50).select(F.col("id").alias("sample_id"), (F.col("id") * 50).alias("start"))
+    return e.select((F.col("event_id") - low).alias("pos"), F.col("user_id").alias("token_id")), n
+
+
+_SHOWN = "array_to_string({0}, ',')".format
+
+
+@query(sql_windows("SELECT range::BIGINT AS sample_id, range::BIGINT AS start FROM range((SELECT count(*) - 8 FROM events))", 8, _SHOWN))
+def batch_windows(spark, d):
+    """Every start of the stream."""
+    stream, n = _stream(spark, d)
+    starts = spark.range(n - 8).select(F.col("id").alias("sample_id"), F.col("id").alias("start"))
     return train.windows(stream, starts, 8).select("sample_id", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
-@query()
+@query(sql_windows("SELECT range::BIGINT AS sample_id, ('0x' || substr(md5('0:' || range), 1, 15))::BIGINT % (SELECT count(*) - 7 FROM events) AS start FROM range(32)", 7, _SHOWN))
 def get_batch(spark, d):
-    e = read(spark, d, "events")
-    low = e.agg(F.min("event_id")).first()[0]
-    return train.get_batch(e.select((F.col("event_id") - low).alias("pos"), F.col("user_id").alias("token_id")), 32, 7)
+    got = train.get_batch(_stream(spark, d)[0], 32, 7)
+    return got.select("sample_id", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
 @query(f"SELECT round(avg(ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[label % 64 + 1]), 6) AS loss FROM {_V}")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to a scratch folder and read from there: computed once, and not again if an executor is lost."""
+    folder = scratch(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table. One whose scan has fewer tasks than there are cores is dealt out over the cores: a small file is often a
     single row group, which one task would read and work on alone. Larger tables are left as they are, so no large table is shuffled."""
@@ -76,11 +84,19 @@ def byte_unicode_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(b, c, ord(c)) for b, c in byte_unicode().items()], "byte int, symbol string, code_point int")
 
 
+def is_byte_level(vocab_path: str) -> bool:
+    """Whether a vocabulary file is a JSON object of tokens in byte-unicode characters -> id; else it is id -> token."""
+    with open(vocab_path, encoding="utf-8") as f:
+        got = json.load(f)
+    return bool(got) and all(isinstance(v, int) for v in got.values())
+
+
 def read_vocab(path: str) -> dict[int, bytes]:
-    """A JSON object: id -> text or list of byte values, or byte-unicode token -> id. Others raise ValueError."""
+    """A JSON object: id -> text or list of byte values, or token -> id. Tokens of the second form are in byte-unicode characters; one with
+    other characters (a special token, say) stands for its UTF-8 bytes. Others raise ValueError."""
     with open(path, encoding="utf-8") as f:
         got = json.load(f)
-    if got and all(isinstance(v, int) for v in got.values()):
+    if is_byte_level(path):
         back = {c: b for b, c in byte_unicode().items()}
         return {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in got.items()}
     out = {}
@@ -95,11 +111,60 @@ def read_vocab(path: str) -> dict[int, bytes]:
 
 
 def read_merges(path: str, byte_level: bool = False) -> list[tuple[bytes, bytes]]:
-    """Lines "left right" in rank order; other lines are skipped. byte_level: in byte-unicode characters."""
+    """Lines "left right" in rank order; other lines, and a first line that gives a version, are skipped. byte_level: in byte-unicode
+    characters."""
     back = {c: b for b, c in byte_unicode().items()}
     part = (lambda t: bytes(back[c] for c in t)) if byte_level else str.encode
     with open(path, encoding="utf-8") as f:
-        return [(part(a[0]), part(a[1])) for a in (line.strip().split() for line in f) if len(a) == 2]
+        lines = [line.strip().split() for i, line in enumerate(f) if i or not line.startswith("#version")]
+    return [(part(a[0]), part(a[1])) for a in lines if len(a) == 2]
+
+
+def _opened(path: str):
+    """A file of any store that pyarrow reaches, for reading at any place."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    uri = f"file:///{rest.lstrip('/')}" if scheme == "file" else path if "://" in path else f"file://{os.path.abspath(path)}"
+    store, at = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(at)
+
+
+def file_chunks(path: str, chunks: int, delimiter: str = "<|endoftext|>", block: int = 1 << 16) -> list[int]:
+    """Sorted distinct byte offsets that cut a file into up to `chunks` parts: each cut is the first delimiter that begins at or after a uniform
+    guess, or the end. From each guess on the file is read in blocks, only as far as that delimiter."""
+    sought = delimiter.encode()
+    with _opened(path) as f:
+        size = f.size()
+        out = {0, size}
+        for i in range(1, chunks):
+            at, held = i * (size // chunks), b""
+            while True:
+                f.seek(at + len(held))
+                more = f.read(block)
+                held += more
+                if (found := held.find(sought)) >= 0 or not more:
+                    out.add(at + found if found >= 0 else size)
+                    break
+                cut = max(0, len(held) - len(sought) + 1)  # a delimiter may begin in the last bytes
+                at, held = at + cut, held[cut:]
+    return sorted(out)
+
+
+def read_chunks(spark: SparkSession, path: str, offsets: list[int]) -> DataFrame:
+    """(chunk, start, end, text) for each part of a file, read where it is used; bytes that aren't UTF-8 are dropped."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, start, end in zip(*(b.column(c).to_pylist() for c in ("chunk", "start", "end")), strict=True):
+                with _opened(path) as f:
+                    f.seek(start)
+                    text = f.read(end - start).decode("utf-8", "ignore")
+                yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([start]), pa.array([end]), pa.array([text])], names=["chunk", "start", "end", "text"])
+
+    parts = [(i, a, b) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]
+    rows = spark.createDataFrame(parts, "chunk int, start long, end long").repartition(max(1, len(parts)), "chunk")
+    return rows.mapInArrow(run, "chunk int, start long, end long, text string")
 
 
 def save_tokenizer(spark: SparkSession, path: str, vocab: dict[int, bytes], merges: list[tuple[bytes, bytes]]) -> None:

@@ -264,3 +264,238 @@ def test_registry_against_sql(spark):
         assert cols == sorted(want.columns)
         pick = [want.columns.index(c) for c in cols]
         assert sorted(repr(tuple(r[i] for i in pick)) for r in want.fetchall()) == sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()), name
+
+
+def test_decode_is_one_rule_for_all_sizes(spark):
+    """Vocabularies on both sides of the number of merges that run as one expression."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 12))) for _ in range(900)]
+    merged = merges.train({w.encode(): 1 + i % 7 for i, w in enumerate(words)}, 513)
+    for n in (511, 512, 513):
+        t = tokenizer.Tokenizer(dict(enumerate([bytes([i]) for i in range(256)] + [a + b for a, b in merged[:n]])), merged[:n])
+        rows = spark.createDataFrame([(w,) for w in words], "pretoken string")
+        assert all(r.word == "".join(f"<{s.hex().upper()}>" for s in merges.encode_word(r.pretoken.encode(), t.ranks)) for r in t.words(rows).collect())
+        ids = spark.createDataFrame([(1, t.encode_text(" ".join(words))), (2, None), (3, [])], "doc_id int, ids array<int>")
+        assert {x.doc_id: x.text for x in t.decode(ids).collect()} == {1: " ".join(words), 2: None, 3: ""}
+        for bad in ([97, 99_999, 98], [97, None]):
+            with pytest.raises(Exception, match="not in the vocabulary"):
+                t.decode(spark.createDataFrame([(1, bad)], "doc_id int, ids array<int>")).collect()
+        with pytest.raises(ValueError):
+            t.decode_ids([-1])
+
+
+def test_unknown_symbols_raise_or_give_null(spark):
+    t = tokenizer.Tokenizer({i: bytes([i]) for i in range(128)}, [])
+    df = spark.createDataFrame([(1, "ab"), (2, "é"), (3, None), (4, "")], "doc_id int, text string")
+    assert {r.doc_id: r.ids for r in t.encode(df, unknown="null").collect()} == {1: [97, 98], 2: None, 3: None, 4: []}
+    assert sorted((r.doc_id, r.token_id is None) for r in t.encode_relational(df, unknown="null").collect()) == [(1, False), (1, False), (2, True), (2, True)]
+    for f in (t.encode, t.encode_relational):
+        with pytest.raises(Exception):
+            f(df).collect()
+    with pytest.raises(ValueError):
+        t.encode(df, unknown="skip")
+
+
+def slow_word(word, ranks):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get((parts[k], parts[k + 1]), 1 << 60), k) for k in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def test_encode_word_is_the_literal_rule_and_quick():
+    import time
+
+    for seed in range(200):
+        r = random.Random(seed)
+        pool = [bytes([c]) for c in b"abc"]
+        ranks = {}
+        for i in range(12):
+            a, b = r.choice(pool), r.choice(pool)
+            ranks.setdefault((a, b), r.randint(0, 8))
+            pool.append(a + b)
+        word = bytes(r.choices(b"abc", k=r.randint(0, 30)))
+        assert merges.encode_word(word, ranks) == slow_word(word, ranks)
+    ranks = {(b"a" * 2**k, b"a" * 2**k): k for k in range(10)}
+    began = time.process_time()
+    assert len(merges.encode_word(b"a" * 2**20, ranks)) == 2**10 and time.process_time() - began < 20
+
+
+def test_files_in_byte_unicode_form(spark, tmp_path):
+    """A vocabulary of the 50k public file, written in its usual two files, gives the library's ids."""
+    import json
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    model = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    (tmp_path / "vocab.json").write_text(json.dumps(model["model"]["vocab"]), encoding="utf-8")
+    lines = [m if isinstance(m, str) else " ".join(m) for m in model["model"]["merges"]]
+    (tmp_path / "merges.txt").write_text("#version: 0.2\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    t = tokenizer.Tokenizer.from_files(str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"), [T.END])
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [x for x in ODD] + [" hi", "Ġh", "the the" * 50, T.END * 2 + "a", "\x00\xad\xa0"]
+    d = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(d):
+        texts += [r.text for r in spark.read.parquet(d).collect()]
+    got = t.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: library.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    tiny = {"Ġ": 0, "h": 1, "i": 2, "Ġh": 3, "Ġhi": 4}
+    (tmp_path / "v.json").write_text(json.dumps(tiny), encoding="utf-8")
+    (tmp_path / "m.txt").write_text("Ġ h\nĠh i\n", encoding="utf-8")
+    assert tokenizer.Tokenizer.from_files(str(tmp_path / "v.json"), str(tmp_path / "m.txt")).encode_text(" hi") == [4]
+
+
+def test_merges_of_one_job_are_the_next_ones(spark, monkeypatch):
+    assert training.independent([("61", "62", 9), ("63", "64", 8), ("62", "65", 7)], set(), True) == [("61", "62"), ("63", "64")]
+    assert training.independent([("61", "62", 9), ("63", "64", 8), ("65", "61", 8)], set(), True) == [("61", "62")]  # a tie that may change
+    assert training.independent([("61", "62", 9), ("63", "64", 8)], set(), False) == [("61", "62")]  # the rest may tie
+    assert training.independent([("61", "6263", 9), ("64", "65", 8)], {"616263"}, True) == [("61", "6263")]  # an old symbol grows
+    r = random.Random(5)
+    counts = {"".join(r.choices("abcdxyz", k=r.randint(1, 8))): r.randint(1, 30) for _ in range(150)}
+    rows = spark.createDataFrame(list(counts.items()), "pretoken string, n long").coalesce(1)
+    want = literal_train({w.encode(): c for w, c in counts.items()}, 60)
+    monkeypatch.setattr(training, "STORE", 3)
+    assert training.train_merges(rows, 60, "iterative") == want == training.train_merges(rows, 60)
+    with pytest.warns(UserWarning):
+        assert training.train_merges(rows, 5, most_bytes=10) == want[:5]
+
+
+def test_chunks_of_a_file(spark, tmp_path):
+    r = random.Random(6)
+    data = b"".join(r.choices(["é", "ab", T.END, T.END[:5], "\n"], weights=[5, 5, 1, 2, 1], k=4000)[i].encode() for i in range(4000))
+    (tmp_path / "f.txt").write_bytes(data)
+    for chunks in (1, 2, 7, 60):
+        want = {0, len(data)}
+        for i in range(1, chunks):
+            at = data.find(T.END.encode(), i * (len(data) // chunks))
+            want.add(len(data) if at < 0 else at)
+        for block in (1, 16, 1 << 16) if chunks == 7 else (1 << 16,):
+            assert files.file_chunks(str(tmp_path / "f.txt"), chunks, T.END, block) == sorted(want)
+        parts = files.read_chunks(spark, str(tmp_path / "f.txt"), sorted(want)).orderBy("chunk").collect()
+        assert "".join(p.text for p in parts).encode() == data and [p.start for p in parts] + [len(data)] == sorted(want)
+    (tmp_path / "none.txt").write_bytes(b"")
+    assert files.file_chunks(str(tmp_path / "none.txt"), 4) == [0]
+
+
+def test_dataset_is_one_stream(spark, tmp_path):
+    t = Q.book()
+    docs = spark.createDataFrame([(i % 40, f"the cat {i} and") for i in range(60)] + [(7, None), (8, ""), (None, "x")], "doc_id int, text string").repartition(5)
+    n = corpus.encode_dataset(docs, t, str(tmp_path / "s"))
+    rows = spark.read.parquet(str(tmp_path / "s")).orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(n))
+    by = {}
+    for r in docs.collect():
+        by.setdefault(-1 if r.doc_id is None else r.doc_id, []).append(r.text or "")
+    at, ids = 0, [r.token_id for r in rows]
+    for k in sorted(by):
+        size = sum(len(t.encode_text(x)) for x in by[k])
+        assert sorted(t.decode_ids(ids[at : at + size])) == sorted("".join(by[k]))
+        at += size
+    assert at == n
+    with pytest.raises(Exception):
+        corpus.encode_dataset(docs, t, str(tmp_path / "x"), most=100)
+
+
+def test_training_command(spark, tmp_path, capsys):
+    (tmp_path / "c.txt").write_text("low low lower" + T.END + "lowest")
+    training.main([str(tmp_path / "c.txt"), "260", str(tmp_path / "t")])
+    vocab, m = files.load_tokenizer(spark, str(tmp_path / "t"))
+    assert len(vocab) == 260 and len(m) == 3 and "260 entries" in capsys.readouterr().out
+
+
+def test_states_are_strict():
+    s = Q.tiny_state()
+    assert set(nn.lm_state(s, 2)) == set(s)
+    other = {k.replace("layers.", "transformer_blocks.").replace("output_proj", "o_proj"): v for k, v in s.items()}
+    assert all((nn.lm_state(other, 2)[k] == v).all() for k, v in s.items())
+    for bad in ({k: v for k, v in s.items() if k != "lm_head.weight"}, s | {"extra.weight": np.zeros(1)}, s | {"layers.0.ffn.w1.weight": np.zeros((3, 3))}, s | {"layers.0.attn.o_proj.weight": s["layers.0.attn.output_proj.weight"]}):
+        with pytest.raises(ValueError):
+            nn.lm_state(bad, 2)
+    b = nn.block_state({k.removeprefix("layers.1."): v for k, v in s.items() if k.startswith("layers.1.")})
+    assert set(b) == {"ln1", "ln2", "wq", "wk", "wv", "wo", "w1", "w2", "w3"} and b["w2"].shape == (16, 24)
+
+
+def test_model_against_loops():
+    """The language model against plain loops over numbers."""
+    s, ids, heads, d = Q.tiny_state(layers=2), [3, 200, 7, 7], 2, 16
+    x = [list(s["token_embeddings.weight"][i]) for i in ids]
+    norm = lambda v, w: [a / math.sqrt(sum(q * q for q in v) / len(v) + 1e-5) * b for a, b in zip(v, w)]
+    times = lambda w, v: [sum(a * b for a, b in zip(row, v)) for row in w]
+
+    def turned(v, pos):
+        out = list(v)
+        for k in range(0, len(v), 2):
+            a = pos * 10_000.0 ** (-k / len(v))
+            out[k], out[k + 1] = v[k] * math.cos(a) - v[k + 1] * math.sin(a), v[k] * math.sin(a) + v[k + 1] * math.cos(a)
+        return out
+
+    for i in range(2):
+        w = {n: s[f"layers.{i}.{n}"] for n in nn.LAYER}
+        y = [norm(v, w["ln1.weight"]) for v in x]
+        q, k, v = ([times(w[f"attn.{c}_proj.weight"], r) for r in y] for c in "qkv")
+        size = d // heads
+        for p in range(len(ids)):
+            joined = []
+            for h in range(heads):
+                part = slice(h * size, h * size + size)
+                scores = [math.exp(sum(a * b for a, b in zip(turned(q[p][part], p), turned(k[j][part], j))) / math.sqrt(size)) for j in range(p + 1)]
+                joined += [sum(e * v[j][part][c] for j, e in enumerate(scores)) / sum(scores) for c in range(size)]
+            x[p] = [a + b for a, b in zip(x[p], times(w["attn.output_proj.weight"], joined))]
+        for p in range(len(ids)):
+            y = norm(x[p], w["ln2.weight"])
+            g = [a / (1 + math.exp(-a)) * b for a, b in zip(times(w["ffn.w1.weight"], y), times(w["ffn.w3.weight"], y))]
+            x[p] = [a + b for a, b in zip(x[p], times(w["ffn.w2.weight"], g))]
+    want = [times(s["lm_head.weight"], norm(v, s["ln_final.weight"])) for v in x]
+    assert np.allclose(nn.lm_forward(np.array(ids), s, 2, heads, 10_000.0), want, atol=1e-9)
+
+
+def test_attention_in_blocks(spark):
+    """Whatever the size of a block, with null groups, masked rows and large scores."""
+    rng = np.random.default_rng(2)
+    n, d = 23, 4
+    q, k, v = (rng.normal(size=(2, n, d)) * s for s in (40, 1, 1))
+    rows = [(None if b else 5, i, q[b, i].tolist(), k[b, i].tolist(), v[b, i].tolist()) for b in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "b int, pos long, q array<double>, k array<double>, v array<double>")
+    qs, ks = df.select("b", F.col("pos").alias("q_pos"), "q"), df.select("b", F.col("pos").alias("k_pos"), "k", "v")
+    odd = lambda i, j: (i != 4) & ((i + j) % 3 != 0)
+    for keep, before in ((nn.causal, False), (nn.causal, True), (odd, False)):
+        for keys in (1, 5, 128):
+            for r in nn.attention(qs, ks, keep, d, before, keys).collect():
+                b, i = 0 if r.b == 5 else 1, r.q_pos
+                on = np.array([bool(keep(i, j)) for j in range(n)]) if keep is odd else np.arange(n) <= i
+                s = np.where(on, q[b, i] @ k[b].T / 2, -1.7976931348623157e308)
+                e = np.exp(s - s.max())
+                assert np.allclose(r.o, e @ v[b] / e.sum(), atol=1e-9)
+
+
+def test_batches_are_uniform(spark):
+    stream = spark.createDataFrame([(i, i) for i in range(100)], "pos long, token_id long")
+    seen = np.zeros(93)
+    for seed in range(4):
+        for r in train.get_batch(stream, 8000, 7, seed).select("start").collect():
+            seen[r.start] += 1
+    mean = 32_000 / 93
+    assert (np.abs(seen - mean) < 5 * math.sqrt(mean * (1 - 1 / 93))).all()
+    with pytest.raises(ValueError):
+        train.get_batch(stream, 1, 100)
+
+
+def test_adamw_over_many_steps(spark):
+    """1,000 steps on a quadratic, against plain numbers; a plan per 50 steps."""
+    w, m, v = np.array([3.0, -2.0]), np.zeros(2), np.zeros(2)
+    rows = spark.createDataFrame([(0, 3.0, 0.0, 0.0), (1, -2.0, 0.0, 0.0)], "i int, w double, m double, v double")
+    for t in range(1, 1001):
+        g = 2 * (w - np.array([1.0, 0.5]))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w * (1 - 1e-2 * 0.01) - 1e-2 * math.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8 * math.sqrt(1 - 0.999**t))
+    for t in range(1, 1001):
+        if t % 10 == 1:
+            rows = spark.createDataFrame(rows.collect(), "i int, w double, m double, v double")
+        rows = rows.select("i", "w", "m", "v", (2 * (F.col("w") - F.when(F.col("i") == 0, 1.0).otherwise(0.5))).alias("g"))
+        rows = train.adamw_step(rows, t, lr=1e-2).select("i", "w", "m", "v")
+    got = {r.i: r for r in rows.collect()}
+    assert np.allclose([got[0].w, got[1].w], w, atol=1e-9) and np.allclose([got[0].v, got[1].v], v)
