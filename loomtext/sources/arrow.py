@@ -1,20 +1,22 @@
 """Arrow batches of bounded size."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that none holds much over `limit` bytes of text or binary in `column` (one row at least)."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int | Callable, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that none holds much over `limit` bytes of text or binary in `column` (one row at least). column: a
+    name or number, or a function of the batch."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = column(batch) if callable(column) else batch.column(column)
+        size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(size, dtype=np.int64)
         at = 0
         while at < n:
