@@ -36,8 +36,8 @@ from loomtext.llm.common import by_bytes, scratch_path
 
 LENGTH, SHARD, KEY = 1024, 16_384, 0x5EED
 _ROUNDS = 6
-#: Tokens that a task holds at once while it cuts records, in sequences.
-_HELD = 512
+#: Bytes of ids that a task holds while it packs them, and the level of their compression.
+BUFFER, LEVEL = 8 << 20, 6
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -58,36 +58,83 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out
 
 
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _packed(key: str, keys: np.ndarray, payloads: list[bytes], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Rows with equal keys as one row: arrays of their columns, of the payloads' sizes in bytes, and the payloads, compressed together. Token ids
+    are compressed better that way, and the exchanges of payloads are what takes disk."""
+    codec = pa.Codec("zstd", LEVEL)
+    order = np.argsort(keys, kind="stable")
+    found, starts = np.unique(keys[order], return_index=True)
+    sizes = np.diff(np.append(starts, len(keys)))
+    lists = {c: _lists(sizes, v.take(pa.array(order))) for c, v in columns.items()}
+    bytes_of = np.array([len(x) for x in payloads], dtype=np.int64)
+    blobs = [codec.compress(b"".join(payloads[i] for i in part), asbytes=True) for part in np.split(order, starts[1:])]
+    cols = {key: pa.array(found.astype(np.int32)), **lists, "bytes": _lists(sizes, pa.array(bytes_of[order])), "packed": pa.array(blobs, pa.binary())}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def _unpacked(key: str, names: list[str], payload: str):
+    """The rows that _packed has put together, one batch for each of its rows."""
+
+    def run(batches):
+        codec = pa.Codec("zstd", LEVEL)
+        for b in batches:
+            for i in range(b.num_rows):
+                sizes = b.column("bytes")[i].as_py()
+                data, ends = codec.decompress(b.column("packed")[i].as_py(), sum(sizes), asbytes=True), np.cumsum(sizes).tolist()
+                cols = [b.column(c)[i].values for c in names]
+                rows = pa.array([data[e - n : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(key)[i].as_py()] * len(sizes), pa.int32()), *cols, rows], names=[key, *names, payload])
+
+    return run
+
+
 def _encode(path: str, end: int, kind: str):
-    """Rows with a text -> rows with its number of tokens and their packed, compressed ids, the end token included."""
+    """Rows with a text -> rows with its ids, the end token included, packed by block."""
 
     def run(batches):
-        c, codec = token_counts.counter(path), pa.Codec("zstd", 1)
+        c, held, size = token_counts.counter(path), [], 0
+
+        def out():
+            keys = np.concatenate([b.column("block").to_numpy() for b, _ in held])
+            both = {k: pa.concat_arrays([b.column(k) for b, _ in held]) for k in ("place", "doc_id")}
+            return _packed("block", keys, [x for _, ids in held for x in ids], both)
+
         for b in by_bytes(batches, "text"):
-            ids = [np.append(c.ids(t), np.uint32(end)).astype(kind) for t in b.column("text").to_pylist()]
-            packed = [codec.compress(x, asbytes=True) for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["block", "place", "doc_id", "n", "ids"])
+            ids = [np.append(c.ids(t), np.uint32(end)).astype(kind).tobytes() for t in b.column("text").to_pylist()]
+            held.append((b.drop_columns(["text"]), ids))
+            size += sum(map(len, ids))
+            if size >= BUFFER:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
 
-def _count(batches):
+def _count(width: int):
     """(block, n): tokens by block."""
-    total: dict[int, int] = {}
-    for b in batches:
-        block, n = b.column("block").to_numpy(), b.column("n").to_numpy()
-        for k in np.unique(block).tolist():
-            total[k] = total.get(k, 0) + int(n[block == k].sum())
-    yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+    def run(batches):
+        total: dict[int, int] = {}
+        for b in batches:
+            for k, sizes in zip(b.column("block").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + sum(sizes) // width
+        yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+    return run
 
 
 def _cut(length: int, shard: int, parts: int, key: int, kind: str):
-    """Sorted rows of blocks, each with its start and the stream's length -> records, or pieces of them: (part, slot, at, piece, doc_ids).
+    """Sorted rows of blocks, each with its start and the stream's length -> records, or pieces of them, packed by part: (slot, at, piece, doc_ids).
     part: the one of `parts` ranges of shards that the slot is in."""
-    width = np.dtype(kind).itemsize
 
     def run(batches):
-        codec, block, at, total = pa.Codec("zstd", 1), None, 0, 0  # at: the stream's position of the first token held
+        block, at, total = None, 0, 0  # at: the stream's position of the first token held
         held, owners, size, ids_type = [], [], 0, None
 
         def out(last: bool):
@@ -101,7 +148,8 @@ def _cut(length: int, shard: int, parts: int, key: int, kind: str):
             slots = permute(sequence, sequences, key)
             part = slots // shard * parts // -(-sequences // shard)
             pieces = [data[a - at : b - at].tobytes() for a, b in zip(begins, finishes, strict=True)]
-            batch = pa.record_batch([pa.array(part.astype(np.int32)), pa.array(slots), pa.array(begins % length), pa.array(pieces, pa.binary()), pa.array([owners[a:b] for a, b in zip(lo, hi, strict=True)], pa.list_(ids_type))], names=["part", "slot", "at", "piece", "doc_ids"])
+            ids = pa.array([owners[a:b] for a, b in zip(lo, hi, strict=True)], pa.list_(ids_type))
+            batch = _packed("part", part, pieces, {"slot": pa.array(slots), "at": pa.array(begins % length), "doc_ids": ids})
             rest = data[stop - at :]
             done = int(np.searchsorted(ends, stop, "right"))  # documents that end before the rest
             lengths = np.diff(np.concatenate([[stop], ends[done:]]))
@@ -111,15 +159,15 @@ def _cut(length: int, shard: int, parts: int, key: int, kind: str):
 
         for b in batches:
             ids_type = b.schema.field("doc_id").type
-            for k, start, whole, n, packed, doc in zip(*(b.column(c).to_pylist() for c in ("block", "start", "total", "n", "ids", "doc_id")), strict=True):
+            for k, start, whole, ids, doc in zip(*(b.column(c).to_pylist() for c in ("block", "start", "total", "ids", "doc_id")), strict=True):
                 if k != block:
                     if size:
                         yield out(True)
                     block, at, total, held, owners, size = k, start, whole, [], [], 0
-                held.append(np.frombuffer(codec.decompress(packed, n * width, asbytes=True), dtype=kind))
+                held.append(np.frombuffer(ids, dtype=kind))
                 owners.append(doc)
-                size += n
-                if size >= _HELD * length:
+                size += len(held[-1])
+                if size * held[-1].itemsize >= BUFFER and size >= 2 * length:
                     yield out(False)
         if size:
             yield out(True)
@@ -196,17 +244,18 @@ def materialize_order(docs: DataFrame, path: str, folder: str, length: int = LEN
     place = F.xxhash64(F.col("doc_id").cast("string"), "text")
     block = F.floor((F.shiftright("place", 32) + (1 << 31)) * parts / (1 << 32)).cast("int")
     texts = docs.select(place.alias("place"), "doc_id", "text").select(block.alias("block"), "place", "doc_id", "text")
-    encoded = texts.mapInArrow(_encode(path, end, kind), f"block int, place long, doc_id {id_type}, n long, ids binary")
+    encoded = texts.mapInArrow(_encode(path, end, kind), f"block int, place array<long>, doc_id array<{id_type}>, bytes array<long>, packed binary")
     dealt = encoded.repartitionById(parts, "block")
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = dealt.mapInArrow(_count, "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))  # a row a block
+    blocks = dealt.mapInArrow(_count(np.dtype(kind).itemsize), "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))  # a row a block
     blocks = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    # a left join, since an inner one would filter below the exchange, which then couldn't be shared with the count
-    rows = dealt.join(F.broadcast(blocks), "block", "left").sortWithinPartitions("place", "doc_id", "n", "ids")
-    rows = rows.mapInArrow(_cut(length, shard, parts, key, kind), f"part int, slot long, at long, piece binary, doc_ids array<{id_type}>")
+    rows = dealt.mapInArrow(_unpacked("block", ["place", "doc_id"], "ids"), f"block int, place long, doc_id {id_type}, ids binary")
+    rows = rows.join(F.broadcast(blocks), "block").sortWithinPartitions("place", "doc_id", "ids")
+    rows = rows.mapInArrow(_cut(length, shard, parts, key, kind), f"part int, slot array<long>, at array<long>, doc_ids array<array<{id_type}>>, bytes array<long>, packed binary")
+    rows = rows.repartitionById(parts, "part")
+    rows = rows.mapInArrow(_unpacked("part", ["slot", "at", "doc_ids"], "piece"), f"part int, slot long, at long, doc_ids array<{id_type}>, piece binary").sortWithinPartitions("slot", "at")
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    rows = rows.repartitionById(parts, "part").sortWithinPartitions("slot", "at").drop("part")
     return rows.mapInArrow(_write(folder, length, shard, end, kind), f"slot long, shard long, byte_offset long, record_sha256 string, doc_ids array<{id_type}>")
 
 

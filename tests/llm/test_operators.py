@@ -356,7 +356,7 @@ def test_training_order_edges(spark, docs, tmp_path, monkeypatch):
     one = docs.where("doc_id = 3").selectExpr("'a' doc_id", "text")
     assert [r.doc_ids for r in training_order.materialize_order(one, PATH, f"file://{tmp_path}/one", length=64).collect()] == [["a"]]
     a = training_order.materialize_order(docs, PATH, f"file://{tmp_path}/a", length=8)
-    monkeypatch.setattr(training_order, "_HELD", 2)
+    monkeypatch.setattr(training_order, "BUFFER", 40)
     b = training_order.materialize_order(docs, PATH, f"file://{tmp_path}/b", length=8)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert "ReusedExchange" in b._jdf.queryExecution().executedPlan().toString()  # the texts are encoded once
