@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import vocabulary
-from loomtext.llm.common import by_bytes
+from loomtext.llm.common import by_bytes, map_rows, of_row
 
 #: Entries of a worker's table of merged pieces, and the longest piece kept there.
 TABLE, LONGEST = 600_000, 48
@@ -137,30 +137,28 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with an array of token ids in column `out`, which replaces a column of that name."""
-    docs = docs.drop(out)
 
     def run(batches):
         c = codec(path)
-        for b in by_bytes(batches, text):
-            packed = [c.encode_packed(t) for t in b.column(text).to_pylist()]
+        for b in by_bytes(batches, of_row(text)):
+            packed = [c.encode_packed(t) for t in of_row(text)(b).to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([b.column("row"), ids], names=["row", out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("array<int>")).schema)
+    return map_rows(docs, run, f"{out} array<int>")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of the ids in column `out`, which replaces a column of that name; null ids: the empty string."""
-    df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]):
         c = codec(path)
         for b in batches:
-            texts = [c.decode(x or []) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+            texts = [c.decode(x or []) for x in of_row(ids)(b).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", out])
 
-    return df.mapInArrow(run, df.withColumn(out, F.lit("").cast("string")).schema)
+    return map_rows(df, run, f"{out} string")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -1,12 +1,11 @@
-"""Shared plumbing: durable intermediate tables, connected components, Arrow batching."""
+"""Shared plumbing: durable intermediate tables, whole rows, connected components."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from loomtext.sources.arrow import by_bytes as by_bytes
 from loomtext.sources.files import scratch
 
 
@@ -32,6 +31,20 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*map(column, df.columns))
 
 
+def of_row(name: str):
+    """A function from an Arrow batch with a struct column `row` to that struct's column `name`."""
+    return lambda b: b.column("row").field(name)
+
+
+def map_rows(df: DataFrame, run, *added: str) -> DataFrame:
+    """df.mapInArrow for columns of any name: run gets batches of one struct column `row` and yields batches of it, and of the columns `added`
+    ("name type"). An added column takes the place of one of that name."""
+    df = df.drop(*(x.split()[0] for x in added))
+    rows = df.select(whole_row(df).alias("row"))
+    schema = StructType(list(rows.schema.fields) + [StructField(x.split()[0], _parse_datatype_string(x.split(maxsplit=1)[1])) for x in added])
+    return rows.mapInArrow(run, schema).select("row.*", *(x.split()[0] for x in added))
+
+
 def has_map(kind) -> bool:
     """Whether values of this type hold maps, which can't be ordered."""
     return kind.typeName() == "map" or any(has_map(f.dataType) for f in getattr(kind, "fields", ())) or (kind.typeName() == "array" and has_map(kind.elementType))
@@ -98,22 +111,3 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that none holds much over `limit` bytes in `column` (one row at least)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        total = np.cumsum(size, dtype=np.int64)
-        at = 0
-        while at < n:
-            before = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
-            yield batch.slice(at, end - at)
-            at = end

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import learning
-from loomtext.llm.common import by_bytes
+from loomtext.llm.common import by_bytes, map_rows, of_row
 
 #: At most so many labelled rows are fitted on, whatever the size of the input; learning.SAMPLE_BYTES bounds their texts.
 SAMPLE = 12_000
@@ -165,13 +165,13 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRES
 
 
 def filter_quality(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least `threshold`, with all their columns."""
+    """The rows of docs that score at least `threshold`, with all their columns, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     has = "n_chars" in docs.columns
 
     def run(batches):
-        for b in by_bytes(batches, "text"):
-            n = b.column("n_chars").to_pylist() if has else [None] * b.num_rows
-            yield b.filter(pa.array(shared.value.score(b.column("text").to_pylist(), n) >= threshold))
+        for b in by_bytes(batches, of_row("text")):
+            n = [x if isinstance(x, int) else None for x in of_row("n_chars")(b).to_pylist()] if has else [None] * b.num_rows
+            yield b.filter(pa.array(shared.value.score(of_row("text")(b).to_pylist(), n) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomtext.llm import learning
-from loomtext.llm.common import by_bytes
+from loomtext.llm.common import by_bytes, map_rows, of_row
 
 #: At most so many labelled rows are fitted on, whatever the size of the input.
 SAMPLE = 12_000
@@ -137,12 +137,12 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float | None = None)
 
 
 def filter_clean(docs: DataFrame, model: OrdinalModel, threshold: float | None = None) -> DataFrame:
-    """The rows of docs whose P(grade >= 1) is below the threshold, with all their columns."""
+    """The rows of docs whose P(grade >= 1) is below the threshold, with all their columns, whatever their names."""
     limit = model.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in by_bytes(batches, "text"):
-            yield b.filter(pa.array(shared.value.probabilities(b.column("text").to_pylist())[:, 0] < limit))
+        for b in by_bytes(batches, of_row("text")):
+            yield b.filter(pa.array(shared.value.probabilities(of_row("text")(b).to_pylist())[:, 0] < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -8,6 +8,8 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from loomtext.sources.files import byte_unicode
+
 #: Fixed value: the pattern that byte-level BPE files of this kind split text with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -15,14 +17,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _CUT = re.compile(r"(?<=\S) (?=[A-Za-z0-9])")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte: the byte's own where it is printable Latin-1, else the
-    next free one from U+0100."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     tokens: list[bytes]  # by id
@@ -34,13 +28,19 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
-    """Read a tokenizer JSON of model BPE with byte-level pieces; another kind raises ValueError."""
+    """Read a tokenizer JSON of model BPE with byte-level pieces; another kind, or an option that would change its ids, raises ValueError."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
     if model["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
         raise ValueError(f"{path}: not a plain byte-level BPE")
-    back, ids = byte_alphabet(), model["vocab"]
+    pieces = spec["pre_tokenizer"]
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["add_prefix_space"] * bool(pieces.get("add_prefix_space")) + ["use_regex"] * (not pieces.get("use_regex", True))
+    odd += [f"added token {t['content']}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"{path}: not supported: {', '.join(odd)}")
+    back, ids = {c: b for b, c in byte_unicode().items()}, model["vocab"]
     specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     tokens = [b""] * (max([*ids.values(), *specials.values()]) + 1)
     for text, i in ids.items():
@@ -48,7 +48,6 @@ def load(path: str) -> Vocabulary:
             tokens[i] = bytes(back[c] for c in text)
     for text, i in specials.items():
         tokens[i] = text.encode()
-    by_bytes = {b: i for i, b in enumerate(tokens)}
     singles = [ids[c] for c, _ in sorted(back.items(), key=lambda x: x[1])]
     merges, last, rising = {}, -1, True
     for rank, m in enumerate(model["merges"]):
@@ -57,7 +56,6 @@ def load(path: str) -> Vocabulary:
         merges.setdefault(ids[a] << 20 | ids[b], rank << 20 | new)
         rising &= new > last
         last = new
-    del by_bytes
     return Vocabulary(tokens, singles, merges, specials, rising and max(singles) < 256)
 
 
