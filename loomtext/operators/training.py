@@ -1,22 +1,56 @@
 """BPE training as DataFrame operations: counts, pairs, top pair, merge, vocabulary."""
 from __future__ import annotations
 
+import re
 import warnings
+from collections import Counter
 
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
 from loomtext.sources import files
+from loomtext.sources.arrow import by_bytes
+
+
+#: Distinct pre-tokens that a task counts before it passes them on.
+HELD = 500_000
+
+
+def _counter(specials: list[str]):
+    def run(batches):
+        find = regex.compile(T.PATTERN).findall
+        cut = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))).split if specials else None
+        held: Counter[str] = Counter()
+
+        def out():
+            return pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["pretoken", "n"])
+
+        for b in by_bytes(batches, 0):
+            for t in b.column(0).to_pylist():
+                if t is None:
+                    continue
+                for part in cut(t) if cut else (t,):
+                    held.update(find(part))
+                if len(held) > HELD:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    return run
 
 
 def pretoken_counts(docs: DataFrame, specials: list[str] | None = None, text: str = "text") -> DataFrame:
-    """(pretoken, n) over all texts; special tokens are left out. Counting starts map-side."""
-    parts = docs.select(F.explode(T.split_special(F.col(text), specials)).alias("s")) if specials else docs.select(F.col(text).alias("s"))
-    if specials:
-        parts = parts.where(~F.col("s").isin(*specials))
-    return parts.select(F.explode(T.pretokenize(F.col("s"))).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("n"))
+    """(pretoken, n) over all texts; special tokens are left out.
+
+    A task counts its own pre-tokens while it finds them, so only distinct ones leave it: several times faster than a row per
+    pre-token, and what is shuffled follows the words, not the text.
+    """
+    found = docs.select(text).mapInArrow(_counter(specials or []), "pretoken string, n long")
+    return found.groupBy("pretoken").agg(F.sum("n").alias("n"))
 
 
 def words(counts: DataFrame) -> DataFrame:
