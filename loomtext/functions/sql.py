@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.operators.tokenizer import Tokenizer, text_encoder
+from loomtext.operators.tokenizer import Tokenizer, joined, text_encoder
 
 
 class _Pretokens:
@@ -41,7 +41,7 @@ def register(spark: SparkSession, tokenizer: Tokenizer | None = None, prefix: st
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocab = shared.value[3]
         for p in parts:
-            yield p.map(lambda x: None if x is None else b"".join(vocab[int(i)] for i in x).decode("utf-8", "replace"))
+            yield p.map(lambda x: None if x is None else joined(vocab, x))
 
     spark.udf.register(f"{prefix}encode", F.pandas_udf(encode, "array<int>"))
     spark.udf.register(f"{prefix}decode", F.pandas_udf(decode, "string"))

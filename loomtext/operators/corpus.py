@@ -67,6 +67,23 @@ def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str =
     return docs.sparkSession.read.schema(rows.schema).parquet(path).count()
 
 
+def table_chunks(docs: DataFrame, chunks: int, delimiter: str = T.END, key: str = "doc_id", text: str = "text") -> list[int]:
+    """chunk_boundaries of all texts in order of the key, joined by the delimiter, without joining them.
+
+    Each text's place comes from the lengths (stream_offsets), each delimiter's from its text's place, and the cuts are `chunks`
+    minima over them in one aggregate, so no task holds more than a text. Null texts are left out.
+    """
+    d, lengths = len(delimiter), F.transform(F.split(F.col(text), "\\Q" + delimiter + "\\E", -1), F.length)
+    rows = docs.where(F.col(text).isNotNull()).select(key, lengths.alias("lengths"), (F.length(text) + d).cast("long").alias("n"))
+    placed = files.stored(stream_offsets(rows, key, "n"), "places")
+    size = (placed.agg(F.max(F.col("start") + F.col("n"))).first()[0] or d) - d
+    ends = F.transform(F.sequence(F.lit(1), F.size("lengths")), lambda i: F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda a, v: a + v) + (i - 1) * d)
+    at = placed.select(F.explode(ends).alias("e"), "start").select((F.col("start") + F.col("e")).alias("at"))  # the last one is the end
+    guesses = [i * (size // chunks) for i in range(1, chunks)]
+    cuts = at.agg(*(F.min(F.when(F.col("at") >= g, F.col("at"))) for g in guesses)).first() if guesses else ()
+    return sorted({0, size, *(size if c is None else c for c in cuts)})
+
+
 def chunk_boundaries(corpus: Column, chunks: int, delimiter: str = T.END) -> Column:
     """Sorted distinct character offsets that cut a text into up to `chunks` parts, each cut at the first delimiter not
     before a uniform guess, or at the end."""

@@ -108,7 +108,7 @@ class Tokenizer:
 
         def run(batches: Iterator[pa.RecordBatch]):
             for b in batches:
-                got = [None if x is None else _joined(vocab.value, x) for x in b.column(1).to_pylist()]
+                got = [None if x is None else joined(vocab.value, x) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=[key, "text"])
 
         return df.select(key, ids).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, text string")
@@ -124,7 +124,7 @@ class Tokenizer:
 
     def decode_ids(self, ids: list[int]) -> str:
         """An id that the vocabulary lacks raises ValueError."""
-        return _joined(self.vocab, ids)
+        return joined(self.vocab, ids)
 
 
 class UnknownSymbol(KeyError):
@@ -137,7 +137,8 @@ def _skips(unknown: str) -> bool:
     return unknown == "null"
 
 
-def _joined(vocab: dict[int, bytes], ids: list[int]) -> str:
+def joined(vocab: dict[int, bytes], ids: list[int]) -> str:
+    """The text of ids; one that the vocabulary lacks, or a null one, raises ValueError."""
     try:
         return b"".join(map(vocab.__getitem__, ids)).decode("utf-8", "replace")
     except KeyError as e:

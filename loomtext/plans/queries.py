@@ -124,9 +124,8 @@ def byte_unicode_map(spark, d):
   c AS (SELECT CASE WHEN instr(substr(t, g + 1), '{T.END}') = 0 THEN size ELSE g + instr(substr(t, g + 1), '{T.END}') - 1 END AS c FROM g UNION SELECT 0 UNION SELECT size FROM g)
   SELECT (row_number() OVER (ORDER BY c) - 1)::INTEGER AS chunk, c::INTEGER AS start FROM c""")
 def chunk_boundaries(spark, d):
-    """Cuts of one text, so the text is put together first: a file in the original setting."""
-    t = read(spark, d, "benchmark").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda r: r["text"]), T.END).alias("t"))
-    return t.select(F.posexplode(corpus.chunk_boundaries(F.col("t"), 16)).alias("chunk", "start"))
+    cuts = corpus.table_chunks(read(spark, d, "benchmark"), 16, key="item_id")
+    return spark.createDataFrame(list(enumerate(cuts)), "chunk int, start int")
 
 
 # ---- training ------------------------------------------------------------------------------------------------------

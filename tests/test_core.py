@@ -499,3 +499,18 @@ def test_adamw_over_many_steps(spark):
         rows = train.adamw_step(rows, t, lr=1e-2).select("i", "w", "m", "v")
     got = {r.i: r for r in rows.collect()}
     assert np.allclose([got[0].w, got[1].w], w, atol=1e-9) and np.allclose([got[0].v, got[1].v], v)
+
+
+def test_chunks_of_a_table(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choices(["ab", "é", T.END, T.END[:4]], k=r.randint(0, 30))) for _ in range(50)]
+    df = spark.createDataFrame([*enumerate(texts), (60, None)], "doc_id int, text string").repartition(4)
+    whole = T.END.join(texts)
+    one = spark.createDataFrame([(whole,)], "text string")
+    for chunks in (1, 2, 9, 40):
+        want = {0, len(whole)}
+        for i in range(1, chunks):
+            at = whole.find(T.END, i * (len(whole) // chunks))
+            want.add(len(whole) if at < 0 else at)
+        assert corpus.table_chunks(df, chunks) == sorted(want) == one.select(corpus.chunk_boundaries(F.col("text"), chunks)).first()[0]
+    assert corpus.table_chunks(df.limit(0), 3) == [0]
