@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import hashing
-from loomtext.llm.common import by_bytes, connected_components, materialize, smallest, whole_row
+from loomtext.llm.common import by_bytes, connected_components, materialize, remove, smallest, whole_row
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Inside a component prefixes are shortened further, to this recall: few labels are left to compare.
@@ -226,7 +226,7 @@ def forest(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     levels, parts = LEVELS - low + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select("cls", F.posexplode("labels").alias("tree", "label"))
     rows = rows.repartitionByRange(parts, "tree", "label", "cls").sortWithinPartitions("tree", "label", "cls").withColumn("part", F.spark_partition_id())
-    trie, _ = materialize(rows.mapInArrow(_trie(low), "cls long, tree int, label long, part int, sizes array<long>, leads array<long>, head int, tail int, edge boolean"), "trie")
+    trie, path = materialize(rows.mapInArrow(_trie(low), "cls long, tree int, label long, part int, sizes array<long>, leads array<long>, head int, tail int, edge boolean"), "trie")
     ends: dict = {}
     for r in trie.where("edge").select("part", "tree", "label", "sizes", "leads").collect():  # two rows a task
         ends.setdefault(r.part, []).append(tuple(r))
@@ -242,6 +242,7 @@ def forest(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     trie = trie.select("cls", "tree", "label", mended("size").alias("sizes"), mended("lead").alias("leads")).where(F.get("sizes", F.lit(levels - 1)) > 1)
     nodes = trie.groupBy("cls").agg(F.collect_list(F.struct("tree", "label", "sizes", "leads")).alias("nodes"))  # a row a tree at most
     down, _ = materialize(nodes.mapInArrow(_descend(low, threshold, recall), "cls long, tree int, label long, leads array<long>, depth int"), "forest")
+    remove(spark, path)
     return down
 
 
@@ -320,10 +321,11 @@ def _links(got: DataFrame, classes: DataFrame, texts: DataFrame, threshold: floa
     k1, k2, mult), where cls is a class's own number and rep, with the set key, finds its text."""
     # labels follow from the set key; they are fetched for the representative alone
     reps = classes.join(got.where("n > 0"), ["rep", "k1", "k2"]).groupBy("cls", "rep", "k1", "k2", "mult", "n").agg(F.first("labels").alias("labels"))
-    reps, _ = materialize(reps, "classes")
+    reps, done = materialize(reps, "classes")
     star = _stars(forest(reps, threshold, recall), shortest(threshold, recall))
     groups = connected_components(star).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    members, _ = materialize(reps.join(groups, "cls"), "members")
+    members, path = materialize(reps.join(groups, "cls"), "members")
+    remove(reps.sparkSession, done)
     weight = members.groupBy("grp").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
     total = weight.agg(F.sum(F.col("w") + 64 * F.col("c"))).first()[0] or 0
     bundles = max(1, math.ceil(4 * total / tile))  # small groups share tasks of a quarter of a tile
@@ -338,6 +340,7 @@ def _links(got: DataFrame, classes: DataFrame, texts: DataFrame, threshold: floa
     inside = min(depth(threshold, recall), depth(threshold, RECALL_INSIDE))
     found = pairs.groupBy("own", "a", "b").applyInArrow(_verify(inside, threshold), "cls long, root long, links long")
     found, _ = materialize(found, "links")
+    remove(members.sparkSession, path)
     return found
 
 
