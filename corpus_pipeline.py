@@ -1,6 +1,9 @@
 """The corpus pipeline: quality, toxicity, near duplicates, mixing, tokens; each stage is one operator.
 
-Every stage reads all rows of the one before. Documents without an id pass the filters on their text alone.
+Every stage reads all rows of the one before. Documents without an id pass the filters on their text alone. Null and empty texts are
+scored by their statistics, have no shingles, size 0 and no tokens; very long texts are read whole; repeated rows score alike, and near_duplicates
+keeps one of them; an empty table passes every stage as an empty table; columns beyond those named here, of any name and type, go with
+their rows up to the last stage.
 """
 from __future__ import annotations
 
