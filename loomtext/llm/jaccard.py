@@ -11,11 +11,16 @@
    cheapest step comes first: nodes of up to CROWD classes cost nothing, larger ones what they hold, by gain. So a text under a crowded prefix
    (a passage that many texts share) keeps that prefix long and shortens others further, and texts end at different depths.
 5. Texts under a node that one of them has come down to are linked to the node's smallest; connected components of these links
-   hold all pairs that meet. A component too large for one task is dealt to tiles, and every pair of tiles is a task.
-6. A task sorts its labels into tries again. A text's candidates are the texts under its nodes, with prefixes shortened to RECALL_INSIDE, and
+   hold all pairs that meet. Small components share tasks.
+6. A component too large for one task gets a representative, the class that meets most others, and each member its exact difference from it:
+   a of the representative's r shingles are missing, b are new. Whatever else they hold, two members are linked if the sum of their
+   a + s*b is (1 - s)*r at most, since they then have r - a - a' shingles in common of r + b + b' at most. So members are dealt to
+   zones of that sum, links between zones that are sure are counted from the zones' sizes, and only pairs of zones that may hold other pairs
+   become tasks, by tiles of bounded size. A family of close copies needs no pairs at all.
+7. A task sorts its labels into tries again. A text's candidates are the texts under its nodes, with prefixes shortened to RECALL_INSIDE, and
    each is verified by the exact Jaccard similarity of the two shingle sets. A task returns, per class, how many documents it is linked
    with and a spanning link, never a list of pairs; so a large group of near copies gives rows in proportion to its classes.
-7. Connected components of the spanning links are the groups.
+8. Connected components of the spanning links are the groups.
 
 Result, one row per doc_id: class_id (smallest id with the same shingles), n_links (other documents linked directly, copies included),
 component_id (smallest id reachable), kept (doc_id = component_id). Ids may be of any type that can be ordered.
@@ -45,6 +50,8 @@ TREES, LEVELS, BITS = 24, 6, 10
 CROWD = 64
 #: Shingles and classes in a tile; a task holds two tiles.
 TILE, CLASSES = 1_500_000, 3_000
+#: Zones of the members of a large component, by their difference from its representative; one more is for those too far for sure links.
+ZONES = 16
 
 _FACTORS = hashing.mix(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -200,7 +207,7 @@ def _across(ends: list, low: int) -> list[tuple]:
 
 
 def _descend(low: int, threshold: float, recall: float):
-    """Rows (cls, nodes) with one list of (tree, label, sizes, leads) -> rows (cls, tree, label, leads, depth)."""
+    """Rows (cls, nodes) with one list of (tree, label, sizes, leads) -> rows (cls, tree, label, leads, met, depth)."""
     levels = LEVELS - low + 1
 
     def run(batches):
@@ -211,17 +218,17 @@ def _descend(low: int, threshold: float, recall: float):
             owner = np.repeat(np.arange(n), np.diff(nodes.offsets.to_numpy()))
             x = nodes.flatten()
             tree, label = x.field("tree").to_numpy(), x.field("label")
-            sizes = np.ones((n, TREES, levels), dtype=np.int64)
-            sizes[owner, tree] = x.field("sizes").flatten().to_numpy().reshape(-1, levels)
+            sizes, found = np.ones((n, TREES, levels), dtype=np.int64), x.field("sizes").flatten().to_numpy().reshape(-1, levels)
+            sizes[owner, tree] = found
             d = shorten(sizes, threshold, recall)[owner, tree]
-            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(owner)), x.field("tree"), label, x.field("leads"), pa.array(d.astype(np.int32))], names=["cls", "tree", "label", "leads", "depth"])
+            yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(owner)), x.field("tree"), label, x.field("leads"), pa.array(np.ascontiguousarray(found[:, -1])), pa.array(d.astype(np.int32))], names=["cls", "tree", "label", "leads", "met", "depth"])
 
     return run
 
 
 def forest(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(cls, tree, label, leads, depth) for each label that meets others: the depth its text has come down to in that tree, and the smallest
-    class under its node on each level. reps: (cls, labels)."""
+    """(cls, tree, label, leads, met, depth) for each label that meets others: the depth its text has come down to in that tree, the smallest
+    class under its node on each level, and the number of classes under the highest one. reps: (cls, labels)."""
     spark, low = reps.sparkSession, shortest(threshold, recall)
     levels, parts = LEVELS - low + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select("cls", F.posexplode("labels").alias("tree", "label"))
@@ -241,7 +248,7 @@ def forest(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
     trie = trie.select("cls", "tree", "label", mended("size").alias("sizes"), mended("lead").alias("leads")).where(F.get("sizes", F.lit(levels - 1)) > 1)
     nodes = trie.groupBy("cls").agg(F.collect_list(F.struct("tree", "label", "sizes", "leads")).alias("nodes"))  # a row a tree at most
-    down, _ = materialize(nodes.mapInArrow(_descend(low, threshold, recall), "cls long, tree int, label long, leads array<long>, depth int"), "forest")
+    down, _ = materialize(nodes.mapInArrow(_descend(low, threshold, recall), "cls long, tree int, label long, leads array<long>, met long, depth int"), "forest")
     remove(spark, path)
     return down
 
@@ -316,31 +323,81 @@ def _verify(d: int, threshold: float):
     return run
 
 
+def _zone(threshold: float):
+    """Rows (cls, grp, root, mult, n, shingles, base) -> (cls, grp, root, mult, n, zone): where a member stands to the representative `root`, whose
+    shingles are `base`."""
+
+    def run(batches):
+        for b in batches:
+            zones = []
+            for x, base in zip(b.column("shingles").to_pylist(), b.column("base").to_pylist(), strict=True):
+                x, base = np.frombuffer(x, dtype=np.uint64), np.frombuffer(base, dtype=np.uint64)
+                common = len(np.intersect1d(x, base, assume_unique=True))
+                share = (len(base) - common + threshold * (len(x) - common)) / ((1 - threshold) * len(base))
+                zones.append(min(ZONES + 1, math.ceil(ZONES * share)))
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["shingles", "base"]).columns, pa.array(zones, pa.int32())], names=["cls", "grp", "root", "mult", "n", "zone"])
+
+    return run
+
+
+def _large(full: DataFrame, central: DataFrame, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Large components: (own, a, b, cls, mult, tile, labels, shingles) of the pairs of tiles that have to be looked at, and (cls, root, links) of the
+    links that are sure. full: (cls, grp, mult, n, labels, shingles); central: (cls, met)."""
+    best = full.select("cls", "grp").join(central, "cls").groupBy("grp").agg(F.max_by("cls", F.struct("met", -F.col("cls"))).alias("root"))
+    base = best.join(full.select(F.col("cls").alias("root"), F.col("shingles").alias("base")), "root")
+    base, _ = materialize(base.dropDuplicates(["grp"]), "representatives")  # a row a component
+    rows = full.select("cls", "grp", "mult", "n", "shingles").join(base, "grp").select("cls", "grp", "root", "mult", "n", "shingles", "base")
+    rows = rows.mapInArrow(_zone(threshold), "cls long, grp long, root long, mult long, n long, zone int")
+    rows, _ = materialize(rows.dropDuplicates(["cls"]), "zones")  # of a text that stands in several rows one
+
+    zones = rows.groupBy("grp", "zone").agg(F.sum("n").alias("w"), F.count("*").alias("c"), F.sum("mult").alias("m"))
+    zones = zones.select("grp", "zone", "m", F.ceil(F.greatest(F.col("w") / tile, F.col("c") / CLASSES)).cast("int").alias("tiles"))
+    others = zones.groupBy("grp").agg(F.collect_list(F.struct("zone", "m", "tiles")).alias("all"))  # ZONES + 2 entries at most
+    plan = zones.drop("m").join(others, "grp")
+    number = lambda zone, i: zone * (1 << 24) + i
+    sure = F.aggregate(F.filter("all", lambda z: z["zone"] + F.col("zone") <= ZONES), F.lit(0).cast("long"), lambda t, z: t + z["m"])
+    open_ = F.filter("all", lambda z: z["zone"] + F.col("zone") > ZONES)
+    meets = F.flatten(F.transform(open_, lambda z: F.transform(F.sequence(F.lit(0), z["tiles"] - 1), lambda i: number(z["zone"], i))))
+    plan, _ = materialize(plan.select("grp", "zone", "tiles", sure.alias("sure"), meets.alias("meets")), "plan")
+    placed = rows.join(plan, ["grp", "zone"])
+    placed = placed.withColumn("tile", number(F.col("zone"), F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")))
+    links = F.col("sure") - F.when(2 * F.col("zone") <= ZONES, F.col("mult")).otherwise(0)  # not with itself
+    known = placed.select("cls", "root", links.alias("links")).where("links > 0")
+    pairs = placed.where(F.size("meets") > 0).select("cls", F.col("grp").alias("own"), "tile", "meets").join(full.select("cls", "mult", "labels", "shingles"), "cls")
+    pairs = pairs.select("own", "cls", "mult", "tile", "labels", "shingles", F.explode("meets").alias("x"))
+    return pairs.select("own", F.least("tile", "x").alias("a"), F.greatest("tile", "x").alias("b"), "cls", "mult", "tile", "labels", "shingles"), known
+
+
 def _links(got: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, recall: float, tile: int) -> DataFrame:
     """(cls, root, links) of linked classes. got: (rep, k1, k2, n, labels) of the texts (rep, text); classes: (cls, rep,
     k1, k2, mult), where cls is a class's own number and rep, with the set key, finds its text."""
     # labels follow from the set key; they are fetched for the representative alone
     reps = classes.join(got.where("n > 0"), ["rep", "k1", "k2"]).groupBy("cls", "rep", "k1", "k2", "mult", "n").agg(F.first("labels").alias("labels"))
-    reps, done = materialize(reps, "classes")
-    star = _stars(forest(reps, threshold, recall), shortest(threshold, recall))
-    groups = connected_components(star).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    reps, stored = materialize(reps, "classes")
+    down = forest(reps, threshold, recall)
+    groups = connected_components(_stars(down, shortest(threshold, recall))).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     members, path = materialize(reps.join(groups, "cls"), "members")
-    remove(reps.sparkSession, done)
+    remove(reps.sparkSession, stored)
     weight = members.groupBy("grp").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
-    total = weight.agg(F.sum(F.col("w") + 64 * F.col("c"))).first()[0] or 0
-    bundles = max(1, math.ceil(4 * total / tile))  # small groups share tasks of a quarter of a tile
-    weight = weight.select("grp", F.ceil(F.greatest(F.col("w") / tile, F.col("c") / CLASSES)).alias("tiles"))
-    rows = members.join(weight, "grp")
-    rows = rows.withColumn("own", F.when(F.col("tiles") > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), F.lit(bundles))))
-    rows = rows.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("cls"), F.col("tiles"))).otherwise(0).cast("int"))
-    full = rows.select("cls", "rep", "k1", "k2", "mult", "labels", "own", "tile", "tiles").join(texts, "rep").drop("rep")
-    full = full.mapInArrow(_sets, "cls long, k1 long, k2 long, mult long, labels array<long>, own long, tile int, tiles long, shingles binary")
-    pairs = full.drop("k1", "k2").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
-    pairs = pairs.select("own", F.least("tile", "x").alias("a"), F.greatest("tile", "x").alias("b"), "cls", "mult", "tile", "labels", "shingles")
+    weight = weight.withColumn("large", F.greatest(F.col("w") / tile, F.col("c") / CLASSES) > 1)
+    total, any_large = weight.agg(F.sum(F.col("w") + 64 * F.col("c")), F.max("large")).first()
+    bundles = max(1, math.ceil(4 * (total or 0) / tile))  # small groups share tasks of a quarter of a tile
+    full = members.join(weight.select("grp", "large"), "grp").select("cls", "rep", "k1", "k2", "grp", "mult", "n", "labels", "large").join(texts, "rep").drop("rep")
+    full = full.mapInArrow(_sets, "cls long, k1 long, k2 long, grp long, mult long, n long, labels array<long>, large boolean, shingles binary").drop("k1", "k2")
+    done = [path]
+    if any_large:
+        full, path = materialize(full, "member-sets")
+        done.append(path)
+    bundle = -1 - F.pmod(F.xxhash64("grp"), F.lit(bundles))
+    zero = F.lit(0).cast("int")
+    pairs = full.where("not large").select(bundle.alias("own"), zero.alias("a"), zero.alias("b"), "cls", "mult", zero.alias("tile"), "labels", "shingles")
+    if any_large:
+        more, known = _large(full.where("large"), down.groupBy("cls").agg(F.sum("met").alias("met")), threshold, tile)
+        pairs = pairs.unionByName(more)
     inside = min(depth(threshold, recall), depth(threshold, RECALL_INSIDE))
     found = pairs.groupBy("own", "a", "b").applyInArrow(_verify(inside, threshold), "cls long, root long, links long")
-    found, _ = materialize(found, "links")
-    remove(members.sparkSession, path)
+    found, _ = materialize(found.union(known) if any_large else found, "links")
+    remove(members.sparkSession, *done)
     return found
 
 

@@ -616,3 +616,30 @@ def test_warc_streams_and_sink(spark, tmp_path, monkeypatch):
 
 def r_len(i):
     return 1 + i * 37 % 50
+
+
+@pytest.mark.parametrize("tile,classes", [(4000, 3000), (1500, 20), (10**6, 25)])
+def test_large_components_by_representative(spark, monkeypatch, tile, classes):
+    """Close families, a chain that leads away from its representative, copies and repeated rows, in tiles of few classes."""
+    monkeypatch.setattr(jaccard, "CLASSES", classes)
+    r = random.Random(31)
+    data, base = [], words(140, 77).split()
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+            k = r.randrange(140)
+            w[k : k + 1] = r.choice([[], ["z" + str(r.randint(0, 999))], [w[k], "y" + str(r.randint(0, 99))]])
+        data.append((i, " ".join(w)))
+    chain = words(160, 78).split()
+    for i in range(60):  # each differs from the next a little, the ends share nothing
+        chain[i * 2] = "link" + str(i)
+        data.append((500 + i, " ".join(chain)))
+    data += [(1000, data[3][1]), (1001, data[130][1]), (3, data[3][1]), (2000, words(50, 79))]
+    df = spark.createDataFrame(data, "doc_id int, text string").repartition(3)
+    zones = []
+    real = jaccard._large
+    monkeypatch.setattr(jaccard, "_large", lambda *a: zones.append(real(*a)) or zones[-1])
+    got = jaccard.near_duplicates(df, tile=tile)
+    assert {x.doc_id: (x.n_links, x.component_id, x.kept) for x in got.collect()} == brute(data)
+    assert zones and zones[0][1].count() > 20  # some links are known without a pair
+    assert sorted(x.doc_id for x in jaccard.deduplicate(df, tile=tile).collect()) == sorted(i for i, v in brute(data).items() if v[2])
