@@ -10,12 +10,20 @@ from loomtext.functions import nn
 
 
 def windows(stream: DataFrame, starts: DataFrame, length: int) -> DataFrame:
-    """(sample_id, start, x, y) from a stream (pos, token_id) and (sample_id, start): x = d[s : s + m], y = d[s + 1 : s + m + 1].
+    """(sample_id, start, x, y) from a stream (pos, token_id), positions 0 .. n - 1, and (sample_id, start): x = d[s : s + m], y = d[s + 1 : s + m + 1].
 
-    Each start asks for its length + 1 positions, so the range join is an equi-join on the position.
+    The stream is cut into blocks, arrays that are longer than a window, so a start asks for the one or two blocks that hold its
+    window, not for a row per position; of each only the window's part goes on.
     """
-    want = starts.select("sample_id", "start", F.explode(F.sequence(F.col("start"), F.col("start") + length)).alias("pos"))
-    got = want.join(stream, "pos").groupBy("sample_id", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda r: r["token_id"]).alias("all"))
+    size = max(64, 2 * (length + 1))
+    block = F.floor(F.col("pos") / size)
+    held = stream.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("held"))
+    want = starts.select("sample_id", "start", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + length) / size))).alias("block"))
+    first = F.greatest(F.col("start") - F.col("block") * size, F.lit(0))
+    last = F.least(F.col("start") + length - F.col("block") * size, F.lit(size - 1))
+    part = F.slice("held", (first + 1).cast("int"), (last - first + 1).cast("int"))
+    got = want.join(held, "block").select("sample_id", "start", F.struct("block", F.transform(part, lambda r: r["token_id"]).alias("part")).alias("part"))
+    got = got.groupBy("sample_id", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["part"])).alias("all"))
     return got.select("sample_id", "start", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
 
 
