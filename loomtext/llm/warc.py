@@ -94,7 +94,7 @@ def scan(page: str) -> Page:
     def end_of(name: str, start: int):
         if name in open_ended:
             return None
-        m = _END_TAG[name].search(page, start)
+        m = _END_TAG[name].search(page, start, last + 1)
         if not m:
             open_ended.add(name)
         return m
