@@ -6,6 +6,7 @@ A word is written as a string of symbols "<6869><21>": upper-case hex of each sy
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,21 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = "<|endoftext|>"
-_SEP = "\u0000"
+#: A blank between a non-blank and an ASCII letter or digit always starts a new pre-token.
+_CUT = re.compile(r"(?<=\S) (?=[A-Za-z0-9])")
+
+
+def cut(text: str, most: int = 1 << 18) -> Iterator[str]:
+    """The text in pieces of about `most` characters, whose pre-tokens are those of the text: cuts are made only where a pre-token must begin.
+    A text without such a place stays whole."""
+    at = 0
+    while len(text) - at > most:
+        m = _CUT.search(text, at + most)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 def pretokenize(text: Column) -> Column:

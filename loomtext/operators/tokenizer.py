@@ -145,6 +145,10 @@ def joined(vocab: dict[int, bytes], ids: list[int]) -> str:
         raise ValueError(f"token id not in the vocabulary: {e.args[0]}") from None
 
 
+#: The longest pre-token, in characters, whose ids a worker remembers.
+LONGEST = 64
+
+
 def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = 500_000):
     """A function from text to ids that remembers up to `most` pre-tokens."""
     import re
@@ -161,7 +165,7 @@ def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
             if part in special:
                 out.append(ids[part.encode()])
                 continue
-            for p in pattern.findall(part):
+            for p in (p for piece in T.cut(part) for p in pattern.findall(piece)):
                 got = known.get(p)
                 if got is None:
                     try:
@@ -170,7 +174,8 @@ def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
                         raise UnknownSymbol(*e.args) from None
                     if len(known) >= most:
                         known.clear()
-                    known[p] = got
+                    if len(p) <= LONGEST:
+                        known[p] = got
                 out += got
         return out
 

@@ -34,7 +34,8 @@ def _counter(specials: list[str]):
                 if t is None:
                     continue
                 for part in cut(t) if cut else (t,):
-                    held.update(find(part))
+                    for piece in T.cut(part):
+                        held.update(find(piece))
                 if len(held) > HELD:
                     yield out()
                     held.clear()

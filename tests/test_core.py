@@ -514,3 +514,12 @@ def test_chunks_of_a_table(spark):
             want.add(len(whole) if at < 0 else at)
         assert corpus.table_chunks(df, chunks) == sorted(want) == one.select(corpus.chunk_boundaries(F.col("text"), chunks)).first()[0]
     assert corpus.table_chunks(df.limit(0), 3) == [0]
+
+
+def test_cuts_keep_pre_tokens():
+    r = random.Random(10)
+    for _ in range(200):
+        t = "".join(r.choices(["a", "bc1", " ", "  ", "\n", "'s", "é", "!", " x", "\u00a0"], k=60))
+        for most in (1, 7):
+            parts = list(T.cut(t, most))
+            assert "".join(parts) == t and [p for x in parts for p in regex.findall(T.PATTERN, x)] == regex.findall(T.PATTERN, t)
