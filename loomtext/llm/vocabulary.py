@@ -5,17 +5,14 @@ import functools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 
+from loomtext.functions.text import cut as cut
 from loomtext.sources.files import byte_unicode
 
 #: Fixed value: the pattern that byte-level BPE files of this kind split text with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A blank between a non-blank and an ASCII letter or digit always starts a new piece.
-_CUT = re.compile(r"(?<=\S) (?=[A-Za-z0-9])")
-
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -79,21 +76,6 @@ def plain(text: str) -> bool:
     return not new & _UNSAFE
 
 
-def cut(text: str, most: int = 1 << 18) -> Iterator[str]:
-    """The text in pieces of about `most` characters; the tokens of the pieces are the tokens of the text.
-
-    Cuts are made only before a blank that always starts a token; a text without any stays whole.
-    """
-    at = 0
-    while len(text) - at > most:
-        m = _CUT.search(text, at + most)
-        if not m:
-            break
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:] if at else text
-
-
 def special_pattern(specials) -> re.Pattern | None:
     """Longest first, so of two special strings that start alike the longer wins."""
     return re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
