@@ -51,7 +51,7 @@ CROWD = 64
 #: Shingles and classes in a tile; a task holds two tiles.
 TILE, CLASSES = 1_500_000, 3_000
 #: Zones of the members of a large component, by their difference from its representative; one more is for those too far for sure links.
-ZONES = 16
+ZONES = 8
 
 _FACTORS = hashing.mix(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -379,7 +379,7 @@ def _links(got: DataFrame, classes: DataFrame, texts: DataFrame, threshold: floa
     members, path = materialize(reps.join(groups, "cls"), "members")
     remove(reps.sparkSession, stored)
     weight = members.groupBy("grp").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
-    weight = weight.withColumn("large", F.greatest(F.col("w") / tile, F.col("c") / CLASSES) > 1)
+    weight = weight.withColumn("large", (F.col("w") > tile) | (F.col("c") > CLASSES))
     total, any_large = weight.agg(F.sum(F.col("w") + 64 * F.col("c")), F.max("large")).first()
     bundles = max(1, math.ceil(4 * (total or 0) / tile))  # small groups share tasks of a quarter of a tile
     full = members.join(weight.select("grp", "large"), "grp").select("cls", "rep", "k1", "k2", "grp", "mult", "n", "labels", "large").join(texts, "rep").drop("rep")
