@@ -23,15 +23,18 @@ def let(value: Column, f) -> Column:
 
 
 def weights(w) -> Column:
-    """A list of numbers, or of lists of them, as one constant: parsed at once, not built from a column per number."""
+    """A list of numbers, or of lists of them, as one constant, which the optimizer folds: one string to plan, not a column per number."""
 
-    def sql(x) -> str:
+    def text(x) -> str:
         if isinstance(x, (list, tuple, np.ndarray)):
-            return "array(" + ", ".join(map(sql, x)) + ")"
+            return "[" + ",".join(map(text, x)) + "]"
         x = float(x)
-        return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+        return repr(x) if math.isfinite(x) else "NaN" if math.isnan(x) else f'"{"-" * (x < 0)}Infinity"'
 
-    return F.expr(sql(w))
+    kind, x = "double", w
+    while isinstance(x, (list, tuple, np.ndarray)):
+        kind, x = f"array<{kind}>", x[0] if len(x) else 0.0
+    return F.from_json(F.lit(text(w)), kind)
 
 
 def linear(x: Column, w: list[list[float]]) -> Column:
