@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
+from loomtext.operators import training
 from loomtext.sources import files
 from loomtext.sources.arrow import by_bytes
 
@@ -40,18 +41,21 @@ class Tokenizer:
 
     def words(self, pretokens: DataFrame, column: str = "pretoken") -> DataFrame:
         """Distinct pre-tokens with their merged symbol strings: (pretoken, word)."""
-        distinct = pretokens.select(F.col(column).alias("pretoken")).where("pretoken is not null").distinct()
+        return self.merged(pretokens.select(F.col(column).alias("pretoken")).where("pretoken is not null").distinct())
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """rows, whose first column is `pretoken`, with its merged symbol string in a column `word`."""
         if len(self.merges) <= EXPRESSION_MERGES and M.in_order(self.merges):
             hexes = [(a.hex().upper(), b.hex().upper()) for a, b in self.merges]
-            return distinct.select("pretoken", T.apply_merges(T.symbols(F.col("pretoken")), hexes).alias("word"))
-        ranks = distinct.sparkSession.sparkContext.broadcast(self.ranks)  # bounded by the vocabulary
+            return rows.withColumn("word", T.apply_merges(T.symbols(F.col("pretoken")), hexes))
+        ranks = rows.sparkSession.sparkContext.broadcast(self.ranks)  # bounded by the vocabulary
 
         def run(batches):
             for b in by_bytes(batches, 0):
                 got = ["".join(f"<{s.hex().upper()}>" for s in M.encode_word(w.encode(), ranks.value)) for w in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["pretoken", "word"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, "word"])
 
-        return distinct.mapInArrow(run, "pretoken string, word string")
+        return rows.mapInArrow(run, rows.withColumn("word", F.lit("")).schema)
 
     def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise") -> DataFrame:
         """(key, ids): Arrow batches, bounded in bytes, each worker keeping the ids of pre-tokens it has met. No shuffle.
@@ -88,18 +92,20 @@ class Tokenizer:
         seg = docs.select(key, F.posexplode(T.split_special(F.col(text), self.specials)).alias("seg", "s"))
         special = F.col("s").isin(*self.specials) if self.specials else F.lit(False)
         tok = seg.select(key, "seg", special.alias("special"), F.posexplode(F.when(special, F.array("s")).otherwise(T.pretokenize(F.col("s")))).alias("tok", "pretoken"))
-        counts = tok.where("not special").groupBy("pretoken").agg(F.count("*").alias("n"))
-        found = self.words(counts.select("pretoken")).join(counts, "pretoken").select("pretoken", "n", T.symbol_list(F.col("word")).alias("parts"))
+        ids = self.vocabulary(docs.sparkSession).select("token_id", F.hex("token").alias("token"))
+        token_id = F.col("token_id") if _skips(unknown) else F.coalesce("token_id", F.raise_error(F.concat(F.lit("symbol not in the vocabulary: "), F.col("token"))).cast("int"))
+        counted = self.merged(training.pretoken_counts(docs, self.specials, text))
+        found = counted.select("pretoken", "n", F.posexplode(T.symbol_list(F.col("word"))).alias("part", "token")).join(F.broadcast(ids), "token", "left")
+        found = found.groupBy("pretoken", "n").agg(F.array_sort(F.collect_list(F.struct("part", token_id.alias("token_id"), "token"))).alias("parts"))
         found = files.stored(found, "words")
         top = found.orderBy(F.desc("n"), "pretoken").limit(frequent).select("pretoken", F.col("parts").alias("near"))
-        bytes_of = F.array(F.hex(F.encode("pretoken", "UTF-8")))
-        near = tok.join(F.broadcast(top), "pretoken", "left").withColumn("near", F.when(F.col("special"), bytes_of).otherwise(F.col("near")))
+        own = F.array(F.struct(F.lit(0).alias("part"), F.element_at(self._special_ids(), F.col("pretoken")).alias("token_id"), F.hex(F.encode("pretoken", "UTF-8")).alias("token")))
+        near = tok.join(F.broadcast(top), "pretoken", "left").withColumn("near", F.when(F.col("special"), own).otherwise(F.col("near")))
         far = near.where("near is null").drop("near").join(found.select("pretoken", F.col("parts").alias("near")), "pretoken", "left")
-        joined = near.where("near is not null").unionByName(far)
-        parts = joined.select(key, "seg", "tok", F.posexplode("near").alias("part", "token"))
-        ids = self.vocabulary(docs.sparkSession).select("token_id", F.hex("token").alias("token"))
-        token_id = F.col("token_id") if _skips(unknown) else F.coalesce("token_id", F.raise_error(F.concat(F.lit("symbol not in the vocabulary: "), F.col("token"))).cast("int"))
-        return parts.join(F.broadcast(ids), "token", "left").select(key, "seg", "tok", "part", token_id.alias("token_id"), "token")
+        return near.where("near is not null").unionByName(far).select(key, "seg", "tok", F.explode("near").alias("t")).select(key, "seg", "tok", "t.*")
+
+    def _special_ids(self) -> Column:
+        return F.create_map(*(x for s in self.specials for x in (F.lit(s), F.lit(self.ids[s.encode()])))).cast("map<string,int>")
 
     def decode(self, df: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
         """(key, text): bytes of all ids joined, then read as UTF-8 with replacement. Null ids give null; an id that the vocabulary lacks, or a
