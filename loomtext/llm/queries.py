@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, jaccard, license_scans, mixing, neardup, quality, token_counts, topk, toxicity, training_order, warc, whitening
+from loomtext.llm import bpe, jaccard, license_scans, mixing, neardup, prefix_trie, quality, token_counts, topk, toxicity, training_order, warc, whitening
 
 
 def vocabulary_path() -> str:
@@ -59,6 +59,10 @@ def op10_topk(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.grafted)
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -68,7 +72,7 @@ def op13_license_scans(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op2_warc_derivatives, op3_jaccard_forest, op4_bpe, op5_toxicity_ordinal, op6_training_order, op7_embedding_collisions, op8_systematic_mix, op9_token_counts, op10_topk, op12_whitening, op13_license_scans)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_warc_derivatives, op3_jaccard_forest, op4_bpe, op5_toxicity_ordinal, op6_training_order, op7_embedding_collisions, op8_systematic_mix, op9_token_counts, op10_topk, op11_prefix_trie, op12_whitening, op13_license_scans)}
 
 
 _COMPONENTS = """,
