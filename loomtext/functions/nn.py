@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.sources.arrow import by_bytes
+
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
@@ -227,6 +229,10 @@ def _fit(got: dict, want: dict) -> None:
         raise ValueError("; ".join(wrong))
 
 
+#: Bytes of logits that a task makes at once, beyond those of one sequence.
+LOGITS = 64 << 20
+
+
 def lm_logits(tokens: DataFrame, state: dict[str, np.ndarray], layers: int, heads: int, theta: float = 10_000.0) -> DataFrame:
     """Transformer LM over rows (b, ids): (b, logits), logits flattened over positions. Whole sequences are computed in
     Arrow batches, since one is a dense tensor program. The state is checked first (lm_state)."""
@@ -234,9 +240,11 @@ def lm_logits(tokens: DataFrame, state: dict[str, np.ndarray], layers: int, head
     shared = tokens.sparkSession.sparkContext.broadcast(state)  # the model's size, not the data's
 
     def run(batches):
-        for b in batches:
+        vocabulary = len(shared.value["lm_head.weight"])
+        for b in by_bytes(batches, "ids", max(1, LOGITS // vocabulary)):  # the logits of few sequences at a time
             got = [lm_forward(np.array(ids, dtype=int), shared.value, layers, heads, theta).ravel() for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("b"), pa.array([g.tolist() for g in got], pa.list_(pa.float64()))], names=["b", "logits"])
+            at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("b"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got)))], names=["b", "logits"])
 
     return tokens.select("b", "ids").mapInArrow(run, f"b {dict(tokens.dtypes)['b']}, logits array<double>")
 
