@@ -154,7 +154,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]):
         c = codec(path)
-        for b in batches:
+        for b in by_bytes(batches, of_row(ids)):
             texts = [c.decode(x or []) for x in of_row(ids)(b).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", out])
 

@@ -1,6 +1,8 @@
 """Labelled samples and sparse word features shared by the two trained classifiers."""
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +21,14 @@ def held_out(doc_id="doc_id"):
 
 #: Texts of a sample have so many bytes together at most: what the driver holds, whatever their number and lengths.
 SAMPLE_BYTES = 64 << 20
+#: A classifier's sample that texts had to be left out of, for its bytes, needs so many rows at least.
+LEAST = 1_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, most: int = SAMPLE_BYTES) -> list[tuple]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, most: int = SAMPLE_BYTES, least: int = 10) -> list[tuple]:
     """(doc_id, text, n_chars, label) of up to `bound` labelled documents outside the held-out fold, with texts of up to `most` bytes
-    together, in hash order of the id; the first text that passes the bound ends the sample.
+    together, in hash order of the id. A text that doesn't fit any more is left out, with a warning, and the sample goes on with the next; if fewer than
+    `least` rows, and fewer than there are without the bound, would be left, ValueError is raised.
 
     Labels other than 0 and 1, null ids and contradicting repeats are left out. Rows that repeat an id are one, that of the smallest text.
     The picked ids number at most `bound`, so broadcasting them is safe at any size; their rows are stored, then sized, then collected.
@@ -42,15 +47,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
     n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     rows = docs.select(F.col("doc_id").alias("id"), F.struct("text", n.alias("n")).alias("row")).join(F.broadcast(pick), "id")
     rows = rows.groupBy("id", "label").agg(F.min("row").alias("row"))
-    rows, path = materialize(rows.select("id", "row.text", "row.n", "label", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("size")), "sample")
-    total, used = 0, []
-    for r in rows.orderBy(*by).select("id", "size").collect():
-        total += r.size
-        if total > most:
-            break
-        used.append(r.id)
+    # (a text over the bound can't fit, so it isn't stored; its size is)
+    rows = rows.withColumn("row", F.when(F.octet_length("row.text") > most, F.struct(F.lit(None).cast("string").alias("text"), F.col("row.n").alias("n"), F.octet_length("row.text").alias("over"))).otherwise(F.struct(F.col("row.text").alias("text"), F.col("row.n").alias("n"), F.lit(None).cast("int").alias("over"))))
+    rows, path = materialize(rows.select("id", "row.text", "row.n", "label", F.coalesce("row.over", F.octet_length("row.text"), F.lit(0)).cast("long").alias("size")), "sample")
+    total, used, sizes = 0, [], rows.orderBy(*by).select("id", "size").collect()
+    for r in sizes:
+        if total + r["size"] <= most:
+            total += r["size"]
+            used.append(r.id)
     got = rows.select("id", "text", "n", "label")
-    if len(used) < rows.count():
+    if len(used) < len(sizes):
+        said = f"{len(used)} of {len(sizes)} labelled texts, {total} of {sum(r['size'] for r in sizes)} bytes, fit into a sample of {most} bytes"
+        if len(used) < min(least, len(sizes)):
+            remove(spark, path)
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=3)
         got = got.join(F.broadcast(spark.createDataFrame([(i,) for i in used], rows.select("id").schema)), "id")
     got = sorted((tuple(r) for r in got.collect()), key=lambda r: r[0])
     remove(spark, path)

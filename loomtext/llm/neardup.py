@@ -30,9 +30,9 @@ from loomtext.llm.common import connected_components, integer_ids, materialize
 THRESHOLD, RECALL, PROJECTIONS, SEED = 0.93, 0.99999, 48, 11
 #: Half-width of a window, in units of the distance at the threshold.
 WINDOW = 3.0
-#: Vectors in a tile; a task holds two tiles. Every vector of a label with t tiles is copied t times, so tiles are as large as a
-#: task's time allows (a few seconds), not as small as its memory would.
-TILE = 16_384
+#: Vectors in a tile, and their bytes at most; a task holds two tiles, some five times over. Every vector of a label with t tiles is copied t
+#: times, so tiles are as large as a task's time allows (a few seconds), not as small as its memory would. Ranks take 16 bits.
+TILE, TILE_BYTES = 16_384, 64 << 20
 _STEP = 16
 
 
@@ -127,6 +127,8 @@ def _tile_links(threshold: float, recall: float):
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for pairs of equal labels with cosine >= threshold."""
     integer_ids(embeddings, "vec_id")
+    if not 0 < tile <= 1 << 16:
+        raise ValueError("a tile holds 65,536 vectors at most")
     kind = dict(embeddings.dtypes)["vec_id"]
     vec = F.col("embedding").cast("array<double>")
     good = F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -137,7 +139,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
     usable = ids.where("vec is not null")
     classes = usable.groupBy("label", "vec").agg(F.min("vec_id").alias("cls"), F.count("*").alias("mult"))
     classes, _ = materialize(classes.withColumn("dim", F.size("vec")), "classes")
-    tiles = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    tiles = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))).cast("int").alias("tiles"))
     # labels and lengths are few beside the rows; the join is left to the optimiser
     dealt = classes.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))

@@ -146,7 +146,7 @@ def fit(rows: list[tuple[str | None, int | None, int]], factors: int = 8, epochs
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on at most `sample` labelled rows outside the held-out fold, of at most learning.SAMPLE_BYTES; the same rows give the same model."""
-    return fit([r[1:] for r in learning.labelled_sample(docs, labels, "quality", sample)])
+    return fit([r[1:] for r in learning.labelled_sample(docs, labels, "quality", sample, least=learning.LEAST)])
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:

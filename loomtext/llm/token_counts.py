@@ -4,7 +4,7 @@ Batches are cut by bytes, not rows; texts over a limit are cut where every token
 between a non-blank and an ASCII letter or digit, and the counts of the parts are added.
 
 A byte-level .json whose ids rise with the merge ranks is run by the rank-file engine on the same vocabulary,
-several times faster, and by the tokenizers library for texts with special strings or with characters whose Unicode class
+several times faster, and by the tokenizers library for the parts with special strings or with characters whose Unicode class
 differs between versions; other .json files always by that library; .model files by sentencepiece, whole,
 since its pieces depend on neighbours. Null or empty text counts 0; repeats count alike; an empty table gives an
 empty result.
@@ -30,6 +30,8 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.pieces = self.ranks = self.library = None
         self.specials: list[str] = []
+        self.reaching: list[str] = []
+        self.cuts = False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -45,6 +47,10 @@ class Counter:
         except (ValueError, KeyError):
             return
         self.specials = list(v.specials)
+        added = self.library.get_added_tokens_decoder().values()
+        # special tokens that hold a blank, or take in the blanks beside them, may reach across a cut
+        self.reaching = [t.content for t in added if t.lstrip or t.rstrip or " " in t.content]
+        self.cuts = True
         if v.in_rank_order:
             import tiktoken
 
@@ -54,17 +60,21 @@ class Counter:
     def by_ranks(self, text: str) -> bool:
         return self.ranks is not None and not any(s in text for s in self.specials) and vocabulary.plain(text)
 
+    def parts(self, text: str) -> list[str]:
+        """The text, cut at safe places if it is long; each part can be run by the engine that suits it."""
+        if not self.cuts or any(s in text for s in self.reaching):
+            return [text]
+        return list(vocabulary.cut(text))
+
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of one text as unsigned 32-bit integers."""
         if not text:
             return np.zeros(0, dtype=np.uint32)
         if self.pieces is not None:
-            got = self.pieces.encode(text)
-        elif self.by_ranks(text):
-            got = self.ranks.encode_ordinary(text)
+            got = [self.pieces.encode(text)]
         else:
-            got = self.library.encode(text, add_special_tokens=False).ids
-        return np.frombuffer(array("I", got), dtype=np.uint32)
+            got = [self.ranks.encode_ordinary(p) if self.by_ranks(p) else self.library.encode(p, add_special_tokens=False).ids for p in self.parts(text)]
+        return np.concatenate([np.frombuffer(array("I", x), dtype=np.uint32) for x in got])
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=np.int64)
@@ -72,18 +82,15 @@ class Counter:
             some = [i for i, t in enumerate(texts) if t]
             out[some] = [len(x) for x in self.pieces.encode([texts[i] for i in some], num_threads=1)]
             return out
-        parts, owner, rest = [], [], []
+        rest = []
         for i, t in enumerate(texts):
-            if t and self.by_ranks(t):
-                for p in vocabulary.cut(t):
-                    parts.append(p)
-                    owner.append(i)
-            elif t:
-                rest.append(i)
-        if parts:
-            np.add.at(out, owner, [len(x) for x in map(self.ranks.encode_ordinary, parts)])
+            for p in self.parts(t) if t else ():
+                if self.by_ranks(p):
+                    out[i] += len(self.ranks.encode_ordinary(p))
+                else:
+                    rest.append((i, p))
         if rest:
-            out[rest] = [len(e.ids) for e in self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+            np.add.at(out, [i for i, _ in rest], [len(e.ids) for e in self.library.encode_batch_fast([p for _, p in rest], add_special_tokens=False)])
         return out
 
 

@@ -28,8 +28,8 @@ from loomtext.llm.common import integer_ids, materialize
 
 K, SCALE = 5, 256.0
 #: Rows in a block of queries and of candidates. Each side is copied once per block of the other, so blocks are large; scores
-#: are made for _STEP candidates at a time.
-QUERIES, CANDIDATES = 32_768, 16_384
+#: are made for _STEP candidates at a time. Either has BLOCK_BYTES of components at most.
+QUERIES, CANDIDATES, BLOCK_BYTES = 32_768, 16_384, 64 << 20
 _STEP = 128
 
 
@@ -47,22 +47,36 @@ def _integers(column: pa.ChunkedArray, scale: float) -> np.ndarray:
     return np.array([[exact(*p) for p in zip(*r, strict=True)] for r in zip(x.tolist(), y.tolist(), strict=True)], dtype=object)
 
 
-def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Scores, queries x candidates, term by term over the postings of the block."""
+def fitting(queries: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the narrowest integers that hold their scores."""
     terms = min(queries.shape[1], block.shape[1])
     most = int(np.abs(queries).max(initial=0)) * int(np.abs(block).max(initial=0)) * max(1, terms)
     kind = np.int32 if most < 2**31 else np.int64 if most < 2**63 else object
-    queries, block = queries.astype(kind), block.astype(kind)
+    return queries.astype(kind), block.astype(kind)
+
+
+def having_terms(queries: np.ndarray) -> list[np.ndarray]:
+    """The queries that have each term."""
+    return [np.flatnonzero(queries[:, t]) for t in range(queries.shape[1])]
+
+
+def accumulate(queries: np.ndarray, block: np.ndarray, havings: list[np.ndarray] | None = None) -> np.ndarray:
+    """Scores, queries x candidates, term by term over the postings of the block. havings: having_terms of queries in fitting integers, where
+    many blocks meet the same ones."""
+    if havings is None:
+        queries, block = fitting(queries, block)
+        havings = having_terms(queries)
+    kind = queries.dtype
     scores = np.zeros((len(queries), len(block)), dtype=kind)
     part = np.empty_like(scores)
-    for t in range(terms):
-        having, postings = np.flatnonzero(queries[:, t]), np.flatnonzero(block[:, t])
+    for t in range(min(queries.shape[1], block.shape[1])):
+        having, postings = havings[t], np.flatnonzero(block[:, t])
         if 4 * len(having) * len(postings) > scores.size:  # mostly full: zero weights add nothing
             np.multiply.outer(queries[:, t], block[:, t], out=part)
             scores += part
         elif len(having) and len(postings):
             scores[np.ix_(having, postings)] += np.multiply.outer(queries[having, t], block[postings, t])
-    return scores if kind is not object else np.clip(scores, -(2**63), 2**63 - 1)
+    return scores if kind != object else np.clip(scores, -(2**63), 2**63 - 1)
 
 
 def _best(k: int, scale: float):
@@ -73,11 +87,12 @@ def _best(k: int, scale: float):
         ci = ci[np.argsort(ids[ci], kind="stable")]  # a later candidate has a larger id, so it must score more to displace
         if not len(qi) or not len(ci):
             return pa.table({"query_id": ids[:0], "vec_id": ids[:0], "score": ids[:0]})
-        q, c = _integers(vec.take(pa.array(qi)), scale), _integers(vec.take(pa.array(ci)), scale)
+        q, c = fitting(_integers(vec.take(pa.array(qi)), scale), _integers(vec.take(pa.array(ci)), scale))
+        havings = having_terms(q)
         best: list = [[] for _ in qi]
         least = [None] * len(qi)
         for at in range(0, len(ci), _STEP):
-            scores, own = accumulate(q, c[at : at + _STEP]), ids[ci[at : at + _STEP]]
+            scores, own = accumulate(q, c[at : at + _STEP], havings), ids[ci[at : at + _STEP]]
             if at == 0 and len(own) > k + 1 and scores.dtype != object:
                 floor = np.partition(scores, len(own) - k - 1, axis=1)[:, len(own) - k - 1]
             else:
@@ -104,8 +119,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = rows.where(F.col("vec").isNotNull() & good).groupBy("vec_id").agg(F.min(F.struct("vec", "is_query")).alias("r"))
     rows, _ = materialize(rows.select("vec_id", "r.vec", "r.is_query"), "vectors")
-    n, m = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
-    qb, cb = max(1, math.ceil(m / queries)), max(1, math.ceil(n / candidates))
+    n, m, longest = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1)), F.max(F.size("vec"))).first()
+    fit = max(1, BLOCK_BYTES // (8 * max(1, longest or 1)))
+    qb, cb = max(1, math.ceil(m / min(queries, fit))), max(1, math.ceil(n / min(candidates, fit)))
     every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     block = lambda b, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(b)).cast("int")
     left = rows.where("is_query").select("vec_id", "vec", F.lit(True).alias("is_query"), block(qb, 1).alias("q"), every(cb).alias("c"))

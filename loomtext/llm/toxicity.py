@@ -115,7 +115,7 @@ def fit(rows: list[tuple[str | None, int]], least: int = 8, steps: int = 300, l1
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """Fit on at most `sample` labelled rows outside the held-out fold, of at most learning.SAMPLE_BYTES; the same rows give the same model."""
-    return fit([(r[1], r[3]) for r in learning.labelled_sample(docs, labels, "toxic", sample)])
+    return fit([(r[1], r[3]) for r in learning.labelled_sample(docs, labels, "toxic", sample, least=learning.LEAST)])
 
 
 def score(docs: DataFrame, model: OrdinalModel, threshold: float | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ written.
 Shards hold `shard` consecutive slots each, records of length * width bytes: slot s is at byte (s % shard) * stride of
 shard s // shard. Range partitions of the slots write them in order, so a reader goes on from any slot by
 arithmetic. A shard is written under a temporary name and renamed, so a repeated task leaves the same file; `finish` removes what
-failed attempts left and writes the manifest that a reader starts from. The folder is the caller's and stays.
+failed attempts left, checks all shards and writes the manifest that a reader starts from. The folder is the caller's and stays.
 
 Edge cases: null and empty texts are one end token; very long texts fill several sequences; repeated rows (equal id and text) stand in
 the stream one after another, and all in one block; an empty table writes no shard; null ids are carried as null; ids may be of any
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import hashing, token_counts, vocabulary
-from loomtext.llm.common import by_bytes, scratch_path
+from loomtext.llm.common import by_bytes, materialize, scratch_path
 
 LENGTH, SHARD, KEY = 1024, 16_384, 0x5EED
 _ROUNDS = 6
@@ -228,17 +228,24 @@ def _write(folder: str, length: int, shard: int, end: int, kind: str):
 
 
 def materialize_order(docs: DataFrame, path: str, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, end: int | None = None) -> DataFrame:
-    """Write the shards below `folder` (a URI all executors reach) when the result is computed.
+    """Write the shards below `folder` (a URI all executors reach), check them, write the manifest, all at the call, and return the stored rows.
 
     Result, one row per sequence: slot, shard, byte_offset, record_sha256, doc_ids (of the documents in it). end: the end
     token, by default the vocabulary's special token, the one with the smallest id.
     """
-    spark = docs.sparkSession
     v = vocabulary.load(path)
     end = min(v.specials.values()) if end is None else end
     if len(v.tokens) > 1 << 16 > end:
         raise ValueError("a vocabulary of over 65,536 tokens needs an end token beyond them")
     kind = "<u2" if end < 1 << 16 else "<u4"
+    rows, _ = materialize(_written(docs, path, folder, length, shard, key, end, kind), "order")
+    finish(docs.sparkSession, folder, rows, length, shard, np.dtype(kind).itemsize)
+    return rows
+
+
+def _written(docs: DataFrame, path: str, folder: str, length: int, shard: int, key: int, end: int, kind: str) -> DataFrame:
+    """The rows of materialize_order, whose computation writes the shards."""
+    spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     place = F.xxhash64(F.col("doc_id").cast("string"), "text")
@@ -260,15 +267,21 @@ def materialize_order(docs: DataFrame, path: str, folder: str, length: int = LEN
 
 
 def finish(spark: SparkSession, folder: str, result: DataFrame, length: int = LENGTH, shard: int = SHARD, width: int = 2) -> dict:
-    """After `result` (the stored rows of materialize_order) is complete: remove the unfinished files of failed attempts and write manifest.json, with what
-    read_from needs. Returns it."""
+    """After `result` (the stored rows of materialize_order) is complete: remove the unfinished files of failed attempts, check that every shard is there
+    in full, as on some stores a rename is a copy that may have been cut short, and write manifest.json, with what read_from needs. A folder without it
+    is not to be read. Returns it; a shard that is missing or of another size raises OSError."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
+    manifest = {"sequences": (n := result.count()), "length": length, "shard": shard, "width": width}
+    want = {f"shard-{i:08d}.bin": min(shard, n - i * shard) * length * width for i in range(-(-n // shard))}
     for f in store.get_file_info(fs.FileSelector(root)):
         if f.base_name.startswith("_shard-"):
             store.delete_file(f.path)
-    manifest = {"sequences": result.count(), "length": length, "shard": shard, "width": width}
+        elif want.get(f.base_name) == f.size:
+            del want[f.base_name]
+    if want:
+        raise OSError(f"{len(want)} shards missing or cut short, such as {min(want)}")
     with store.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return manifest

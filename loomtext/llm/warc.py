@@ -27,6 +27,7 @@ import hashlib
 import html
 import re
 import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -425,8 +426,22 @@ def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
                 data = z.unconsumed_tail
 
 
-def records(data: bytes | Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
-    """(header lines, block) of each record, one at a time; a truncated last record ends the file."""
+#: The largest block that is read; a larger one, which no Arrow value holds, is passed over.
+LARGEST = (1 << 31) - 1
+
+
+def _length(lines: str) -> int | None:
+    """The block's length as the header says; 0 without one, None for one that is no length."""
+    said = header(lines, "content-length").split(",")[-1].strip() or "0"
+    return int(said) if said.isascii() and said.isdigit() and len(said) < 19 else None
+
+
+def records(data: bytes | Iterator[bytes], skipped: list[str] | None = None) -> Iterator[tuple[str, bytes]]:
+    """(header lines, block) of each record, one at a time; a truncated last record ends the file.
+
+    After a record whose length isn't one, reading goes on at the next record mark that follows an empty line; a block over LARGEST is passed over. The
+    header lines of both kinds are put into `skipped`.
+    """
     chunks = _inflate(iter([data]) if isinstance(data, bytes) else data)
     held = bytearray()
 
@@ -437,19 +452,36 @@ def records(data: bytes | Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
                 return True
         return False
 
+    mark = b"WARC/"
     while True:
-        while (start := held.find(b"WARC/")) < 0:
-            del held[:-4]
+        while (start := held.find(mark)) < 0:
+            del held[: 1 - len(mark)]
             if not fill():
                 return
-        del held[:start]
+        del held[: start + len(mark) - 5]
+        mark = b"WARC/"
         seen = 0
         while (end := held.find(b"\r\n\r\n", seen)) < 0:
             seen = max(0, len(held) - 3)
             if not fill():
                 return
         lines = _lines(bytes(held[:end])).partition("\r\n")[2]
-        size = int(header(lines, "content-length").split(",")[-1] or 0)
+        size = _length(lines)
+        if size is None or size > LARGEST:
+            if skipped is not None:
+                skipped.append(lines)
+            if size is None:  # the block may hold anything, but its end is an empty line
+                del held[:end]
+                mark = b"\r\n\r\nWARC/"
+                continue
+            left = end + 4 + size
+            while len(held) < left:
+                left -= len(held)
+                held.clear()
+                if not fill():
+                    return
+            del held[:left]
+            continue
         while len(held) < end + 4 + size:
             if not fill():
                 return
@@ -503,7 +535,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response rows of the WARC files (gzip or not) at `path`.
 
     Files are streamed record by record, so their size doesn't matter; a task holds one record and one batch. A store that only Spark reaches
-    is read by Spark instead, a file of at most 2 GB as one value.
+    is read by Spark instead, a file of at most 2 GB as one value. Records without a proper length, or with a block of 2 GB and more, are left out, with
+    a warning that counts them in the task's log.
     """
     kinds = {"record_id": "string", "target_uri": "string", "date": "string", "http_headers": "string", "payload": "string", "warc_headers": "string", "body": "binary"}
     files = spark.read.format("binaryFile").load(path)
@@ -521,8 +554,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
-                rows, size = [], 0
-                for lines, block in records(_opened(x) if streams else x):
+                rows, size, skipped = [], 0, []
+                for lines, block in records(_opened(x) if streams else x, skipped):
                     if header(lines, "warc-type").lower() == "response":
                         rows.append(_response(lines, block))
                         size += len(block)
@@ -530,5 +563,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                         yield batch(rows)
                         rows, size = [], 0
                 yield batch(rows)
+                if skipped:
+                    warnings.warn(f"{len(skipped)} records left out of {x if streams else 'a file'}", stacklevel=1)
 
     return files.select("path" if streams else "content").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
