@@ -359,7 +359,9 @@ def test_training_order_edges(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(training_order, "BUFFER", 40)
     b = training_order.materialize_order(docs, PATH, f"file://{tmp_path}/b", length=8)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
-    assert "ReusedExchange" in b._jdf.queryExecution().executedPlan().toString()  # the texts are encoded once
+    c = training_order._written(docs, PATH, f"file://{tmp_path}/c", 8, training_order.SHARD, training_order.KEY, 50256, "<u2")
+    assert len(c.collect()) == b.count()
+    assert "ReusedExchange" in c._jdf.queryExecution().executedPlan().toString()  # the texts are encoded once
 
 
 # 7
