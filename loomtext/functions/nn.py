@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions import columns
 from loomtext.sources.arrow import by_bytes
 
 
@@ -64,16 +65,18 @@ def softmax_over(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """rows with `value` replaced by its softmax over rows that share the columns `by`: any axis of a tensor in long form.
 
     The maxima and the sums are aggregates, summed up map-side, and joined back: no group's rows need lie in one task. Null keys
-    form a group.
+    form a group. Columns may have any names.
     """
+    key = F.struct(*(columns.column(c).alias(f"k{i}") for i, c in enumerate(by))) if by else F.lit(0)
+    held = rows.select(columns.whole_row(rows).alias("row"), columns.column(value).alias("x"), key.alias("key"))
 
-    def beside(rows: DataFrame, found: DataFrame) -> DataFrame:
-        found = found.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *found.columns[len(by) :])
-        on = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
-        return rows.join(found, on).drop(*(f"_by{i}" for i in range(len(by))))
+    def beside(held: DataFrame, found: DataFrame) -> DataFrame:
+        found = found.withColumnRenamed("key", "group")
+        return held.join(found, F.col("key").eqNullSafe(F.col("group"))).drop("group")
 
-    e = beside(rows, rows.groupBy(*by).agg(F.max(value).alias("_top"))).withColumn(value, F.exp(F.col(value) - F.col("_top"))).drop("_top")
-    return beside(e, e.groupBy(*by).agg(F.sum(value).alias("_sum"))).withColumn(value, F.col(value) / F.col("_sum")).drop("_sum")
+    e = beside(held, held.groupBy("key").agg(F.max("x").alias("top"))).select("row", "key", F.exp(F.col("x") - F.col("top")).alias("x"))
+    out = beside(e, e.groupBy("key").agg(F.sum("x").alias("sum")))
+    return columns.unpacked(out, rows.columns, **{value: F.col("x") / F.col("sum")})
 
 
 def sigmoid(v: Column) -> Column:

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions import nn
+from loomtext.functions import columns, nn
 
 
 def windows(stream: DataFrame, starts: DataFrame, length: int) -> DataFrame:
@@ -45,19 +45,19 @@ def cross_entropy(logits: Column, target: Column) -> Column:
 
 
 def clip_gradients(grads: DataFrame, most: float, eps: float = 1e-6) -> DataFrame:
-    """(..., g) scaled by min(1, most / (norm + eps)), with the norm over all non-null g of all parameters."""
-    norm = grads.agg(F.sqrt(F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0.0))).alias("_norm"))
-    return grads.crossJoin(F.broadcast(norm)).withColumn("g", F.col("g") * F.least(F.lit(1.0), F.lit(most) / (F.col("_norm") + eps))).drop("_norm")
+    """(..., g) scaled by min(1, most / (norm + eps)), with the norm over all non-null g of all parameters. Other columns may have any names."""
+    norm = grads.agg(F.sqrt(F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0.0))).alias("norm"))
+    held = grads.select(columns.whole_row(grads).alias("row")).crossJoin(F.broadcast(norm))  # one row
+    return columns.unpacked(held, grads.columns, g=F.col("row.g") * F.least(F.lit(1.0), F.lit(most) / (F.col("norm") + eps)))
 
 
 def adamw_step(rows: DataFrame, t: int, lr: float = 1e-3, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8, decay: float = 0.01) -> DataFrame:
-    """One step over rows with w, g, m, v; decay is decoupled; rows with null g stay."""
+    """One step over rows with w, g, m, v; decay is decoupled; rows with null g stay. Other columns may have any names."""
     m, v = F.col("m") * b1 + F.col("g") * (1 - b1), F.col("v") * b2 + F.col("g") * F.col("g") * (1 - b2)
     step = lr * math.sqrt(1 - b2**t) / (1 - b1**t)
-    w = F.col("w") * (1 - lr * decay) - F.lit(step) * F.col("m2") / (F.sqrt("v2") + eps * math.sqrt(1 - b2**t))
-    out = rows.withColumn("m2", F.coalesce(m, "m")).withColumn("v2", F.coalesce(v, "v"))
-    out = out.withColumn("w", F.when(F.col("g").isNull(), F.col("w")).otherwise(w))
-    return out.withColumn("m", F.col("m2")).withColumn("v", F.col("v2")).drop("m2", "v2")
+    w = F.col("w") * (1 - lr * decay) - F.lit(step) * m / (F.sqrt(v) + eps * math.sqrt(1 - b2**t))
+    none = F.col("g").isNull()  # all three come from the row as it was
+    return rows.withColumns({"w": F.when(none, F.col("w")).otherwise(w), "m": F.when(none, F.col("m")).otherwise(m), "v": F.when(none, F.col("v")).otherwise(v)})
 
 
 def cosine_rate(it: Column, most: float, least: float, warmup: int, cycle: int) -> Column:

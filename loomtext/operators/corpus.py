@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions import columns
 from loomtext.functions import text as T
 from loomtext.operators.tokenizer import Tokenizer
 from loomtext.sources import files
@@ -35,7 +36,8 @@ def longest_token(vocab: DataFrame) -> DataFrame:
 
 
 def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", blocks: int | None = None) -> DataFrame:
-    """sizes with `start`, the position of a document's first token in the stream ordered by key (null first).
+    """sizes with `start`, the position of a document's first token in the stream ordered by key (null first). Columns may have any names; one
+    called `start` is replaced.
 
     Two levels: sizes are stored, so whatever computes them runs once, then range-partitioned by key into `blocks` (by default
     spark.sql.shuffle.partitions), which follow the keys' distribution, and stored again, so that all reads see the same blocks.
@@ -43,13 +45,14 @@ def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", b
     """
     spark = sizes.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = files.stored(files.stored(sizes, "sizes").repartitionByRange(blocks, key).withColumn("_block", F.spark_partition_id()), "blocks")
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = dealt.groupBy("_block").agg(F.sum(n).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_head"))
-    ties = F.xxhash64(*(c for c in sizes.columns if c != key))  # rows equal in all columns can be exchanged
-    inside = Window.partitionBy("_block").orderBy(key, ties).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return dealt.join(F.broadcast(heads), "_block").withColumn("start", F.col("_head") + F.col("_in")).drop("_block", "_head", "_in")
+    held = files.stored(sizes.select(columns.whole_row(sizes).alias("row"), columns.column(key).alias("key"), columns.column(n).alias("n")), "sizes")
+    dealt = files.stored(held.repartitionByRange(blocks, "key").withColumn("block", F.spark_partition_id()), "blocks")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = dealt.groupBy("block").agg(F.sum("n").alias("sum")).select("block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("head"))  # a row for each block
+    ties = F.xxhash64(*(F.col("row").getField(c) for c in sizes.columns if c != key))  # rows equal in all columns can be exchanged
+    inside = Window.partitionBy("block").orderBy("key", ties).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(heads), "block")
+    return columns.unpacked(dealt, [c for c in sizes.columns if c != "start"], start=F.col("head") + F.col("in"))
 
 
 def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", most: int = 1 << 16, unknown: str = "raise") -> int:
@@ -67,18 +70,38 @@ def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str =
     return docs.sparkSession.read.schema(rows.schema).parquet(path).count()
 
 
+#: Neighbours that a prefix sum takes at once.
+SEGMENT = 4_096
+
+
+def prefix_sums(rows: DataFrame, group: str, place: str, value: str, segment: int = SEGMENT) -> DataFrame:
+    """(group, place, value, upto): the sums of `value` over the places of a group up to each row, which are whole numbers from 0, each once.
+
+    Two levels: sums by segments of neighbouring places, a running sum over these, and one inside each. So a group of any size is dealt over
+    tasks; a task has a segment, or one row for each segment of a group.
+    """
+    rows = rows.select(columns.column(group).alias("g"), columns.column(place).cast("long").alias("p"), columns.column(value).cast("long").alias("v"))
+    rows = files.stored(rows.withColumn("s", F.floor(F.col("p") / segment)), "parts")  # summed up, then read again
+    before = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy("g", "s").agg(F.sum("v").alias("sum")).select("g", "s", F.sum("sum").over(before).alias("head")).where("head <> 0")
+    inside = Window.partitionBy("g", "s").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("in", F.sum("v").over(inside)).join(heads, ["g", "s"], "left")
+    return out.select(F.col("g").alias(group), F.col("p").alias(place), F.col("v").alias(value), (F.col("in") + F.coalesce("head", F.lit(0).cast("long"))).alias("upto"))
+
+
 def table_chunks(docs: DataFrame, chunks: int, delimiter: str = T.END, key: str = "doc_id", text: str = "text") -> list[int]:
     """chunk_boundaries of all texts in order of the key, joined by the delimiter, without joining them.
 
-    Each text's place comes from the lengths (stream_offsets), each delimiter's from its text's place, and the cuts are `chunks`
-    minima over them in one aggregate, so no task holds more than a text. Null texts are left out.
+    Each text's place comes from the lengths (stream_offsets), each delimiter's from its text's place and a prefix sum over the parts
+    before it (prefix_sums), and the cuts are `chunks` minima over them in one aggregate, so no task holds more than a text, and the
+    work is in proportion to the delimiters. Null texts are left out.
     """
-    d, lengths = len(delimiter), F.transform(F.split(F.col(text), "\\Q" + delimiter + "\\E", -1), F.length)
-    rows = docs.where(F.col(text).isNotNull()).select(key, lengths.alias("lengths"), (F.length(text) + d).cast("long").alias("n"))
-    placed = files.stored(stream_offsets(rows, key, "n"), "places")
+    d, lengths = len(delimiter), F.transform(F.split(columns.column(text), "\\Q" + delimiter + "\\E", -1), F.length)
+    rows = docs.where(columns.column(text).isNotNull()).select(columns.column(key).alias("key"), lengths.alias("lengths"), (F.length(columns.column(text)) + d).cast("long").alias("n"))
+    placed = files.stored(stream_offsets(rows, "key", "n"), "places")
     size = (placed.agg(F.max(F.col("start") + F.col("n"))).first()[0] or d) - d
-    ends = F.transform(F.sequence(F.lit(1), F.size("lengths")), lambda i: F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda a, v: a + v) + (i - 1) * d)
-    at = placed.select(F.explode(ends).alias("e"), "start").select((F.col("start") + F.col("e")).alias("at"))  # the last one is the end
+    parts = placed.select("start", F.posexplode("lengths").alias("i", "length"))  # no two texts have one start, for each has a length
+    at = prefix_sums(parts, "start", "i", "length").select((F.col("start") + F.col("upto") + F.col("i") * d).alias("at"))  # a text's last one is its end
     guesses = [i * (size // chunks) for i in range(1, chunks)]
     cuts = at.agg(*(F.min(F.when(F.col("at") >= g, F.col("at"))) for g in guesses)).first() if guesses else ()
     return sorted({0, size, *(size if c is None else c for c in cuts)})

@@ -15,6 +15,8 @@ from loomtext.sources.arrow import by_bytes
 
 #: Up to so many merges run as one SQL expression over distinct pre-tokens; more run in Arrow batches.
 EXPRESSION_MERGES = 512
+#: Bytes of distinct pre-tokens with their tokens that may be broadcast, and tasks over which a frequent one is dealt beyond that.
+WORDS, SALTS = 96 << 20, 64
 
 
 class Tokenizer:
@@ -83,11 +85,12 @@ class Tokenizer:
 
         return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>")
 
-    def encode_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", frequent: int = 2_000) -> DataFrame:
+    def encode_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", frequent: int = 2_000, most: int = WORDS) -> DataFrame:
         """(key, seg, tok, part, token_id, token) for every token, by joins only: pre-tokens, each distinct one merged once, then looked up.
 
-        A few pre-tokens make up much of any text, and a join on them would send each to one task. So the `frequent` most counted ones, a fixed
-        number, are broadcast, and only the rest is shuffled. A symbol that the vocabulary lacks raises, or with unknown="null" has a null id.
+        The texts are read once to count their pre-tokens and once more for the join. Distinct pre-tokens with their tokens are broadcast if they
+        have `most` bytes at most, which is measured. Beyond that they are shuffled, and as a few of them make up much of any text, each of the
+        `frequent` most counted ones is dealt over SALTS tasks. A symbol that the vocabulary lacks raises, or with unknown="null" has a null id.
         """
         seg = docs.select(key, F.posexplode(T.split_special(F.col(text), self.specials)).alias("seg", "s"))
         special = F.col("s").isin(*self.specials) if self.specials else F.lit(False)
@@ -98,11 +101,23 @@ class Tokenizer:
         found = counted.select("pretoken", "n", F.posexplode(T.symbol_list(F.col("word"))).alias("part", "token")).join(F.broadcast(ids), "token", "left")
         found = found.groupBy("pretoken", "n").agg(F.array_sort(F.collect_list(F.struct("part", token_id.alias("token_id"), "token"))).alias("parts"))
         found = files.stored(found, "words")
-        top = found.orderBy(F.desc("n"), "pretoken").limit(frequent).select("pretoken", F.col("parts").alias("near"))
         own = F.array(F.struct(F.lit(0).alias("part"), F.element_at(self._special_ids(), F.col("pretoken")).alias("token_id"), F.hex(F.encode("pretoken", "UTF-8")).alias("token")))
-        near = tok.join(F.broadcast(top), "pretoken", "left").withColumn("near", F.when(F.col("special"), own).otherwise(F.col("near")))
-        far = near.where("near is null").drop("near").join(found.select("pretoken", F.col("parts").alias("near")), "pretoken", "left")
-        return near.where("near is not null").unionByName(far).select(key, "seg", "tok", F.explode("near").alias("t")).select(key, "seg", "tok", "t.*")
+        near = found.select("pretoken", "parts")
+        if self._bytes(found) <= most:
+            met = tok.join(F.broadcast(near), "pretoken", "left")
+        else:
+            top = found.orderBy(F.desc("n"), "pretoken").limit(frequent).select("pretoken", F.lit(True).alias("top"))
+            deal = F.when(F.col("top"), F.pmod(F.xxhash64(key, "seg", "tok"), F.lit(SALTS)).cast("int")).otherwise(0)
+            tok = tok.join(F.broadcast(top), "pretoken", "left").withColumn("salt", deal).drop("top")
+            copies = F.when(F.col("top"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+            near = near.join(F.broadcast(top), "pretoken", "left").select("pretoken", "parts", F.explode(copies).alias("salt"))
+            met = tok.join(near, ["pretoken", "salt"], "left")
+        return met.select(key, "seg", "tok", F.explode(F.when(F.col("special"), own).otherwise(F.col("parts"))).alias("t")).select(key, "seg", "tok", "t.*")
+
+    @staticmethod
+    def _bytes(found: DataFrame) -> int:
+        """Bytes in memory of pre-tokens with their parts, or a little over them."""
+        return found.agg(F.sum(64 + F.octet_length("pretoken") + F.aggregate("parts", F.lit(0), lambda a, p: a + 48 + F.octet_length(p["token"])))).first()[0] or 0
 
     def _special_ids(self) -> Column:
         return F.create_map(*(x for s in self.specials for x in (F.lit(s), F.lit(self.ids[s.encode()])))).cast("map<string,int>")

@@ -37,11 +37,22 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+#: Bytes of files up to which a table may be dealt out over the cores.
+SMALL = 64 << 20
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One whose scan has fewer tasks than there are cores is dealt out over the cores: a small file is often a
-    single row group, which one task would read and work on alone. Larger tables are left as they are, so no large table is shuffled."""
+    """A Parquet table. A small one, of SMALL bytes at most, whose scan has fewer tasks than there are cores, is dealt out over the cores: a small file is
+    often a single row group, which one task would read and work on alone. Larger tables are left as they are, however many cores there are."""
     rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if size_of(rows) > SMALL or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
+def size_of(rows: DataFrame) -> int:
+    """Bytes that the optimiser reckons with; for a table read from files, theirs."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def read_documents(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>") -> DataFrame:
