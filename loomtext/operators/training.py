@@ -119,10 +119,13 @@ def independent(pairs: list[tuple[str, str, int]], known: set[str], complete: bo
 def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_bytes: int = MOST_BYTES) -> list[tuple[bytes, bytes]]:
     """Up to n merges of counted pre-tokens.
 
-    local: distinct words of up to `most_bytes` bytes are trained on by the driver after Spark has counted them; more stay distributed.
-    iterative: words stay distributed; each job counts the pairs and makes all merges that are sure to be next, and the rewritten words are
+    local: distinct words of up to `most_bytes` bytes are trained on by the driver after Spark has counted them; more are trained on as `indexed` says.
+    indexed: words stay distributed; once merges are in few words, jobs look these up in an index and change counts by deltas (indexed.train).
+    iterative: words stay distributed; each job counts all pairs and makes all merges that are sure to be next, and the rewritten words are
     stored now and then.
     """
+    if strategy not in ("local", "indexed", "iterative"):
+        raise ValueError("strategy must be local, indexed or iterative")
     if strategy == "local":
         counts = files.stored(counts, "counts")  # counted once, then read twice
         size = counts.agg(F.sum(F.octet_length("pretoken"))).first()[0] or 0
@@ -130,6 +133,10 @@ def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_bytes:
             got = counts.toArrow()
             return M.train(dict(zip((w.encode() for w in got.column(0).to_pylist()), got.column(1).to_pylist(), strict=True)), n)
         warnings.warn(f"{size} bytes of distinct words: training stays distributed", stacklevel=2)
+    if strategy != "iterative":
+        from loomtext.operators import indexed
+
+        return indexed.train(counts, n)[0]
     at, out, known, jobs = files.stored(words(counts), "train"), [], set(), 0
     while len(out) < n:
         top = [tuple(r) for r in top_pairs(pair_counts(at), LOOK).collect()]
@@ -172,7 +179,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("size", type=int, help="entries of the vocabulary")
     p.add_argument("folder", help="where the tokenizer is saved")
     p.add_argument("--special", action="append", default=None, help="a special token; may be repeated (default: %(default)s)")
-    p.add_argument("--strategy", choices=("local", "iterative"), default="local")
+    p.add_argument("--strategy", choices=("local", "indexed", "iterative"), default="local")
     a = p.parse_args(args)
     spark, began = SparkSession.builder.getOrCreate(), time.perf_counter()
     vocab, merges = train_bpe_file(spark, a.corpus, a.size, a.special or [T.END], a.strategy)

@@ -175,6 +175,12 @@ def bpe_vocab_500(spark, d):
     return _trained(spark, d, VOCAB_SIZE)
 
 
+@query()
+def bpe_vocab_500_indexed(spark, d):
+    """The same 243 merges by the distributed trainer, whose jobs look up words in an index and add up deltas of counts."""
+    return _trained(spark, d, VOCAB_SIZE, "indexed")
+
+
 @query()
 def bpe_vocab_10000(spark, d):
     """A vocabulary of production size."""
