@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import columns
 from loomtext.functions import text as T
 from loomtext.operators.tokenizer import Tokenizer
-from loomtext.sources import files
+from loomtext.sources import files, token_files
 
 
 def split_documents(corpus: DataFrame, text: str = "text", delimiter: str = T.END, key: str = "corpus_id") -> DataFrame:
@@ -70,6 +70,13 @@ def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str =
     return docs.sparkSession.read.schema(rows.schema).parquet(path).count()
 
 
+def encode_files(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", unknown: str = "raise") -> int:
+    """encode_dataset into flat files (token_files): 16 bits a token if the vocabulary's ids fit, else 32. Returns the number of tokens."""
+    ids = tokenizer.encode(docs, key, text, unknown).where(F.size("ids") > 0)
+    rows = stream_offsets(ids.withColumn("n_tokens", F.size("ids").cast("long")), key)
+    return token_files.write_stream(rows.select("start", "ids"), path, 2 if max(tokenizer.vocab, default=0) < 1 << 16 else 4)
+
+
 #: Neighbours that a prefix sum takes at once.
 SEGMENT = 4_096
 

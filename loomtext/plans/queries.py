@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import nn, train
 from loomtext.functions import text as T
 from loomtext.operators import corpus, merges, tokenizer, training
-from loomtext.sources import files
+from loomtext.sources import files, token_files
 
 #: A small vocabulary for the queries: merges in rank order.
 PAIRS = [(" ", "t"), ("h", "e"), ("i", "n"), ("r", "e"), (" t", "he"), ("o", "n"), ("e", "r"), (" ", "a"), ("a", "t"), ("e", "n"), ("n", "d"), ("o", "r"), ("e", "s"), ("t", "i"), (" a", "nd"), ("ti", "on"), ("in", "g"), ("o", "u"), ("l", "y"), ("s", "t"), ("d", "e"), ("c", "h"), ("i", "e"), ("l", "e")]
@@ -348,6 +348,16 @@ def encode_dataset(spark, d):
     return rows.select("block", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("t", lambda r: r["token_id"].cast("string")), ",")).alias("digest"))
 
 
+@query(f"""SELECT pos // 4096 AS block, count(*) AS n_tokens, md5({_IDS}) AS digest FROM (SELECT (row_number() OVER (ORDER BY doc_id, pos) - 1)::BIGINT AS pos, token_id
+  FROM ({sql_encoded('documents', 'doc_id')})) GROUP BY 1""")
+def encode_files(spark, d):
+    """The stream in flat binary files, read back in blocks of 4,096 positions."""
+    path = files.scratch(spark, "tokens")
+    corpus.encode_files(read(spark, d, "documents"), book(), path)
+    rows = token_files.read_blocks(spark, path, 4096)
+    return rows.select(F.floor(F.col("start") / 4096).alias("block"), F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
+
+
 @query(f"SELECT {_RATIO} FROM ({_SQL_SIZES}) JOIN documents USING (doc_id) WHERE octet_length(encode(text)) = length(text)")
 def compression_of_tokenizable(spark, d):
     """Against a vocabulary without the bytes from 128 on: documents that need one are left out."""
@@ -534,6 +544,16 @@ def _stream(spark, d):
 _SHOWN = "array_to_string({0}, ',')".format
 
 
+@query(sql_windows("SELECT range::BIGINT AS sample_id, range::BIGINT AS start FROM range((SELECT count(*) - 8 FROM events))", 8, _SHOWN))
+def file_windows(spark, d):
+    """Every start of the stream, from flat files."""
+    stream, n = _stream(spark, d)
+    path = files.scratch(spark, "tokens")
+    token_files.write_stream(stream.groupBy(F.floor(F.col("pos") / 1024).alias("b")).agg(F.min("pos").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda r: r["token_id"]).alias("ids")), path, 4)
+    starts = spark.range(n - 8).select(F.col("id").alias("sample_id"), F.col("id").alias("start"))
+    return token_files.read_windows(starts, path, 8).select("sample_id", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
 @query(sql_windows("SELECT range::BIGINT AS sample_id, range::BIGINT AS start FROM range((SELECT count(*) - 8 FROM events))", 8, _SHOWN))
 def batch_windows(spark, d):
     """Every start of the stream."""
