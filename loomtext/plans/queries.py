@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions import nn, train
+from loomtext.functions import nn, tiles, train
 from loomtext.functions import text as T
 from loomtext.operators import corpus, merges, tokenizer, training
 from loomtext.sources import files, token_files
@@ -467,6 +467,15 @@ def attention(spark, d):
     return flat(_attend(spark, d, nn.causal).withColumnRenamed("q_pos", "pos"), "b", "pos", y="o")
 
 
+@query(sql_flat(sql_attention(_QKV, "a.pos <> 3 AND (a.pos + c.pos) % 3 <> 0", D), "b, pos"))
+def attention_tiled(spark, d):
+    """attention_masked by tiles of 5 positions, two of them at a time."""
+    r = _grouped(spark, d)
+    keep = lambda q_pos, k_pos: (q_pos != 3) & ((q_pos + k_pos) % 3 != 0)
+    o = tiles.attention(r.select("b", F.col("pos").alias("q_pos"), F.col("x").alias("q")), r.select("b", F.col("pos").alias("k_pos"), F.col("x").alias("k"), F.col("x").alias("v")), keep, tile=5, span=2)
+    return flat(o.withColumnRenamed("q_pos", "pos"), "b", "pos", y="o")
+
+
 @query(sql_flat(sql_attention(_QKV, "a.pos <> 3 AND (a.pos + c.pos) % 3 <> 0", D), "b, pos"))
 def attention_masked(spark, d):
     """Row 3 of each group masks all keys: its weights are uniform."""
@@ -490,6 +499,10 @@ def sql_block() -> str:
     return sql_heads(True, f"(SELECT vec_id, {norm} AS x FROM {_V})") + sql_flat(f"SELECT b, pos, {add.format('x0', _SWIGLU)} AS y FROM {normed}", "b, pos")
 
 
+def _weights(spark, block: int = tiles.BLOCK) -> DataFrame:
+    return tiles.weights_table(spark, {"wq": WQ, "wk": WK, "wv": WV, "wo": WO}, block)
+
+
 @query(sql_heads(False) + sql_flat("SELECT * FROM y", "b, pos"))
 def mha(spark, d):
     return flat(nn.self_attention(_grouped(spark, d), HEADS, D, WQ, WK, WV, WO), "b", "pos")
@@ -497,7 +510,20 @@ def mha(spark, d):
 
 @query(sql_heads(True) + sql_flat("SELECT * FROM y", "b, pos"))
 def mha_rope(spark, d):
-    return flat(nn.self_attention(_grouped(spark, d), HEADS, D, WQ, WK, WV, WO, 10_000.0, GROUP), "b", "pos")
+    """Weights from a table; sequences of 16 positions fit in a tile."""
+    return flat(tiles.self_attention(_grouped(spark, d), HEADS, _weights(spark), 10_000.0, GROUP), "b", "pos")
+
+
+@query(sql_heads(True) + sql_flat("SELECT * FROM y", "b, pos"))
+def mha_rope_tiled(spark, d):
+    """The same in tiles of 4 positions, projected by blocks of weights that are joined."""
+    return flat(tiles.self_attention(_grouped(spark, d), HEADS, _weights(spark, 32), 10_000.0, most=0, tile=4), "b", "pos")
+
+
+@query(sql_flat(f"SELECT vec_id, {sql_linear('x', W1)} AS y FROM {_V}", "vec_id"))
+def linear_blocks(spark, d):
+    """The product with weights from a table, by blocks."""
+    return flat(tiles.linear(vectors(spark, d), "x", tiles.weights_table(spark, {"y": W1}, 24), ["y"], most=0), "vec_id")
 
 
 @query(sql_block())
