@@ -26,10 +26,8 @@ from loomtext.operators import training
 from loomtext.sources import files
 
 #: The share of all words that a job's merges may be in for the tables to take over, and the share of the words in logs at which they are written anew.
-FEW, LOGGED = 0.02, 0.5
+FEW, LOGGED = 0.01, 0.5
 _LOG = "job int, kind string, wid long, bucket int, n long, word string, l string, r string, c long"
-#: Symbols of a word up to which pairs that a merge leaves alone are sorted out before they are logged.
-SHORT = 64
 
 
 def pairs_of(word: Column) -> Column:
@@ -64,7 +62,7 @@ class Tables:
         index = pairs.select("wid", "bucket", "l", "r").distinct().withColumn("pair", self._bucket("l", "r"))
         self.index = self._table(index.repartition(self.buckets, "pair"), "index", "pair")
         self.counts = files.stored(pairs.groupBy("l", "r").agg(F.sum("n").alias("c")), "counts")
-        self.size, self.logged, self.logs = self.words.count(), 0, files.scratch(self.spark, "logs")
+        self.size, self.logged, self.logs, self.log = self.words.count(), 0, files.scratch(self.spark, "logs"), None
 
     def _table(self, rows: DataFrame, name: str, by: str) -> DataFrame:
         folder = files.scratch(self.spark, name)
@@ -72,10 +70,10 @@ class Tables:
         return self.spark.read.schema(rows.schema).parquet(folder)
 
     def _log(self, kind: str) -> DataFrame:
-        """Rows of one kind of all logs: partition folders job and kind."""
-        if not self.logged:
-            return self.spark.createDataFrame([], _LOG)
-        return self.spark.read.schema(_LOG).parquet(self.logs).where(F.col("kind") == kind)
+        """Rows of one kind of all logs, which are sorted by it and then by pairs; a folder for each job."""
+        if self.log is None:
+            self.log = self.spark.read.schema(_LOG).parquet(self.logs) if self.logged else self.spark.createDataFrame([], _LOG)
+        return self.log.where(F.col("kind") == kind)
 
     def top(self, k: int) -> list[tuple[str, str, int]]:
         """The k most frequent pairs in the order of merges."""
@@ -87,7 +85,7 @@ class Tables:
         wanted = functools.reduce(operator.or_, ((F.col("l") == a) & (F.col("r") == b) for a, b in merges))
         buckets = functools.reduce(operator.or_, (F.col("pair") == F.pmod(F.xxhash64(F.lit(a), F.lit(b)), F.lit(self.buckets)).cast("int") for a, b in merges))
         found = self.index.where(buckets & wanted).select("wid", "bucket")
-        return found.unionByName(self._log("index").where(wanted).select("wid", "bucket")).distinct()
+        return found.unionByName(self._log("index").where(wanted).select("wid", "bucket")) if self.logged else found
 
     def current(self, held: DataFrame | None = None) -> DataFrame:
         """(wid, n, word) in the newest form, of the words in `held` or of all."""
@@ -105,18 +103,18 @@ class Tables:
         rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
         old, new, none = pairs_of(F.col("word")), pairs_of(F.col("new")), lambda t: F.lit(None).cast(t)
         entry = lambda kind, **of: F.struct(F.lit(kind).alias("kind"), *(of.get(c, none(t)).cast(t).alias(c) for c, t in (("n", "long"), ("word", "string"), ("l", "string"), ("r", "string"), ("c", "long"))))
-        times = lambda x, p: F.size(F.filter(x, lambda q: q == p))
-        all_ = lambda: F.concat(F.transform("old", lambda p: F.struct(p.alias("p"), F.lit(-1).alias("by"))), F.transform("are", lambda p: F.struct(p.alias("p"), F.lit(1).alias("by"))))
-        net = F.filter(F.transform(F.array_union("old", "are"), lambda p: F.struct(p.alias("p"), (times("are", p) - times("old", p)).alias("by"))), lambda x: x["by"] != 0)
         rows = rows.select("wid", "n", "new", old.alias("old"), new.alias("are"))
-        rows = rows.withColumn("delta", F.when(F.size("old") < SHORT, net).otherwise(all_()))
+        rows = rows.withColumns({"come": F.array_except("are", "old"), "gone": F.array_except("old", "are")})
+        once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+        rows = rows.withColumn("once", once("old") & once("are"))  # then what comes and goes says it all; else both forms are counted in full
         entries = F.concat(
-            F.array(entry("word", n=F.col("n"), word=F.col("new"))), F.transform(F.array_except("are", "old"), lambda p: entry("index", l=p["l"], r=p["r"])),
-            F.transform("delta", lambda x: entry("count", l=x["p"]["l"], r=x["p"]["r"], c=x["by"] * F.col("n"))),
+            F.array(entry("word", n=F.col("n"), word=F.col("new"))), F.transform("come", lambda p: entry("index", l=p["l"], r=p["r"])),
+            F.transform(F.when(F.col("once"), F.col("gone")).otherwise(F.col("old")), lambda p: entry("count", l=p["l"], r=p["r"], c=-F.col("n"))),
+            F.transform(F.when(F.col("once"), F.col("come")).otherwise(F.col("are")), lambda p: entry("count", l=p["l"], r=p["r"], c=F.col("n"))),
         )
         log = rows.select("wid", self._bucket("wid").alias("bucket"), F.explode(entries).alias("e")).select("wid", "bucket", "e.*")
-        log.write.partitionBy("kind").parquet(f"{self.logs}/job={len(self.jobs)}")
-        changed = seen.get["n"]
+        log.sortWithinPartitions("kind", "l", "r").write.parquet(f"{self.logs}/job={len(self.jobs)}")
+        changed, self.log = seen.get["n"], None
         self.jobs.append((merges, changed))
         self.logged += changed
         if self.logged > LOGGED * self.size:

@@ -139,9 +139,9 @@ class Tokenizer:
 
     def encode_iterable(self, texts) -> Iterator[int]:
         """Each element by itself; no pre-token spans two elements."""
-        encode = text_encoder(self.ids, self.ranks, self.specials)
+        stream = token_stream(self.ids, self.ranks, self.specials)
         for t in texts:
-            yield from encode(t)
+            yield from stream(t)
 
     def decode_ids(self, ids: list[int]) -> str:
         """An id that the vocabulary lacks raises ValueError."""
@@ -171,7 +171,26 @@ LONGEST = 64
 
 
 def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = 500_000):
-    """A function from text to ids that remembers up to `most` pre-tokens."""
+    """A function from text to its list of ids that remembers up to `most` pre-tokens."""
+    parts = _encoded_parts(ids, ranks, specials, most)
+
+    def encode(text: str) -> list[int]:
+        out: list[int] = []
+        for p in parts(text):
+            out += p
+        return out
+
+    return encode
+
+
+def token_stream(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = 500_000):
+    """A function from text to an iterator of its ids, of which those of one pre-token are held."""
+    parts = _encoded_parts(ids, ranks, specials, most)
+    return lambda text: (i for p in parts(text) for i in p)
+
+
+def _encoded_parts(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int):
+    """A function from text to an iterator of lists of ids, one for each pre-token or special token."""
     import re
 
     import regex
@@ -180,11 +199,10 @@ def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
     split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
     special, known = set(specials), {}
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
+    def encode(text: str) -> Iterator[list[int]]:
         for part in split.split(text) if split else [text]:
             if part in special:
-                out.append(ids[part.encode()])
+                yield [ids[part.encode()]]
                 continue
             for p in (p for piece in T.cut(part) for p in pattern.findall(piece)):
                 got = known.get(p)
@@ -197,8 +215,7 @@ def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
                         known.clear()
                     if len(p) <= LONGEST:
                         known[p] = got
-                out += got
-        return out
+                yield got
 
     return encode
 

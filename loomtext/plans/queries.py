@@ -6,9 +6,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions import nn, tiles, train
+from loomtext.functions import nn, sql, tiles, train
 from loomtext.functions import text as T
-from loomtext.operators import corpus, merges, tokenizer, training
+from loomtext.operators import corpus, frequent, grouped, merges, tokenizer, training
 from loomtext.sources import files, token_files
 
 #: A small vocabulary for the queries: merges in rank order.
@@ -114,6 +114,12 @@ def top_pretokens(spark, d):
     return training.pretoken_counts(read(spark, d, "documents")).orderBy(F.desc("n"), F.desc("pretoken")).limit(TOP)
 
 
+@query(f"SELECT pretoken, n FROM ({SQL_COUNTS}) ORDER BY n DESC, encode(pretoken) DESC LIMIT {TOP}")
+def top_pretokens_bounded(spark, d):
+    """By summaries of 4,096 entries a task and an exact recount, so the shuffle doesn't grow with the vocabulary."""
+    return frequent.top_pretokens(read(spark, d, "documents"), TOP, size=4_096)
+
+
 @query("""SELECT b AS byte, chr(c) AS symbol, c AS code_point FROM (SELECT b, (CASE WHEN own THEN b ELSE 255 + row_number() OVER (PARTITION BY own ORDER BY b) END)::INTEGER AS c
   FROM (SELECT range::INTEGER AS b, (range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range >= 174) AS own FROM range(256)))""")
 def byte_unicode_map(spark, d):
@@ -181,6 +187,12 @@ def bpe_vocab_500_indexed(spark, d):
     return _trained(spark, d, VOCAB_SIZE, "indexed")
 
 
+@query()
+def bpe_vocab_by_lang(spark, d):
+    """A vocabulary of 400 entries for each language."""
+    return grouped.train(read(spark, d, "documents"), "lang", 400, [T.END]).select(F.col("grp").alias("lang"), "token_id", F.hex("token").alias("token"))
+
+
 @query()
 def bpe_vocab_10000(spark, d):
     """A vocabulary of production size."""
@@ -229,6 +241,16 @@ def encode_docs(spark, d):
     return digests(book().encode(read(spark, d, "documents")), "doc_id")
 
 
+@query(sql_digests("documents", "doc_id"))
+def encode_docs_table_function(spark, d):
+    """By the table function, in SQL; documents without tokens are joined in."""
+    sql.register(spark, book(), "lt_")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    tokens = spark.sql("SELECT doc_id, pos, token_id FROM lt_encode_table(TABLE({docs}), 'doc_id', 'text')", docs=docs)
+    ids = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda t: t["token_id"]).alias("ids"))
+    return digests(docs.select("doc_id").join(ids, "doc_id", "left"), "doc_id")
+
+
 @query(sql_digests("documents", "doc_id"))
 def encode_docs_relational(spark, d):
     docs = read(spark, d, "documents")
