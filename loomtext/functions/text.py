@@ -6,7 +6,7 @@ A word is written as a string of symbols "<6869><21>": upper-case hex of each sy
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,38 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = "<|endoftext|>"
+#: Special tokens up to which they are sought by one expression of alternatives; more by an automaton.
+MANY = 64
+
+
+def special_splitter(specials: list[str], many: int | None = None) -> Callable[[str], list[str]]:
+    """A function from a text to its parts: what stands between special tokens, and these, in turn, as re.split has them with a group.
+
+    The leftmost special token counts, and of those that begin at one place the longest. Many are found by an Aho-Corasick automaton, whose time
+    follows the text and what is found in it, not the number of special tokens; a few by an expression.
+    """
+    if not specials:
+        return lambda text: [text]
+    if len(specials) <= (MANY if many is None else many):
+        return re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")").split
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for s in specials:
+        automaton.add_word(s, len(s))
+    automaton.make_automaton()
+
+    def split(text: str) -> list[str]:
+        out, at = [], 0
+        for start, size in sorted((end - n + 1, -n) for end, n in automaton.iter(text)):
+            if start >= at:  # not inside the one before
+                out += [text[at:start], text[start : start - size]]
+                at = start - size
+        return [*out, text[at:]]
+
+    return split
+
+
 #: A blank between a non-blank and an ASCII letter or digit always starts a new pre-token.
 _CUT = re.compile(r"(?<=\S) (?=[A-Za-z0-9])")
 

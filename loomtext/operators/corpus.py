@@ -1,6 +1,7 @@
 """Corpus operators: documents of a text, samples, statistics, token streams, chunk boundaries."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from loomtext.functions import columns
 from loomtext.functions import text as T
 from loomtext.operators.tokenizer import Tokenizer
 from loomtext.sources import files, token_files
+from loomtext.sources.arrow import by_bytes
 
 
 def split_documents(corpus: DataFrame, text: str = "text", delimiter: str = T.END, key: str = "corpus_id") -> DataFrame:
@@ -16,6 +18,24 @@ def split_documents(corpus: DataFrame, text: str = "text", delimiter: str = T.EN
     return parts.withColumn("document", T.strip(F.col("document"))).where("document <> ''")
 
 
+def split_at_specials(docs: DataFrame, specials: list[str], key: str = "doc_id", text: str = "text", many: int | None = None) -> DataFrame:
+    """(key, pos, segment, special): the segments of each text, empty ones dropped, by special_splitter, so for any number of special tokens."""
+    schema = f"key {dict(docs.dtypes)[key]}, pos long, segment string, special boolean"
+
+    def run(batches):
+        split = T.special_splitter(specials, many)
+        for b in by_bytes(batches, 1):
+            keys, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = [(p, bool(j % 2)) for j, p in enumerate(split(t)) if p] if t else []
+                keys += [i] * len(found)
+                rows += [(pos, *x) for pos, x in enumerate(found)]
+            cols = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *cols], names=["key", "pos", "segment", "special"])
+
+    return docs.select(columns.column(key).alias("key"), columns.column(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
 def sample_documents(docs: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """n documents in the order of a hash of seed and key: the same for any partitioning. A limit is this operator's purpose."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

@@ -5,7 +5,6 @@ them; larger ones by the distributed trainer (indexed), one after another, and t
 """
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -26,7 +25,7 @@ MOST_BYTES = 16 << 20
 def _counter(specials: list[str]):
     def run(batches):
         find = regex.compile(T.PATTERN).findall
-        cut = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))).split if specials else None
+        cut = T.special_splitter(specials)
         held: dict = {}
         size = 0
 
@@ -40,7 +39,7 @@ def _counter(specials: list[str]):
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = held.setdefault(g, Counter())
                 size -= len(c)
-                for part in (cut(t) if cut else (t,)) if t is not None else ():
+                for part in cut(t)[::2] if t is not None else ():
                     for piece in T.cut(part):
                         c.update(find(piece))
                 size += len(c)

@@ -191,16 +191,14 @@ def token_stream(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
 
 def _encoded_parts(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int):
     """A function from text to an iterator of lists of ids, one for each pre-token or special token."""
-    import re
-
     import regex
 
     pattern = regex.compile(T.PATTERN)
-    split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
+    split = T.special_splitter(specials)
     special, known = set(specials), {}
 
     def encode(text: str) -> Iterator[list[int]]:
-        for part in split.split(text) if split else [text]:
+        for part in split(text):
             if part in special:
                 yield [ids[part.encode()]]
                 continue

@@ -1,7 +1,6 @@
 """BPE training as DataFrame operations: counts, pairs, top pair, merge, vocabulary."""
 from __future__ import annotations
 
-import re
 import warnings
 from collections import Counter
 
@@ -23,7 +22,7 @@ HELD = 500_000
 def _counter(specials: list[str]):
     def run(batches):
         find = regex.compile(T.PATTERN).findall
-        cut = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))).split if specials else None
+        cut = T.special_splitter(specials)
         held: Counter[str] = Counter()
 
         def out():
@@ -33,7 +32,7 @@ def _counter(specials: list[str]):
             for t in b.column(0).to_pylist():
                 if t is None:
                     continue
-                for part in cut(t) if cut else (t,):
+                for part in cut(t)[::2]:
                     for piece in T.cut(part):
                         held.update(find(piece))
                 if len(held) > HELD:

@@ -95,6 +95,22 @@ def special_split(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(s).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("s").alias("digest"))
 
 
+_FOUND = [" of the ", " of ", "ing ", "tion", " the th", "é"]
+_FOUND_SQL = "(" + "|".join(sorted(_FOUND, key=len, reverse=True)) + ")"
+
+
+@query(f"""SELECT doc_id, len(s)::BIGINT AS n_special, md5(array_to_string(list_filter(p, lambda x: x <> ''), '|') || '#' || array_to_string(s, '|')) AS digest
+  FROM (SELECT doc_id, string_split_regex(text, '{_FOUND_SQL}') AS p, regexp_extract_all(text, '{_FOUND_SQL}') AS s FROM documents)""")
+def special_split_many(spark, d):
+    """10,000 special tokens, of which the last six occur."""
+    specials = [f"<|special {i}|>" for i in range(10_000 - len(_FOUND))] + _FOUND
+    docs = read(spark, d, "documents")
+    parts = corpus.split_at_specials(docs, specials).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "segment", "special"))).alias("t"))
+    parts = docs.select("doc_id").join(parts, "doc_id", "left").withColumn("t", F.coalesce("t", F.array().cast(parts.schema["t"].dataType)))
+    of = lambda special: F.transform(F.filter("t", lambda x: x["special"] == special), lambda x: x["segment"])
+    return parts.select("doc_id", F.size(of(True)).cast("long").alias("n_special"), F.md5(F.concat(F.array_join(of(False), "|"), F.lit("#"), F.array_join(of(True), "|"))).alias("digest"))
+
+
 @query(f"SELECT pretoken, {sql_symbols('pretoken')} AS word, octet_length(encode(pretoken))::BIGINT AS n_bytes FROM ({SQL_COUNTS})")
 def byte_symbols(spark, d):
     c = training.pretoken_counts(read(spark, d, "documents"))
