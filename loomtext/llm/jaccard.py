@@ -17,8 +17,10 @@
    a + s*b is (1 - s)*r at most, since they then have r - a - a' shingles in common of r + b + b' at most. So members are dealt to
    zones of that sum, links between zones that are sure are counted from the zones' sizes, and only pairs of zones that may hold other pairs
    become tasks, by tiles of bounded size. A family of close copies needs no pairs at all.
-7. A task sorts its labels into tries again. A text's candidates are the texts under its nodes, with prefixes shortened to RECALL_INSIDE, and
-   each is verified by the exact Jaccard similarity of the two shingle sets. A task returns, per class, how many documents it is linked
+7. A task sorts its labels into tries again. A text's candidates are the texts under its nodes, with prefixes shortened to RECALL_INSIDE. Of texts
+   made from one template most pairs meet there, far from the threshold; so a candidate's labels are compared on all levels of all trees, and one that
+   agrees on fewer than a pair at the threshold does but once in 1 / MISSED times goes. The others are verified by the exact Jaccard similarity of the
+   two shingle sets. A task returns, per class, how many documents it is linked
    with and a spanning link, never a list of pairs; so a large group of near copies gives rows in proportion to its classes.
 8. Connected components of the spanning links are the groups.
 
@@ -31,6 +33,7 @@ other; very long texts only make larger sets; an empty table gives an empty resu
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -46,6 +49,8 @@ NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Inside a component prefixes are shortened further, to this recall: few labels are left to compare.
 RECALL_INSIDE = 1 - 1e-7
 TREES, LEVELS, BITS = 24, 6, 10
+#: The chance that the comparison of all levels rejects a pair at the threshold.
+MISSED = 1e-10
 #: Up to so many classes under a node cost nothing when prefixes are shortened.
 CROWD = 64
 #: Shingles and classes in a tile; a task holds two tiles.
@@ -265,8 +270,26 @@ def _stars(down: DataFrame, low: int) -> DataFrame:
     return found.where("u <> v").distinct()
 
 
+@functools.cache
+def least_agreeing(threshold: float, missed: float = MISSED, of: int = TREES * LEVELS) -> int:
+    """The levels on which a pair at the threshold agrees at least, but for the chance `missed`."""
+    p = threshold + (1 - threshold) / (1 << BITS)  # different MinHashes agree in BITS bits now and then
+    tail = 0.0
+    for c in range(of + 1):
+        tail += math.comb(of, c) * p**c * (1 - p) ** (of - c)
+        if tail > missed:
+            return c
+    return of
+
+
+def _fields(labels: np.ndarray) -> np.ndarray:
+    """Labels as their MinHashes: texts x levels of all trees."""
+    at = np.arange(LEVELS, dtype=np.uint64) * np.uint64(BITS)
+    return (labels[:, :, None] >> at & np.uint64((1 << BITS) - 1)).astype(np.uint16).reshape(len(labels), -1)
+
+
 def _verify(d: int, threshold: float):
-    shift = np.uint64(_shift(d))
+    shift, agreeing = np.uint64(_shift(d)), least_agreeing(threshold)
 
     def run(table: pa.Table) -> pa.Table:
         """One task: all classes of tiles a and b. Links within a == b, else between the two."""
@@ -274,7 +297,8 @@ def _verify(d: int, threshold: float):
         table = table.take(pa.array(first))
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         tile, mult = table.column("tile").to_numpy(), table.column("mult").to_numpy()
-        lab = table.column("labels").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TREES) >> shift
+        lab = table.column("labels").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TREES)
+        fields, lab = _fields(lab), lab >> shift
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         flat, back = np.unique(np.concatenate(sets), return_inverse=True)
@@ -303,6 +327,7 @@ def _verify(d: int, threshold: float):
             if a == b:
                 other = other[other > i]
             other = other[np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i])]
+            other = other[(fields[other] == fields[i]).sum(axis=1) >= agreeing]
             if not len(other):
                 continue
             mine = back[at[i] : at[i + 1]]

@@ -110,3 +110,25 @@ def test_order_is_written_at_the_call(spark, tmp_path):
     files[0].write_bytes(b"")
     with pytest.raises(OSError):
         training_order.finish(spark, folder, rows, 32, 8)
+
+
+def test_template_pages_are_not_verified_pair_by_pair(monkeypatch):
+    """Pages that share 64 of 104 words: a similarity of 0.43, no link; nearly all pairs meet in a task, few are verified."""
+    import random
+
+    import pyarrow as pa
+
+    from loomtext.llm import jaccard
+
+    r = random.Random(0)
+    shared = [f"t{i}" for i in range(64)]
+    pages = [" ".join(shared + [f"own{r.randrange(10**9)}" for _ in range(40)]) for _ in range(800)] + [" ".join(shared + [f"copy{i}" for i in range(40 - k)]) for k in range(4)]
+    batch = next(iter(jaccard._signatures(iter([pa.record_batch([pa.array(range(len(pages))), pa.array(pages)], names=["rep", "text"])]))))
+    labels = np.array(batch.column("labels").to_pylist(), dtype=np.int64).view(np.uint64)
+    fields = jaccard._fields(labels)
+    least = jaccard.least_agreeing(0.8)
+    agree = (fields[:300, None, :] == fields[None, :300, :]).sum(axis=2)[np.triu_indices(300, 1)]
+    assert (agree >= least).mean() < 0.01 < 0.9 < ((labels[:300, None, :] >> np.uint64(jaccard._shift(3))) == (labels[None, :300, :] >> np.uint64(jaccard._shift(3)))).any(axis=2)[np.triu_indices(300, 1)].mean()
+    near = fields[800:]
+    assert ((near[:, None, :] == near[None, :, :]).sum(axis=2) >= least).all()
+    assert 80 < least < 115
