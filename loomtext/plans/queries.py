@@ -191,22 +191,43 @@ def _trained(spark, d, size: int, strategy: str = "local"):
     return spark.createDataFrame([(i, t.hex().upper()) for i, t in vocab.items()], "token_id int, token string")
 
 
-@query()
+def sql_trained(size: int, words: str) -> str:
+    """(grp, token_id, token): a vocabulary for each group of counted words (grp, word, n), by recursion over a keyed table: each round replaces the words that
+    hold their group's most frequent pair."""
+    base = f"SELECT range::INTEGER AS token_id, lpad(hex(range), 2, '0') AS token FROM range(256) UNION ALL SELECT 256, '{T.END.encode().hex().upper()}'"
+    return f"""WITH RECURSIVE w0 AS MATERIALIZED (SELECT grp, row_number() OVER () AS id, word, n::BIGINT AS n FROM ({words})),
+  t(kind, grp, id, word, n) USING KEY (kind, grp, id) AS (
+    SELECT 0, grp, id, word, n FROM w0 UNION ALL SELECT DISTINCT 1, grp, 0, '', 0 FROM w0
+    UNION
+    (WITH s AS (SELECT grp, id, word, n, string_split(substr(word, 2, length(word) - 2), '><') AS s FROM recurring.t WHERE kind = 0),
+     p AS (SELECT grp, s[i] AS l, s[i + 1] AS r, sum(n) AS c FROM s, unnest(range(1, len(s))) AS u(i) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY c DESC, l DESC, r DESC) = 1),
+     m AS (SELECT p.grp, l, r, max(id) AS k FROM recurring.t x JOIN p ON x.grp = p.grp AND kind = 1 GROUP BY 1, 2, 3 HAVING max(id) < {size - 257})
+     SELECT 0, s.grp, s.id, replace(s.word, '<' || l || '><' || r || '>', '<' || l || r || '>'), s.n FROM s JOIN m ON s.grp = m.grp WHERE contains(s.word, '<' || l || '><' || r || '>')
+     UNION ALL SELECT 1, grp, k + 1, l || r, 0 FROM m))
+  SELECT grp, token_id, token FROM (SELECT DISTINCT grp FROM w0), ({base}) UNION ALL SELECT grp, 256 + id::INTEGER, word FROM t WHERE kind = 1 AND id > 0"""
+
+
+_SQL_500 = f"SELECT token_id, token FROM ({sql_trained(VOCAB_SIZE, f'SELECT 0 AS grp, word, n FROM {_SQL_WORDS}')})"
+_SQL_LANG_COUNTS = f"SELECT lang AS grp, pretoken, count(*) AS n FROM (SELECT lang, unnest({sql_pretokens('text')}) AS pretoken FROM documents) GROUP BY 1, 2"
+_SQL_LANG_WORDS = f"SELECT grp, {sql_symbols('pretoken')} AS word, n FROM ({_SQL_LANG_COUNTS})"
+
+
+@query(_SQL_500)
 def bpe_vocab_500(spark, d):
-    """243 merges: more rounds than SQL can be unrolled to."""
+    """243 merges by the driver's trainer."""
     return _trained(spark, d, VOCAB_SIZE)
 
 
-@query()
+@query(_SQL_500)
 def bpe_vocab_500_indexed(spark, d):
     """The same 243 merges by the distributed trainer, whose jobs look up words in an index and add up deltas of counts."""
     return _trained(spark, d, VOCAB_SIZE, "indexed")
 
 
-@query()
+@query(f"SELECT grp AS lang, token_id, token FROM ({sql_trained(300, _SQL_LANG_WORDS)})")
 def bpe_vocab_by_lang(spark, d):
-    """A vocabulary of 400 entries for each language."""
-    return grouped.train(read(spark, d, "documents"), "lang", 400, [T.END]).select(F.col("grp").alias("lang"), "token_id", F.hex("token").alias("token"))
+    """A vocabulary of 300 entries for each language."""
+    return grouped.train(read(spark, d, "documents"), "lang", 300, [T.END]).select(F.col("grp").alias("lang"), "token_id", F.hex("token").alias("token"))
 
 
 @query()
