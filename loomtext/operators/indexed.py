@@ -26,7 +26,7 @@ from loomtext.operators import training
 from loomtext.sources import files
 
 #: The share of all words that a job's merges may be in for the tables to take over, and the share of the words in logs at which they are written anew.
-FEW, LOGGED = 0.01, 0.5
+FEW, LOGGED = 0.005, 0.5
 _LOG = "job int, kind string, wid long, bucket int, n long, word string, l string, r string, c long"
 
 
@@ -101,16 +101,18 @@ class Tables:
         rows = self.current(self.holders(merges)).withColumn("new", merged(F.col("word"), merges)).where("new <> word")
         seen = Observation()
         rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
-        old, new, none = pairs_of(F.col("word")), pairs_of(F.col("new")), lambda t: F.lit(None).cast(t)
+        spelled = lambda word: F.transform(pairs_of(word), lambda p: F.concat(p["l"], F.lit(" "), p["r"]))  # noqa: E731  strings are compared by hash
+        old, new, none = spelled(F.col("word")), spelled(F.col("new")), lambda t: F.lit(None).cast(t)
         entry = lambda kind, **of: F.struct(F.lit(kind).alias("kind"), *(of.get(c, none(t)).cast(t).alias(c) for c, t in (("n", "long"), ("word", "string"), ("l", "string"), ("r", "string"), ("c", "long"))))
         rows = rows.select("wid", "n", "new", old.alias("old"), new.alias("are"))
         rows = rows.withColumns({"come": F.array_except("are", "old"), "gone": F.array_except("old", "are")})
+        parts = lambda p: {"l": F.substring_index(p, " ", 1), "r": F.substring_index(p, " ", -1)}
         once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
         rows = rows.withColumn("once", once("old") & once("are"))  # then what comes and goes says it all; else both forms are counted in full
         entries = F.concat(
-            F.array(entry("word", n=F.col("n"), word=F.col("new"))), F.transform("come", lambda p: entry("index", l=p["l"], r=p["r"])),
-            F.transform(F.when(F.col("once"), F.col("gone")).otherwise(F.col("old")), lambda p: entry("count", l=p["l"], r=p["r"], c=-F.col("n"))),
-            F.transform(F.when(F.col("once"), F.col("come")).otherwise(F.col("are")), lambda p: entry("count", l=p["l"], r=p["r"], c=F.col("n"))),
+            F.array(entry("word", n=F.col("n"), word=F.col("new"))), F.transform("come", lambda p: entry("index", **parts(p))),
+            F.transform(F.when(F.col("once"), F.col("gone")).otherwise(F.col("old")), lambda p: entry("count", **parts(p), c=-F.col("n"))),
+            F.transform(F.when(F.col("once"), F.col("come")).otherwise(F.col("are")), lambda p: entry("count", **parts(p), c=F.col("n"))),
         )
         log = rows.select("wid", self._bucket("wid").alias("bucket"), F.explode(entries).alias("e")).select("wid", "bucket", "e.*")
         log.sortWithinPartitions("kind", "l", "r").write.parquet(f"{self.logs}/job={len(self.jobs)}")
