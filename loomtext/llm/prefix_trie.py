@@ -320,3 +320,22 @@ def prefix_trie(conversations: DataFrame, rebuild: Callable = plain, local: int
     """The trie of a table of turns (conv_id, turn, role, text). rebuild: `plain`, or `grafted`."""
     turns, _ = materialize(numbered(digested(conversations)), "numbered")
     return build(*rebuild(turns), local)
+
+
+# The query in SQL: CRC-32 bit by bit (-1 stands for one shift), nodes by the joined digests of their turns, subtrees by their nodes' smallest members.
+_SHIFTS = "flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: [ascii(substr(c::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC = f"xor(list_reduce({_SHIFTS}, lambda x, o: CASE WHEN o >= 0 THEN xor(x, o) ELSE xor(x >> 1, (x & 1) * 3988292384) END, 4294967295::BIGINT), 4294967295::BIGINT)"
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id::BIGINT AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos
+  FROM (SELECT c, turn, sha256(octet_length(encode(role)) || ':' || role || text) AS k, octet_length(encode(text))::BIGINT AS size FROM t)),
+i AS (SELECT c, c - c % {GROUP} AS base, {_CRC} % {SHARED + 1} AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT i.c, o.pos, k, size FROM i JOIN o ON o.c = i.base AND o.pos <= i.h UNION ALL SELECT i.c, o.pos, k, size FROM i JOIN o ON o.c = i.c AND o.pos > i.h),
+b AS (SELECT c, row_number() OVER w AS d, size, string_agg(k, '') OVER w AS p FROM r WINDOW w AS (PARTITION BY c ORDER BY pos)),
+m AS (SELECT *, max(d) OVER (PARTITION BY c) AS n_turns, lag(p) OVER (PARTITION BY c ORDER BY d) AS parent FROM (SELECT * FROM b UNION ALL SELECT c, 0, 0, '' FROM i)),
+n AS (SELECT p, d, min(c) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n_turns), '')) AS ends_sha256 FROM m GROUP BY p, d),
+k AS (SELECT x.p, count(y.p) AS n_children FROM n x LEFT JOIN n y ON y.parent = x.p GROUP BY x.p),
+s AS (SELECT m.p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM n JOIN k USING (p) JOIN m ON m.c = n.conv_id AND m.d <= n.d GROUP BY m.p)
+SELECT n.conv_id, n.d AS depth, a.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN k USING (p) JOIN s USING (p) LEFT JOIN n a ON a.p = n.parent"""

@@ -100,4 +100,4 @@ WITH RECURSIVE n AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM e
 l AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.label = y.label AND x.id < y.id
   WHERE list_cosine_similarity(x.v, y.v) >= 0.93){_COMPONENTS}
 SELECT k.node AS vec_id, k.n_links, m.component_id, k.node = m.component_id AS kept FROM k JOIN m USING (node)"""
-    return {"op3_jaccard_forest": jaccard_sql, "op7_embedding_collisions": cosine_sql, "op8_systematic_mix": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL}
+    return {"op3_jaccard_forest": jaccard_sql, "op7_embedding_collisions": cosine_sql, "op8_systematic_mix": mixing.MIX_SQL, "op10_topk": topk.TOPK_SQL, "op11_prefix_trie": prefix_trie.TRIE_SQL}

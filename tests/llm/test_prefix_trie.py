@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 
 from loomtext.llm import prefix_trie, queries
@@ -52,6 +53,18 @@ def same(frame, convs):
     assert got == trie(convs)
 
 
+def test_sql_equals_dictionaries():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
+    rng = random.Random(11)
+    rows = [(c, t if t else None, rng.choice(["a", None]), rng.choice(["x", "é", None])) for c in range(-7, 90) for t in range(rng.choice([1, 2, 9, 12]))] + [(None, 0, "a", "x")]
+    for given in (rows, duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{SF}/conversations.parquet'").fetchall()):
+        con.execute("DELETE FROM conversations")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", given)
+        got = con.execute(prefix_trie.TRIE_SQL).fetchall()
+        assert {r[:2]: r[2:] for r in got} == trie(rebuilt(given)) and len(got) == len({r[:2] for r in got})
+
+
 def table(spark, rows):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "conv_id long, turn int, role string, text string, depth int")
 
