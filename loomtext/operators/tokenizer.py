@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import merges as M
 from loomtext.operators import training
-from loomtext.sources import files
+from loomtext.sources import files, token_files
 from loomtext.sources.arrow import by_bytes
 
 #: Up to so many merges run as one SQL expression over distinct pre-tokens; more run in Arrow batches.
@@ -64,6 +64,19 @@ class Tokenizer:
 
         A text with a symbol that the vocabulary lacks raises, or with unknown="null" gives null. Null text gives null, empty text no ids.
         """
+        return self._encoded(docs, key, text, unknown, "array<int>", lambda got: pa.array(got, pa.list_(pa.int32())))
+
+    def encode_packed(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", width: int = 2) -> DataFrame:
+        """encode with ids as token_files packs them, compressed integers of 2 or 4 bytes; a text without ids gives empty bytes."""
+
+        def pack(got):
+            return pa.array([None if x is None else token_files.pack(x, width) for x in got], pa.binary())
+
+        if max(self.vocab, default=0) >= 1 << 8 * width:
+            raise ValueError(f"token ids don't fit into {width} bytes")
+        return self._encoded(docs, key, text, unknown, "binary", pack)
+
+    def _encoded(self, docs: DataFrame, key: str, text: str, unknown: str, kind: str, column) -> DataFrame:
         me = docs.sparkSession.sparkContext.broadcast((self.ids, self.ranks, self.specials))  # bounded by the vocabulary
         skip = _skips(unknown)
 
@@ -80,10 +93,10 @@ class Tokenizer:
                     raise
 
             for b in by_bytes(batches, 1):
-                got = [one(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=[key, "ids"])
+                got = column([one(t) for t in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), got], names=[key, "ids"])
 
-        return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>")
+        return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids {kind}")
 
     def encode_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", frequent: int = 2_000, most: int = WORDS) -> DataFrame:
         """(key, seg, tok, part, token_id, token) for every token, by joins only: pre-tokens, each distinct one merged once, then looked up.

@@ -5,7 +5,8 @@ file without an entry is not part of it. Tasks write files under names of their
 hold every position once, removes the files of attempts that failed, and writes the manifest last. An abort removes what was written.
 
 spark.dataSource.register(TokenSink), then rows (start, ids), the ids of a text and the position of its first one, in order within each task:
-rows.write.format("loomtext_tokens").option("width", 2).mode("append").save(path). write_stream does all of it.
+rows.write.format("loomtext_tokens").option("width", 2).mode("append").save(path). write_stream does all of it. Rows (packed), ids as pack gives them, are
+placed one after another in order of the partitions; the commit then works out the places. write_ordered does all of that.
 """
 from __future__ import annotations
 
@@ -13,11 +14,13 @@ import bisect
 import functools
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -29,22 +32,56 @@ MANIFEST = "manifest.json"
 BUFFER = 4 << 20
 
 
+def pack(ids: list[int], width: int) -> bytes:
+    """ids as little-endian unsigned integers of `width` bytes, compressed, as they are stored and shuffled before they are placed; none give empty bytes."""
+    return zlib.compress(np.array(ids, np.int64).astype(f"<u{width}").tobytes(), 1) if ids else b""
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    """Files of a task: (name, first position, tokens)."""
+    """Files of a task: (name, first position, tokens). part: the partition, if its files go after those of the partitions before it."""
 
     files: list = field(default_factory=list)
+    part: int | None = None
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str, width: int, packed: bool = False):
         if width not in (2, 4):
             raise ValueError("width must be 2 or 4 bytes")
-        self.path, self.width, self.job = path, width, uuid.uuid4().hex
+        self.path, self.width, self.packed, self.job = path, width, packed, uuid.uuid4().hex
         store, at = located(path)
         store.create_dir(at, recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        return self._write_packed(batches) if self.packed else self._write_placed(batches)
+
+    def _write_packed(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, root = located(self.path)
+        part = TaskContext.get().partitionId()
+        name, out, size = f"tokens-{self.job}-{uuid.uuid4().hex}.bin", None, 0
+        try:
+            for b in batches:
+                for x in b.column("packed"):
+                    if not x.is_valid or not len(x.as_buffer()):
+                        continue
+                    got = zlib.decompress(x.as_buffer())
+                    if len(got) % self.width:
+                        raise ValueError(f"ids aren't of {self.width} bytes each")
+                    out = out or store.open_output_stream(f"{root}/{name}", buffer_size=BUFFER)
+                    out.write(got)
+                    size += len(got)
+            if out is None:
+                return _Written(part=part)
+            out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+                _remove(store, f"{root}/{name}")
+            raise
+        return _Written([(name, 0, size // self.width)], part)
+
+    def _write_placed(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = located(self.path)
         done: list[tuple[str, int, int]] = []
         out = name = None
@@ -81,6 +118,8 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         store, root = located(self.path)
+        if self.packed:
+            messages = _placed(messages)
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f[1])
         at = 0
         for _, first, n in files:
@@ -114,6 +153,18 @@ class _Writer(DataSourceArrowWriter):
                 _remove(store, f.path)
 
 
+def _placed(messages: list) -> list:
+    """The messages of packed rows with the first positions of their files, in order of the partitions."""
+    out, at = [], 0
+    for m in sorted((m for m in messages if m), key=lambda m: m.part):
+        moved = []
+        for name, _, n in m.files:
+            moved.append((name, at, n))
+            at += n
+        out.append(_Written(moved, m.part))
+    return out
+
+
 def _remove(store, path: str) -> None:
     try:
         store.delete_file(path)
@@ -127,7 +178,7 @@ class TokenSink(DataSource):
         return "loomtext_tokens"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("width", 2)))
+        return _Writer(self.options["path"], int(self.options.get("width", 2)), schema.names == ["packed"])
 
 
 def write_stream(rows: DataFrame, path: str, width: int = 2) -> int:
@@ -139,6 +190,16 @@ def write_stream(rows: DataFrame, path: str, width: int = 2) -> int:
     return TokenFiles(path).tokens
 
 
+def write_ordered(rows: DataFrame, path: str, width: int, packed: str, *order: str) -> int:
+    """Write the ids of all rows, packed in `width` bytes a token, below `path` in the given order, by one range exchange; the stream's length. Rows equal in
+    the order stand in any. A stream that is there already is replaced when the new one is complete."""
+    spark = rows.sparkSession
+    spark.dataSource.register(TokenSink)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(packed).alias("packed"))
+    dealt.write.format("loomtext_tokens").option("width", width).mode("append").save(path)
+    return TokenFiles(path).tokens
+
+
 class TokenFiles:
     """A written stream: any part of it by one seek for each file that it reaches into."""
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.operators import corpus, tokenizer
 from loomtext.plans import queries as Q
 from loomtext.sources import corpus_source, token_files
 from loomtext.sources.corpus_source import CorpusSource
@@ -156,6 +157,36 @@ def test_a_killed_attempt_leaves_no_file(tmp_path):
     assert token_files.TokenFiles(str(tmp_path / "t")).read(0, 3).tolist() == [1, 2, 3] and len(list((tmp_path / "t").glob("*"))) == 3
 
 
+def test_packed_rows_stand_in_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    parts = [(int(k), rng.integers(0, 60_000, int(n))) for k, n in zip(rng.permutation(400), rng.integers(0, 50, 400), strict=True)]
+    rows = [(k, token_files.pack(x.tolist(), 2)) for k, x in parts] + [(None, token_files.pack([7, 8], 2)), (401, None)]
+    path = str(tmp_path / "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = token_files.write_ordered(spark.createDataFrame(rows, "k int, ids binary").repartition(5), path, 2, "ids", "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [7, 8] + [int(i) for _, x in sorted(parts, key=lambda r: r[0]) for i in x]
+    t = token_files.TokenFiles(path)
+    assert n == len(want) and t.read(0, n).tolist() == want and len(t.manifest["files"]) > 1
+    with pytest.raises(Exception, match="aren't of 4 bytes"):
+        token_files.write_ordered(spark.createDataFrame([(1, token_files.pack([1], 2))], "k int, ids binary"), path, 4, "ids", "k")
+    assert token_files.TokenFiles(path).read(0, n).tolist() == want and len(list((tmp_path / "t").glob("tokens-*"))) == len(t.manifest["files"])
+    assert token_files.write_ordered(spark.createDataFrame([], "k int, ids binary"), str(tmp_path / "e"), 2, "ids", "k") == 0
+
+
+def test_equal_and_null_keys_and_texts(spark, tmp_path):
+    tok = Q.book()
+    docs = spark.createDataFrame([(1, "the then"), (1, "an other"), (1, "the then"), (None, "first"), (2, None), (3, ""), (0, "zero")], "doc_id int, text string")
+    n = corpus.encode_files(docs, tok, str(tmp_path / "t"))
+    got = token_files.TokenFiles(str(tmp_path / "t")).read(0, n).tolist()
+    one, two = tok.encode_text("the then"), tok.encode_text("an other")
+    assert got in [tok.encode_text("first") + tok.encode_text("zero") + x for x in (one + one + two, two + one + one)]
+    with pytest.raises(ValueError, match="don't fit"):
+        tokenizer.Tokenizer({**dict(enumerate(bytes([i]) for i in range(256))), 70_000: b"ab"}, []).encode_packed(docs)
+
+
 def test_queries_agree_with_the_other_paths(spark):
     sf = "/root/testdata/sf0.001"
     for flat, other in (("encode_files", "encode_dataset"), ("file_windows", "batch_windows")):
