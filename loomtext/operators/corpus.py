@@ -93,13 +93,14 @@ def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str =
 def encode_files(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", unknown: str = "raise") -> int:
     """encode_dataset into flat files (token_files): 16 bits a token if the vocabulary's ids fit, else 32. Returns the number of tokens.
 
-    Texts are encoded once, into compressed bytes, and stored, as the ranges are sampled from them. One exchange deals them out by ranges of the key, equal keys by a hash
-    of their ids; a task's range is a run of the stream, so its place follows from the other tasks' sizes when all have written.
+    One exchange deals the texts out by ranges of the key, equal keys by a hash of the text, and the tasks behind it encode them, so ids are neither
+    stored nor shuffled. A task's range is a run of the stream, whose place follows from the other tasks' sizes when all have written.
     """
     width = 2 if max(tokenizer.vocab, default=0) < 1 << 16 else 4
-    ids = tokenizer.encode_packed(docs, key, text, unknown, width).where(F.octet_length("ids") > 0)
-    held = files.stored(ids.select(columns.column(key).alias("key"), F.xxhash64("ids").alias("tie"), "ids"), "packed")
-    return token_files.write_ordered(held, path, width, "ids", "key", "tie")
+    order = ("key", F.xxhash64("text"))
+    rows = docs.select(columns.column(key).alias("key"), columns.column(text).alias("text")).where("text <> ''")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return token_files.write_ordered(tokenizer.encode_packed(rows, "key", "text", unknown, width).withColumnRenamed("ids", "packed"), path, width)
 
 
 #: Neighbours that a prefix sum takes at once.

@@ -67,7 +67,7 @@ class Tokenizer:
         return self._encoded(docs, key, text, unknown, "array<int>", lambda got: pa.array(got, pa.list_(pa.int32())))
 
     def encode_packed(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", width: int = 2) -> DataFrame:
-        """encode with ids as token_files packs them, compressed integers of 2 or 4 bytes; a text without ids gives empty bytes."""
+        """encode with ids as token_files packs them, integers of 2 or 4 bytes; a text without ids gives empty bytes."""
 
         def pack(got):
             return pa.array([None if x is None else token_files.pack(x, width) for x in got], pa.binary())

@@ -14,7 +14,6 @@ import bisect
 import functools
 import json
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +32,8 @@ BUFFER = 4 << 20
 
 
 def pack(ids: list[int], width: int) -> bytes:
-    """ids as little-endian unsigned integers of `width` bytes, compressed, as they are stored and shuffled before they are placed; none give empty bytes."""
-    return zlib.compress(np.array(ids, np.int64).astype(f"<u{width}").tobytes(), 1) if ids else b""
+    """ids as little-endian unsigned integers of `width` bytes."""
+    return np.array(ids, np.int64).astype(f"<u{width}").tobytes()
 
 
 @dataclass
@@ -63,9 +62,8 @@ class _Writer(DataSourceArrowWriter):
         try:
             for b in batches:
                 for x in b.column("packed"):
-                    if not x.is_valid or not len(x.as_buffer()):
+                    if not x.is_valid or not len(got := x.as_buffer()):
                         continue
-                    got = zlib.decompress(x.as_buffer())
                     if len(got) % self.width:
                         raise ValueError(f"ids aren't of {self.width} bytes each")
                     out = out or store.open_output_stream(f"{root}/{name}", buffer_size=BUFFER)
@@ -190,13 +188,11 @@ def write_stream(rows: DataFrame, path: str, width: int = 2) -> int:
     return TokenFiles(path).tokens
 
 
-def write_ordered(rows: DataFrame, path: str, width: int, packed: str, *order: str) -> int:
-    """Write the ids of all rows, packed in `width` bytes a token, below `path` in the given order, by one range exchange; the stream's length. Rows equal in
-    the order stand in any. A stream that is there already is replaced when the new one is complete."""
-    spark = rows.sparkSession
-    spark.dataSource.register(TokenSink)
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(packed).alias("packed"))
-    dealt.write.format("loomtext_tokens").option("width", width).mode("append").save(path)
+def write_ordered(rows: DataFrame, path: str, width: int) -> int:
+    """Write the ids of all rows (packed) below `path`, in order of the partitions and of the rows in them; the stream's length. A stream that is there
+    already is replaced when the new one is complete."""
+    rows.sparkSession.dataSource.register(TokenSink)
+    rows.select("packed").write.format("loomtext_tokens").option("width", width).mode("append").save(path)
     return TokenFiles(path).tokens
 
 

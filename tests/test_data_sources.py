@@ -164,16 +164,16 @@ def test_packed_rows_stand_in_order(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        n = token_files.write_ordered(spark.createDataFrame(rows, "k int, ids binary").repartition(5), path, 2, "ids", "k")
+        n = token_files.write_ordered(spark.createDataFrame(rows, "k int, packed binary").repartitionByRange(5, "k").sortWithinPartitions("k"), path, 2)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = [7, 8] + [int(i) for _, x in sorted(parts, key=lambda r: r[0]) for i in x]
     t = token_files.TokenFiles(path)
     assert n == len(want) and t.read(0, n).tolist() == want and len(t.manifest["files"]) > 1
     with pytest.raises(Exception, match="aren't of 4 bytes"):
-        token_files.write_ordered(spark.createDataFrame([(1, token_files.pack([1], 2))], "k int, ids binary"), path, 4, "ids", "k")
+        token_files.write_ordered(spark.createDataFrame([(1, token_files.pack([1], 2))], "k int, packed binary"), path, 4)
     assert token_files.TokenFiles(path).read(0, n).tolist() == want and len(list((tmp_path / "t").glob("tokens-*"))) == len(t.manifest["files"])
-    assert token_files.write_ordered(spark.createDataFrame([], "k int, ids binary"), str(tmp_path / "e"), 2, "ids", "k") == 0
+    assert token_files.write_ordered(spark.createDataFrame([], "k int, packed binary"), str(tmp_path / "e"), 2) == 0
 
 
 def test_equal_and_null_keys_and_texts(spark, tmp_path):
