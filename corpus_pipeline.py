@@ -1,6 +1,6 @@
 """The corpus pipeline: quality, toxicity, near duplicates, mixing, tokens; each stage is one operator.
 
-Every stage reads all rows of the one before. Documents without an id pass the filters on their text alone. Null and empty texts are
+Every stage reads all rows of the one before, and fits on them; of the given tables only the first reads documents. Documents without an id pass the filters on their text alone. Null and empty texts are
 scored by their statistics, have no shingles, size 0 and no tokens; very long texts are read whole; repeated rows score alike, and near_duplicates
 keeps one of them; an empty table passes every stage as an empty table; columns beyond those named here, of any name and type, go with
 their rows up to the last stage.
@@ -16,13 +16,13 @@ from loomtext.llm.queries import table, vocabulary_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.filter_quality(docs, model)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic."""
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents that aren't toxic, by a model fitted on the labelled ones among them."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.filter_clean(docs, model)
 
 

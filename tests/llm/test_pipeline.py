@@ -192,6 +192,18 @@ def test_pipeline_of_nothing(spark, folder, tmp_path):
         assert stage(spark, none, folder).collect() == []
 
 
+def test_stages_behind_the_first_do_without_the_documents_table(spark, folder, tmp_path):
+    queries.table(spark, folder, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = queries.table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES:  # the documents lie in another folder from the first stage on
+        docs, _ = common.materialize(stage(spark, docs, str(tmp_path)), name)
+    assert keys_of(docs) == keys_of(corpus_pipeline.run(spark, folder))
+
+
+def keys_of(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256) for r in df.collect())
+
+
 def test_operators_over_odd_tables(spark, folder, tmp_path):
     """Row counts and key columns of operators whose values other tests hold."""
     docs = queries.table(spark, folder, "documents")
