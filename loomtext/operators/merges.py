@@ -71,6 +71,12 @@ def train(counts: dict[bytes, int], n: int) -> list[tuple[bytes, bytes]]:
     """
     size = np.fromiter(map(len, counts), dtype=np.int64, count=len(counts))
     data = np.frombuffer(b"".join(counts), dtype=np.uint8)
+    return grown(data, size, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), [bytes([i]) for i in range(256)], n)
+
+
+def grown(data: np.ndarray, size: np.ndarray, counts: np.ndarray, names: list[bytes], n: int, least: int = 1, once: bool = False) -> list[tuple[bytes, bytes]]:
+    """train on words of any symbols: their numbers, one word after another; the words' sizes and counts; the symbols' bytes, all different. It ends
+    before a pair with a count below `least`, and, with `once`, after a merge whose symbol exists already."""
     end = len(data)  # stands for "none"
     kind = np.int32 if end < 2**31 - 1 else np.int64
     symbol = np.append(data.astype(np.int32), -1)
@@ -78,8 +84,8 @@ def train(counts: dict[bytes, int], n: int) -> list[tuple[bytes, bytes]]:
     edge = np.cumsum(size)
     after[edge[size > 0] - 1] = end
     before[(edge - size)[size > 0]] = end
-    weight = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), size)
-    names = [bytes([i]) for i in range(256)]  # of symbols; equal bytes have one number
+    weight = np.repeat(counts, size)
+    names = list(names)  # equal bytes have one number
     number = {s: i for i, s in enumerate(names)}
     total: dict[int, int] = {}
     where: dict[int, list[np.ndarray]] = {}
@@ -99,19 +105,22 @@ def train(counts: dict[bytes, int], n: int) -> list[tuple[bytes, bytes]]:
     def key(code: int) -> _Larger:
         return _Larger((names[code >> 32], names[code & 0xFFFFFFFF]))
 
-    heap = [(-total[code], key(code), code) for code in add(np.flatnonzero(after[:end] < end).astype(kind))]
+    heap = [(-total[code], key(code), code) for code in add(np.flatnonzero(after[:end] < end).astype(kind)) if total[code] >= least]
     heapq.heapify(heap)
     out: list[tuple[bytes, bytes]] = []
     while heap and len(out) < n:
         c, top, code = heapq.heappop(heap)
         now = total.get(code, 0)
-        if now != -c or now <= 0:
-            if 0 < now < -c:  # it has shrunk since; growth was pushed when it happened
+        if now != -c or now < least:
+            if least <= now < -c:  # it has shrunk since; growth was pushed when it happened
                 heapq.heappush(heap, (-now, top, code))
             continue
         out.append(tuple(top))
         both = top[0] + top[1]
-        if both not in number:
+        if both in number:
+            if once:
+                break
+        else:
             number[both] = len(names)
             names.append(both)
         a, b = code >> 32, code & 0xFFFFFFFF
@@ -132,6 +141,6 @@ def train(counts: dict[bytes, int], n: int) -> list[tuple[bytes, bytes]]:
         before[beyond[beyond < end]] = left[beyond < end]
         new = np.concatenate([before[left], left[beyond < end]])
         for x in add(np.unique(new[new < end])):
-            if total[x] > 0:
+            if total[x] >= least:
                 heapq.heappush(heap, (-total[x], key(x), x))
     return out

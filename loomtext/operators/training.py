@@ -85,8 +85,8 @@ def base_vocabulary(spark: SparkSession, specials: list[str] | None = None) -> D
     return base.unionByName(spark.createDataFrame([(256 + i, s.encode()) for i, s in enumerate(specials)], "token_id int, token binary"))
 
 
-#: Bytes of distinct words that the driver trains on; it takes some 40 times as much memory for them.
-MOST_BYTES = 64 << 20
+#: Bytes of distinct words that the driver trains on; it takes some 50 times as much memory for them.
+MOST_BYTES = 4 << 20
 #: Pairs looked at for the merges of one distributed job, and jobs between two times that the words are stored.
 LOOK, STORE = 256, 8
 
@@ -118,8 +118,9 @@ def independent(pairs: list[tuple[str, str, int]], known: set[str], complete: bo
 def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_bytes: int = MOST_BYTES) -> list[tuple[bytes, bytes]]:
     """Up to n merges of counted pre-tokens.
 
-    local: distinct words of up to `most_bytes` bytes are trained on by the driver after Spark has counted them; more are trained on as `indexed` says.
-    indexed: words stay distributed; once merges are in few words, jobs look these up in an index and change counts by deltas (indexed.train).
+    local: distinct words of up to `most_bytes` bytes are trained on by the driver after Spark has counted them; more stay distributed, and the driver trains on
+    bounded extracts of them (rounds.train).
+    indexed: words stay distributed in rounds, too; once merges are in few words, jobs look these up in an index and change counts by deltas (indexed.train).
     iterative: words stay distributed; each job counts all pairs and makes all merges that are sure to be next, and the rewritten words are
     stored now and then.
     """
@@ -132,7 +133,10 @@ def train_merges(counts: DataFrame, n: int, strategy: str = "local", most_bytes:
             got = counts.toArrow()
             return M.train(dict(zip((w.encode() for w in got.column(0).to_pylist()), got.column(1).to_pylist(), strict=True)), n)
         warnings.warn(f"{size} bytes of distinct words: training stays distributed", stacklevel=2)
-    if strategy != "iterative":
+        from loomtext.operators import rounds
+
+        return rounds.train(counts, n)[0]
+    if strategy == "indexed":
         from loomtext.operators import indexed
 
         return indexed.train(counts, n)[0]
