@@ -1,32 +1,36 @@
 """BPE training that stays distributed: an inverted index from pairs to words, and pair counts changed by signed deltas.
 
-The first merges are in most words, so jobs count all pairs and rewrite all words. Once the next merges are in few words, tables take over:
+The first merges are in most words, so rounds count all pairs and rewrite all words (rounds.train). Once the next merges are in few words, tables take over:
 
 * words (wid, n, word), and index (l, r, wid), for every pair in a word, each in buckets, that is partition folders;
 * counts (l, r, c).
 
-A job takes all merges that are sure to be next (training.independent), reads the index buckets of their pairs, then those buckets of words that
-hold a word found, by dynamic partition pruning, and rewrites these words. It appends one log: the words' new forms, index entries of pairs
+A job takes the most frequent pairs, TOGETHER or with their ties a few more, reads their index buckets, then those buckets of words that hold a word found, by dynamic
+partition pruning. An extract of these words gives the merges that are sure to be next (rounds), of new pairs too, and the words that hold them are rewritten. It appends one log: the words' new forms, index entries of pairs
 that a word hasn't had, and the words' old and new pairs with their counts, negative and positive. A pair's count is the sum over the counts and the
 logs; an index entry whose word has lost the pair since is harmless, as words are looked at. When the logs hold half as many words as the tables,
 these are written anew, so that costs no more than in proportion to the words rewritten. A job so costs what its pairs' words cost, not what all do.
 
-Every table is written in the shared folder before anything builds on it, and the driver holds the merges and LOOK pairs.
+Every table is written in the shared folder before anything builds on it, and the driver holds the merges, LOOK pairs and an extract of rounds.MOST symbols.
 """
 from __future__ import annotations
 
 import functools
 import operator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.operators import training
+from loomtext.operators import rounds, training
 from loomtext.sources import files
 
 #: The share of all words that a job's merges may be in for the tables to take over, and the share of the words in logs at which they are written anew.
 FEW, LOGGED = 0.005, 0.5
+#: Pairs whose words a job looks up, and merges that it makes at most.
+TOGETHER = 64
 _LOG = "job int, kind string, wid long, bucket int, n long, word string, l string, r string, c long"
 
 
@@ -96,9 +100,21 @@ class Tables:
             return base.select("wid", "n", "word")
         return base.unionByName(new).groupBy("wid").agg(F.max_by(F.struct("n", "word"), "job").alias("w")).select("wid", "w.n", "w.word")
 
-    def merge(self, merges: list[tuple[str, str]]) -> int:
-        """Make merges, which are sure to be next; the number of words rewritten."""
-        rows = self.current(self.holders(merges)).withColumn("new", merged(F.col("word"), merges)).where("new <> word")
+    def next(self, n: int, names: list[bytes]) -> tuple[list[tuple[str, str]], DataFrame | None]:
+        """Up to n merges that are sure to be next, and the words that may hold them. names: all symbols so far."""
+        top = self.top(training.LOOK + 1)
+        if not top or len(top) > training.LOOK and top[0][2] == top[-1][2]:
+            return [t[:2] for t in top[:1]], None
+        number = {s.hex().upper(): i for i, s in enumerate(names)}
+        code, c = np.array([number[a] << 32 | number[b] for a, b, _ in top], np.int64), np.array([t[2] for t in top], np.int64)
+        sought = [t[:2] for t in top if t[2] >= c[: TOGETHER][-1]]
+        held = files.stored(self.current(self.holders(sought)), "held")
+        got, _ = rounds._round(_numbered(held, number), None, code, c, names, min(n, TOGETHER), rounds.MOST, training.LOOK, TOGETHER)
+        return [(a.hex().upper(), b.hex().upper()) for a, b in got], held
+
+    def merge(self, merges: list[tuple[str, str]], held: DataFrame | None = None) -> int:
+        """Make merges, which are sure to be next; the number of words rewritten. held: words (wid, n, word) that hold them, if known."""
+        rows = (self.current(self.holders(merges)) if held is None else held).withColumn("new", merged(F.col("word"), merges)).where("new <> word")
         seen = Observation()
         rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
         spelled = lambda word: F.transform(pairs_of(word), lambda p: F.concat(p["l"], F.lit(" "), p["r"]))  # noqa: E731  strings are compared by hash
@@ -124,34 +140,47 @@ class Tables:
         return changed
 
 
+def _numbered(words: DataFrame, number: dict[str, int]) -> DataFrame:
+    """(word, n): symbol strings as rounds has words."""
+    shared = words.sparkSession.sparkContext.broadcast(number)  # bounded by the vocabulary
+
+    def run(batches):
+        for b in batches:
+            parts = [[shared.value[x] for x in w[1:-1].split("><")] for w in b.column(0).to_pylist()]
+            flat = np.fromiter((i for p in parts for i in p), np.int32)
+            yield rounds._words(flat, np.array([len(p) for p in parts], np.int64), b.column(1).to_numpy())
+
+    return words.select("word", "n").mapInArrow(run, "word binary, n long")
+
+
+def _spelled(words: DataFrame, names: list[bytes]) -> DataFrame:
+    """(word, n): words of rounds as symbol strings."""
+    shared = words.sparkSession.sparkContext.broadcast([f"<{s.hex().upper()}>" for s in names])  # bounded by the vocabulary
+
+    def run(batches):
+        for b in batches:
+            got = ["".join(map(shared.value.__getitem__, np.frombuffer(w, "<i4").tolist())) for w in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(got, pa.string()), b.column(1)], names=["word", "n"])
+
+    return words.mapInArrow(run, "word string, n long")
+
+
 def train(counts: DataFrame, n: int, few: float = FEW, buckets: int | None = None) -> tuple[list[tuple[bytes, bytes]], list[tuple[list, int]]]:
     """Up to n merges of counted pre-tokens, and the jobs on tables: their merges and the words that each rewrote."""
     spark = counts.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = files.stored(training.words(counts).withColumn("wid", F.monotonically_increasing_id()), "train")
-    size, known, out = at.count(), set(), []
-
-    def next_merges(top: list) -> list[tuple[str, str]]:
-        got = training.independent([t[:3] for t in top], known, len(top) < training.LOOK)[: n - len(out)]
-        out.extend((bytes.fromhex(a), bytes.fromhex(b)) for a, b in got)
-        return got
-
-    since = 0
-    while len(out) < n:
-        pairs = at.select("n", F.explode(pairs_of(F.col("word"))).alias("p")).groupBy("p.l", "p.r").agg(F.sum("n").alias("c"), F.count("*").alias("places"))
-        top = [tuple(r) for r in training.top_pairs(pairs, training.LOOK).collect()]
-        if not top or top[0][3] <= few * size:
-            break
-        at = at.withColumn("word", merged(F.col("word"), next_merges(top)))
-        since += 1
-        if since % training.STORE == 0:
-            at = files.stored(at, "train")
+    counts = files.stored(counts, "counts")  # counted once, then read twice
+    size = counts.count()
+    out, _, words, names = rounds.train(counts, n, enough=lambda places: places <= few * size)
     if len(out) == n or not size:
         return out, []
-    tables = Tables(at.select("wid", "n", "word"), buckets)
+    tables = Tables(files.stored(_spelled(words.rows, names).withColumn("wid", F.monotonically_increasing_id()).select("wid", "n", "word"), "train"), buckets)
     while len(out) < n:
-        merges = next_merges(tables.top(training.LOOK))
+        merges, held = tables.next(n - len(out), names)
         if not merges:
             break
-        tables.merge(merges)
+        tables.merge(merges, held)
+        out += [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in merges]
+        known = set(names)
+        names = names + [bytes.fromhex(a + b) for a, b in merges if bytes.fromhex(a + b) not in known]
     return out, tables.jobs
