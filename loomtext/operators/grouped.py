@@ -1,7 +1,7 @@
 """A vocabulary for each group of documents, such as a language: counts by group, and a trainer for each group.
 
 Tasks count pre-tokens by group before anything is shuffled. A group whose distinct pre-tokens have MOST_BYTES at most is trained on by one task, which holds
-them; larger ones by the distributed trainer (indexed), one after another, and they can't be many, as each has that many distinct bytes.
+them; larger ones by the distributed trainer (rounds), one after another, and they can't be many, as each has that many distinct bytes.
 """
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions.columns import column
-from loomtext.operators import indexed, merges, training
+from loomtext.operators import merges, rounds, training
 from loomtext.sources import files
 from loomtext.sources.arrow import by_bytes
 
-#: Bytes of a group's distinct pre-tokens that one task trains on, which takes some 40 times as much memory.
-MOST_BYTES = 16 << 20
+#: Bytes of a group's distinct pre-tokens that one task trains on, which takes some 50 times as much memory.
+MOST_BYTES = 4 << 20
 
 
 def _counter(specials: list[str]):
@@ -80,7 +80,7 @@ def train(docs: DataFrame, group: str, vocab_size: int, specials: list[str] | No
     small = counts.join(F.broadcast(large.withColumnRenamed("grp", "own")), same, "left_anti")
     out = small.groupBy("grp").applyInArrow(one, f"grp {kind}, token_id int, token binary")
     for r in large.collect():
-        found, _ = indexed.train(counts.where(F.col("grp").eqNullSafe(F.lit(r.grp))).select("pretoken", "n"), n)
+        found, *_ = rounds.train(counts.where(F.col("grp").eqNullSafe(F.lit(r.grp))).select("pretoken", "n"), n)
         rows = docs.sparkSession.createDataFrame([(r.grp, first + i, a + b) for i, (a, b) in enumerate(found)], f"grp {kind}, token_id int, token binary")
         out = out.unionByName(rows)
     groups = docs.select(column(group).alias("grp")).distinct()
