@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from loomtext.functions import text as T
@@ -25,12 +25,11 @@ class _Pretokens:
 
 
 def _table_encoder(shared):
-    """A table function class over a broadcast tokenizer."""
+    """Table function classes over a broadcast tokenizer: a row a token, a row a text."""
 
-    class EncodeTable:
-        @staticmethod
+    def checked(last: StructType):
         def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
-            """(key of the column's own type, pos, token_id): the schema follows the table that is passed."""
+            """The key, of the column's own type, then the others: the schema follows the table that is passed."""
             if not rows.isTable or not key.isConstantExpression or not text.isConstantExpression:
                 raise ValueError("a table and the names of its key and text columns are wanted")
             kinds = {f.name: f.dataType for f in rows.dataType.fields}
@@ -38,7 +37,12 @@ def _table_encoder(shared):
                 raise ValueError(f"the table has no column {missing[0]}")
             if kinds[text.value] != StringType():
                 raise ValueError(f"{text.value} isn't text")
-            return AnalyzeResult(StructType().add(key.value, kinds[key.value]).add("pos", LongType()).add("token_id", IntegerType()))
+            return AnalyzeResult(StructType([StructField(key.value, kinds[key.value]), *last.fields]))
+
+        return staticmethod(analyze)
+
+    class EncodeTable:
+        analyze = checked(StructType().add("pos", LongType()).add("token_id", IntegerType()))
 
         def __init__(self):
             ids, ranks, specials, _ = shared.value
@@ -49,14 +53,25 @@ def _table_encoder(shared):
                 for i, t in enumerate(self.stream(row[text])):
                     yield row[key], i, t
 
-    return EncodeTable
+    class EncodeTexts:
+        analyze = checked(StructType().add("ids", ArrayType(IntegerType())))
+
+        def __init__(self):
+            ids, ranks, specials, _ = shared.value
+            self.encode = text_encoder(ids, ranks, specials)
+
+        def eval(self, row, key: str, text: str):
+            yield row[key], None if row[text] is None else self.encode(row[text])
+
+    return EncodeTable, EncodeTexts
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer | None = None, prefix: str = "lt_") -> None:
     """Adds to spark: the table function {prefix}pretoken_rows(text) -> (pos, pretoken); the scalar function
     {prefix}pretokenize(text) -> array, which the optimizer sees through; and, with a tokenizer, {prefix}encode(text) -> array of ids,
     {prefix}decode(ids) -> text, and the table function {prefix}encode_table(TABLE(...) [PARTITION BY ...], key, text) -> (key, pos, token_id), which is given
-    a table and the names of two columns, and makes a row a token without holding a text's ids. Null gives null, and no rows."""
+    a table and the names of two columns, and makes a row a token without holding a text's ids; {prefix}encode_texts, which is given the same and makes a row (key, ids) a
+    text, null for null: a row costs a table function more than a token, so it is the faster one. Null gives null, and no rows."""
     spark.udtf.register(f"{prefix}pretoken_rows", F.udtf(_Pretokens, returnType="pos int, pretoken string"))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}pretokenize(text STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(text, {_literal('(?U)' + T.PATTERN)}, 0)")
     if tokenizer is None:
@@ -74,7 +89,8 @@ def register(spark: SparkSession, tokenizer: Tokenizer | None = None, prefix: st
         for p in parts:
             yield p.map(lambda x: None if x is None else joined(vocab, x))
 
-    spark.udtf.register(f"{prefix}encode_table", F.udtf(_table_encoder(shared)))
+    for name, made in zip(("encode_table", "encode_texts"), _table_encoder(shared), strict=True):
+        spark.udtf.register(f"{prefix}{name}", F.udtf(made))
     spark.udf.register(f"{prefix}encode", F.pandas_udf(encode, "array<int>"))
     spark.udf.register(f"{prefix}decode", F.pandas_udf(decode, "string"))
 

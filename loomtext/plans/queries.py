@@ -280,12 +280,10 @@ def encode_docs(spark, d):
 
 @query(sql_digests("documents", "doc_id"))
 def encode_docs_table_function(spark, d):
-    """By the table function, in SQL; documents without tokens are joined in."""
+    """By the table function that makes a row a text, in SQL."""
     sql.register(spark, book(), "lt_")
     docs = read(spark, d, "documents").select("doc_id", "text")
-    tokens = spark.sql("SELECT doc_id, pos, token_id FROM lt_encode_table(TABLE({docs}), 'doc_id', 'text')", docs=docs)
-    ids = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda t: t["token_id"]).alias("ids"))
-    return digests(docs.select("doc_id").join(ids, "doc_id", "left"), "doc_id")
+    return digests(spark.sql("SELECT doc_id, ids FROM lt_encode_texts(TABLE({docs}), 'doc_id', 'text')", docs=docs), "doc_id")
 
 
 @query(sql_digests("documents", "doc_id"))

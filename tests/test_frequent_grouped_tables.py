@@ -66,6 +66,9 @@ def test_table_function(spark):
     for r in got.collect():
         by.setdefault(r.name, {})[r.pos] = r.token_id
     assert {k: [v[i] for i in range(len(v))] for k, v in by.items()} == {r.name: tok.encode_text(r.body) for r in docs.collect() if r.body}
+    texts = spark.sql("SELECT * FROM tf_encode_texts(TABLE({docs}), 'name', 'body')", docs=docs)
+    assert texts.schema.simpleString() == "struct<name:string,ids:array<int>>"
+    assert {r.name: r.ids for r in texts.collect()} == {r.name: None if r.body is None else tok.encode_text(r.body) for r in docs.collect()}
     numbers = spark.sql("SELECT * FROM tf_encode_table(TABLE({docs}), 'n', 'name')", docs=docs)
     assert dict(numbers.dtypes)["n"] == "int"
     for bad in ("'none', 'body'", "'name', 'n'"):
