@@ -1,7 +1,12 @@
 """Corpus operators: documents of a text, samples, statistics, token streams, chunk boundaries."""
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,16 +83,93 @@ def stream_offsets(sizes: DataFrame, key: str = "doc_id", n: str = "n_tokens", b
 def encode_dataset(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", most: int = 1 << 16, unknown: str = "raise") -> int:
     """Encode all texts and write their tokens below `path` as one stream (pos, token_id), in order of the key. Returns the number of tokens.
 
-    Texts are encoded once; the order and the places come from their numbers of tokens alone. Arrays, not single tokens, are dealt to the
-    writers, by their place, so each file holds a run of the stream. An id of `most` or more raises.
+    As in encode_files one exchange deals the texts out by ranges of the key, and they are encoded behind it, once. Their packed ids are stored with their places in
+    the range; ranges' places follow from their sizes, a row each. Packed ids, not single tokens, are dealt to the writers, by their place, so each file holds a
+    run of the stream. Positions are written as differences. An id of `most` or more raises.
     """
-    ids = tokenizer.encode(docs, key, text, unknown).where(F.size("ids") > 0)
-    rows = stream_offsets(ids.withColumn("n_tokens", F.size("ids").cast("long")), key)
-    bad = F.raise_error(F.lit("token id out of range")).cast("int")
-    rows = rows.repartitionByRange("start").sortWithinPartitions("start").select("start", F.posexplode("ids").alias("i", "token_id"))
-    rows = rows.select((F.col("start") + F.col("i")).alias("pos"), F.when((F.col("token_id") >= 0) & (F.col("token_id") < most), F.col("token_id")).otherwise(bad).alias("token_id"))
-    rows.write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path).count()
+    spark, width = docs.sparkSession, 2 if max(tokenizer.vocab, default=0) < 1 << 16 else 4
+    packed = tokenizer.encode_packed(_in_order(docs, key, text), "key", "text", unknown, width)
+
+    def place(batches):
+        part, upto = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = pc.fill_null(pc.binary_length(b.column("ids")), 0).to_numpy().astype(np.int64) // width
+            start = upto + np.cumsum(n) - n
+            upto += int(n.sum())
+            got = pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), b.column("ids")], names=["block", "start", "n", "ids"])
+            yield got.filter(pa.array(n > 0))
+
+    def single(batches):
+        for b in by_bytes(batches, 1):
+            ids = [np.frombuffer(x.as_buffer(), f"<u{width}") for x in b.column(1)]
+            n = np.array([len(x) for x in ids], np.int64)
+            token, first = np.concatenate(ids).astype(np.int64), np.cumsum(n) - n
+            if token.max() >= most:
+                raise ValueError("token id out of range")
+            pos = np.repeat(b.column(0).to_numpy() - first, n) + np.arange(len(token))
+            for i in range(0, len(token), 1 << 17):
+                yield pa.record_batch([pa.array(pos[i : i + (1 << 17)]), pa.array(token[i : i + (1 << 17)].astype(np.int32))], names=["pos", "token_id"])
+
+    held = files.stored(packed.mapInArrow(place, "block int, start long, n long, ids binary"), "packed", "zstd")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = held.groupBy("block").agg(F.sum("n").alias("sum")).select("block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("head"))  # a row for each block
+    rows = held.join(F.broadcast(heads), "block").select((F.col("head") + F.col("start")).alias("start"), "ids")
+    rows = rows.repartitionByRange("start").sortWithinPartitions("start").mapInArrow(single, "pos long, token_id int")
+    out = rows.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.enable.dictionary#pos", "false")
+    out.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).count()
+
+
+def stream_blocks(stream: DataFrame, size: int) -> DataFrame:
+    """(block, n_tokens, digest) of a stream (pos, token_id) in blocks of `size` positions; digest: the MD5 of the ids in order, joined by commas.
+
+    A task takes runs of positions as they come; it digests blocks that it has whole, and only the parts of others, ids and all, are brought together.
+    """
+
+    def run(batches):
+        held, first = [], 0  # a run that isn't done, and its first position
+
+        def rows(ids: np.ndarray, last: bool):
+            out, at = [], 0
+            while at < len(ids) and (last or len(ids) - at >= size - (first + at) % size):
+                n = min(size - (first + at) % size, len(ids) - at)
+                part = ids[at : at + n].tolist()
+                out.append(((first + at) // size, first + at, n, hashlib.md5(",".join(map(str, part)).encode()).hexdigest() if n == size else None, None if n == size else part))
+                at += n
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+            cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            return at, pa.record_batch(cols, names=["block", "start", "n", "digest", "ids"])
+
+        for b in batches:
+            pos, token = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1).tolist(), len(pos)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if held and pos[i] != first + sum(map(len, held)):
+                    yield rows(np.concatenate(held), True)[1]
+                    held = []
+                if not held:
+                    first = int(pos[i])
+                held.append(token[i:j])
+                ids = np.concatenate(held)
+                at, got = rows(ids, False)
+                first, held = first + at, [ids[at:]] if at < len(ids) else []
+                yield got
+        if held:
+            yield rows(np.concatenate(held), True)[1]
+
+    parts = stream.select("pos", "token_id").mapInArrow(run, "block long, start long, n long, digest string, ids array<int>")
+    got = parts.groupBy("block").agg(F.sum("n").alias("n_tokens"), F.max("digest").alias("whole"), F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("t"))
+    ids = F.flatten(F.transform("t", lambda r: F.transform(r["ids"], lambda x: x.cast("string"))))
+    return got.select("block", "n_tokens", F.coalesce("whole", F.md5(F.array_join(ids, ","))).alias("digest"))
+
+
+def _in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) of texts that aren't empty, dealt out by ranges of the key, equal keys by a hash of the text, and sorted in them."""
+    order = ("key", F.xxhash64("text"))
+    rows = docs.select(columns.column(key).alias("key"), columns.column(text).alias("text")).where("text <> ''")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def encode_files(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", unknown: str = "raise") -> int:
@@ -97,10 +179,7 @@ def encode_files(docs: DataFrame, tokenizer: Tokenizer, path: str, key: str = "d
     stored nor shuffled. A task's range is a run of the stream, whose place follows from the other tasks' sizes when all have written.
     """
     width = 2 if max(tokenizer.vocab, default=0) < 1 << 16 else 4
-    order = ("key", F.xxhash64("text"))
-    rows = docs.select(columns.column(key).alias("key"), columns.column(text).alias("text")).where("text <> ''")
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return token_files.write_ordered(tokenizer.encode_packed(rows, "key", "text", unknown, width).withColumnRenamed("ids", "packed"), path, width)
+    return token_files.write_ordered(tokenizer.encode_packed(_in_order(docs, key, text), "key", "text", unknown, width).withColumnRenamed("ids", "packed"), path, width)
 
 
 #: Neighbours that a prefix sum takes at once.

@@ -401,8 +401,7 @@ def encode_dataset(spark, d):
     """The stream as written, by blocks of 4,096 positions."""
     path = files.scratch(spark, "stream")
     corpus.encode_dataset(read(spark, d, "documents"), book(), path)
-    rows = spark.read.parquet(path).groupBy(F.floor(F.col("pos") / 4096).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
-    return rows.select("block", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("t", lambda r: r["token_id"].cast("string")), ",")).alias("digest"))
+    return corpus.stream_blocks(spark.read.parquet(path), 4096)
 
 
 @query(f"""SELECT pos // 4096 AS block, count(*) AS n_tokens, md5({_IDS}) AS digest FROM (SELECT (row_number() OVER (ORDER BY doc_id, pos) - 1)::BIGINT AS pos, token_id

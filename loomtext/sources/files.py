@@ -30,10 +30,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
+def stored(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """rows written to a scratch folder and read from there: computed once, and not again if an executor is lost."""
     folder = scratch(rows.sparkSession, name)
-    rows.write.parquet(folder)
+    rows.write.option("compression", compression).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

@@ -193,3 +193,21 @@ def test_queries_agree_with_the_other_paths(spark):
         a, b = (sorted(map(str, Q.REGISTRY[x][0](spark, sf).collect())) for x in (flat, other))
         assert a == b and a
     assert re.fullmatch(r"\d+", str(len(a)))
+
+
+def test_a_stream_is_shuffled_packed_and_digested_where_it_lies(spark, tmp_path):
+    import hashlib
+
+    from loomtext import profiling
+
+    path, n = str(tmp_path / "s"), []
+    m = profiling.measured(spark, lambda: n.append(corpus.encode_dataset(Q.read(spark, "/root/testdata/sf0.01", "documents"), Q.book(), path)) or corpus.stream_blocks(spark.read.parquet(path), 4096).count())
+    assert m["shuffle_bytes"] < 6 * n[0]  # 18 a token when arrays and single tokens with their positions were
+    stream = spark.createDataFrame([(i, i % 300) for i in range(1000) if i != 500], "pos long, token_id int").repartitionByRange(3, "pos").sortWithinPartitions("pos")
+    want = {}
+    for i in range(1000):
+        if i != 500:
+            want.setdefault(i // 64, []).append(str(i % 300))
+    for rows in (stream, stream.repartition(5)):  # runs, and positions in no order
+        got = {r.block: (r.n_tokens, r.digest) for r in corpus.stream_blocks(rows, 64).collect()}
+        assert got == {b: (len(x), hashlib.md5(",".join(x).encode()).hexdigest()) for b, x in want.items()}
