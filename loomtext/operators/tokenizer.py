@@ -69,20 +69,17 @@ class Tokenizer:
     def encode_packed(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", width: int = 2) -> DataFrame:
         """encode with ids as token_files packs them, integers of 2 or 4 bytes; a text without ids gives empty bytes."""
 
-        def pack(got):
-            return pa.array([None if x is None else token_files.pack(x, width) for x in got], pa.binary())
-
         if max(self.vocab, default=0) >= 1 << 8 * width:
             raise ValueError(f"token ids don't fit into {width} bytes")
-        return self._encoded(docs, key, text, unknown, "binary", pack)
+        return self._encoded(docs, key, text, unknown, "binary", lambda got: pa.array(got, pa.binary()), width)
 
-    def _encoded(self, docs: DataFrame, key: str, text: str, unknown: str, kind: str, column) -> DataFrame:
+    def _encoded(self, docs: DataFrame, key: str, text: str, unknown: str, kind: str, column, width: int | None = None) -> DataFrame:
         me = docs.sparkSession.sparkContext.broadcast((self.ids, self.ranks, self.specials))  # bounded by the vocabulary
         skip = _skips(unknown)
 
         def run(batches):
             ids, ranks, specials = me.value
-            encode = text_encoder(ids, ranks, specials)
+            encode = text_encoder(ids, ranks, specials) if width is None else packed_encoder(ids, ranks, specials, width)
 
             def one(t):
                 try:
@@ -179,11 +176,11 @@ def joined(vocab: dict[int, bytes], ids: list[int]) -> str:
         raise ValueError(f"token id not in the vocabulary: {e.args[0]}") from None
 
 
-#: The longest pre-token, in characters, whose ids a worker remembers.
-LONGEST = 64
+#: The longest pre-token, in characters, whose ids a worker remembers, and the number of these: up to some 250 bytes each, so 30 MB.
+LONGEST, KNOWN = 64, 1 << 17
 
 
-def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = 500_000):
+def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = KNOWN):
     """A function from text to its list of ids that remembers up to `most` pre-tokens."""
     parts = _encoded_parts(ids, ranks, specials, most)
 
@@ -196,30 +193,36 @@ def text_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], most:
     return encode
 
 
-def token_stream(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = 500_000):
+def packed_encoder(ids: dict[bytes, int], ranks: dict, specials: list[str], width: int, most: int = KNOWN):
+    """text_encoder with the ids as token_files packs them, which are never a list of numbers."""
+    parts = _encoded_parts(ids, ranks, specials, most, lambda got: token_files.pack(got, width))
+    return lambda text: b"".join(parts(text))
+
+
+def token_stream(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int = KNOWN):
     """A function from text to an iterator of its ids, of which those of one pre-token are held."""
     parts = _encoded_parts(ids, ranks, specials, most)
     return lambda text: (i for p in parts(text) for i in p)
 
 
-def _encoded_parts(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int):
-    """A function from text to an iterator of lists of ids, one for each pre-token or special token."""
+def _encoded_parts(ids: dict[bytes, int], ranks: dict, specials: list[str], most: int, form=tuple):
+    """A function from text to an iterator of ids in a form, one for each pre-token or special token."""
     import regex
 
     pattern = regex.compile(T.PATTERN)
     split = T.special_splitter(specials)
     special, known = set(specials), {}
 
-    def encode(text: str) -> Iterator[list[int]]:
+    def encode(text: str) -> Iterator:
         for part in split(text):
             if part in special:
-                yield [ids[part.encode()]]
+                yield form([ids[part.encode()]])
                 continue
             for p in (p for piece in T.cut(part) for p in pattern.findall(piece)):
                 got = known.get(p)
                 if got is None:
                     try:
-                        got = [ids[x] for x in M.encode_word(p.encode(), ranks)]
+                        got = form([ids[x] for x in M.encode_word(p.encode(), ranks)])
                     except KeyError as e:
                         raise UnknownSymbol(*e.args) from None
                     if len(known) >= most:

@@ -211,3 +211,18 @@ def test_a_stream_is_shuffled_packed_and_digested_where_it_lies(spark, tmp_path)
     for rows in (stream, stream.repartition(5)):  # runs, and positions in no order
         got = {r.block: (r.n_tokens, r.digest) for r in corpus.stream_blocks(rows, 64).collect()}
         assert got == {b: (len(x), hashlib.md5(",".join(x).encode()).hexdigest()) for b, x in want.items()}
+
+
+def test_a_worker_remembers_little():
+    """Of many distinct words: packed ids, and no more of them than KNOWN."""
+    import tracemalloc
+
+    book, words = Q.book(), [f"{i:x} then" for i in range(200_000)]
+    tracemalloc.start()
+    for make in (lambda: tokenizer.packed_encoder(book.ids, book.ranks, book.specials, 2), lambda: tokenizer.text_encoder(book.ids, book.ranks, book.specials)):
+        encode, before = make(), tracemalloc.get_traced_memory()[0]
+        for w in words:
+            encode(w)
+        assert tracemalloc.get_traced_memory()[0] - before < 36 << 20
+    tracemalloc.stop()
+    assert tokenizer.packed_encoder(book.ids, book.ranks, book.specials, 2)("the then<|endoftext|> and") == tokenizer.token_files.pack(book.encode_text("the then<|endoftext|> and"), 2)
