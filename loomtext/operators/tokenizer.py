@@ -96,7 +96,12 @@ class Tokenizer:
         return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids {kind}")
 
     def encode_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", frequent: int = 2_000, most: int = WORDS) -> DataFrame:
-        """(key, seg, tok, part, token_id, token) for every token, by joins only: pre-tokens, each distinct one merged once, then looked up.
+        """(key, seg, tok, part, token_id, token) for every token, by joins only: met_relational, a row a token."""
+        met = self.met_relational(docs, key, text, unknown, frequent, most)
+        return met.select(key, "seg", "tok", F.explode("parts").alias("t")).select(key, "seg", "tok", "t.*")
+
+    def met_relational(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", frequent: int = 2_000, most: int = WORDS) -> DataFrame:
+        """(key, seg, tok, parts) for every pre-token, parts being its tokens (part, token_id, token) in order, by joins only: pre-tokens, each distinct one merged once, then looked up.
 
         The texts are read once to count their pre-tokens and once more for the join. Distinct pre-tokens with their tokens are broadcast if they
         have `most` bytes at most, which is measured. Beyond that they are shuffled, and as a few of them make up much of any text, each of the
@@ -122,7 +127,7 @@ class Tokenizer:
             copies = F.when(F.col("top"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
             near = near.join(F.broadcast(top), "pretoken", "left").select("pretoken", "parts", F.explode(copies).alias("salt"))
             met = tok.join(near, ["pretoken", "salt"], "left")
-        return met.select(key, "seg", "tok", F.explode(F.when(F.col("special"), own).otherwise(F.col("parts"))).alias("t")).select(key, "seg", "tok", "t.*")
+        return met.select(key, "seg", "tok", F.when(F.col("special"), own).otherwise(F.col("parts")).alias("parts"))
 
     @staticmethod
     def _bytes(found: DataFrame) -> int:

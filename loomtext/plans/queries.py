@@ -289,9 +289,9 @@ def encode_docs_table_function(spark, d):
 @query(sql_digests("documents", "doc_id"))
 def encode_docs_relational(spark, d):
     docs = read(spark, d, "documents")
-    got = book().encode_relational(docs)
-    row = F.array_sort(F.collect_list(F.struct("seg", "tok", "part", "token_id")))
-    got = got.groupBy("doc_id").agg(F.transform(row, lambda r: r["token_id"]).alias("ids"))
+    got = book().met_relational(docs).select("doc_id", "seg", "tok", F.transform("parts", lambda t: t["token_id"]).alias("ids"))
+    row = F.array_sort(F.collect_list(F.struct("seg", "tok", "ids")))  # a pre-token each, not a token
+    got = got.groupBy("doc_id").agg(F.flatten(F.transform(row, lambda r: r["ids"])).alias("ids"))
     return digests(docs.select("doc_id").join(got, "doc_id", "left"), "doc_id")
 
 

@@ -56,6 +56,20 @@ def test_vocabularies_by_group_equal_separate_runs(spark):
         assert not by
 
 
+def test_large_groups_are_trained_on_in_rounds(spark, monkeypatch):
+    docs, sizes, real = spark.createDataFrame([("a", "low lower lowest"), ("b", "x y"), ("b", "the then there other")], "lang string, text string"), [], grouped.rounds.train
+    monkeypatch.setattr(grouped.rounds, "train", lambda counts, n: sizes.append(counts.count()) or real(counts, n))
+    rows = grouped.train(docs, "lang", 260, most=20).collect()
+    want, _ = training.train_bpe(docs.where("lang = 'b'"), 260)
+    assert sizes == [6] and {r.token_id: bytes(r.token) for r in rows if r.grp == "b"} == want
+
+
+def test_a_row_a_pretoken_by_joins(spark):
+    docs = spark.createDataFrame([(1, "the then<|endoftext|> and"), (2, None)], "doc_id int, text string")
+    got = Q.book().met_relational(docs).collect()
+    assert [i for r in sorted(got, key=lambda r: (r.seg, r.tok)) for i in [p.token_id for p in r.parts]] == Q.book().encode_text("the then<|endoftext|> and") and len(got) == 4
+
+
 def test_table_function(spark):
     tok = Q.book()
     sql.register(spark, tok, "tf_")
