@@ -95,12 +95,55 @@ def apply_merge(word: Column, left: str, right: str) -> Column:
     return F.replace(word, F.lit(f"<{left}><{right}>"), F.lit(f"<{left}{right}>"))
 
 
+def replaced(word: Column, pairs: list[tuple[str, str]]) -> Column:
+    """word with one string after another replaced."""
+    if not pairs:
+        return word
+    literals = F.array(*(F.struct(F.lit(a).alias("f"), F.lit(b).alias("t")) for a, b in pairs))
+    return F.aggregate(literals, word, lambda w, p: F.replace(w, p["f"], p["t"]))
+
+
 def apply_merges(word: Column, merges: list[tuple[str, str]]) -> Column:
     """All merges in rank order; right if merges.in_order(merges) holds."""
-    if not merges:
-        return word
-    pairs = F.array(*(F.struct(F.lit(f"<{a}><{b}>").alias("f"), F.lit(f"<{a}{b}>").alias("t")) for a, b in merges))
-    return F.aggregate(pairs, word, lambda w, m: F.replace(w, m["f"], m["t"]))
+    return replaced(word, [(f"<{a}><{b}>", f"<{a}{b}>") for a, b in merges])
+
+
+def pieces(text: Column, specials: list[str], mark: Callable[[Column], Column] = lambda s: s) -> Column:
+    """Array of pre-tokens in order, and of special tokens as `mark` writes them; null for null."""
+    segments = F.when(text.isNotNull(), split_special(text, specials))
+    return F.flatten(F.transform(segments, (lambda s: F.when(s.isin(*specials), F.array(mark(s))).otherwise(pretokenize(s))) if specials else pretokenize))
+
+
+def _raw(data: bytes) -> Column:
+    return F.unhex(F.lit(data.hex())).cast("string")
+
+
+def encoded(text: Column, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]], specials: list[str], null: bool = False) -> Column:
+    """Array of token ids of a text, as one expression; right if merges.in_order(merges) holds. Null for null.
+
+    The text's bytes are written as characters of these numbers and merged all at once, the symbol of a merge being a character above them, as are
+    special tokens. Pre-tokens are kept apart by the byte FF, and special tokens are first marked by FE, which UTF-8 never has. An id then stands in an
+    array at its character's number. A symbol without an id raises, or makes the ids null.
+    """
+    names, pairs = {bytes([i]): chr(i) for i in range(0xFE)}, []
+    order: list[bytes | None] = [*names, None, None]
+    for k, s in enumerate(specials):
+        pairs.insert(0, (f"\xfe{k}", chr(len(order))))  # longer numbers first
+        order.append(s.encode())
+    for a, b in merges:
+        if a in names and b in names:  # others can't apply
+            names[a + b] = chr(len(order))
+            pairs.append((names[a] + names[b], names[a + b]))
+            order.append(a + b)
+    marks = F.create_map(*(c for k, s in enumerate(specials) for c in (F.lit(s), _raw(b"\xfe%d" % k)))) if specials else None
+    joined = F.call_function("array_join", pieces(text, specials, lambda s: F.element_at(marks, s)), _raw(b"\xff"))
+    merged = replaced(F.decode(joined.cast("binary"), "ISO-8859-1"), [*pairs, ("\xff", "")])
+    known = F.array(*(F.lit(None if t is None else ids.get(t)).cast("int") for t in order))
+    got = F.transform(F.split(merged, ""), lambda c: F.element_at(known, F.ascii(c) + 1))
+    if any(t is not None and t not in ids for t in order):
+        lacks = F.exists(got, lambda i: i.isNull())
+        got = F.when(lacks, F.lit(None) if null else F.raise_error(F.lit("symbol not in the vocabulary"))).otherwise(got)
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(got)  # split would leave one empty string
 
 
 def text_of_hex(data: Column) -> Column:

@@ -17,6 +17,8 @@ from loomtext.sources.arrow import by_bytes
 EXPRESSION_MERGES = 512
 #: Bytes of distinct pre-tokens with their tokens that may be broadcast, and tasks over which a frequent one is dealt beyond that.
 WORDS, SALTS = 96 << 20, 64
+#: Bytes of texts, in UTF-8, that a task of encode_joined encodes.
+CHUNK = 8 << 20
 
 
 class Tokenizer:
@@ -110,8 +112,7 @@ class Tokenizer:
         seg = docs.select(key, F.posexplode(T.split_special(F.col(text), self.specials)).alias("seg", "s"))
         special = F.col("s").isin(*self.specials) if self.specials else F.lit(False)
         tok = seg.select(key, "seg", special.alias("special"), F.posexplode(F.when(special, F.array("s")).otherwise(T.pretokenize(F.col("s")))).alias("tok", "pretoken"))
-        ids = self.vocabulary(docs.sparkSession).select("token_id", F.hex("token").alias("token"))
-        token_id = F.col("token_id") if _skips(unknown) else F.coalesce("token_id", F.raise_error(F.concat(F.lit("symbol not in the vocabulary: "), F.col("token"))).cast("int"))
+        ids, token_id = self._looked_up(docs.sparkSession, unknown)
         counted = self.merged(training.pretoken_counts(docs, self.specials, text))
         found = counted.select("pretoken", "n", F.posexplode(T.symbol_list(F.col("word"))).alias("part", "token")).join(F.broadcast(ids), "token", "left")
         found = found.groupBy("pretoken", "n").agg(F.array_sort(F.collect_list(F.struct("part", token_id.alias("token_id"), "token"))).alias("parts"))
@@ -129,6 +130,44 @@ class Tokenizer:
             met = tok.join(near, ["pretoken", "salt"], "left")
         return met.select(key, "seg", "tok", F.when(F.col("special"), own).otherwise(F.col("parts")).alias("parts"))
 
+    def encode_columns(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise") -> DataFrame:
+        """(key, ids) as encode gives them, without Python: as one expression over each text and no shuffle, or, where merges or special tokens don't run as
+        one, by encode_joined."""
+        if len(self.merges) > EXPRESSION_MERGES or len(self.specials) > T.MANY or not M.in_order(self.merges):
+            return self.encode_joined(docs, key, text, unknown)
+        return docs.select(key, T.encoded(F.col(text), self.ids, self.merges, self.specials, _skips(unknown)).alias("ids"))
+
+    def encode_joined(self, docs: DataFrame, key: str = "doc_id", text: str = "text", unknown: str = "raise", size: int = CHUNK) -> DataFrame:
+        """(key, ids) as encode gives them, by joins; key must be unique.
+
+        Texts are dealt by their keys into chunks of about `size` bytes. Behind that exchange a task finds the distinct pre-tokens of its chunk, merges and
+        looks up each once, and joins them with the chunk's pre-tokens, so none of these leaves its task; merges that don't run as an expression deal the
+        distinct ones again. What is shuffled follows the texts, what a task holds follows a chunk, or its longest text.
+        """
+        spark = docs.sparkSession
+        n = max(spark.sparkContext.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // size))
+        chunk = F.coalesce(F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), F.lit(0))  # never null, or the join would filter one of two equal exchanges
+        dealt = docs.select(key, text).repartitionById(n, chunk).select(chunk.alias("chunk"), F.struct(key).alias("row"), F.col(text).alias("text"))
+        # A last pre-token "" for every text but null leaves a row of those without any.
+        own = F.concat(T.pieces(F.col("text"), self.specials), F.array(F.lit("")))
+        tok = dealt.select("chunk", "row", F.posexplode_outer(own).alias("pos", "pretoken"))
+        words = self.merged(tok.where(~F.col("pretoken").isin("", *self.specials)).select("pretoken", "chunk").distinct())
+        ids, token_id = self._looked_up(spark, unknown)
+        found = words.select("chunk", "pretoken", F.posexplode(T.symbol_list(F.col("word"))).alias("part", "token")).join(F.broadcast(ids), "token", "left")
+        found = found.groupBy("chunk", "pretoken").agg(F.sort_array(F.collect_list(F.struct("part", token_id.alias("token_id")))).alias("parts"))
+        found = found.select("chunk", "pretoken", F.when(F.forall("parts", lambda p: p["token_id"].isNotNull()), F.col("parts")["token_id"]).alias("found"))
+        got = tok.join(found.hint("shuffle_hash"), ["chunk", "pretoken"], "left")
+        fixed = F.when(F.col("pretoken") == "", F.array().cast("array<int>"))
+        if self.specials:
+            fixed = fixed.when(F.col("pretoken").isin(*self.specials), F.array(F.element_at(self._special_ids(), F.col("pretoken"))))
+        got = got.groupBy("chunk", "row").agg(F.sort_array(F.collect_list(F.struct("pos", fixed.otherwise(F.col("found")).alias("ids")))).alias("all"))
+        return got.select(F.col("row")[key].alias(key), F.flatten(F.col("all")["ids"]).alias("ids"))
+
+    def _looked_up(self, spark: SparkSession, unknown: str) -> tuple[DataFrame, Column]:
+        """(token_id, token) with tokens in hex, and the id of a symbol left-joined with it: one that the vocabulary lacks raises, or has none."""
+        ids = self.vocabulary(spark).select("token_id", F.hex("token").alias("token"))
+        return ids, F.col("token_id") if _skips(unknown) else F.coalesce("token_id", F.raise_error(F.concat(F.lit("symbol not in the vocabulary: "), F.col("token"))).cast("int"))
+
     @staticmethod
     def _bytes(found: DataFrame) -> int:
         """Bytes in memory of pre-tokens with their parts, or a little over them."""

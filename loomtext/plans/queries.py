@@ -288,11 +288,9 @@ def encode_docs_table_function(spark, d):
 
 @query(sql_digests("documents", "doc_id"))
 def encode_docs_relational(spark, d):
-    docs = read(spark, d, "documents")
-    got = book().met_relational(docs).select("doc_id", "seg", "tok", F.transform("parts", lambda t: t["token_id"]).alias("ids"))
-    row = F.array_sort(F.collect_list(F.struct("seg", "tok", "ids")))  # a pre-token each, not a token
-    got = got.groupBy("doc_id").agg(F.flatten(F.transform(row, lambda r: r["ids"])).alias("ids"))
-    return digests(docs.select("doc_id").join(got, "doc_id", "left"), "doc_id")
+    """Without Python; as in SQL, a row without a key meets no tokens."""
+    got = book().encode_columns(read(spark, d, "documents"))
+    return digests(got.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("ids")).alias("ids")), "doc_id")
 
 
 _LINES = "(SELECT conv_id * 1000000 + turn AS line_id, text FROM conversations)"

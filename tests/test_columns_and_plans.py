@@ -75,6 +75,50 @@ def test_relational_encoding_reads_the_texts_once(spark):
         assert by == {k: v for k, v in whole.items() if v}
 
 
+def _ids(rows):
+    return {r.doc_id: r.ids for r in rows.collect()}
+
+
+def test_encoding_by_columns_equals_encoding_in_python(spark):
+    end = "<|endoftext|>"
+    odd = ["", " ", "\x00", "\x00\x00 a\x00", "ÿþ ÿ þ0þ1", "\ufffd\ue000\uffff", "😀 the\u2003then\u0085", "th" + end + "e", end * 2 + end + "1" + end + " the", "aaaa  and\n\n the", "e" + end + "0", None]
+    specials = [end, end * 2, *(f"[{i}]" for i in range(10))]  # the marks of the first are the beginning of those of the last
+    odd.append("".join(specials[::-1]) + "0 [1]1[12]")
+    docs = spark.createDataFrame([*enumerate(odd)], "doc_id int, text string")
+    every = [bytes([i]) for i in range(256)]
+    lists = [Q.MERGES, [], [(b"a", b"a"), (b"aa", b"aa")], [(b"\xff", b"a"), (b"a", b"\xff"), (b"\xfe", b"0"), (b"no", b"t"), (b" ", b"t"), (b"\x00", b"\x00"), (b"\xc3", b"\xbf")], [(b"ab", b"c"), (b"a", b"b"), (b"a", b"n")]]
+    for merges in lists:
+        for special in (specials, []):
+            tok = Tokenizer(dict(enumerate([*every[::-1], *{a + b: 0 for a, b in merges}])), merges, special)
+            want = _ids(tok.encode(docs))
+            assert _ids(tok.encode_columns(docs)) == want and _ids(tok.encode_joined(docs, size=40)) == want
+    ascii_only = Tokenizer({i: bytes([i]) for i in range(128)}, [])
+    some = docs.where("doc_id in (0, 1, 6, 9, 11)")
+    want = _ids(ascii_only.encode(some, unknown="null"))
+    assert want[6] is None and want[9]
+    for f in (ascii_only.encode_columns, ascii_only.encode_joined):
+        assert _ids(f(some, unknown="null")) == want
+        with pytest.raises(Exception, match="symbol not in the vocabulary"):
+            f(some).collect()
+        with pytest.raises(ValueError):
+            f(some, unknown="skip")
+
+
+def test_no_row_a_pretoken_is_shuffled_for_the_ids_of_texts(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "the then" * 50), (2, ""), (3, None), (None, "and")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = Q.encode_docs_relational(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join|Aggregate|Generate|InArrow|hashpartitioning", plan)
+    rows, want = {r.doc_id: (r.n_tokens, r.digest) for r in got.collect()}, {r.doc_id: (r.n_tokens, r.digest) for r in Q.encode_docs(spark, folder).collect()}
+    assert rows == {**want, None: want[2]} and rows[2][0] == rows[3][0] == 0 < rows[1][0]
+    docs = spark.createDataFrame([(i, "the then and") for i in range(20)], "doc_id long, text string")
+    joined = Q.book().encode_joined(docs)
+    assert joined.count() == 20
+    exchanges = re.findall(r"Exchange (\w+)", joined._jdf.queryExecution().executedPlan().toString())
+    assert set(exchanges) <= {"shufflepartitionidpassthrough"} | {"HashedRelationBroadcastMode"}
+
+
 def test_prefix_sums_over_segments(spark):
     rows = spark.createDataFrame([(g, i, (i * 7 + g) % 5) for g in (1, 2) for i in range(100 * g)], "g int, i int, v int")
     for segment in (1, 7, 4096):
